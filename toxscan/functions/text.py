@@ -93,11 +93,49 @@ def repeat_pattern() -> str:
 
 @lru_cache(maxsize=1)
 def token_pattern() -> str:
-    """A token is a run of word characters or one other non-space character."""
+    """A token is a run of word characters or one other non-space character (plain form; the
+    DuckDB oracle uses it)."""
     wc = word_class()
     return f"[{wc}]+|[^{wc}{WHITESPACE_CLASS}]"
 
 
+# Java evaluates a character class of many ranges as a chain of range tests, paid in full by every
+# character outside it. The Spark forms below are equivalent but test the few ASCII ranges first
+# and reach the long non-ASCII class only through a one-range look-ahead (largest ranges first).
+
+
+@lru_cache(maxsize=1)
+def _ascii_word_class() -> str:
+    return _ranges_to_class([(a, b) for a, b in word_ranges() if b < 0x80])
+
+
+@lru_cache(maxsize=1)
+def _wide_word_class() -> str:
+    wide = [(a, b) for a, b in word_ranges() if a >= 0x80]
+    return _ranges_to_class(sorted(wide, key=lambda r: (r[0] - r[1], r[0])))
+
+
+@lru_cache(maxsize=1)
+def _word_char_fast() -> str:
+    return f"(?:[{_ascii_word_class()}]|(?=[^\\x{{0}}-\\x{{7F}}])[{_wide_word_class()}])"
+
+
+@lru_cache(maxsize=1)
+def repeat_patterns_fast() -> tuple[str, str]:
+    """The repeat collapse as two passes: ASCII runs, then non-ASCII runs. A run is one repeated
+    character, so the passes do not interact and equal the one-pass ``repeat_pattern``."""
+    return (
+        f"([{_ascii_word_class()}])\\1{{2,}}",
+        f"(?=[^\\x{{0}}-\\x{{7F}}])([{_wide_word_class()}])\\1{{2,}}",
+    )
+
+
+@lru_cache(maxsize=1)
+def token_pattern_fast() -> str:
+    w = _word_char_fast()
+    return f"{w}+|(?!{w})[^{WHITESPACE_CLASS}]"
+
+
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -127,7 +165,8 @@ def collapse_repeats(c, num_repeats: int = 2) -> Column:
     whitespace runs become one space and the ends are stripped."""
     out = _col(c)
     if num_repeats > 0:
-        out = F.regexp_replace(out, repeat_pattern(), "$1" * num_repeats)
+        for pattern in repeat_patterns_fast():
+            out = F.regexp_replace(out, pattern, "$1" * num_repeats)
     out = F.regexp_replace(out, f"[{WHITESPACE_CLASS}]+", " ")
     return trim_text(out)
 
@@ -140,7 +179,7 @@ def clean_text(c, null_text: bool = True, num_repeats: int = 2) -> Column:
 
 def tokenize(c) -> Column:
     """Lower case, then runs of word characters and single other characters."""
-    return F.regexp_extract_all(F.lower(_col(c)), F.lit(token_pattern()), 0)
+    return F.regexp_extract_all(F.lower(_col(c)), F.lit(token_pattern_fast()), 0)
 
 
 def mask_token(c) -> Column:

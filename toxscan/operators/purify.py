@@ -26,10 +26,13 @@ from toxscan.operators.tokens import with_tokens
 
 
 def prepare(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
-    """Clean and tokenize once, and hash-partition by document: every later window, aggregate and
-    join on the document id reuses this one shuffle of the (id, cleaned text, tokens) rows."""
-    base = with_tokens(df.select(id_col, *keep, text_col), text_col, cleaned="cleaned")
-    return base.drop(text_col).repartition(id_col)
+    """Hash-partition by document, then clean and tokenize once: every later window, aggregate and
+    join on the document id reuses this one shuffle, which carries the raw text (smaller than the
+    cleaned text plus tokens) and lets the regular expressions run on all partitions."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    raw = df.select(id_col, *keep, text_col).repartition(n, id_col)
+    return with_tokens(raw, text_col, cleaned="cleaned").drop(text_col)
 
 
 def attribute(df: DataFrame, scorer: AdditiveScorer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

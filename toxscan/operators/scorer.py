@@ -120,7 +120,7 @@ def score(df: DataFrame, scorer: AdditiveScorer, id_col: str = "doc_id", tokens_
     row per document and map task, not one per token.
     """
     tw = token_weights(df, scorer, id_col, tokens_col, keep)
-    agg = tw.groupBy(id_col, *keep).agg(F.sum("w").alias("_s"))
+    agg = tw.groupBy(id_col, *keep).agg(F.sum("w").alias("_s"))  # partial sums before the shuffle
     total = (F.lit(scorer.bias).cast(WEIGHT_TYPE) + F.col("_s")).cast("decimal(30,6)")
     p0, p1 = probabilities(F.col("score"))
     return (

@@ -22,7 +22,7 @@ from toxscan.operators.ranking import exact_rank
 from toxscan.operators.scorer import AdditiveModelLoader, batch_score, cross_entropy, score
 from toxscan.plans import artifacts
 from toxscan.plans.dataset import all_data_split, with_text
-from toxscan.session import read_table, scratch_path
+from toxscan.session import read_table, scratch_path, spread, write_table
 from toxscan.sources import files as S
 from toxscan.sources.posts import progress_counts, scan_posts
 
@@ -163,11 +163,16 @@ def q_trim_text(spark, sf):
 
 
 def q_collapse_repeats(spark, sf):
-    return read_table(spark, sf, "documents").select("doc_id", T.collapse_repeats("text").alias("text"))
+    return _documents(spark, sf).select("doc_id", T.collapse_repeats("text").alias("text"))
+
+
+def _documents(spark, sf):
+    """The documents table, spread over the task slots when the scan alone would not be."""
+    return spread(read_table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
 
 
 def q_clean_text(spark, sf):
-    return read_table(spark, sf, "documents").select("doc_id", T.clean_text("text").alias("text"))
+    return _documents(spark, sf).select("doc_id", T.clean_text("text").alias("text"))
 
 
 def q_clean_conversations(spark, sf):
@@ -175,13 +180,15 @@ def q_clean_conversations(spark, sf):
 
 
 def q_tokenize(spark, sf):
-    docs = TK.with_tokens(read_table(spark, sf, "documents").select("doc_id", "text"))
+    docs = TK.with_tokens(_documents(spark, sf))
     return TK.token_table(docs).select("doc_id", F.col("pos").cast("long").alias("pos"), "token")
 
 
-def _doc_vocab(spark, sf, vocab_size):
-    docs = TK.with_tokens(read_table(spark, sf, "documents").select("doc_id", "text"))
-    return TK.build_vocab(TK.token_counts(TK.token_table(docs)), vocab_size)
+def _doc_vocab(spark, sf, vocab_size, materialize=False):
+    docs = TK.with_tokens(_documents(spark, sf))
+    vocab = TK.build_vocab(TK.token_counts(TK.token_table(docs)), vocab_size)
+    # A vocabulary that is looked up is written once (bounded by vocab_size) and read back.
+    return write_table(vocab, "vocab") if materialize else vocab
 
 
 def q_build_vocab(spark, sf):
@@ -189,8 +196,8 @@ def q_build_vocab(spark, sf):
 
 
 def _encoded(spark, sf, pad):
-    docs = TK.with_tokens(read_table(spark, sf, "documents").select("doc_id", "text"))
-    vocab = _doc_vocab(spark, sf, ENCODE_VOCAB_SIZE)
+    docs = TK.with_tokens(_documents(spark, sf))
+    vocab = _doc_vocab(spark, sf, ENCODE_VOCAB_SIZE, materialize=True)
     return TK.encode(TK.token_table_outer(docs), vocab, pad=pad), vocab
 
 
@@ -216,7 +223,7 @@ def q_decode(spark, sf):
 
 
 def q_mask_token(spark, sf):
-    docs = TK.with_tokens(read_table(spark, sf, "documents").select("doc_id", "text"))
+    docs = TK.with_tokens(_documents(spark, sf))
     toks = TK.token_table(docs).select("token").distinct()
     return toks.select("token", T.mask_token("token").alias("masked"))
 
@@ -233,7 +240,7 @@ def q_fit_scorer(spark, sf):
 
 
 def _scored_test(spark, sf):
-    test = TK.with_tokens(_test_docs(spark, sf))
+    test = TK.with_tokens(spread(_test_docs(spark, sf), "doc_id"))
     return score(test, artifacts.scorer(spark, sf), keep=["label", "position"])
 
 

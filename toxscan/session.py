@@ -68,6 +68,17 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Repartition ``df`` (by ``keys`` when given) only when it has fewer partitions than the
+    cluster has task slots, e.g. a text table stored as one large row group. A scan of a large
+    table already has thousands of partitions and is returned unchanged (no extra shuffle)."""
+    spark = df.sparkSession
+    if df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism:
+        return df
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys) if keys else df.repartition(n)
+
+
 _shipped: set = set()
 
 

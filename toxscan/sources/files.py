@@ -22,21 +22,23 @@ def dataset_separator(path: str) -> str:
 
 
 def _csv_options(sep: str) -> dict:
-    # Quote every value and escape quotes by doubling: multi-line documents, separators, quotes and
-    # leading / trailing spaces survive; a null is an unquoted empty field, '' is a quoted one.
+    # Quotes are escaped by doubling; values with separators, quotes or line breaks are quoted, so
+    # multi-line documents survive. '' is written as a quoted empty field and null as an unquoted
+    # empty field; the reader has no null marker (nullValue unset), which keeps the two apart.
     return {"header": "true", "sep": sep, "quote": '"', "escape": '"', "multiLine": "true"}
 
 
 def read_dataset(spark: SparkSession, path: str, schema: str = DATASET_SCHEMA) -> DataFrame:
     """Read a dataset file with an explicit schema (no inference). Each part file is read whole
     (multi-line records are not splittable), and a dataset written by Spark has many parts."""
-    return spark.read.schema(schema).options(**_csv_options(dataset_separator(path))).csv(path)
+    reader = spark.read.schema(schema).options(**_csv_options(dataset_separator(path)))
+    return reader.option("nullValue", None).csv(path)
 
 
 def write_dataset(df: DataFrame, path: str, columns=DATASET_COLUMNS) -> None:
     """S3: header, ``_id`` index column first; overwrite (a retried job rewrites the same output)."""
     opts = _csv_options(dataset_separator(path))
-    opts.update({"quoteAll": "true", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"})
+    opts.update({"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"})
     df.select(*columns).write.mode("overwrite").options(**opts).csv(path)
 
 
