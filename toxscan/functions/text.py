@@ -182,6 +182,17 @@ def tokenize(c) -> Column:
     return F.regexp_extract_all(F.lower(_col(c)), F.lit(token_pattern_fast()), 0)
 
 
+def token_pieces(cleaned) -> Column:
+    """Tokens of a cleaned text, each with the one space before it when there is one. Joining the
+    pieces with '' gives the cleaned text back; ``lower`` of a piece without its space is the token
+    ``tokenize`` gives (case mapping keeps word characters word characters)."""
+    return F.regexp_extract_all(_col(cleaned), F.lit(f" ?(?:{token_pattern_fast()})"), 0)
+
+
+def piece_token(piece) -> Column:
+    return F.lower(F.regexp_replace(_col(piece), "^ ", ""))
+
+
 def mask_token(c) -> Column:
     """One mask character per character of the token once ``#`` and spaces are removed."""
     bare = F.regexp_replace(_col(c), "[# ]", "")

@@ -20,19 +20,31 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from toxscan.functions.text import MASK_CHAR, mask_token
-from toxscan.operators.scorer import WEIGHT_TYPE, AdditiveScorer, probabilities, token_weights
-from toxscan.operators.tokens import with_tokens
+from toxscan.functions.text import MASK_CHAR, clean_text, mask_token, piece_token, token_pieces
+from toxscan.operators.joins import checked_lookup
+from toxscan.operators.scorer import WEIGHT_TYPE, AdditiveScorer, probabilities
 
 
 def prepare(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
-    """Hash-partition by document, then clean and tokenize once: every later window, aggregate and
-    join on the document id reuses this one shuffle, which carries the raw text (smaller than the
-    cleaned text plus tokens) and lets the regular expressions run on all partitions."""
+    """Hash-partition by document, then clean once and cut the cleaned text into token pieces.
+
+    The one shuffle carries the raw text (smaller than cleaned text plus tokens) and lets the
+    regular expressions run on all partitions; every later window and aggregate on the document id
+    reuses it, and no join back to the text is needed: the cleaned text is the concatenation of the
+    pieces."""
     spark = df.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     raw = df.select(id_col, *keep, text_col).repartition(n, id_col)
-    return with_tokens(raw, text_col, cleaned="cleaned").drop(text_col)
+    return raw.select(id_col, *keep, token_pieces(clean_text(text_col)).alias("pieces"))
+
+
+def piece_weights(base: DataFrame, scorer: AdditiveScorer, id_col: str = "doc_id", keep: Sequence[str] = ()) -> DataFrame:
+    """``(id, *keep, pos, piece, token, w)``; an empty document keeps one row with null piece."""
+    ex = base.select(id_col, *keep, F.posexplode_outer("pieces").alias("pos", "piece"))
+    ex = ex.withColumn("token", piece_token("piece"))
+    table = scorer.weights.select("token", "weight")
+    joined = checked_lookup(ex, table, "token", how="left", row_keys=[id_col, "pos"])
+    return joined.withColumn("w", F.coalesce(F.col("weight"), F.lit(0).cast(WEIGHT_TYPE))).drop("weight")
 
 
 def attribute(df: DataFrame, scorer: AdditiveScorer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -41,8 +53,7 @@ def attribute(df: DataFrame, scorer: AdditiveScorer, id_col: str = "doc_id", tex
     For the additive scorer a token's attribution score is its weight. ``(id, pos, token, weight,
     prob)``; the start mark is not a token here, so nothing needs the -10000 exclusion.
     """
-    base = prepare(df, id_col, text_col)
-    tw = token_weights(base, scorer, id_col).filter(F.col("pos").isNotNull())
+    tw = piece_weights(prepare(df, id_col, text_col), scorer, id_col).filter(F.col("pos").isNotNull())
     doc = Window.partitionBy(id_col)
     e = F.exp(F.col("w").cast("double") - F.max(F.col("w").cast("double")).over(doc))
     return tw.withColumn("_e", e).select(
@@ -74,32 +85,32 @@ def purify(df: DataFrame, scorer: AdditiveScorer, id_col: str = "doc_id", text_c
 
     ``p0``, ``p1`` and ``pred`` are those of the first pass; ``text`` is the masked text (tokens
     joined by one space, a masked token written as one mask character per character) or, when
-    nothing was masked, the cleaned text.
+    nothing was masked, the cleaned text. Document ids must not be null.
     """
     base = prepare(df, id_col, text_col, keep)
-    flags = mask_flags(token_weights(base, scorer, id_col), scorer.bias, id_col)
+    flags = mask_flags(piece_weights(base, scorer, id_col, keep), scorer.bias, id_col)
     out_tok = F.when(F.col("masked"), mask_token("token")).otherwise(F.col("token"))
-    per_doc = flags.groupBy(id_col).agg(
+    per_doc = flags.groupBy(id_col, *keep).agg(
         F.max("s0").alias("s0"),
         F.count_if(F.col("masked")).alias("n_masked"),
         F.sum(F.when(F.col("masked"), F.col("w"))).alias("_masked_w"),
         F.array_sort(
-            F.collect_list(F.when((F.col("s0") > 0) & F.col("pos").isNotNull(), F.struct("pos", out_tok.alias("t"))))
+            F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "piece", out_tok.alias("t"))))
         ).alias("_items"),
     )
-    joined = base.join(per_doc, id_col, "left")
     s0 = F.coalesce(F.col("s0"), F.lit(scorer.bias).cast(WEIGHT_TYPE))
     p0, p1 = probabilities(s0)
     masked_text = F.array_join(F.transform("_items", lambda x: x["t"]), " ")
+    cleaned = F.array_join(F.transform("_items", lambda x: x["piece"]), "")
     n_masked = F.coalesce(F.col("n_masked"), F.lit(0)).cast("long")
     final = (s0 - F.coalesce(F.col("_masked_w"), F.lit(0).cast(WEIGHT_TYPE))).cast("double")
-    return joined.select(
+    return per_doc.select(
         id_col,
         *keep,
         p0.alias("p0"),
         p1.alias("p1"),
         (s0 > 0).cast("int").alias("pred"),
-        F.when(n_masked > 0, masked_text).otherwise(F.col("cleaned")).alias("text"),
+        F.when(n_masked > 0, masked_text).otherwise(cleaned).alias("text"),
         n_masked.alias("n_masked"),
         final.alias("final_score"),
     )
