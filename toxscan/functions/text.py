@@ -101,7 +101,8 @@ def token_pattern() -> str:
 
 # Java evaluates a character class of many ranges as a chain of range tests, paid in full by every
 # character outside it. The Spark forms below are equivalent but test the few ASCII ranges first
-# and reach the long non-ASCII class only through a one-range look-ahead (largest ranges first).
+# and reach the long non-ASCII class (largest ranges first) only through a class intersection
+# whose first, one-range operand rejects ASCII at once.
 
 
 @lru_cache(maxsize=1)
@@ -115,25 +116,26 @@ def _wide_word_class() -> str:
     return _ranges_to_class(sorted(wide, key=lambda r: (r[0] - r[1], r[0])))
 
 
+_NON_ASCII = "[^\\x{0}-\\x{7F}]"
+
+
 @lru_cache(maxsize=1)
-def _word_char_fast() -> str:
-    return f"(?:[{_ascii_word_class()}]|(?=[^\\x{{0}}-\\x{{7F}}])[{_wide_word_class()}])"
+def _wide_word_char() -> str:
+    return f"[{_NON_ASCII}&&[{_wide_word_class()}]]"
 
 
 @lru_cache(maxsize=1)
 def repeat_patterns_fast() -> tuple[str, str]:
     """The repeat collapse as two passes: ASCII runs, then non-ASCII runs. A run is one repeated
     character, so the passes do not interact and equal the one-pass ``repeat_pattern``."""
-    return (
-        f"([{_ascii_word_class()}])\\1{{2,}}",
-        f"(?=[^\\x{{0}}-\\x{{7F}}])([{_wide_word_class()}])\\1{{2,}}",
-    )
+    return (f"([{_ascii_word_class()}])\\1{{2,}}", f"({_wide_word_char()})\\1{{2,}}")
 
 
 @lru_cache(maxsize=1)
 def token_pattern_fast() -> str:
-    w = _word_char_fast()
-    return f"{w}+|(?!{w})[^{WHITESPACE_CLASS}]"
+    word = f"(?:[{_ascii_word_class()}]|{_wide_word_char()})"
+    other = f"[[^{_ascii_word_class()}{WHITESPACE_CLASS}]&&[^{_wide_word_class()}]]"
+    return f"{word}+|{other}"
 
 
 def _col(c) -> Column:

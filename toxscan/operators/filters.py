@@ -61,7 +61,7 @@ def lexicon_label(df: DataFrame, text_col: str = "document", lexicon=DEFAULT_LEX
         hit = F.arrays_overlap(tokens, F.array(*[F.lit(w) for w in words]).cast("array<string>"))
         return df.withColumn(out, F.coalesce(hit, F.lit(False)).cast("int"))
     words = lexicon.select(F.lower(F.col(lexicon.columns[0])).alias("token")).distinct()
-    exploded = df.select(id_col, F.explode(tokens).alias("token"))
+    exploded = df.select(id_col, F.explode_outer(tokens).alias("token")).filter(F.col("token").isNotNull())
     hits = checked_lookup(exploded, words, "token", how="left_semi", row_keys=[id_col]).select(id_col).distinct()
     hits = hits.withColumn(out, F.lit(1))
     return df.join(hits, id_col, "left").withColumn(out, F.coalesce(F.col(out), F.lit(0)))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from toxscan.functions.text import MASK_CHAR
 from toxscan.operators.joins import checked_lookup
 from toxscan.operators.tokens import DEFAULT_VOCAB_SIZE, token_table_outer, with_tokens
-from toxscan.session import scratch_path, ship_package, write_table
+from toxscan.session import scratch_path, ship_package, spread, write_table
 
 WEIGHT_TYPE = "decimal(18,6)"
 
@@ -62,9 +62,9 @@ def class_token_counts(train: DataFrame, docs: DataFrame, class_col: str = "buck
     tokenized once and its token counts are multiplied by its number of copies.
     """
     copies = train.groupBy(id_col, class_col).agg(F.count(F.lit(1)).alias("_copies"))
-    texts = copies.join(docs.select(id_col, text_col), id_col, "inner")
+    texts = copies.join(spread(docs.select(id_col, text_col), id_col), id_col, "inner")
     toks = with_tokens(texts, text_col)
-    rows = toks.select(class_col, "_copies", F.explode("tokens").alias("token"))
+    rows = toks.select(class_col, "_copies", F.explode_outer("tokens").alias("token")).filter(F.col("token").isNotNull())
     return rows.groupBy("token").agg(
         F.sum(F.when(F.col(class_col) == 0, F.col("_copies")).otherwise(0)).cast("long").alias("c0"),
         F.sum(F.when(F.col(class_col) == 1, F.col("_copies")).otherwise(0)).cast("long").alias("c1"),

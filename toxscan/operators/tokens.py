@@ -30,8 +30,13 @@ def with_tokens(df: DataFrame, text_col: str = "text", out: str = "tokens", clea
 
 
 def token_table(df: DataFrame, id_cols=("doc_id",), tokens_col: str = "tokens", keep=()) -> DataFrame:
-    """One row per token: ``(*id_cols, *keep, pos, token)`` with 0-based ``pos``."""
-    return df.select(*id_cols, *keep, F.posexplode(tokens_col).alias("pos", "token"))
+    """One row per token: ``(*id_cols, *keep, pos, token)`` with 0-based ``pos``.
+
+    ``posexplode_outer`` plus a filter above it, not ``posexplode``: for a plain explode Catalyst
+    infers ``size(tokens) > 0`` and pushes it below the shuffle into the scan, where it would run
+    the whole cleaning and tokenizing chain a second time."""
+    ex = df.select(*id_cols, *keep, F.posexplode_outer(tokens_col).alias("pos", "token"))
+    return ex.filter(F.col("pos").isNotNull())
 
 
 def token_counts(tokens: DataFrame, weight_col: str | None = None) -> DataFrame:

@@ -50,4 +50,5 @@ def read_line_set(spark: SparkSession, path: str) -> DataFrame:
 def line_set(df: DataFrame, text_col: str = "text") -> DataFrame:
     """S4 over a text column: every line of every text, right-stripped, de-duplicated. The distinct
     is a partially aggregated shuffle, so a line repeated in many texts is combined map-side."""
-    return df.select(F.explode(lines(text_col)).alias("item")).select(rstrip_unicode("item").alias("item")).distinct()
+    items = df.select(F.explode_outer(lines(text_col)).alias("item")).filter(F.col("item").isNotNull())
+    return items.select(rstrip_unicode("item").alias("item")).distinct()
