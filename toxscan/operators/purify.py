@@ -62,16 +62,20 @@ def attribute(df: DataFrame, scorer: AdditiveScorer, id_col: str = "doc_id", tex
 
 
 def mask_flags(tw: DataFrame, bias, id_col: str = "doc_id") -> DataFrame:
-    """Adds ``s0`` (first-pass score) and ``masked`` to a token-weight table ``(id, pos, token, w)``."""
-    doc = Window.partitionBy(id_col)
+    """Adds ``s0`` (first-pass score) and ``masked`` to a token-weight table ``(id, pos, token, w)``.
+
+    One order per document, candidates first by (weight desc, position): non-candidates (the mask
+    character, the empty-document row) weigh 0 and come last, so the whole-document total, the
+    prefix sums and the running minimum all come from a single sort."""
     cand = F.col("token").isNotNull() & (F.col("token") != MASK_CHAR)
-    ranked = Window.partitionBy(id_col, "_cand").orderBy(F.desc("w"), F.asc("pos"))
+    ranked = Window.partitionBy(id_col).orderBy(F.desc("_cand"), F.desc("w"), F.asc("pos"))
+    whole = ranked.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     before = ranked.rowsBetween(Window.unboundedPreceding, -1)
     upto = ranked.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     b = F.lit(bias).cast(WEIGHT_TYPE)
     out = (
         tw.withColumn("_cand", cand)
-        .withColumn("s0", b + F.sum("w").over(doc))
+        .withColumn("s0", b + F.sum("w").over(whole))
         .withColumn("_remain", F.col("s0") - F.coalesce(F.sum("w").over(before), F.lit(0).cast(WEIGHT_TYPE)))
         .withColumn("_minrem", F.min("_remain").over(upto))
         .withColumn("masked", F.col("_cand") & (F.col("_minrem") > 0))

@@ -11,12 +11,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from toxscan.session import read_table
+from toxscan.session import read_table, spread
 
 
 def scan_posts(spark: SparkSession, sf_dir: str, include_unlabelled: bool = False) -> DataFrame:
     """Full scan of the post collection. Filters applied later reach the parquet scans."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     labels = read_table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     how = "left" if include_unlabelled else "inner"
     joined = docs.join(labels, "doc_id", how)
