@@ -11,7 +11,8 @@ import __spark_entry__ as E
 
 SF001 = "/root/testdata/sf0.001"
 TABLES = ["documents", "labels", "pages", "embeddings", "conversations"]
-SKIP = {"stream_moderate", "stream_progress"}  # covered in test_joins_stream
+SKIP = {"stream_moderate", "stream_progress", "purify_loop"}  # covered in test_joins_stream / test_purify
+NO_ORACLE = {"fit_logistic"}  # iterative fit: rows-only
 
 
 def _norm(v):
@@ -45,7 +46,7 @@ def test_query_matches_oracle(spark, con, name):
 
 
 def test_every_query_has_an_oracle():
-    assert set(E.queries()) == set(E.oracle_sql())
+    assert set(E.queries()) - NO_ORACLE == set(E.oracle_sql())
 
 
 def test_entry_runs(spark):

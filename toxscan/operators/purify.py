@@ -118,3 +118,68 @@ def purify(df: DataFrame, scorer: AdditiveScorer, id_col: str = "doc_id", text_c
         n_masked.alias("n_masked"),
         final.alias("final_score"),
     )
+
+
+# --- M4 alternative: the literal loop with a pluggable model ------------------------------------
+
+PURIFIED_SCHEMA = "p0 double, p1 double, pred int, text string, n_masked long, final_score double"
+
+
+def purify_with_model(df: DataFrame, load_model, id_col: str = "doc_id", text_col: str = "text",
+                      keep: Sequence[str] = (), keep_schema: str = "") -> DataFrame:
+    """M4 for any model: score, and while toxic mask the unmasked token with the highest
+    attribution (ties: first position) and score again; stop when not toxic or nothing is left.
+
+    ``load_model()`` runs once per task and returns ``model(tokens) -> (score, attributions)``
+    with an attribute ``unit`` (the score is ``score * unit``). Cleaning and token pieces are
+    Spark expressions; each row is a whole document, so the loop is per row inside
+    ``mapInPandas`` and no document is split or gathered. Use ``purify`` for additive scorers: it
+    is the closed form of this loop.
+    """
+    import math
+
+    import numpy as np
+
+    from toxscan.session import ship_package
+
+    ship_package(df.sparkSession)
+    base = prepare(df, id_col, text_col, keep).withColumn("tokens", F.transform("pieces", piece_token))
+    id_type = dict(df.dtypes)[id_col]
+    schema = ", ".join(x for x in (f"{id_col} {id_type}", keep_schema, PURIFIED_SCHEMA) if x)
+
+    def inv1p_exp(x: float) -> float:
+        """1 / (1 + e^x), 0.0 where e^x overflows (as the JVM's infinity gives)."""
+        try:
+            return 1.0 / (1.0 + math.exp(x))
+        except OverflowError:
+            return 0.0
+
+    def run(batches):
+        model = load_model()
+        unit = getattr(model, "unit", 1.0)
+        for pdf in batches:
+            out = []
+            for pieces, tokens in zip(pdf["pieces"], pdf["tokens"]):
+                toks = list(tokens)
+                s, attr = model(toks)
+                s0 = s
+                n = 0
+                while s > 0:
+                    cands = [i for i, t in enumerate(toks) if t.strip(MASK_CHAR) != ""]
+                    if not cands:
+                        break
+                    best = min(cands, key=lambda i: (-attr[i], i))
+                    toks[best] = MASK_CHAR * len(toks[best].replace("#", "").replace(" ", ""))
+                    n += 1
+                    s, attr = model(toks)
+                x = float(s0) * unit
+                text = " ".join(toks) if n else "".join(pieces)
+                out.append((inv1p_exp(x), inv1p_exp(-x), int(s0 > 0), text, n,
+                            float(s) * unit))
+            res = pdf[[id_col, *keep]].reset_index(drop=True)
+            cols = ["p0", "p1", "pred", "text", "n_masked", "final_score"]
+            res[cols] = np.array(out, dtype=object).reshape(len(out), 6) if out else np.empty((0, 6), dtype=object)
+            yield res.astype({"p0": "float64", "p1": "float64", "pred": "int32", "n_masked": "int64",
+                              "final_score": "float64"})
+
+    return base.select(id_col, *keep, "pieces", "tokens").mapInPandas(run, schema)

@@ -163,11 +163,27 @@ def batch_score(df: DataFrame, load_model: Callable[[], BatchModel], schema: str
     return df.mapInPandas(run, schema)
 
 
+class AdditiveTokenModel:
+    """The additive scorer as a token-list model for ``purify_with_model``: score and attributions
+    in integer micro-units (exact), a token made only of mask characters weighs 0."""
+
+    unit = 1e-6
+
+    def __init__(self, micro: dict, bias: int):
+        self.micro, self.bias = micro, bias
+
+    def __call__(self, tokens):
+        import numpy as np
+
+        w = np.fromiter((self.micro.get(t, 0) for t in tokens), dtype=np.int64, count=len(tokens))
+        return self.bias + int(w.sum()), w
+
+
 class AdditiveModelLoader:
     """Loads saved scorer weights from the shared folder inside the task (pyarrow filesystem)."""
 
-    def __init__(self, path: str, id_col: str = "doc_id", tokens_col: str = "tokens"):
-        self.path, self.id_col, self.tokens_col = path, id_col, tokens_col
+    def __init__(self, path: str, id_col: str = "doc_id", tokens_col: str = "tokens", token_model: bool = False):
+        self.path, self.id_col, self.tokens_col, self.token_model = path, id_col, tokens_col, token_model
 
     def __call__(self) -> BatchModel:
         import pyarrow.dataset as ds
@@ -177,6 +193,8 @@ class AdditiveModelLoader:
         micro = {t: int(Decimal(w).scaleb(6)) for t, w in zip(weights.column("token").to_pylist(),
                                                               weights.column("weight").to_pylist())}
         bias = int(Decimal(bias_tab.column("bias")[0].as_py()).scaleb(6))
+        if self.token_model:
+            return AdditiveTokenModel(micro, bias)
         id_col, tokens_col = self.id_col, self.tokens_col
 
         def model(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -189,3 +207,35 @@ class AdditiveModelLoader:
                                  "pred": (total > 0).astype("int32").values})
 
         return model
+
+
+# --- M1 alternative: a pyspark.ml pipeline ------------------------------------------------------
+
+def fit_logistic(train: DataFrame, docs: DataFrame, class_col: str = "bucket", vocab_size: int = DEFAULT_VOCAB_SIZE,
+                 reg_param: float = 0.01, max_iter: int = 50, id_col: str = "doc_id", text_col: str = "text"):
+    """M1 (alternative): ``CountVectorizer`` over the tokens and ``LogisticRegression``.
+
+    The balanced table's copies become instance weights (``weightCol``) instead of repeated rows.
+    The vocabulary the vectorizer keeps on the driver is bounded by ``vocab_size``; the fit itself
+    is distributed (tree aggregation of gradients). Iterative, so there is no SQL oracle for it.
+    """
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import CountVectorizer
+
+    copies = train.groupBy(id_col, class_col).agg(F.count(F.lit(1)).cast("double").alias("_w"))
+    rows = with_tokens(copies.join(spread(docs.select(id_col, text_col), id_col), id_col, "inner"), text_col)
+    rows = rows.select("tokens", F.col(class_col).cast("double").alias("_label"), "_w")
+    cv = CountVectorizer(inputCol="tokens", outputCol="_features", vocabSize=vocab_size)
+    lr = LogisticRegression(featuresCol="_features", labelCol="_label", weightCol="_w", regParam=reg_param,
+                            maxIter=max_iter)
+    return Pipeline(stages=[cv, lr]).fit(rows)
+
+
+def score_logistic(model, df: DataFrame, id_col: str = "doc_id", keep: Sequence[str] = ()) -> DataFrame:
+    """``(id, *keep, pred, p1)`` from a fitted ``fit_logistic`` pipeline; ``df`` has ``tokens``."""
+    from pyspark.ml.functions import vector_to_array
+
+    out = model.transform(df.select(id_col, *keep, "tokens"))
+    return out.select(id_col, *keep, F.col("prediction").cast("int").alias("pred"),
+                      vector_to_array("probability")[1].alias("p1"))

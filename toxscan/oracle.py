@@ -377,6 +377,7 @@ def oracle_sql() -> dict[str, str]:
     q["file_extension"] = f"""SELECT page_id, {ext(pages_path)} AS ext, {ext(pages_path, dot=False)} AS ext_nodot,
         {ext('upper(' + pages_path + ')', lower=False)} AS ext_upper FROM pages"""
     q["stream_moderate"] = q["purify"]
+    q["purify_loop"] = q["purify"]
     q["stream_progress"] = """SELECT CAST(coalesce(l.toxic, -1) AS INTEGER) AS label, count(*) AS n
         FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1"""
     q["batch_scorer"] = f"{BASE},{TEST_SCORED} SELECT doc_id, score, pred FROM scored2"

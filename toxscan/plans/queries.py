@@ -260,6 +260,28 @@ def q_purify(spark, sf):
                     "final_score")
 
 
+def q_purify_loop(spark, sf):
+    """M4 alternative: the literal mask-and-rescore loop with the saved scorer as a pluggable model;
+    equal to the closed form."""
+    from toxscan.operators.purify import purify_with_model
+
+    loader = AdditiveModelLoader(artifacts.scorer_path(spark, sf), token_model=True)
+    p = purify_with_model(_test_docs(spark, sf), loader, keep=["label"], keep_schema="label int")
+    return p.select("doc_id", "label", _r6("p0").alias("p0"), _r6("p1").alias("p1"), "pred", "text", "n_masked",
+                    "final_score")
+
+
+def q_fit_logistic(spark, sf):
+    """M1 alternative: pyspark.ml count vectors and logistic regression; test-split predictions.
+    Iterative fit: rows-only check (no SQL oracle)."""
+    from toxscan.operators.scorer import fit_logistic, score_logistic
+
+    ds = artifacts.dataset(spark, sf)
+    model = fit_logistic(ds.train, read_table(spark, sf, "documents"))
+    test = TK.with_tokens(_test_docs(spark, sf))
+    return score_logistic(model, test, keep=["label"]).select("doc_id", "label", "pred", _r6("p1").alias("p1"))
+
+
 def q_cross_entropy(spark, sf):
     s = _scored_test(spark, sf)
     return s.select("doc_id", "label", _r6(cross_entropy()).alias("loss"))
@@ -437,6 +459,8 @@ QUERIES = {
     "score": q_score,
     "attribute": q_attribute,
     "purify": q_purify,
+    "purify_loop": q_purify_loop,
+    "fit_logistic": q_fit_logistic,
     "cross_entropy": q_cross_entropy,
     "binary_metrics": q_binary_metrics,
     "batch_metrics": q_batch_metrics,
