@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from toxscan.functions.text import clean_text, null_as_text, tokenize
 from toxscan.operators.joins import checked_lookup
 from toxscan.operators.ranking import exact_rank
+from toxscan.session import write_table
 from toxscan.sources.posts import kept_all, kept_confirmed
 
 # A small English word list used as the default lexicon. The reference labels posts
@@ -60,7 +61,7 @@ def lexicon_label(df: DataFrame, text_col: str = "document", lexicon=DEFAULT_LEX
         words = sorted({w.lower() for w in lexicon})
         hit = F.arrays_overlap(tokens, F.array(*[F.lit(w) for w in words]).cast("array<string>"))
         return df.withColumn(out, F.coalesce(hit, F.lit(False)).cast("int"))
-    words = lexicon.select(F.lower(F.col(lexicon.columns[0])).alias("token")).distinct().checkpoint()
+    words = write_table(lexicon.select(F.lower(F.col(lexicon.columns[0])).alias("token")).distinct(), "lexicon")
     exploded = df.select(id_col, F.explode_outer(tokens).alias("token")).filter(F.col("token").isNotNull())
     hits = checked_lookup(exploded, words, "token", how="left_semi", row_keys=[id_col]).select(id_col).distinct()
     hits = hits.withColumn(out, F.lit(1))

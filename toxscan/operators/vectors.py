@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from toxscan.operators.joins import checked_lookup
+from toxscan.session import write_table
 
 LAYER_NORM_EPS = 1e-12
 
@@ -51,11 +52,11 @@ def attention_scores(df: DataFrame, group_col: str = "label", id_col: str = "vec
     """M5 (scores) + M6: ``(group, head, id, query_id, score, prob)`` for every key row."""
     hs = head_size(dim, heads)
     vecs = df.select(group_col, id_col, as_double_array(vec_col).alias("_v"))
-    # Per-group tables are aggregates (one row per group); each is checkpointed into the shared
-    # folder before its size check, so the vectors are not read again for the join.
-    query = vecs.groupBy(group_col).agg(
+    # Per-group tables are aggregates (one row per group); each is written once to the shared folder
+    # before its size check, so the vectors are not read again for the join.
+    query = write_table(vecs.groupBy(group_col).agg(
         F.min(id_col).alias("query_id"), F.min_by("_v", F.col(id_col)).alias("_q")
-    ).checkpoint()
+    ), "attention-query")
     keys = checked_lookup(vecs, query, group_col, how="inner", row_keys=[id_col])
     keys = keys.filter(F.col(id_col) != F.col("query_id"))
     keys = keys.withColumn("head", F.explode(F.sequence(F.lit(0), F.lit(heads - 1))))
@@ -63,10 +64,10 @@ def attention_scores(df: DataFrame, group_col: str = "label", id_col: str = "vec
     scored = keys.withColumn(
         "score", dot(F.slice("_q", start, F.lit(hs)), F.slice("_v", start, F.lit(hs))) / math.sqrt(hs)
     ).drop("_q")
-    gmax = scored.groupBy(group_col, "head").agg(F.max("score").alias("_m")).checkpoint()
+    gmax = write_table(scored.groupBy(group_col, "head").agg(F.max("score").alias("_m")), "attention-max")
     scored = checked_lookup(scored, gmax, [group_col, "head"], how="inner", row_keys=[id_col])
     scored = scored.withColumn("_e", F.exp(F.col("score") - F.col("_m")))
-    z = scored.groupBy(group_col, "head").agg(F.sum("_e").alias("_z")).checkpoint()
+    z = write_table(scored.groupBy(group_col, "head").agg(F.sum("_e").alias("_z")), "attention-z")
     scored = checked_lookup(scored, z, [group_col, "head"], how="inner", row_keys=[id_col])
     return scored.select(group_col, "head", id_col, "query_id", "score", (F.col("_e") / F.col("_z")).alias("prob"),
                          "_v", "_e", "_z")
