@@ -52,3 +52,9 @@ def line_set(df: DataFrame, text_col: str = "text") -> DataFrame:
     is a partially aggregated shuffle, so a line repeated in many texts is combined map-side."""
     items = df.select(F.explode_outer(lines(text_col)).alias("item")).filter(F.col("item").isNotNull())
     return items.select(rstrip_unicode("item").alias("item")).distinct()
+
+
+def head_sample(df: DataFrame, n: int = 100, order_by: str = "position") -> DataFrame:
+    """The first ``n`` rows in file order (the shuffled ``position``). A top-n: each task keeps
+    its own first ``n`` before one small merge."""
+    return df.orderBy(order_by).limit(n)
