@@ -105,12 +105,13 @@ def q_null_as_text(spark, sf):
 
 
 def q_lexicon_label(spark, sf):
-    return P.lexicon_label(_confirmed(spark, sf), "string").select("doc_id", "label", "lexicon_label")
+    posts = spread(_confirmed(spark, sf), "doc_id")
+    return P.lexicon_label(posts, "string").select("doc_id", "label", "lexicon_label")
 
 
 def q_lexicon_metrics(spark, sf):
     """The minimum slice: posts -> confirmed -> dataset -> clean -> lexicon label -> metrics."""
-    ds = P.project_dataset(_confirmed(spark, sf))
+    ds = spread(P.project_dataset(_confirmed(spark, sf)), "doc_id")
     labelled = P.lexicon_label(ds, "document", out="pred")
     return A.binary_metrics(labelled, "label", "pred")
 

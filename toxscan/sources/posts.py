@@ -11,15 +11,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from toxscan.session import read_table, spread
+from toxscan.session import read_table
 
 
 def scan_posts(spark: SparkSession, sf_dir: str, include_unlabelled: bool = False) -> DataFrame:
     """Full scan of the post collection. Filters applied later reach the parquet scans."""
-    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = read_table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
-    how = "left" if include_unlabelled else "inner"
-    joined = docs.join(labels, "doc_id", how)
+    if not include_unlabelled:
+        # Plain column references, so that filters on label / labeling_confirm reach the scan.
+        joined = docs.join(labels, "doc_id", "inner")
+        return joined.select("doc_id", F.col("text").alias("string"), F.col("toxic").cast("int").alias("label"),
+                             F.col("quality").cast("int").alias("labeling_confirm"))
+    joined = docs.join(labels, "doc_id", "left")
     return joined.select(
         "doc_id",
         F.col("text").alias("string"),
@@ -34,8 +38,9 @@ def kept_all(label: str = "label"):
 
 
 def kept_confirmed(label: str = "label", confirm: str = "labeling_confirm"):
-    """Kept by the labelled path: confirmed (a missing flag is not 0) and labelled."""
-    return F.coalesce(F.col(confirm) != 0, F.lit(True)) & (F.col(label) != -1)
+    """Kept by the labelled path: confirmed (a missing flag is not 0) and labelled. Written without
+    ``coalesce`` so that parquet can take it as a pushed filter."""
+    return (F.col(confirm).isNull() | (F.col(confirm) != 0)) & (F.col(label) != -1)
 
 
 def progress_counts(posts: DataFrame) -> DataFrame:
