@@ -7,10 +7,14 @@ Positional slicing (``df[:n]``) needs the exact position of every row in a total
    contiguous slice of the order;
 2. the row number inside the partition comes from ``monotonically_increasing_id`` minus the
    partition's base (it is deterministic because the sort keys are unique);
-3. a small table of per-(partition, group) counts gives each partition's offset through a running
+3. these numbered rows are written once to the shared folder. Partition ids are only meaningful
+   inside one read of the shuffle (AQE may coalesce two reads of the same exchange differently),
+   so the offsets and the final join must both start from the same written rows;
+4. a small table of per-(partition, group) counts gives each partition's offset through a running
    sum. It has at most ``partitions x groups`` rows, so it is broadcast back.
 
 The order keys must be unique within a group, so that a retried task rebuilds the same positions.
+Pass narrow frames (ids and keys): every column is written once.
 """
 
 from __future__ import annotations
@@ -20,6 +24,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from toxscan.session import write_table
+
 _ROW_BITS = 33  # monotonically_increasing_id = partition index << 33 | row number in partition
 
 
@@ -47,6 +53,7 @@ def exact_rank(
             F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), _ROW_BITS),
         )
     )
+    ranged = write_table(ranged, "exact-rank")
     stats = ranged.groupBy("_rk_pid", *groups).agg(
         F.count(F.lit(1)).alias("_rk_n"), F.min("_rk_row").alias("_rk_first")
     )
