@@ -21,7 +21,7 @@ from toxscan.operators.split import (
     split_summary,
     stratified_split,
 )
-from toxscan.session import read_table, write_table
+from toxscan.session import read_table, spread, write_table
 from toxscan.sources.posts import scan_posts
 
 
@@ -59,5 +59,5 @@ def all_data_split(spark: SparkSession, sf_dir: str, test_ratio: float = DEFAULT
 
 def with_text(df: DataFrame, spark: SparkSession, sf_dir: str, out: str = "text") -> DataFrame:
     """Join the document text by ``doc_id`` (a shuffle join on a unique key: no skew)."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias(out))
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias(out)), "doc_id")
     return df.join(docs, "doc_id", "inner")

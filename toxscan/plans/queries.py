@@ -105,13 +105,13 @@ def q_null_as_text(spark, sf):
 
 
 def q_lexicon_label(spark, sf):
-    posts = spread(_confirmed(spark, sf), "doc_id")
+    posts = P.confirmed_only(scan_posts(spark, sf, spread_text=True))
     return P.lexicon_label(posts, "string").select("doc_id", "label", "lexicon_label")
 
 
 def q_lexicon_metrics(spark, sf):
     """The minimum slice: posts -> confirmed -> dataset -> clean -> lexicon label -> metrics."""
-    ds = spread(P.project_dataset(_confirmed(spark, sf)), "doc_id")
+    ds = P.project_dataset(P.confirmed_only(scan_posts(spark, sf, spread_text=True)))
     labelled = P.lexicon_label(ds, "document", out="pred")
     return A.binary_metrics(labelled, "label", "pred")
 
@@ -185,8 +185,8 @@ def q_tokenize(spark, sf):
     return TK.token_table(docs).select("doc_id", F.col("pos").cast("long").alias("pos"), "token")
 
 
-def _doc_vocab(spark, sf, vocab_size, materialize=False):
-    docs = TK.with_tokens(_documents(spark, sf))
+def _doc_vocab(spark, sf, vocab_size, materialize=False, docs=None):
+    docs = docs if docs is not None else TK.with_tokens(_documents(spark, sf))
     vocab = TK.build_vocab(TK.token_counts(TK.token_table(docs)), vocab_size)
     # A vocabulary that is looked up is written once (bounded by vocab_size) and read back.
     return write_table(vocab, "vocab") if materialize else vocab
@@ -197,8 +197,10 @@ def q_build_vocab(spark, sf):
 
 
 def _encoded(spark, sf, pad):
-    docs = TK.with_tokens(_documents(spark, sf))
-    vocab = _doc_vocab(spark, sf, ENCODE_VOCAB_SIZE, materialize=True)
+    # Tokenized once and written: the vocabulary and the encoding both read these token arrays, so
+    # the cleaning and tokenizing pass (the costly part) is not repeated.
+    docs = write_table(TK.with_tokens(_documents(spark, sf)).select("doc_id", "tokens"), "doc-tokens")
+    vocab = _doc_vocab(spark, sf, ENCODE_VOCAB_SIZE, materialize=True, docs=docs)
     return TK.encode(TK.token_table_outer(docs), vocab, pad=pad), vocab
 
 
@@ -241,7 +243,7 @@ def q_fit_scorer(spark, sf):
 
 
 def _scored_test(spark, sf):
-    test = TK.with_tokens(spread(_test_docs(spark, sf), "doc_id"))
+    test = TK.with_tokens(_test_docs(spark, sf))
     return score(test, artifacts.scorer(spark, sf), keep=["label", "position"])
 
 

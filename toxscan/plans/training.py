@@ -9,7 +9,7 @@ from toxscan.operators.metrics import batch_metrics, binary_metrics, epoch_loss
 from toxscan.operators.scorer import AdditiveScorer, cross_entropy, fit_scorer, score
 from toxscan.operators.tokens import DEFAULT_VOCAB_SIZE, with_tokens
 from toxscan.plans.dataset import LabelledDataset, with_text
-from toxscan.session import read_table, spread
+from toxscan.session import read_table
 
 
 def train(spark: SparkSession, sf_dir: str, ds: LabelledDataset, model_path: str,
@@ -23,7 +23,7 @@ def train(spark: SparkSession, sf_dir: str, ds: LabelledDataset, model_path: str
 def validate(spark: SparkSession, sf_dir: str, ds: LabelledDataset, scorer: AdditiveScorer,
              batch_size: int = 16, report_cycle: int = 100) -> dict[str, DataFrame]:
     """Validation outputs: whole-set metrics with the epoch loss, and per-batch metrics."""
-    test = with_tokens(spread(with_text(ds.test, spark, sf_dir), "doc_id"))
+    test = with_tokens(with_text(ds.test, spark, sf_dir))
     scored = score(test, scorer, keep=["label", "position"]).withColumn("loss", cross_entropy())
     overall = binary_metrics(scored)
     loss = epoch_loss(scored, batch_size=batch_size).select(F.col("epoch_loss").alias("val_loss"))

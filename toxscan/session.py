@@ -71,7 +71,10 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Repartition ``df`` (by ``keys`` when given) only when it has fewer partitions than the
     cluster has task slots, e.g. a text table stored as one large row group. A scan of a large
-    table already has thousands of partitions and is returned unchanged (no extra shuffle)."""
+    table already has thousands of partitions and is returned unchanged (no extra shuffle).
+
+    Apply it to a file scan only: the partition count of a plan with a shuffle is known only after
+    AQE has run that shuffle, so asking for it would execute part of the plan."""
     spark = df.sparkSession
     if df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism:
         return df

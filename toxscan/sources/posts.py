@@ -11,12 +11,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from toxscan.session import read_table
+from toxscan.session import read_table, spread
 
 
-def scan_posts(spark: SparkSession, sf_dir: str, include_unlabelled: bool = False) -> DataFrame:
-    """Full scan of the post collection. Filters applied later reach the parquet scans."""
+def scan_posts(spark: SparkSession, sf_dir: str, include_unlabelled: bool = False,
+               spread_text: bool = False) -> DataFrame:
+    """Full scan of the post collection. Filters applied later reach the parquet scans.
+    ``spread_text`` spreads a document scan that has too few partitions, for callers that run the
+    text functions on every post."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    if spread_text:
+        docs = spread(docs, "doc_id")
     labels = read_table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     if not include_unlabelled:
         # Plain column references, so that filters on label / labeling_confirm reach the scan.
