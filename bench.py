@@ -70,7 +70,8 @@ def main() -> None:
     run("clean_text", lambda: queries.q_clean_text(spark, sf_dir))
     run("build_vocab", lambda: queries.q_build_vocab(spark, sf_dir))
     run("score_all", lambda: score(with_tokens(all_docs), sc))
-    run("purify_all", lambda: purify(all_docs, sc))
+    # purify repartitions the raw text by doc_id itself: give it the plain scan, not a spread copy
+    run("purify_all", lambda: purify(docs.select("doc_id", "text"), sc))
     test = with_text(ds["v"].test, spark, sf_dir)
     run("metrics_test", lambda: binary_metrics(score(with_tokens(test), sc, keep=["label"])))
     run("lexicon_metrics", lambda: queries.q_lexicon_metrics(spark, sf_dir))

@@ -14,7 +14,6 @@ from toxscan.functions import text as T
 from toxscan.operators import filters as P
 from toxscan.operators import keylookup as KL
 from toxscan.operators import metrics as A
-from toxscan.operators import split as R
 from toxscan.operators import tokens as TK
 from toxscan.operators import vectors as V
 from toxscan.operators.purify import attribute, purify
