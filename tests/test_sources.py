@@ -35,3 +35,19 @@ def test_read_line_set(spark, tmp_path):
     p.write_text("bad  \nworse\nbad\n\n  spaced\t\n", encoding="utf-8")
     got = sorted(r.item for r in read_line_set(spark, str(p)).collect())
     assert got == ["", "  spaced", "bad", "worse"]
+
+
+def test_lexicon_dataframe_path_equals_list_path(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from toxscan.operators.filters import DEFAULT_LEXICON, lexicon_label
+
+    p = tmp_path / "lexicon.txt"
+    p.write_text("\n".join(w.upper() for w in DEFAULT_LEXICON) + "\n", encoding="utf-8")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    a = {r.doc_id: r.lexicon_label for r in lexicon_label(docs, "text").collect()}
+    words = read_line_set(spark, str(p))
+    b = {r.doc_id: r.lexicon_label for r in lexicon_label(docs, "text", lexicon=words).collect()}
+    c = {r.doc_id: r.lexicon_label for r in lexicon_label(docs, "text", lexicon=words.select(F.col("item")))
+         .collect()}
+    assert a == b == c and sum(a.values()) > 0
