@@ -131,7 +131,8 @@ def purify_with_model(df: DataFrame, load_model, id_col: str = "doc_id", text_co
     attribution (ties: first position) and score again; stop when not toxic or nothing is left.
 
     ``load_model()`` runs once per task and returns ``model(tokens) -> (score, attributions)``
-    with an attribute ``unit`` (the score is ``score * unit``). Cleaning and token pieces are
+    with an attribute ``scale`` (the score is ``score / scale``; integer scores divided by a
+    power of ten give the same doubles as a decimal cast). Cleaning and token pieces are
     Spark expressions; each row is a whole document, so the loop is per row inside
     ``mapInPandas`` and no document is split or gathered. Use ``purify`` for additive scorers: it
     is the closed form of this loop.
@@ -156,7 +157,7 @@ def purify_with_model(df: DataFrame, load_model, id_col: str = "doc_id", text_co
 
     def run(batches):
         model = load_model()
-        unit = getattr(model, "unit", 1.0)
+        scale = float(getattr(model, "scale", 1))
         for pdf in batches:
             out = []
             for pieces, tokens in zip(pdf["pieces"], pdf["tokens"]):
@@ -172,10 +173,10 @@ def purify_with_model(df: DataFrame, load_model, id_col: str = "doc_id", text_co
                     toks[best] = MASK_CHAR * len(toks[best].replace("#", "").replace(" ", ""))
                     n += 1
                     s, attr = model(toks)
-                x = float(s0) * unit
+                x = float(s0) / scale
                 text = " ".join(toks) if n else "".join(pieces)
                 out.append((inv1p_exp(x), inv1p_exp(-x), int(s0 > 0), text, n,
-                            float(s) * unit))
+                            float(s) / scale))
             res = pdf[[id_col, *keep]].reset_index(drop=True)
             cols = ["p0", "p1", "pred", "text", "n_masked", "final_score"]
             res[cols] = np.array(out, dtype=object).reshape(len(out), 6) if out else np.empty((0, 6), dtype=object)

@@ -167,7 +167,7 @@ class AdditiveTokenModel:
     """The additive scorer as a token-list model for ``purify_with_model``: score and attributions
     in integer micro-units (exact), a token made only of mask characters weighs 0."""
 
-    unit = 1e-6
+    scale = 1_000_000
 
     def __init__(self, micro: dict, bias: int):
         self.micro, self.bias = micro, bias
