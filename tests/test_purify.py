@@ -78,3 +78,14 @@ def test_closed_form_equals_literal_loop(spark, bias):
         assert total_masked > 0  # the comparison must be able to fail
     for r in out.values():  # masked documents end non-toxic or fully masked
         assert r.final_score <= 0 or r.n_masked == len([t for t in toks[r.doc_id] if t != "*"])
+
+
+@pytest.mark.parametrize("text,weights,bias,expected,n_masked", CASES)
+def test_literal_loop_fixtures(spark, text, weights, bias, expected, n_masked):
+    from toxscan.operators.purify import purify_with_model
+    from toxscan.operators.scorer import AdditiveWeightsLoader
+
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    r = purify_with_model(df, AdditiveWeightsLoader(weights, bias)).collect()[0]
+    assert r.text == expected
+    assert r.n_masked == n_masked

@@ -179,6 +179,18 @@ class AdditiveTokenModel:
         return self.bias + int(w.sum()), w
 
 
+class AdditiveWeightsLoader:
+    """Loader for ``purify_with_model`` from weights given in code: ``{token: weight}`` and a
+    bias, kept as integer micro-units."""
+
+    def __init__(self, weights: dict, bias=0):
+        self.micro = {t: int(Decimal(str(w)).scaleb(6)) for t, w in weights.items()}
+        self.bias = int(Decimal(str(bias)).scaleb(6))
+
+    def __call__(self) -> AdditiveTokenModel:
+        return AdditiveTokenModel(self.micro, self.bias)
+
+
 class AdditiveModelLoader:
     """Loads saved scorer weights from the shared folder inside the task (pyarrow filesystem)."""
 
