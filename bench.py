@@ -29,7 +29,7 @@ def main() -> None:
     from toxscan.operators.tokens import with_tokens
     from toxscan.plans import artifacts, queries
     from toxscan.plans.dataset import labelled_dataset, with_text
-    from toxscan.session import get_spark, read_table, spread
+    from toxscan.session import bucket_by_doc, get_spark, read_table, spread
 
     spark = get_spark(f"local[{cpus}]", shuffle_partitions=max(8, cpus * 2))
     timings: dict[str, float] = {}
@@ -72,6 +72,13 @@ def main() -> None:
     run("score_all", lambda: score(with_tokens(all_docs), sc))
     # purify repartitions the raw text by doc_id itself: give it the plain scan, not a spread copy
     run("purify_all", lambda: purify(docs.select("doc_id", "text"), sc))
+    bucketed = {}
+
+    def bucket():
+        bucketed["v"] = bucket_by_doc(docs.select("doc_id", "text"), "bench-docs")
+
+    run("bucket_documents", bucket)  # one write; later per-document jobs need no shuffle
+    run("purify_bucketed", lambda: purify(bucketed["v"], sc, partitioned=True))
     test = with_text(ds["v"].test, spark, sf_dir)
     run("metrics_test", lambda: binary_metrics(score(with_tokens(test), sc, keep=["label"])))
     run("lexicon_metrics", lambda: queries.q_lexicon_metrics(spark, sf_dir))

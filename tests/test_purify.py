@@ -89,3 +89,22 @@ def test_literal_loop_fixtures(spark, text, weights, bias, expected, n_masked):
     r = purify_with_model(df, AdditiveWeightsLoader(weights, bias)).collect()[0]
     assert r.text == expected
     assert r.n_masked == n_masked
+
+
+def test_purify_on_bucketed_documents_has_no_exchange(spark):
+    from toxscan.session import bucket_by_doc
+
+    docs = spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "text")
+    sc = scorer_for(spark, {"idiot": 3, "trash": 2, "the": -0.1}, 0)
+    bucketed = bucket_by_doc(docs, "docs-bucketed", buckets=4)
+    out = purify(bucketed, sc, partitioned=True)
+    import contextlib
+    import io
+
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        out.explain()
+    assert "Exchange" not in buf.getvalue().replace("BroadcastExchange", "")
+    a = {tuple(r) for r in out.collect()}
+    b = {tuple(r) for r in purify(docs, sc).collect()}
+    assert a == b and sum(r[5] for r in a) > 0  # equal results, some tokens masked

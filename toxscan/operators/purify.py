@@ -25,16 +25,20 @@ from toxscan.operators.joins import checked_lookup
 from toxscan.operators.scorer import WEIGHT_TYPE, AdditiveScorer, probabilities
 
 
-def prepare(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+def prepare(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = (),
+            partitioned: bool = False) -> DataFrame:
     """Hash-partition by document, then clean once and cut the cleaned text into token pieces.
 
     The one shuffle carries the raw text (smaller than cleaned text plus tokens) and lets the
     regular expressions run on all partitions; every later window and aggregate on the document id
     reuses it, and no join back to the text is needed: the cleaned text is the concatenation of the
-    pieces."""
+    pieces. ``partitioned=True`` skips the shuffle for an input already hash-partitioned by the id
+    (a table written by ``session.bucket_by_doc``)."""
     spark = df.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    raw = df.select(id_col, *keep, text_col).repartition(n, id_col)
+    raw = df.select(id_col, *keep, text_col)
+    if not partitioned:
+        raw = raw.repartition(n, id_col)
     return raw.select(id_col, *keep, token_pieces(clean_text(text_col)).alias("pieces"))
 
 
@@ -84,14 +88,15 @@ def mask_flags(tw: DataFrame, bias, id_col: str = "doc_id") -> DataFrame:
 
 
 def purify(df: DataFrame, scorer: AdditiveScorer, id_col: str = "doc_id", text_col: str = "text",
-           keep: Sequence[str] = ()) -> DataFrame:
+           keep: Sequence[str] = (), partitioned: bool = False) -> DataFrame:
     """M4: ``(id, *keep, p0, p1, pred, text, n_masked, final_score)``.
 
     ``p0``, ``p1`` and ``pred`` are those of the first pass; ``text`` is the masked text (tokens
     joined by one space, a masked token written as one mask character per character) or, when
-    nothing was masked, the cleaned text. Document ids must not be null.
+    nothing was masked, the cleaned text. Document ids must not be null. ``partitioned`` as in
+    ``prepare``: with a bucketed input the whole plan runs without an exchange.
     """
-    base = prepare(df, id_col, text_col, keep)
+    base = prepare(df, id_col, text_col, keep, partitioned)
     flags = mask_flags(piece_weights(base, scorer, id_col, keep), scorer.bias, id_col)
     out_tok = F.when(F.col("masked"), mask_token("token")).otherwise(F.col("token"))
     per_doc = flags.groupBy(id_col, *keep).agg(

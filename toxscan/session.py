@@ -82,6 +82,19 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(n, *keys) if keys else df.repartition(n)
 
 
+def bucket_by_doc(df: DataFrame, name: str, buckets: int | None = None, key: str = "doc_id") -> DataFrame:
+    """Write ``df`` once as a table bucketed (and sorted) by ``key`` in the shared folder and return
+    its scan. The scan reports hash partitioning on ``key``, so per-document windows, aggregates
+    and joins on ``key`` run without any exchange; every later per-document job reuses the one
+    write instead of shuffling the text again."""
+    spark = df.sparkSession
+    n = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    table = "toxscan_" + "".join(ch if ch.isalnum() else "_" for ch in name) + "_" + uuid.uuid4().hex[:12]
+    (df.write.mode("overwrite").bucketBy(n, key).sortBy(key)
+       .option("path", scratch_path(spark, name)).saveAsTable(table))
+    return spark.table(table)
+
+
 _shipped: set = set()
 
 
