@@ -51,13 +51,15 @@ def piece_weights(base: DataFrame, scorer: AdditiveScorer, id_col: str = "doc_id
     return joined.withColumn("w", F.coalesce(F.col("weight"), F.lit(0).cast(WEIGHT_TYPE))).drop("weight")
 
 
-def attribute(df: DataFrame, scorer: AdditiveScorer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def attribute(df: DataFrame, scorer: AdditiveScorer, id_col: str = "doc_id", text_col: str = "text",
+              partitioned: bool = False) -> DataFrame:
     """M3: softmax of the token scores over the positions of each document.
 
     For the additive scorer a token's attribution score is its weight. ``(id, pos, token, weight,
     prob)``; the start mark is not a token here, so nothing needs the -10000 exclusion.
     """
-    tw = piece_weights(prepare(df, id_col, text_col), scorer, id_col).filter(F.col("pos").isNotNull())
+    tw = piece_weights(prepare(df, id_col, text_col, partitioned=partitioned), scorer, id_col)
+    tw = tw.filter(F.col("pos").isNotNull())
     doc = Window.partitionBy(id_col)
     e = F.exp(F.col("w").cast("double") - F.max(F.col("w").cast("double")).over(doc))
     return tw.withColumn("_e", e).select(
@@ -149,7 +151,10 @@ def purify_with_model(df: DataFrame, load_model, id_col: str = "doc_id", text_co
     from toxscan.session import ship_package
 
     ship_package(df.sparkSession)
-    base = prepare(df, id_col, text_col, keep).withColumn("tokens", F.transform("pieces", piece_token))
+    # Each row is a whole document and the loop is per row: no co-location is needed, so the input
+    # keeps its partitioning (no shuffle of the text).
+    base = prepare(df, id_col, text_col, keep, partitioned=True)
+    base = base.withColumn("tokens", F.transform("pieces", piece_token))
     id_type = dict(df.dtypes)[id_col]
     schema = ", ".join(x for x in (f"{id_col} {id_type}", keep_schema, PURIFIED_SCHEMA) if x)
 
