@@ -36,3 +36,29 @@ def test_batch_scorer_equals_score(spark):
     a = {r.doc_id: (r.score, r.pred) for r in batch_score(test.select("doc_id", "tokens"), loader, "doc_id long, score double, pred int").collect()}
     b = {r.doc_id: (r.score, r.pred) for r in score(test, artifacts.scorer(spark, SF001)).collect()}
     assert a == b and len(a) > 0
+
+
+def test_salting_spreads_a_hot_key(spark):
+    # One key holds a third of the probe rows. Through the shuffle fallback, salting must keep the
+    # largest reduce partition well below that third.
+    n = 30000
+    probe = spark.range(n).select(
+        F.col("id").alias("rid"),
+        F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id") % 997).alias("k"),
+    )
+    table = spark.range(-1, 997).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        def largest_share(salts):
+            out = checked_lookup(probe, table, "k", row_keys=["rid"], max_rows=0, salt_buckets=salts)
+            counts = out.groupBy(F.spark_partition_id().alias("p")).count().collect()
+            assert sum(r["count"] for r in counts) == n
+            return max(r["count"] for r in counts) / n
+
+        plain, salted = largest_share(1), largest_share(32)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plain >= 1 / 3
+    assert salted < 0.2
