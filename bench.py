@@ -4,7 +4,8 @@ Each step is forced with the ``noop`` sink (the whole plan runs, nothing is coll
 driver). ``dataset_build`` and ``fit_scorer`` write their tables to the shared folder, as a real
 run does; the later steps read them.
 
-Environment: ``BENCH_SF_DIR`` (default /root/testdata/sf0.1), ``BENCH_CPUS`` (default 8).
+Environment: ``BENCH_SF_DIR`` (default /root/testdata/sf0.1), ``BENCH_CPUS`` (default 8), and
+``BENCH_EVENT_LOG_DIR`` (optional): Spark's event log for stage and task times goes there.
 """
 
 from __future__ import annotations
@@ -31,7 +32,9 @@ def main() -> None:
     from toxscan.plans.dataset import labelled_dataset, with_text
     from toxscan.session import bucket_by_doc, get_spark, read_table, spread
 
-    spark = get_spark(f"local[{cpus}]", shuffle_partitions=max(8, cpus * 2))
+    event_dir = os.environ.get("BENCH_EVENT_LOG_DIR")
+    extra = {"spark.eventLog.enabled": "true", "spark.eventLog.dir": event_dir} if event_dir else None
+    spark = get_spark(f"local[{cpus}]", shuffle_partitions=max(8, cpus * 2), extra_conf=extra)
     timings: dict[str, float] = {}
 
     def run(name, fn):

@@ -9,7 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def get_spark(master: str | None = None, shuffle_partitions: int = 8, app: str = "toxscan") -> SparkSession:
+def get_spark(master: str | None = None, shuffle_partitions: int = 8, app: str = "toxscan",
+              extra_conf: dict | None = None) -> SparkSession:
     """A session configured the way the tests and the bench use it.
 
     On a cluster the master and memory come from spark-submit; only settings the library relies on
@@ -28,6 +29,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8, app: str =
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("TOXSCAN_DRIVER_MEMORY", "16g"))
     )
+    for key, value in (extra_conf or {}).items():
+        builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("WARN")
     shared_dir(spark)
