@@ -40,12 +40,13 @@ def exact_rank(
     """Add ``rank_col`` = 0-based position by ``order_by`` inside each ``partition_by`` group and,
     optionally, ``count_col`` = the group size. ``partition_by`` must be low-cardinality (a class
     label); for many small groups use ``row_number`` over a window."""
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     groups = list(partition_by)
     keys = [F.col(c) for c in groups] + [F.col(c) if isinstance(c, str) else c for c in order_by]
+    # Without an explicit count the range exchange uses spark.sql.shuffle.partitions and AQE may
+    # coalesce neighbouring ranges; the numbering below is written once, so that is safe.
+    by_range = df.repartitionByRange(num_partitions, *keys) if num_partitions else df.repartitionByRange(*keys)
     ranged = (
-        df.repartitionByRange(n, *keys)
+        by_range
         .sortWithinPartitions(*keys)
         .withColumn("_rk_pid", F.spark_partition_id())
         .withColumn(
