@@ -12,9 +12,10 @@ from toxscan.sources.files import head_sample, read_dataset
 
 
 def moderate(df: DataFrame, scorer: AdditiveScorer, id_col: str = "doc_id", text_col: str = "text",
-             keep=("label",)) -> DataFrame:
-    """Purified documents with first-pass probabilities and a report line."""
-    out = purify(df, scorer, id_col, text_col, keep=list(keep))
+             keep=("label",), partitioned: bool = False) -> DataFrame:
+    """Purified documents with first-pass probabilities and a report line. ``partitioned=True`` for
+    documents bucketed by the id (``session.bucket_by_doc``): the whole job runs without an exchange."""
+    out = purify(df, scorer, id_col, text_col, keep=list(keep), partitioned=partitioned)
     if "label" in keep:
         out = out.withColumn("report", format_report("label", "pred", "p0", "p1"))
     return out
