@@ -89,7 +89,7 @@ def fit_scorer(train: DataFrame, docs: DataFrame, class_col: str = "bucket", voc
     a = float(alpha)
     w = F.log((F.col("c1") + a) / F.lit(t1 + a * v)) - F.log((F.col("c0") + a) / F.lit(t0 + a * v))
     weights = vocab.select("token", w.cast(WEIGHT_TYPE).alias("weight"), "c0", "c1")
-    n = {r[0]: r[1] for r in train.groupBy(class_col).count().collect()}
+    n = {r[0]: r[1] for r in train.groupBy(class_col).count().collect()}  # one row per class
     n0, n1 = n.get(0, 0), n.get(1, 0)
     if n0 == 0 or n1 == 0:
         raise ValueError("fit_scorer: both classes need training rows")
