@@ -62,3 +62,15 @@ def test_salting_spreads_a_hot_key(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert plain >= 1 / 3
     assert salted < 0.2
+
+
+def test_stream_progress_equals_batch_counts(spark):
+    from toxscan.streaming.moderate import stream_progress
+
+    streamed = {(r.label, r.n) for r in stream_progress(spark, SF001, files=3).collect()}
+    docs = spark.read.parquet(f"{SF001}/documents.parquet")
+    labels = spark.read.parquet(f"{SF001}/labels.parquet")
+    batch = (docs.join(labels, "doc_id", "left")
+             .groupBy(F.coalesce(F.col("toxic"), F.lit(-1)).alias("label")).count().collect())
+    assert streamed == {(r.label, r["count"]) for r in batch}
+    assert sum(n for _, n in streamed) == docs.count()
