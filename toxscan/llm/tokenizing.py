@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from itertools import chain
 
 # The characters with the Unicode property White_Space.
-WHITE_SPACE = "\t-\r \x85\xa0  -     　"
+WHITE_SPACE = "\t-\r " + "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 _UNSAFE = re.compile(f"[{WHITE_SPACE}][ \n]|\x00")
 _SEGMENT = re.compile(f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+")
