@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from toxscan.llm.chat_format import conversation_digests, format_conversations
 from toxscan.llm.common import table
 from toxscan.llm.exact_dedup import exact_dedup
+from toxscan.llm.html_extract import extract
+from toxscan.llm import language_id
 from toxscan.llm.line_dedup import dedup_lines
 from toxscan.llm.oracle import ORACLE_SQL as ORACLE_SQL
 from toxscan.llm.packing import pack
+from toxscan.llm.simhash import near_duplicates
 from toxscan.llm.token_count import count_tokens
 
 
@@ -24,6 +27,10 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_digests(format_conversations(rows))
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), words=4, distance=4)
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -32,19 +39,34 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).drop("file", "row")
 
 
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = dedup_lines(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.array_join("kept", "\n"), 256).alias("kept_sha256"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = language_id.held_out()
+    model = language_id.fit(docs.filter(~held_out))
+    found = language_id.predict(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op1_chat_format": op1_chat_format,
+    "op2_simhash": op2_simhash,
     "op3_packing": op3_packing,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_html_extract": op5_html_extract,
     "op6_line_dedup": op6_line_dedup,
+    "op9_language_id": op9_language_id,
     "op10_token_counts": op10_token_counts,
 }
