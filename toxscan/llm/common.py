@@ -60,3 +60,28 @@ def byte_batches(texts: Iterable[str], limit: int = 1 << 20) -> Iterator[list[st
             batch, held = [], 0
     if batch:
         yield batch
+
+
+class KeyFilter:
+    """Which keys may be among a set: one bit for each of ``2**bits`` hash values. Its size is fixed, so it can
+    be sent to every task whatever the set holds. A fuller filter lets more keys through that a join drops later;
+    it never holds back a key of the set."""
+
+    def __init__(self, keys: DataFrame, key_hash: Column, bits: int = 25):
+        import numpy as np
+
+        self.mask = np.uint64((1 << bits) - 1)
+        spot = key_hash.bitwiseAND((1 << bits) - 1)
+        maps = (keys.select(spot.alias("at")).groupBy(F.expr("bitmap_bucket_number(at + 1)").alias("k"))
+                .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(at + 1))").alias("bits")).collect())
+        size = (1 << 15) // 8  # bytes of one of Spark's bitmaps
+        self.held = np.zeros(max(1, (1 << bits) // 8 // size) * size, dtype=np.uint8)
+        for k, found in maps:
+            self.held[(k - 1) * size:k * size] = np.frombuffer(found, dtype=np.uint8)
+
+    def may_hold(self, hashes):
+        """By hash (any 64-bit integers): whether the set may have it."""
+        import numpy as np
+
+        at = hashes.view(np.uint64) & self.mask
+        return (self.held[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1

@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from toxscan.llm import language_id
 from toxscan.llm.chat_format import conversation_digests, format_conversations
 from toxscan.llm.common import table
+from toxscan.llm.decontaminate import decontaminate
 from toxscan.llm.exact_dedup import exact_dedup
 from toxscan.llm.html_extract import extract
-from toxscan.llm import language_id
 from toxscan.llm.line_dedup import dedup_lines
 from toxscan.llm.oracle import ORACLE_SQL as ORACLE_SQL
 from toxscan.llm.packing import pack
+from toxscan.llm.quality_lm import classify, trusted_ids
 from toxscan.llm.simhash import near_duplicates
 from toxscan.llm.token_count import count_tokens
 
@@ -48,6 +50,15 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.array_join("kept", "\n"), 256).alias("kept_sha256"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = classify(table(spark, sf_dir, "documents"), trusted_ids(table(spark, sf_dir, "labels")))
+    return found.drop("h1", "h2")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = language_id.held_out()
@@ -67,6 +78,8 @@ QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_html_extract": op5_html_extract,
     "op6_line_dedup": op6_line_dedup,
+    "op7_decontaminate": op7_decontaminate,
+    "op8_quality": op8_quality,
     "op9_language_id": op9_language_id,
     "op10_token_counts": op10_token_counts,
 }

@@ -314,3 +314,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     by_print = labelled.join(least, "label").select("fp", "component_id")
     return prints.join(by_print, "fp").select(
         id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def without_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 4,
+                        distance: int = 4) -> DataFrame:
+    """The rows of ``df`` whose id is the least of their group, all columns. Rows without an id cannot be told from each
+    other; they stay where their whole group has none. Rows with the same id stay or go together."""
+    groups = near_duplicates(df, id_col, text_col, words=words, distance=distance)
+    gone = groups.filter(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_gone")).distinct()
+    return df.join(gone, df[id_col].eqNullSafe(gone["_gone"]), "left_anti")

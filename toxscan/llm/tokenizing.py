@@ -23,7 +23,7 @@ _SEGMENT = re.compile(f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+")
 _CUT = re.compile(f"(?<=[^{WHITE_SPACE}])[{WHITE_SPACE}]")
 
 #: Distinct segments a task keeps; beyond that the table starts anew (results do not change).
-CACHE_SEGMENTS = 600_000
+CACHE_SEGMENTS = 1_500_000
 
 
 def pieces(text: str, limit: int = 1 << 20) -> Iterator[str]:
