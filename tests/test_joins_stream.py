@@ -14,7 +14,7 @@ def test_salted_fallback_equals_broadcast(spark):
     probe = probe.withColumn("k", F.when(F.col("rid") < 1500, F.lit(0)).otherwise(F.col("k")))  # one hot key
     table = spark.createDataFrame([(0, "zero"), (1, "one"), (2, "two")], "k long, name string")
     a = sorted(tuple(r) for r in checked_lookup(probe, table, "k", row_keys=["rid"]).collect())
-    b = sorted(tuple(r) for r in checked_lookup(probe, table, "k", row_keys=["rid"], max_rows=0, salt_buckets=8).collect())
+    b = sorted(tuple(r) for r in checked_lookup(probe, table, "k", row_keys=["rid"], max_bytes=0, salt_buckets=8).collect())
     assert a == b and len(a) == 2000
 
 
@@ -51,7 +51,7 @@ def test_salting_spreads_a_hot_key(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         def largest_share(salts):
-            out = checked_lookup(probe, table, "k", row_keys=["rid"], max_rows=0, salt_buckets=salts)
+            out = checked_lookup(probe, table, "k", row_keys=["rid"], max_bytes=0, salt_buckets=salts)
             counts = out.groupBy(F.spark_partition_id().alias("p")).count().collect()
             assert sum(r["count"] for r in counts) == n
             return max(r["count"] for r in counts) / n

@@ -10,7 +10,7 @@ def test_encode_covers_the_whole_text(spark):
     docs = TK.with_tokens(spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "text"))
     docs = write_table(docs.select("doc_id", "tokens"), "test-tokens")
     vocab = write_table(TK.build_vocab(TK.token_counts(TK.token_table(docs)), 500), "test-vocab")
-    enc = TK.encode(TK.token_table_outer(docs), vocab, max_length=150)
+    enc = TK.encode(docs, vocab, max_length=150)
     ids = {r.token: r.id for r in vocab.collect()}
     chunks = {}
     for r in enc.collect():
@@ -30,7 +30,7 @@ def test_model_inputs_and_decode(spark):
     vocab = spark.createDataFrame([("[PAD]", 0, None), ("[UNK]", 1, None), ("[CLS]", 2, None), ("[SEP]", 3, None),
                                    ("*", 4, None), ("you", 5, 9), ("idiot", 6, 3)], "token string, id int, count long")
     toks = spark.createDataFrame([(1, ["you", "idiot", "zzz", "*"]), (2, [])], "doc_id long, tokens array<string>")
-    enc = TK.encode(TK.token_table_outer(toks), vocab, max_length=8, pad=True)
+    enc = TK.encode(toks, vocab, max_length=8, pad=True)
     mi = {r.doc_id: r for r in TK.model_inputs(enc).collect()}
     assert mi[1].input_ids == [2, 5, 6, 1, 4, 3, 0, 0] and mi[1].attention_mask == [1, 1, 1, 1, 1, 1, 0, 0]
     assert mi[2].input_ids == [2, 3, 0, 0, 0, 0, 0, 0] and mi[2].token_type_ids == [0] * 8

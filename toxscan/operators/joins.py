@@ -1,7 +1,7 @@
 """Lookup joins with a checked broadcast and a skew-safe fallback.
 
-A lookup table (vocabulary, token weights, per-group statistics) is broadcast only after its row
-count is checked against a bound. Beyond the bound the join shuffles, and because a single key
+A lookup table (vocabulary, token weights, per-group statistics) is broadcast only after its size in
+bytes is checked against a bound. Beyond the bound the join shuffles, and because a single key
 (a very common token, one large group) may hold a large share of the probe rows, the probe side is
 salted: each probe row gets one of ``salt_buckets`` salts from a hash of its row key, and the
 lookup side is replicated once per salt. A hot key is then spread over ``salt_buckets`` tasks; AQE
@@ -15,7 +15,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_BROADCAST_MAX_ROWS = 1_000_000
+DEFAULT_BROADCAST_MAX_BYTES = 64 << 20
+#: Bits of a key filter: 256 bitmaps of 4 KB, whatever the number of keys.
+FILTER_BITS = 23
 DEFAULT_SALT_BUCKETS = 32
 
 
@@ -23,14 +25,29 @@ def _conf_int(df: DataFrame, key: str, default: int) -> int:
     return int(df.sparkSession.conf.get(key, str(default)))
 
 
-def broadcast_max_rows(df: DataFrame) -> int:
-    return _conf_int(df, "spark.toxscan.broadcastMaxRows", DEFAULT_BROADCAST_MAX_ROWS)
+def fits_broadcast(table: DataFrame, max_bytes: int | None = None) -> bool:
+    """Whether all rows of a lookup table, at their widths, lie below the bound. One aggregation over the
+    table; nothing but two numbers reaches the driver."""
+    bound = _conf_int(table, "spark.toxscan.broadcastMaxBytes", DEFAULT_BROADCAST_MAX_BYTES) if max_bytes is None else max_bytes
+    width = F.lit(16 + 8 * len(table.columns))
+    for name, kind in table.dtypes:
+        if kind in ("string", "binary"):
+            width = width + F.coalesce(F.octet_length(name), F.lit(0))
+        elif kind.startswith(("array", "map", "struct")):
+            width = width + F.coalesce(F.octet_length(F.to_json(F.struct(name))), F.lit(0))
+    return (table.agg(F.sum(width.cast("long"))).first()[0] or 0) <= bound
 
 
-def fits_broadcast(table: DataFrame, max_rows: int | None = None) -> bool:
-    """Row-count check for a lookup table. Counts at most ``max_rows + 1`` rows."""
-    bound = broadcast_max_rows(table) if max_rows is None else max_rows
-    return table.limit(bound + 1).count() <= bound
+def likely_in(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """Rows of ``df`` whose ``on`` may be among ``keys``: a prefilter for an inner or semi join, so that rows
+    which cannot match are not shuffled. Every task gets bitmaps of a fixed total size; the more keys, the
+    more rows pass that the join drops later. A row that matches always passes."""
+    spot = F.xxhash64(on).bitwiseAND((1 << FILTER_BITS) - 1)
+    maps = (keys.select(spot.alias("_p")).groupBy(F.expr("bitmap_bucket_number(_p + 1)").alias("_k"))
+            .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(_p + 1))").alias("_bits")))
+    byte = "cast(conv(hex(substring(_bits, cast((_p % 32768) div 8 as int) + 1, 1)), 16, 10) as int)"
+    marked = df.withColumn("_p", spot).withColumn("_k", F.expr("bitmap_bucket_number(_p + 1)")).join(F.broadcast(maps), "_k")
+    return marked.filter(F.expr(f"shiftright({byte}, cast(_p % 8 as int)) & 1 = 1")).select(*df.columns)
 
 
 def checked_lookup(
@@ -39,7 +56,7 @@ def checked_lookup(
     on: str | Sequence[str],
     how: str = "left",
     row_keys: Sequence[str] = (),
-    max_rows: int | None = None,
+    max_bytes: int | None = None,
     salt_buckets: int | None = None,
 ) -> DataFrame:
     """Join ``probe`` with the lookup ``table`` on ``on``.
@@ -48,7 +65,7 @@ def checked_lookup(
     the salts in the shuffle fallback.
     """
     keys = [on] if isinstance(on, str) else list(on)
-    if fits_broadcast(table, max_rows):
+    if fits_broadcast(table, max_bytes):
         return probe.join(F.broadcast(table), keys, how)
     n_salt = salt_buckets or _conf_int(probe, "spark.toxscan.saltBuckets", DEFAULT_SALT_BUCKETS)
     spread = [F.col(c) for c in (row_keys or probe.columns)]

@@ -10,45 +10,41 @@ tokens of one document ordered by (weight desc, position asc):
 
 Masking a token replaces its weight by the mask weight 0. The running minimum matters: once a
 negative weight is passed, ``S - pre`` can rise above 0 again, but the loop had already stopped.
-All windows are per document; a document is a bounded group (its own tokens).
+Grouping is by a key of the row, so documents that share an id stay apart; a group is the tokens of one document.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from toxscan.functions.text import MASK_CHAR, clean_text, mask_token, piece_token, token_pieces
 from toxscan.operators.joins import checked_lookup
-from toxscan.operators.scorer import WEIGHT_TYPE, AdditiveScorer, probabilities
+from toxscan.operators.scorer import AdditiveScorer, micro_weights, probabilities
+from toxscan.operators.tokens import with_row_key
 
 
 def prepare(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = (),
             partitioned: bool = False) -> DataFrame:
-    """Hash-partition by document, then clean once and cut the cleaned text into token pieces.
+    """Clean once and cut the cleaned text into token pieces: ``(_row, id, *keep, pieces)``.
 
-    The one shuffle carries the raw text (smaller than cleaned text plus tokens) and lets the
-    regular expressions run on all partitions; every later window and aggregate on the document id
-    reuses it, and no join back to the text is needed: the cleaned text is the concatenation of the
-    pieces. ``partitioned=True`` skips the shuffle for an input already hash-partitioned by the id
-    (a table written by ``session.bucket_by_doc``)."""
-    spark = df.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    raw = df.select(id_col, *keep, text_col)
-    if not partitioned:
-        raw = raw.repartition(n, id_col)
-    return raw.select(id_col, *keep, token_pieces(clean_text(text_col)).alias("pieces"))
+    The one shuffle carries the raw text (smaller than cleaned text plus tokens), by a key of the row, and
+    lets the regular expressions run on all partitions; what is exploded from a row is grouped again without
+    an exchange. Rows that share an id stay apart. ``partitioned=True`` skips the shuffle for an input
+    already hash-partitioned by the id (a table written by ``session.bucket_by_doc``)."""
+    raw = with_row_key(df.select(id_col, *keep, text_col), partitioned)
+    return raw.select("_row", id_col, *keep, token_pieces(clean_text(text_col)).alias("pieces"))
 
 
 def piece_weights(base: DataFrame, scorer: AdditiveScorer, id_col: str = "doc_id", keep: Sequence[str] = ()) -> DataFrame:
-    """``(id, *keep, pos, piece, token, w)``; an empty document keeps one row with null piece."""
-    ex = base.select(id_col, *keep, F.posexplode_outer("pieces").alias("pos", "piece"))
+    """``(_row, id, *keep, pos, piece, token, w)``, ``w`` in millionths; an empty document keeps one row with
+    null piece."""
+    ex = base.select("_row", id_col, *keep, F.posexplode_outer("pieces").alias("pos", "piece"))
     ex = ex.withColumn("token", piece_token("piece"))
-    table = scorer.weights.select("token", "weight")
-    joined = checked_lookup(ex, table, "token", how="left", row_keys=[id_col, "pos"])
-    return joined.withColumn("w", F.coalesce(F.col("weight"), F.lit(0).cast(WEIGHT_TYPE))).drop("weight")
+    joined = checked_lookup(ex, micro_weights(scorer), "token", how="left", row_keys=["_row", "pos"])
+    return joined.withColumn("w", F.coalesce("w", F.lit(0).cast("long")))
 
 
 def attribute(df: DataFrame, scorer: AdditiveScorer, id_col: str = "doc_id", text_col: str = "text",
@@ -59,72 +55,59 @@ def attribute(df: DataFrame, scorer: AdditiveScorer, id_col: str = "doc_id", tex
     prob)``; the start mark is not a token here, so nothing needs the -10000 exclusion.
     """
     tw = piece_weights(prepare(df, id_col, text_col, partitioned=partitioned), scorer, id_col)
-    tw = tw.filter(F.col("pos").isNotNull())
-    doc = Window.partitionBy(id_col)
-    e = F.exp(F.col("w").cast("double") - F.max(F.col("w").cast("double")).over(doc))
-    return tw.withColumn("_e", e).select(
-        id_col, "pos", "token", F.col("w").cast("double").alias("weight"), (F.col("_e") / F.sum("_e").over(doc)).alias("prob")
-    )
-
-
-def mask_flags(tw: DataFrame, bias, id_col: str = "doc_id") -> DataFrame:
-    """Adds ``s0`` (first-pass score) and ``masked`` to a token-weight table ``(id, pos, token, w)``.
-
-    One order per document, candidates first by (weight desc, position): non-candidates (the mask
-    character, the empty-document row) weigh 0 and come last, so the whole-document total, the
-    prefix sums and the running minimum all come from a single sort."""
-    cand = F.col("token").isNotNull() & (F.col("token") != MASK_CHAR)
-    ranked = Window.partitionBy(id_col).orderBy(F.desc("_cand"), F.desc("w"), F.asc("pos"))
-    whole = ranked.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before = ranked.rowsBetween(Window.unboundedPreceding, -1)
-    upto = ranked.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    b = F.lit(bias).cast(WEIGHT_TYPE)
-    out = (
-        tw.withColumn("_cand", cand)
-        .withColumn("s0", b + F.sum("w").over(whole))
-        .withColumn("_remain", F.col("s0") - F.coalesce(F.sum("w").over(before), F.lit(0).cast(WEIGHT_TYPE)))
-        .withColumn("_minrem", F.min("_remain").over(upto))
-        .withColumn("masked", F.col("_cand") & (F.col("_minrem") > 0))
-    )
-    return out.drop("_remain", "_minrem")
+    tw = tw.filter(F.col("pos").isNotNull()).withColumn("weight", F.col("w") / F.lit(1e6))
+    doc = Window.partitionBy("_row", id_col)
+    e = F.exp(F.col("weight") - F.max("weight").over(doc))
+    return tw.withColumn("_e", e).select(id_col, "pos", "token", "weight", (F.col("_e") / F.sum("_e").over(doc)).alias("prob"))
+
+
+def masking(items: Column, bias: int) -> tuple[Column, Column, Column]:
+    """For the tokens of one document (``pos, token, w``): the order in which they are masked, the score, and
+    the end of the loop (``n`` masked, score ``left``), in millionths.
+
+    Candidates go by (weight desc, position); the mask character is none and comes last. The loop masks a
+    prefix of that order: it stops at the first score that is not above 0, though later negative weights
+    might raise it again."""
+    order = F.array_sort(F.transform(items, lambda x: F.struct((x["token"] == MASK_CHAR).alias("out"), (-x["w"]).alias("nw"),
+                                                               x["pos"].alias("pos"))))
+    score = F.aggregate(items, F.lit(bias).cast("long"), lambda a, x: a + x["w"])
+    state = F.struct(score.alias("left"), F.lit(0).cast("long").alias("n"), F.lit(True).alias("on"))
+
+    def step(a: Column, x: Column) -> Column:
+        on = a["on"] & (a["left"] > 0) & ~x["out"]
+        return F.struct((a["left"] + F.when(on, x["nw"]).otherwise(F.lit(0).cast("long"))).alias("left"),
+                        (a["n"] + F.when(on, 1).otherwise(0)).alias("n"), on.alias("on"))
+
+    done = F.when(score > 0, F.aggregate(order, state, step)).otherwise(state)
+    return order, score, done
 
 
 def purify(df: DataFrame, scorer: AdditiveScorer, id_col: str = "doc_id", text_col: str = "text",
            keep: Sequence[str] = (), partitioned: bool = False) -> DataFrame:
-    """M4: ``(id, *keep, p0, p1, pred, text, n_masked, final_score)``.
+    """M4: ``(id, *keep, p0, p1, pred, text, n_masked, final_score)``, one row per row of ``df``.
 
     ``p0``, ``p1`` and ``pred`` are those of the first pass; ``text`` is the masked text (tokens
     joined by one space, a masked token written as one mask character per character) or, when
-    nothing was masked, the cleaned text. Document ids must not be null. ``partitioned`` as in
-    ``prepare``: with a bucketed input the whole plan runs without an exchange.
+    nothing was masked, the cleaned text. Ids may repeat or be null. Ranking runs inside the row, and only
+    for documents that score toxic. ``partitioned`` as in ``prepare``: with a bucketed input the whole plan
+    runs without an exchange.
     """
-    base = prepare(df, id_col, text_col, keep, partitioned)
-    flags = mask_flags(piece_weights(base, scorer, id_col, keep), scorer.bias, id_col)
-    out_tok = F.when(F.col("masked"), mask_token("token")).otherwise(F.col("token"))
-    per_doc = flags.groupBy(id_col, *keep).agg(
-        F.max("s0").alias("s0"),
-        F.count_if(F.col("masked")).alias("n_masked"),
-        F.sum(F.when(F.col("masked"), F.col("w"))).alias("_masked_w"),
-        F.array_sort(
-            F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "piece", out_tok.alias("t"))))
-        ).alias("_items"),
-    )
-    s0 = F.coalesce(F.col("s0"), F.lit(scorer.bias).cast(WEIGHT_TYPE))
+    tw = piece_weights(prepare(df, id_col, text_col, keep, partitioned), scorer, id_col, keep)
+    item = F.when(F.col("pos").isNotNull(), F.struct("pos", "token", "w", "piece"))
+    docs = tw.groupBy("_row", id_col, *keep).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    order, score, done = masking(F.col("items"), scorer.micro_bias)
+    docs = docs.select(id_col, *keep, "items", score.alias("_s0"), done.alias("_done"))
+    flags = F.array_sort(F.transform(order, lambda x, i: F.struct(
+        x["pos"].alias("pos"), (i < F.col("_done.n")).alias("masked"))))
+    masked_text = F.array_join(F.zip_with("items", flags, lambda x, f: F.when(f["masked"], mask_token(x["token"])).otherwise(
+        x["token"])), " ")
+    cleaned = F.array_join(F.transform("items", lambda x: x["piece"]), "")
+    s0 = F.col("_s0") / F.lit(1e6)
     p0, p1 = probabilities(s0)
-    masked_text = F.array_join(F.transform("_items", lambda x: x["t"]), " ")
-    cleaned = F.array_join(F.transform("_items", lambda x: x["piece"]), "")
-    n_masked = F.coalesce(F.col("n_masked"), F.lit(0)).cast("long")
-    final = (s0 - F.coalesce(F.col("_masked_w"), F.lit(0).cast(WEIGHT_TYPE))).cast("double")
-    return per_doc.select(
-        id_col,
-        *keep,
-        p0.alias("p0"),
-        p1.alias("p1"),
-        (s0 > 0).cast("int").alias("pred"),
-        F.when(n_masked > 0, masked_text).otherwise(cleaned).alias("text"),
-        n_masked.alias("n_masked"),
-        final.alias("final_score"),
-    )
+    return docs.select(
+        id_col, *keep, p0.alias("p0"), p1.alias("p1"), (F.col("_s0") > 0).cast("int").alias("pred"),
+        F.when(F.col("_done.n") > 0, masked_text).otherwise(cleaned).alias("text"),
+        F.col("_done.n").alias("n_masked"), (F.col("_done.left") / F.lit(1e6)).alias("final_score"))
 
 
 # --- M4 alternative: the literal loop with a pluggable model ------------------------------------

@@ -19,8 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from toxscan.functions.text import MASK_CHAR
-from toxscan.operators.joins import checked_lookup
-from toxscan.operators.tokens import DEFAULT_VOCAB_SIZE, token_table_outer, with_tokens
+from toxscan.operators.tokens import token_table_outer, with_tokens
+from toxscan.operators.joins import checked_lookup, likely_in
 from toxscan.session import scratch_path, ship_package, spread, write_table
 
 WEIGHT_TYPE = "decimal(18,6)"
@@ -33,6 +33,11 @@ class AdditiveScorer:
     weights: DataFrame
     bias: Decimal
 
+    @property
+    def micro_bias(self) -> int:
+        """The bias in whole millionths."""
+        return int(self.bias.scaleb(6))
+
     def save(self, path: str) -> None:
         self.weights.write.mode("overwrite").parquet(f"{path}/weights")
         spark = self.weights.sparkSession
@@ -62,7 +67,7 @@ def class_token_counts(train: DataFrame, docs: DataFrame, class_col: str = "buck
     tokenized once and its token counts are multiplied by its number of copies.
     """
     copies = train.groupBy(id_col, class_col).agg(F.count(F.lit(1)).alias("_copies"))
-    texts = copies.join(spread(docs.select(id_col, text_col), id_col), id_col, "inner")
+    texts = copies.join(likely_in(spread(docs.select(id_col, text_col)), copies, id_col), id_col, "inner")
     toks = with_tokens(texts, text_col)
     rows = toks.select(class_col, "_copies", F.explode_outer("tokens").alias("token")).filter(F.col("token").isNotNull())
     return rows.groupBy("token").agg(
@@ -71,19 +76,20 @@ def class_token_counts(train: DataFrame, docs: DataFrame, class_col: str = "buck
     )
 
 
-def fit_scorer(train: DataFrame, docs: DataFrame, class_col: str = "bucket", vocab_size: int = DEFAULT_VOCAB_SIZE,
+def fit_scorer(train: DataFrame, docs: DataFrame, class_col: str = "bucket", vocab_size: int | None = None,
                alpha: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> AdditiveScorer:
-    """M1: smoothed log-odds per token over the ``vocab_size`` most frequent tokens.
+    """M1: smoothed log-odds per token, over all tokens or the ``vocab_size`` most frequent ones.
 
     ``w(t) = ln((c1 + a) / (T1 + a V)) - ln((c0 + a) / (T0 + a V))``, ``bias = ln(N1 / N0)`` with
     ``N`` the rows per class (0 once the classes are balanced). The mask character has weight 0.
     """
     counts = class_token_counts(train, docs, class_col, id_col, text_col)
     counts = counts.filter(F.col("token") != MASK_CHAR)
-    vocab = counts.orderBy(F.desc(F.col("c0") + F.col("c1")), F.asc("token")).limit(vocab_size)
-    # Written once (bounded by vocab_size): the counting job is not repeated for the totals and the
-    # weights, and a lost executor re-reads files instead of re-counting the corpus.
-    vocab = write_table(vocab, "scorer-vocab")
+    if vocab_size is not None:
+        counts = counts.orderBy(F.desc(F.col("c0") + F.col("c1")), F.asc("token")).limit(vocab_size)
+    # Written once: the counting job is not repeated for the totals and the weights, and a lost executor
+    # re-reads files instead of re-counting the corpus.
+    vocab = write_table(counts, "scorer-vocab")
     totals = vocab.agg(F.sum("c0"), F.sum("c1"), F.count(F.lit(1))).first()
     t0, t1, v = (totals[0] or 0), (totals[1] or 0), totals[2]
     a = float(alpha)
@@ -96,13 +102,19 @@ def fit_scorer(train: DataFrame, docs: DataFrame, class_col: str = "bucket", voc
     return AdditiveScorer(weights, _round6(math.log(n1 / n0)))
 
 
+def micro_weights(scorer: AdditiveScorer) -> DataFrame:
+    """``(token, w)``: weights in whole millionths, so that sums are exact integers."""
+    return scorer.weights.select("token", (F.col("weight") * F.lit(1_000_000)).cast("long").alias("w"))
+
+
 def token_weights(df: DataFrame, scorer: AdditiveScorer, id_col: str = "doc_id", tokens_col: str = "tokens",
                   keep: Sequence[str] = ()) -> DataFrame:
-    """``(id, *keep, pos, token, w)``; an empty document keeps one row with null token and w = 0."""
-    ex = token_table_outer(df.select(id_col, *keep, tokens_col), [id_col, *keep], tokens_col)
-    table = scorer.weights.select("token", "weight")
-    joined = checked_lookup(ex, table, "token", how="left", row_keys=[id_col, "pos"])
-    return joined.withColumn("w", F.coalesce(F.col("weight"), F.lit(0).cast(WEIGHT_TYPE))).drop("weight")
+    """``(_row, id, *keep, pos, token, w)``, ``w`` in millionths; an empty document keeps one row with null
+    token and w = 0. ``_row`` tells rows of ``df`` apart whatever their ids."""
+    rows = df.select(id_col, *keep, tokens_col).withColumn("_row", F.monotonically_increasing_id())
+    ex = token_table_outer(rows, ["_row", id_col, *keep], tokens_col)
+    joined = checked_lookup(ex, micro_weights(scorer), "token", how="left", row_keys=["_row", "pos"])
+    return joined.withColumn("w", F.coalesce("w", F.lit(0).cast("long")))
 
 
 def probabilities(score: Column) -> tuple[Column, Column]:
@@ -120,15 +132,14 @@ def score(df: DataFrame, scorer: AdditiveScorer, id_col: str = "doc_id", tokens_
     row per document and map task, not one per token.
     """
     tw = token_weights(df, scorer, id_col, tokens_col, keep)
-    agg = tw.groupBy(id_col, *keep).agg(F.sum("w").alias("_s"))  # partial sums before the shuffle
-    total = (F.lit(scorer.bias).cast(WEIGHT_TYPE) + F.col("_s")).cast("decimal(30,6)")
+    agg = tw.groupBy("_row", id_col, *keep).agg(F.sum("w").alias("_s"))  # partial sums before the shuffle
+    total = (F.lit(scorer.micro_bias) + F.col("_s")) / F.lit(1e6)
     p0, p1 = probabilities(F.col("score"))
     return (
         agg.select(id_col, *keep, total.alias("score"))
         .withColumn("pred", (F.col("score") > 0).cast("int"))
         .withColumn("p0", p0)
         .withColumn("p1", p1)
-        .withColumn("score", F.col("score").cast("double"))
     )
 
 
@@ -223,7 +234,7 @@ class AdditiveModelLoader:
 
 # --- M1 alternative: a pyspark.ml pipeline ------------------------------------------------------
 
-def fit_logistic(train: DataFrame, docs: DataFrame, class_col: str = "bucket", vocab_size: int = DEFAULT_VOCAB_SIZE,
+def fit_logistic(train: DataFrame, docs: DataFrame, class_col: str = "bucket", vocab_size: int = 30_000,
                  reg_param: float = 0.01, max_iter: int = 50, id_col: str = "doc_id", text_col: str = "text"):
     """M1 (alternative): ``CountVectorizer`` over the tokens and ``LogisticRegression``.
 

@@ -1,24 +1,26 @@
 """Token table, vocabulary, encode, model inputs, decode.
 
-The vocabulary keeps the ``vocab_size`` most frequent tokens (ties by token), like the fixed-size
-vocabulary of a sub-word tokenizer; everything else maps to the unknown id. That bound is what lets
-the vocabulary be broadcast in every lookup. Counting is a ``groupBy`` with map-side partial
+The vocabulary keeps every token unless a caller asks for a cap; ids follow (count desc, token) and
+come from ``exact_rank``, so no task numbers the whole vocabulary. A lookup broadcasts it only below a
+checked size in bytes and else joins with salts. Counting is a ``groupBy`` with map-side partial
 aggregation, so a very frequent token never piles up in one task.
+
+Per-document steps group by a key of the row, never by a caller's id: ids may repeat.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from toxscan.functions.text import MASK_CHAR, clean_text, tokenize
 from toxscan.operators.joins import checked_lookup
+from toxscan.operators.ranking import exact_rank
 
 # Reserved ids. Pad, unknown, start and end marks, and the mask character.
 PAD_ID, UNK_ID, CLS_ID, SEP_ID, MASK_ID = 0, 1, 2, 3, 4
 SPECIAL_TOKENS = (("[PAD]", PAD_ID), ("[UNK]", UNK_ID), ("[CLS]", CLS_ID), ("[SEP]", SEP_ID), (MASK_CHAR, MASK_ID))
 FIRST_WORD_ID = 5
-DEFAULT_VOCAB_SIZE = 30_000
 DEFAULT_MAX_LENGTH = 150
 
 
@@ -45,46 +47,56 @@ def token_counts(tokens: DataFrame, weight_col: str | None = None) -> DataFrame:
     return tokens.groupBy("token").agg(F.sum(w).cast("long").alias("count"))
 
 
-def build_vocab(counts: DataFrame, vocab_size: int = DEFAULT_VOCAB_SIZE, with_specials: bool = True) -> DataFrame:
-    """V1: ``(token, id, count)``. The top ``vocab_size`` tokens by (count desc, token) get ids from
-    ``FIRST_WORD_ID`` on; the mask character keeps its reserved id."""
+def build_vocab(counts: DataFrame, vocab_size: int | None = None, with_specials: bool = True) -> DataFrame:
+    """V1: ``(token, id, count)``. Tokens by (count desc, token) get ids from ``FIRST_WORD_ID`` on; the
+    mask character keeps its reserved id. ``vocab_size`` is an optional cap: rarer tokens are left out."""
     learned = counts.filter(F.col("token") != MASK_CHAR)
-    top = learned.orderBy(F.desc("count"), F.asc("token")).limit(vocab_size)
-    # ``top`` holds at most vocab_size rows, so numbering it in one window is bounded.
-    order = Window.orderBy(F.desc("count"), F.asc("token"))
-    vocab = top.select("token", (F.row_number().over(order) + (FIRST_WORD_ID - 1)).cast("int").alias("id"), "count")
+    ranked = exact_rank(learned, [F.desc("count"), "token"], rank_col="_rank")
+    if vocab_size is not None:
+        ranked = ranked.filter(F.col("_rank") < vocab_size)
+    vocab = ranked.select("token", (F.col("_rank") + FIRST_WORD_ID).alias("id"), "count")
     if with_specials:
         spark = counts.sparkSession
         specials = spark.createDataFrame(
-            [(t, i, None) for t, i in SPECIAL_TOKENS], "token string, id int, count long"
+            [(t, i, None) for t, i in SPECIAL_TOKENS], "token string, id long, count long"
         )
         vocab = specials.unionByName(vocab)
     return vocab
 
 
-def encode(tokens: DataFrame, vocab: DataFrame, id_cols=("doc_id",), max_length: int = DEFAULT_MAX_LENGTH,
-           pad: bool = False) -> DataFrame:
+def with_row_key(df: DataFrame, partitioned: bool = False) -> DataFrame:
+    """``df`` with ``_row``, unique per row, hash-partitioned by it: what is exploded from a row and grouped
+    by ``_row`` again needs no exchange. ``partitioned``: the input is hash-partitioned by an id that
+    the grouping keys include, so no shuffle is needed either."""
+    keyed = df.withColumn("_row", F.monotonically_increasing_id())
+    return keyed if partitioned else keyed.repartition("_row")
+
+
+def encode(docs: DataFrame, vocab: DataFrame, id_cols=("doc_id",), max_length: int = DEFAULT_MAX_LENGTH,
+           pad: bool = False, tokens_col: str = "tokens") -> DataFrame:
     """Ids with start and end marks, at most ``max_length`` ids per row including both marks.
 
     The whole text is encoded: a document longer than ``max_length - 2`` tokens gives several rows
     (``chunk`` 0, 1, ...), each a complete model input. ``pad`` fills to ``max_length`` with the pad
-    id (training form). ``tokens`` is a token table from ``token_table`` built with
-    ``posexplode_outer`` semantics: rows with a null ``pos`` stand for empty documents.
+    id (training form). ``docs`` has one row per document with its tokens; those arrays are shuffled
+    once, by row, and not the tokens.
     """
     content = max_length - 2
-    ids = checked_lookup(tokens, vocab.select("token", "id"), "token", how="left", row_keys=[*id_cols, "pos"])
+    rows = with_row_key(docs.select(*id_cols, tokens_col))
+    tokens = token_table_outer(rows, ["_row", *id_cols], tokens_col)
+    ids = checked_lookup(tokens, vocab.select("token", "id"), "token", how="left", row_keys=["_row", "pos"])
     ids = ids.withColumn("id", F.coalesce(F.col("id"), F.lit(UNK_ID)))
     ids = ids.withColumn("chunk", F.coalesce(F.floor(F.col("pos") / content), F.lit(0)).cast("int"))
-    grouped = ids.groupBy(*id_cols, "chunk").agg(
+    grouped = ids.groupBy("_row", *id_cols, "chunk").agg(
         F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "id")))).alias("items")
     )
     body = F.transform("items", lambda x: x["id"])
-    input_ids = F.concat(F.array(F.lit(CLS_ID)), body, F.array(F.lit(SEP_ID)))
-    out = grouped.select(*id_cols, "chunk", input_ids.alias("input_ids"))
+    mark = [F.array(F.lit(i).cast("long")) for i in (CLS_ID, SEP_ID)]
+    out = grouped.select(*id_cols, "chunk", F.concat(mark[0], body, mark[1]).alias("input_ids"))
     if pad:
         out = out.withColumn(
             "input_ids",
-            F.concat("input_ids", F.array_repeat(F.lit(PAD_ID), F.lit(max_length) - F.size("input_ids"))),
+            F.concat("input_ids", F.array_repeat(F.lit(PAD_ID).cast("long"), F.lit(max_length) - F.size("input_ids"))),
         )
     return out
 
@@ -103,10 +115,11 @@ def model_inputs(encoded: DataFrame, ids_col: str = "input_ids") -> DataFrame:
 
 def decode(encoded: DataFrame, vocab: DataFrame, id_cols=("doc_id", "chunk"), ids_col: str = "input_ids") -> DataFrame:
     """Ids back to text, pad / unknown / start / end dropped, tokens joined by one space."""
-    ex = encoded.select(*id_cols, F.posexplode_outer(ids_col).alias("i", "id"))
+    rows = with_row_key(encoded.select(*id_cols, ids_col))
+    ex = rows.select("_row", *id_cols, F.posexplode_outer(ids_col).alias("i", "id"))
     words = vocab.filter(F.col("id") >= MASK_ID).select("id", "token")
-    joined = checked_lookup(ex, words, "id", how="left", row_keys=[*id_cols, "i"])
-    grouped = joined.groupBy(*id_cols).agg(
+    joined = checked_lookup(ex, words, "id", how="left", row_keys=["_row", "i"])
+    grouped = joined.groupBy("_row", *id_cols).agg(
         F.array_sort(F.collect_list(F.when(F.col("token").isNotNull(), F.struct("i", "token")))).alias("items")
     )
     return grouped.select(*id_cols, F.array_join(F.transform("items", lambda x: x["token"]), " ").alias("text"))

@@ -97,7 +97,7 @@ tok AS (SELECT c.bucket, c.copies, unnest(t.tokens) AS token FROM copies c JOIN
 counts AS (SELECT token, CAST(sum(CASE WHEN bucket = 0 THEN copies ELSE 0 END) AS BIGINT) AS c0,
                   CAST(sum(CASE WHEN bucket = 1 THEN copies ELSE 0 END) AS BIGINT) AS c1
            FROM tok WHERE token <> '*' GROUP BY token),
-vocab AS (SELECT * FROM counts ORDER BY c0 + c1 DESC, token LIMIT 30000),
+vocab AS (SELECT * FROM counts),
 tot AS (SELECT sum(c0) AS t0, sum(c1) AS t1, count(*) AS v FROM vocab),
 weights AS (SELECT token, CAST(ln((CAST(c1 AS DOUBLE) + 1.0) / CAST(t1 + v AS DOUBLE))
                           - ln((CAST(c0 AS DOUBLE) + 1.0) / CAST(t0 + v AS DOUBLE)) AS DECIMAL(18,6)) AS weight, c0, c1
@@ -151,18 +151,17 @@ CONFUSION = """count(*) FILTER (WHERE {t} = 1 AND {p} = 1) AS tp, count(*) FILTE
   count(*) FILTER (WHERE {t} = 1 AND {p} <> 1) AS fn, count(*) FILTER (WHERE {t} <> 1 AND {p} <> 1) AS tn"""
 
 
-def _vocab_sql(size: int) -> str:
-    return f"""
+VOCAB = """
 doc_tok AS (SELECT unnest(tokens) AS token FROM doc_tokens),
 doc_counts AS (SELECT token, count(*) AS count FROM doc_tok GROUP BY token),
-learned AS (SELECT token, CAST(row_number() OVER (ORDER BY count DESC, token) + 4 AS INTEGER) AS id, count
-            FROM (SELECT * FROM doc_counts WHERE token <> '*' ORDER BY count DESC, token LIMIT {size})),
+learned AS (SELECT token, row_number() OVER (ORDER BY count DESC, token) + 4 AS id, count
+            FROM doc_counts WHERE token <> '*'),
 vocab_all AS (SELECT * FROM (VALUES ('[PAD]', 0, NULL), ('[UNK]', 1, NULL), ('[CLS]', 2, NULL), ('[SEP]', 3, NULL),
                                     ('*', 4, NULL)) v(token, id, count)
               UNION ALL SELECT token, id, count FROM learned)"""
 
 
-ENCODE = f"""WITH {DOC_TOKENS},{_vocab_sql(5000)},
+ENCODE = f"""WITH {DOC_TOKENS},{VOCAB},
 ex AS (SELECT doc_id, unnest(range(len(tokens))) AS pos, unnest(tokens) AS token FROM doc_tokens),
 ids AS (SELECT ex.doc_id, ex.pos, coalesce(v.id, 1) AS id, CAST(floor(ex.pos / 148) AS INTEGER) AS chunk
         FROM ex LEFT JOIN vocab_all v ON ex.token = v.token),
@@ -283,7 +282,7 @@ def oracle_sql() -> dict[str, str]:
     q["clean_conversations"] = f"WITH {clean_ctes('c', 'conversations', 'conv_id, turn', 'text')} SELECT conv_id, turn, clean AS text FROM c"
     q["tokenize"] = f"""WITH {DOC_TOKENS}
         SELECT doc_id, CAST(unnest(range(len(tokens))) AS BIGINT) AS pos, unnest(tokens) AS token FROM doc_tokens"""
-    q["build_vocab"] = f"WITH {DOC_TOKENS},{_vocab_sql(30000)} SELECT token, id, count FROM vocab_all"
+    q["build_vocab"] = f"WITH {DOC_TOKENS},{VOCAB} SELECT token, id, count FROM vocab_all"
     q["encode"] = f"""{ENCODE}
         SELECT doc_id, chunk, len(input_ids) AS n_ids, array_to_string(input_ids, ' ') AS input_ids FROM enc"""
     q["model_inputs"] = f"""{ENCODE},

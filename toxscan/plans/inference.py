@@ -21,9 +21,9 @@ def moderate(df: DataFrame, scorer: AdditiveScorer, id_col: str = "doc_id", text
     return out
 
 
-def moderate_file(spark: SparkSession, path: str, scorer: AdditiveScorer, n: int | None = 100) -> DataFrame:
-    """Read a dataset file (``_id, document, label``), take the first ``n`` rows in file order
-    (all rows when ``n`` is None) and moderate them."""
+def moderate_file(spark: SparkSession, path: str, scorer: AdditiveScorer, n: int | None = None) -> DataFrame:
+    """Read a dataset file (``_id, document, label``), and moderate all rows, or the first ``n`` in
+    file order."""
     df = read_dataset(spark, path)
     if n is not None:
         df = head_sample(df, n, "_id")

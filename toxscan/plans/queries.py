@@ -25,8 +25,6 @@ from toxscan.session import read_table, scratch_path, spread, write_table
 from toxscan.sources import files as S
 from toxscan.sources.posts import progress_counts, scan_posts
 
-ENCODE_VOCAB_SIZE = 5000
-
 
 def _r6(c) -> F.Column:
     return F.round(c if not isinstance(c, str) else F.col(c), 6)
@@ -184,23 +182,13 @@ def q_tokenize(spark, sf):
     return TK.token_table(docs).select("doc_id", F.col("pos").cast("long").alias("pos"), "token")
 
 
-def _doc_vocab(spark, sf, vocab_size, materialize=False, docs=None):
-    docs = docs if docs is not None else TK.with_tokens(_documents(spark, sf))
-    vocab = TK.build_vocab(TK.token_counts(TK.token_table(docs)), vocab_size)
-    # A vocabulary that is looked up is written once (bounded by vocab_size) and read back.
-    return write_table(vocab, "vocab") if materialize else vocab
-
-
 def q_build_vocab(spark, sf):
-    return _doc_vocab(spark, sf, TK.DEFAULT_VOCAB_SIZE)
+    return TK.build_vocab(TK.token_counts(TK.token_table(artifacts.doc_tokens(spark, sf))))
 
 
 def _encoded(spark, sf, pad):
-    # Tokenized once and written: the vocabulary and the encoding both read these token arrays, so
-    # the cleaning and tokenizing pass (the costly part) is not repeated.
-    docs = write_table(TK.with_tokens(_documents(spark, sf)).select("doc_id", "tokens"), "doc-tokens")
-    vocab = _doc_vocab(spark, sf, ENCODE_VOCAB_SIZE, materialize=True, docs=docs)
-    return TK.encode(TK.token_table_outer(docs), vocab, pad=pad), vocab
+    vocab = artifacts.vocab(spark, sf)
+    return TK.encode(artifacts.doc_tokens(spark, sf), vocab, pad=pad), vocab
 
 
 def _ids_text(c):
@@ -273,17 +261,6 @@ def q_purify_loop(spark, sf):
                     "final_score")
 
 
-def q_fit_logistic(spark, sf):
-    """M1 alternative: pyspark.ml count vectors and logistic regression; test-split predictions.
-    Iterative fit: rows-only check (no SQL oracle)."""
-    from toxscan.operators.scorer import fit_logistic, score_logistic
-
-    ds = artifacts.dataset(spark, sf)
-    model = fit_logistic(ds.train, read_table(spark, sf, "documents"))
-    test = TK.with_tokens(_test_docs(spark, sf))
-    return score_logistic(model, test, keep=["label"]).select("doc_id", "label", "pred", _r6("p1").alias("p1"))
-
-
 def q_cross_entropy(spark, sf):
     s = _scored_test(spark, sf)
     return s.select("doc_id", "label", _r6(cross_entropy()).alias("loss"))
@@ -462,7 +439,6 @@ QUERIES = {
     "attribute": q_attribute,
     "purify": q_purify,
     "purify_loop": q_purify_loop,
-    "fit_logistic": q_fit_logistic,
     "cross_entropy": q_cross_entropy,
     "binary_metrics": q_binary_metrics,
     "batch_metrics": q_batch_metrics,

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from toxscan.operators.metrics import batch_metrics, binary_metrics, epoch_loss
 from toxscan.operators.scorer import AdditiveScorer, cross_entropy, fit_scorer, score
-from toxscan.operators.tokens import DEFAULT_VOCAB_SIZE, with_tokens
+from toxscan.operators.tokens import with_tokens
 from toxscan.plans.dataset import LabelledDataset, with_text
 from toxscan.session import read_table
 
 
 def train(spark: SparkSession, sf_dir: str, ds: LabelledDataset, model_path: str,
-          vocab_size: int = DEFAULT_VOCAB_SIZE) -> AdditiveScorer:
+          vocab_size: int | None = None) -> AdditiveScorer:
     """Fit on the balanced train table and save the model (weights + bias) at ``model_path``."""
     fitted = fit_scorer(ds.train, read_table(spark, sf_dir, "documents"), vocab_size=vocab_size)
     fitted.save(model_path)
