@@ -1,8 +1,11 @@
 """Command line: ``python -m toxscan build|train|moderate ...``.
 
-    build    SF_DIR OUT          labelled dataset: OUT/ratings_labeled{,_train,_test}.csv
-    train    SF_DIR MODEL        fit on the balanced train split, save MODEL, print metrics
+    build    POSTS OUT           labelled dataset: OUT/ratings_labeled{,_train,_test}.csv
+    train    POSTS MODEL         fit on the balanced train split, save MODEL, print metrics
     moderate DATASET MODEL OUT   purify a dataset file with a saved model, write OUT (parquet)
+
+POSTS is a table of posts (Parquet, or JSON lines by its suffix) with ``string, label, labeling_confirm``; with
+``--tables`` it is a folder with ``documents.parquet`` and ``labels.parquet``.
 """
 
 from __future__ import annotations
@@ -17,10 +20,12 @@ def main(argv=None) -> None:
     ap = argparse.ArgumentParser(prog="toxscan")
     sub = ap.add_subparsers(dest="cmd", required=True)
     b = sub.add_parser("build")
-    b.add_argument("sf_dir")
+    b.add_argument("posts")
+    b.add_argument("--tables", action="store_true")
     b.add_argument("out")
     t = sub.add_parser("train")
-    t.add_argument("sf_dir")
+    t.add_argument("posts")
+    t.add_argument("--tables", action="store_true")
     t.add_argument("model")
     m = sub.add_parser("moderate")
     m.add_argument("dataset")
@@ -30,25 +35,28 @@ def main(argv=None) -> None:
     args = ap.parse_args(argv)
 
     from toxscan.operators.scorer import AdditiveScorer
-    from toxscan.plans.dataset import labelled_dataset, with_text
-    from toxscan.session import get_spark
+    from toxscan.plans.dataset import labelled_dataset, with_post_text
+    from toxscan.session import cleanup, get_spark
     from toxscan.sources.files import write_dataset
+    from toxscan.sources.posts import progress_counts, read_posts, scan_posts
 
     spark = get_spark()
+    if args.cmd in ("build", "train"):
+        posts = scan_posts(spark, args.posts, include_unlabelled=True) if args.tables else read_posts(spark, args.posts)
+        ds = labelled_dataset(spark, None, materialize=True, posts=posts)
     if args.cmd == "build":
-        ds = labelled_dataset(spark, args.sf_dir, materialize=True)
-        full = with_text(ds.split, spark, args.sf_dir, out="document")
-        write_dataset(full, f"{args.out}/ratings_labeled.csv")
+        write_dataset(with_post_text(ds.split, posts, out="document"), f"{args.out}/ratings_labeled.csv")
         for name, part in (("train", ds.train), ("test", ds.test)):
-            rows = with_text(part, spark, args.sf_dir, out="document").withColumn("_id", F.col("position"))
+            rows = with_post_text(part, posts, out="document").withColumn("_id", F.col("position"))
             write_dataset(rows, f"{args.out}/ratings_labeled_{name}.csv")
-        print(json.dumps({r["split"] + "_" + str(r["bucket"]): r["n"] for r in ds.summary().collect()}))
+        told = ds.summary(progress_counts(posts)).collect()
+        print(json.dumps({r["split"] + ("" if r["bucket"] is None else f"_{r['bucket']}"): r["n"] for r in told}))
     elif args.cmd == "train":
         from toxscan.plans.training import train, validate
 
-        ds = labelled_dataset(spark, args.sf_dir, materialize=True)
-        scorer = train(spark, args.sf_dir, ds, args.model)
-        out = validate(spark, args.sf_dir, ds, scorer)
+        texts = posts.select("doc_id", F.col("string").alias("text"))
+        scorer = train(spark, ds, args.model, texts)
+        out = validate(with_post_text(ds.test, posts), scorer)
         metrics = out["metrics"].first().asDict()
         metrics["val_loss"] = out["val_loss"].first()["val_loss"]
         print(json.dumps(metrics))
@@ -57,6 +65,7 @@ def main(argv=None) -> None:
 
         scorer = AdditiveScorer.load(spark, args.model)
         moderate_file(spark, args.dataset, scorer, args.head).write.mode("overwrite").parquet(args.out)
+    cleanup(spark)
     spark.stop()
 
 

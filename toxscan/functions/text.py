@@ -19,9 +19,22 @@ from pyspark.sql import functions as F
 # (U+3131-U+D7A3), in the order the reference lists them:
 KEEP_CHARS = " .,?!/@$%~％·∼()"
 KEEP_RANGES = ((0x0000, 0x007F), (0x3131, 0xD7A3))
-# Emoji are taken as these fixed ranges: zero-width joiner, variation selector 16, miscellaneous
-# symbols and dingbats, and the pictograph planes U+1F300-U+1FAFF.
-EMOJI_RANGES = ((0x200D, 0x200D), (0xFE0F, 0xFE0F), (0x2600, 0x27BF), (0x1F300, 0x1FAFF))
+# Emoji are taken as these fixed ranges: the code points with the Unicode property Emoji that are not ASCII, blocks
+# of symbols whole, and what joins or varies them (joiner, variation selector 16, keycap, tags).
+EMOJI_RANGES = (
+    (0x00A9, 0x00A9), (0x00AE, 0x00AE), (0x200D, 0x200D), (0x203C, 0x203C), (0x2049, 0x2049), (0x20E3, 0x20E3),
+    (0x2122, 0x2122), (0x2139, 0x2139), (0x2194, 0x2199), (0x21A9, 0x21AA), (0x231A, 0x231B), (0x2328, 0x2328),
+    (0x23CF, 0x23CF), (0x23E9, 0x23F3), (0x23F8, 0x23FA), (0x24C2, 0x24C2), (0x25AA, 0x25AB), (0x25B6, 0x25B6),
+    (0x25C0, 0x25C0), (0x25FB, 0x25FE), (0x2600, 0x27BF), (0x2934, 0x2935), (0x2B05, 0x2B07), (0x2B1B, 0x2B1C),
+    (0x2B50, 0x2B50), (0x2B55, 0x2B55), (0x3030, 0x3030), (0x303D, 0x303D), (0x3297, 0x3297), (0x3299, 0x3299),
+    (0xFE0F, 0xFE0F), (0x1F004, 0x1F004), (0x1F0CF, 0x1F0CF), (0x1F170, 0x1F171), (0x1F17E, 0x1F17F),
+    (0x1F18E, 0x1F18E), (0x1F191, 0x1F19A), (0x1F1E6, 0x1F1FF), (0x1F201, 0x1F202), (0x1F21A, 0x1F21A),
+    (0x1F22F, 0x1F22F), (0x1F232, 0x1F23A), (0x1F250, 0x1F251), (0x1F300, 0x1FAFF), (0xE0020, 0xE007F),
+)
+# Word characters among those the cleaner keeps: digits, Latin letters, underscore, Hangul letters and syllables,
+# and the ideographs of the kept range.
+WORD_RANGES = ((0x30, 0x39), (0x41, 0x5A), (0x5F, 0x5F), (0x61, 0x7A), (0x3131, 0x318E), (0x3400, 0x4DBF),
+               (0x4E00, 0x9FFF), (0xAC00, 0xD7A3))
 # URL pattern removed after the allowlist step:
 URL_PATTERN = (
     r"https?:\/\/(www\.)?[-a-zA-Z0-9@:%._\+~#=]{1,256}\.[a-zA-Z0-9()]{1,6}\b"
@@ -67,13 +80,9 @@ def kept_ranges() -> tuple[tuple[int, int], ...]:
     return tuple(_compress(cps))
 
 
-@lru_cache(maxsize=1)
 def word_ranges() -> tuple[tuple[int, int], ...]:
-    """Word characters among those the allowlist keeps, by Python's rule for ``\\w``:
-    alphanumeric (``str.isalnum``) or underscore. Generated, not listed, so the class is exact for
-    every kept character and identical in Spark and in the oracle."""
-    cps = (c for a, b in kept_ranges() for c in range(a, b + 1))
-    return tuple(_compress(c for c in cps if c == 0x5F or chr(c).isalnum()))
+    """The fixed word class: the same under every Python version, in Spark and in the oracle."""
+    return WORD_RANGES
 
 
 @lru_cache(maxsize=1)

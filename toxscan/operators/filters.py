@@ -11,7 +11,7 @@ from toxscan.functions.text import clean_text, null_as_text, tokenize
 from toxscan.operators.joins import checked_lookup
 from toxscan.operators.ranking import exact_rank
 from toxscan.session import write_table
-from toxscan.sources.posts import kept_all, kept_confirmed
+from toxscan.sources.posts import kept_all, kept_confirmed, known_label
 
 # A small English word list used as the default lexicon. The reference labels posts
 # with a banned-word list it does not publish; any list can be passed instead.
@@ -19,13 +19,13 @@ DEFAULT_LEXICON = ("idiot", "moron", "pathetic", "scum", "trash", "worthless")
 
 
 def drop_unlabelled(posts: DataFrame) -> DataFrame:
-    """Drop ``label == -1`` (a missing label is dropped too)."""
-    return posts.filter(kept_all())
+    """Drop ``label == -1``. A null label is an error."""
+    return known_label(posts.filter(kept_all()))
 
 
 def confirmed_only(posts: DataFrame) -> DataFrame:
-    """Drop unconfirmed or unlabelled posts."""
-    return posts.filter(kept_confirmed())
+    """Drop unconfirmed or unlabelled posts. A null label among the confirmed is an error."""
+    return known_label(posts.filter(kept_confirmed()))
 
 
 def project_dataset(posts: DataFrame) -> DataFrame:

@@ -32,8 +32,8 @@ def require_found(keys: DataFrame, metadata: DataFrame, key_col: str = "key") ->
 
 
 def latest_version(entries: DataFrame, url_col: str = "url", etag_col: str = "etag") -> DataFrame:
-    """K3: per URL, the cached variant to use without an etag: the entry whose file name
-    ``url_key.etag_key`` is the greatest (a deterministic "last" of the listing).
+    """K3: per URL, the cached entry to use without an etag: the plain one if there is one, else the variant whose
+    file name ``url_key.etag_key`` is the greatest (a deterministic "last" of the listing).
 
     A ``groupBy`` with ``max_by`` (partially aggregated), not a window, so a URL with very many
     variants does not land in one task.
@@ -42,7 +42,7 @@ def latest_version(entries: DataFrame, url_col: str = "url", etag_col: str = "et
         F.sha2(F.col(url_col), 256).alias("url_key"), F.col(url_col).alias("url"),
         url_key(url_col, etag_col).alias("file_name"), F.col(etag_col).alias("etag"),
     ).filter(~F.col("file_name").endswith(".json"))
-    return named.groupBy("url_key").agg(
-        F.max_by("url", "file_name").alias("url"), F.max("file_name").alias("file_name"),
-        F.max_by("etag", "file_name").alias("etag"), F.count(F.lit(1)).alias("n_variants"),
-    )
+    rank = F.struct((F.col("file_name") == F.col("url_key")).alias("plain"), F.col("file_name"))
+    best = F.max_by(F.struct("url", "file_name", "etag"), rank).alias("best")
+    return named.groupBy("url_key").agg(best, F.count(F.lit(1)).alias("n_variants")).select(
+        "url_key", "best.url", "best.file_name", "best.etag", "n_variants")

@@ -66,8 +66,8 @@ def oversample(train: DataFrame, class_col: str = "bucket", rank_col: str = "_id
         raise ValueError("oversample: the minority class has no training rows")
     ratio = n0 // n1 + 1
     rows = train.filter(F.col(class_col) == minority)
-    rows = rows.withColumn(copy_col, F.explode(F.sequence(F.lit(0), F.lit(ratio - 1))))
-    return rows.filter(F.col(copy_col) * F.lit(n1) + F.col(rank_col) < F.lit(n0))
+    rows = rows.withColumn(copy_col, F.explode(F.sequence(F.lit(0), F.lit(ratio - 1).cast("int"))))
+    return rows.filter(F.col(copy_col).cast("long") * F.lit(n1).cast("long") + F.col(rank_col) < F.lit(n0))
 
 
 def union_classes(*frames: DataFrame) -> DataFrame:
@@ -94,11 +94,16 @@ def shuffle_rows(df: DataFrame, seed: int = DEFAULT_SEED, key_cols: Sequence[str
 
 
 def split_summary(split_df: DataFrame, balanced: DataFrame, class_col: str = "bucket",
-                  split_col: str = "split") -> DataFrame:
-    """Rows per (split, class) for all, train, test and the balanced train table."""
+                  split_col: str = "split", progress: DataFrame | None = None) -> DataFrame:
+    """Rows per (split, class) for all, train, test and the balanced train table; with ``progress`` (from
+    ``progress_counts``) also the rows ``kept`` and ``seen`` (no class)."""
     parts = [
         split_df.groupBy(F.lit("all").alias("split"), F.col(class_col).alias("bucket")).count(),
         split_df.groupBy(F.col(split_col).alias("split"), F.col(class_col).alias("bucket")).count(),
         balanced.groupBy(F.lit("train_balanced").alias("split"), F.col(class_col).alias("bucket")).count(),
     ]
+    if progress is not None:
+        told = F.explode(F.array(F.struct(F.lit("kept").alias("split"), F.col("kept_confirmed").alias("count")),
+                                 F.struct(F.lit("seen").alias("split"), F.col("seen").alias("count"))))
+        parts.append(progress.select(told.alias("x")).select("x.split", F.lit(None).cast("int").alias("bucket"), "x.count"))
     return union_classes(*parts).withColumnRenamed("count", "n")

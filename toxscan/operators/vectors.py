@@ -31,7 +31,7 @@ def as_double_array(c: str) -> Column:
 
 def head_size(dim: int, heads: int) -> int:
     if dim % heads != 0:
-        raise ValueError(f"The vector size ({dim}) is not a multiple of the number of heads ({heads})")
+        raise ValueError(f"{heads} heads cannot share {dim} values evenly")
     return dim // heads
 
 
@@ -47,43 +47,60 @@ def split_heads(df: DataFrame, vec_col: str = "embedding", dim: int = 64, heads:
     return ex.withColumn(out, F.slice(as_double_array(vec_col), F.col("head") * hs + 1, F.lit(hs)))
 
 
-def attention_scores(df: DataFrame, group_col: str = "label", id_col: str = "vec_id", vec_col: str = "embedding",
-                     dim: int = 64, heads: int = 4) -> DataFrame:
-    """M5 (scores) + M6: ``(group, head, id, query_id, score, prob)`` for every key row."""
+def _scored(df: DataFrame, group_col: str, id_col: str, columns: tuple[str, str, str], dim: int, heads: int,
+            scale: float | None) -> tuple[DataFrame, DataFrame]:
+    """Key rows with ``query_id``, ``_v`` and ``_e`` (``exp(score - maximum)`` by head) and ``_s`` (scores by head), one row
+    per key; and the query table."""
     hs = head_size(dim, heads)
-    vecs = df.select(group_col, id_col, as_double_array(vec_col).alias("_v"))
-    # Per-group tables are aggregates (one row per group); each is written once to the shared folder
-    # before its size check, so the vectors are not read again for the join.
+    q, k, v = (as_double_array(c) for c in columns)
+    vecs = df.select(group_col, id_col, q.alias("_q0"), k.alias("_k"), v.alias("_v"))
+    # One row per group, written once: the vectors are not read again for the size check and the join.
     query = write_table(vecs.groupBy(group_col).agg(
-        F.min(id_col).alias("query_id"), F.min_by("_v", F.col(id_col)).alias("_q")
+        F.min(id_col).alias("query_id"), F.min_by("_q0", F.col(id_col)).alias("_q")
     ), "attention-query")
-    keys = checked_lookup(vecs, query, group_col, how="inner", row_keys=[id_col])
+    keys = checked_lookup(vecs.drop("_q0"), query, group_col, how="inner", row_keys=[id_col])
     keys = keys.filter(F.col(id_col) != F.col("query_id"))
-    keys = keys.withColumn("head", F.explode(F.sequence(F.lit(0), F.lit(heads - 1))))
-    start = F.col("head") * hs + 1
-    scored = keys.withColumn(
-        "score", dot(F.slice("_q", start, F.lit(hs)), F.slice("_v", start, F.lit(hs))) / math.sqrt(hs)
-    ).drop("_q")
-    gmax = write_table(scored.groupBy(group_col, "head").agg(F.max("score").alias("_m")), "attention-max")
-    scored = checked_lookup(scored, gmax, [group_col, "head"], how="inner", row_keys=[id_col])
-    scored = scored.withColumn("_e", F.exp(F.col("score") - F.col("_m")))
-    z = write_table(scored.groupBy(group_col, "head").agg(F.sum("_e").alias("_z")), "attention-z")
-    scored = checked_lookup(scored, z, [group_col, "head"], how="inner", row_keys=[id_col])
-    return scored.select(group_col, "head", id_col, "query_id", "score", (F.col("_e") / F.col("_z")).alias("prob"),
-                         "_v", "_e", "_z")
+    div = F.lit(math.sqrt(hs) if scale is None else float(scale))
+    score = F.array(*[dot(F.slice("_q", h * hs + 1, hs), F.slice("_k", h * hs + 1, hs)) / div for h in range(heads)])
+    scored = keys.select(group_col, id_col, "query_id", "_v", score.alias("_s"))
+    tops = [F.max(F.element_at("_s", h + 1)).alias(f"_m{h}") for h in range(heads)]
+    maxima = write_table(scored.groupBy(group_col).agg(*tops), "attention-max")
+    scored = checked_lookup(scored, maxima, group_col, how="inner", row_keys=[id_col])
+    e = F.array(*[F.exp(F.element_at("_s", h + 1) - F.col(f"_m{h}")) for h in range(heads)])
+    return scored.select(group_col, id_col, "query_id", "_v", "_s", e.alias("_e")), query
+
+
+def attention_scores(df: DataFrame, group_col: str = "label", id_col: str = "vec_id", vec_col: str = "embedding",
+                     dim: int = 64, heads: int = 4, query_col: str | None = None, key_col: str | None = None,
+                     scale: float | None = None) -> DataFrame:
+    """M5 (scores) + M6: ``(group, head, id, query_id, score, prob)`` for every key row.
+
+    ``query_col`` and ``key_col`` default to ``vec_col``. ``scale`` divides the products (default: the root of the
+    head's size); a model that does not split but scales by its configured heads passes it with ``heads=1``."""
+    columns = (query_col or vec_col, key_col or vec_col, vec_col)
+    scored, _ = _scored(df, group_col, id_col, columns, dim, heads, scale)
+    sums = write_table(scored.groupBy(group_col).agg(
+        *[F.sum(F.element_at("_e", h + 1)).alias(f"_z{h}") for h in range(heads)]), "attention-z")
+    joined = checked_lookup(scored.drop("_v"), sums, group_col, how="inner", row_keys=[id_col])
+    z = F.array(*[F.col(f"_z{h}") for h in range(heads)])
+    probs = F.zip_with("_e", z, lambda e, t: e / t)
+    ex = joined.select(group_col, id_col, "query_id", F.posexplode(F.arrays_zip(F.col("_s").alias("s"), probs.alias("p"))).alias("head", "x"))
+    return ex.select(group_col, "head", id_col, "query_id", F.col("x.s").alias("score"), F.col("x.p").alias("prob"))
 
 
 def attention_pool(df: DataFrame, group_col: str = "label", id_col: str = "vec_id", vec_col: str = "embedding",
-                   dim: int = 64, heads: int = 4) -> DataFrame:
+                   dim: int = 64, heads: int = 4, query_col: str | None = None, key_col: str | None = None,
+                   scale: float | None = None) -> DataFrame:
     """M5: ``(group, dim, value)``: the pooled vector ``tanh(sum_k p_k v_k)`` per head, all heads
-    concatenated. The weighted sums are per-(group, head) aggregates, one sum per value position."""
+    concatenated. One row per key reaches the aggregate, whose sums (one per value position and one per head) are
+    combined before the shuffle. ``vec_col`` holds the values; see ``attention_scores`` for the rest."""
     hs = head_size(dim, heads)
-    sc = attention_scores(df, group_col, id_col, vec_col, dim, heads)
-    sums = [F.sum(F.col("_e") * F.element_at("_v", F.col("head") * hs + j + 1)).alias(f"_s{j}") for j in range(hs)]
-    per = sc.groupBy(group_col, "head").agg(F.sum("_e").alias("_z"), *sums)
-    pooled = F.array(*[F.tanh(F.col(f"_s{j}") / F.col("_z")) for j in range(hs)])
-    ex = per.select(group_col, "head", F.posexplode(pooled).alias("j", "value"))
-    return ex.select(group_col, (F.col("head") * hs + F.col("j")).cast("int").alias("dim"), "value")
+    scored, _ = _scored(df, group_col, id_col, (query_col or vec_col, key_col or vec_col, vec_col), dim, heads, scale)
+    sums = [F.sum(F.element_at("_e", h + 1)).alias(f"_z{h}") for h in range(heads)]
+    sums += [F.sum(F.element_at("_e", j // hs + 1) * F.element_at("_v", j + 1)).alias(f"_s{j}") for j in range(dim)]
+    per = scored.groupBy(group_col).agg(*sums)
+    pooled = F.array(*[F.tanh(F.col(f"_s{j}") / F.col(f"_z{j // hs}")) for j in range(dim)])
+    return per.select(group_col, F.posexplode(pooled).alias("dim", "value"))
 
 
 def layer_norm(v: Column, eps: float = LAYER_NORM_EPS) -> Column:
@@ -107,25 +124,26 @@ def combine_layers(df: DataFrame, group_cols: Sequence[str] = ("label",), vec_co
     return per.select(*group_cols, "n", combined.alias("combined"))
 
 
-# Fixed rule for the demonstration head: W[c][j] = ((7 j + 13 c) mod 17 - 8) / 8, b = (0.5, -0.5).
-def head_weights(dim: int, classes: int = 2) -> tuple[list[list[float]], list[float]]:
-    w = [[((7 * j + 13 * c) % 17 - 8) / 8.0 for j in range(dim)] for c in range(classes)]
-    b = [0.5 - c for c in range(classes)]
-    return w, b
+def centroid_head(df: DataFrame, class_col: str = "label", vec_col: str = "embedding", dim: int = 64) -> DataFrame:
+    """Weights of a linear head that picks the nearest class mean: ``(class, w, b)`` with ``w`` the mean vector of a
+    class and ``b = -|w|^2 / 2``."""
+    v = as_double_array(vec_col)
+    means = df.groupBy(F.col(class_col).alias("class")).agg(*[F.avg(F.element_at(v, j + 1)).alias(f"_m{j}") for j in range(dim)])
+    w = F.array(*[F.col(f"_m{j}") for j in range(dim)])
+    return means.select("class", w.alias("w"), (dot(w, w) * F.lit(-0.5)).alias("b"))
+
 
+def linear_head(df: DataFrame, vec_col: str, weights: DataFrame, max_classes: int = 1000) -> DataFrame:
+    """M8: adds ``logits`` (``W x + b`` in order of class) and ``pred``, the class of the greatest (ties: the first).
 
-def linear_head(df: DataFrame, vec_col: str, weights: list[list[float]], bias: list[float]) -> DataFrame:
-    """M8: logits ``W x + b`` (one column per class) and their argmax as ``pred``."""
+    ``weights``: ``(class, w, b)``, a model: its rows become literals of the plan, so more than ``max_classes`` rows
+    are an error, not a cut."""
+    rows = weights.select("class", "w", "b").orderBy("class").limit(max_classes + 1).collect()
+    if not rows or len(rows) > max_classes:
+        raise ValueError(f"linear_head: the model needs 1 to {max_classes} classes")
     x = F.col(vec_col)
-    logits = [
-        dot(x, F.array(*[F.lit(float(w)) for w in row])) + F.lit(float(b)) for row, b in zip(weights, bias)
-    ]
-    out = df
-    for c, z in enumerate(logits):
-        out = out.withColumn(f"z{c}", z)
-    best = F.lit(0)
-    for c in range(1, len(logits)):
-        earlier = [F.col(f"z{k}") for k in range(c)]
-        top = earlier[0] if c == 1 else F.greatest(*earlier)
-        best = F.when(F.col(f"z{c}") > top, F.lit(c)).otherwise(best)
-    return out.withColumn("pred", best)
+    logits = [dot(x, F.array(*[F.lit(float(w)) for w in r["w"]])) + F.lit(float(r["b"])) for r in rows]
+    out = df.withColumn("logits", F.array(*logits))
+    best = F.array_position("logits", F.array_max("logits"))
+    classes = F.array(*[F.lit(r["class"]) for r in rows])
+    return out.withColumn("pred", F.element_at(classes, best.cast("int")))

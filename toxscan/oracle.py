@@ -229,7 +229,7 @@ def oracle_sql() -> dict[str, str]:
                  f"UNION ALL SELECT {url_key('url')} AS key FROM pages)")
 
     q: dict[str, str] = {}
-    q["scan_posts"] = POSTS
+    q["scan_posts"] = POSTS_ALL
     q["progress_counts"] = f"""SELECT count(*) FILTER (WHERE label <> -1) AS kept_all,
         count(*) FILTER (WHERE {CONFIRMED_WHERE}) AS kept_confirmed, count(*) AS seen FROM ({POSTS_ALL})"""
     q["dataset_csv_roundtrip"] = f"""SELECT row_number() OVER (PARTITION BY bucket ORDER BY doc_id) - 1 AS _id, document, label
@@ -271,7 +271,11 @@ def oracle_sql() -> dict[str, str]:
     q["split_summary"] = f"""WITH {DATASET.strip()}
         SELECT 'all' AS split, bucket, count(*) AS n FROM split GROUP BY bucket
         UNION ALL SELECT split, bucket, count(*) AS n FROM split GROUP BY split, bucket
-        UNION ALL SELECT 'train_balanced' AS split, bucket, count(*) AS n FROM train GROUP BY bucket"""
+        UNION ALL SELECT 'train_balanced' AS split, bucket, count(*) AS n FROM train GROUP BY bucket
+        UNION ALL SELECT 'kept', NULL, count(*) FROM documents d JOIN labels l ON d.doc_id = l.doc_id
+                  WHERE coalesce(l.quality <> 0, true) AND l.toxic <> -1
+        UNION ALL SELECT 'seen', NULL, count(*) FROM documents"""
+    q["lexicon_file"] = q["lexicon_label"]
     q["exact_rank"] = """SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) - 1 AS rank
         FROM documents"""
     q["allowlist_chars"] = f"SELECT doc_id, regexp_replace(text, '{p['NK']}', ' ', 'g') AS text FROM documents"
@@ -310,6 +314,11 @@ def oracle_sql() -> dict[str, str]:
         SELECT doc_id, CAST(pos AS BIGINT) AS pos, token, weight, round(e / sum(e) OVER (PARTITION BY doc_id), 6) AS prob FROM am"""
     q["purify"] = f"""{BASE},{TEST_SCORED},{PURIFY_FROM.format(src='test_tok')}
         {PURIFY_SELECT}"""
+    q["purify_file"] = f"""{BASE},
+        file_tok AS (SELECT s.doc_id, s.label, s._id AS position, dt.clean, dt.tokens
+                     FROM split s JOIN doc_tokens dt ON s.doc_id = dt.doc_id),
+        {PURIFY_FROM.format(src='file_tok').strip()}
+        {PURIFY_SELECT.replace('SELECT doc_id, label', 'SELECT position AS _id, label')}"""
     q["cross_entropy"] = f"{BASE},{TEST_SCORED} SELECT doc_id, label, round({LOSS}, 6) AS loss FROM scored2"
     q["binary_metrics"] = f"""{BASE},{TEST_SCORED},
         cm AS (SELECT {CONFUSION.format(t='label', p='pred')} FROM scored2)
@@ -353,22 +362,23 @@ def oracle_sql() -> dict[str, str]:
         st2 AS (SELECT label, n, v, mu, list_sum(list_transform(v, lambda x: (x - mu) * (x - mu))) / len(v) AS var FROM st),
         c AS (SELECT label, n, CASE WHEN n > 1 THEN list_transform(v, lambda x: (x - mu) / sqrt(var + 1e-12)) ELSE v END AS cv FROM st2)
         SELECT label, n, CAST(unnest(range(64)) AS INTEGER) AS dim, round(unnest(cv), 6) AS value FROM c"""
-    wrows = [[((7 * j + 13 * c) % 17 - 8) / 8.0 for j in range(64)] for c in range(2)]
-    zs = []
-    for c in range(2):
-        terms = " + ".join(f"pv[{j + 1}] * {wrows[c][j]!r}" for j in range(64))
-        zs.append(f"(({terms}) + {0.5 - c!r}) AS z{c}")
+    means = _dim_cols(64, "avg(CAST(embedding[{j1}] AS DOUBLE))")
     q["linear_head"] = f"""WITH {_pool_ctes().strip()},
         pv AS (SELECT label, list(value ORDER BY dim) AS pv FROM pooled_rows GROUP BY label),
-        lg AS (SELECT label, {', '.join(zs)} FROM pv)
-        SELECT label, round(z0, 6) AS z0, round(z1, 6) AS z1, CASE WHEN z1 > z0 THEN 1 ELSE 0 END AS pred FROM lg"""
+        head AS (SELECT label AS class, [{means}] AS w, row_number() OVER (ORDER BY label) - 1 AS place
+                 FROM embeddings GROUP BY label),
+        lg AS (SELECT pv.label, head.class, head.place, list_sum(list_transform(range(64), lambda j: pv[j + 1] * w[j + 1]))
+                      - 0.5 * list_sum(list_transform(w, lambda x: x * x)) AS z FROM pv, head)
+        SELECT label, first_value(class) OVER (PARTITION BY label ORDER BY z DESC, class) AS pred, place, round(z, 6) AS z FROM lg"""
     q["url_key"] = f"SELECT page_id, {url_key('url')} AS url_key, {url_key('url', 'md5(html)')} AS cache_key FROM pages"
     q["key_lookup"] = f"SELECT r.key, m.url, m.etag FROM ({requested}) r JOIN ({meta}) m ON r.key = m.key"
     q["missing_keys"] = f"SELECT r.key FROM ({requested}) r WHERE NOT EXISTS (SELECT 1 FROM ({meta}) m WHERE m.key = r.key)"
-    q["latest_version"] = f"""SELECT sha256(url) AS url_key, arg_max(url, fn) AS url, max(fn) AS file_name,
-        arg_max(etag, fn) AS etag, count(*) AS n_variants
-        FROM (SELECT url, etag, {url_key('url', 'etag')} AS fn FROM ({entries})) WHERE NOT fn LIKE '%.json'
-        GROUP BY sha256(url)"""
+    q["latest_version"] = f"""WITH site AS (SELECT regexp_extract(url, '^[a-z]+://[^/?#]*', 0) AS url,
+              CASE WHEN contains(url, '?') THEN md5(html) END AS etag FROM pages),
+        e AS (SELECT sha256(url) AS url_key, url, etag, {url_key('url', 'etag')} AS fn FROM site),
+        r AS (SELECT *, count(*) OVER (PARTITION BY url_key) AS n_variants,
+                     row_number() OVER (PARTITION BY url_key ORDER BY etag IS NULL DESC, fn DESC) AS k FROM e)
+        SELECT url_key, url, fn AS file_name, etag, n_variants FROM r WHERE k = 1"""
     q["route_uri"] = f"""SELECT page_id, {scheme('url')} AS scheme, {route('url')} AS route, {route(obj_key)} AS path_route,
         {route("'ftp://' || " + obj_key)} AS ftp_route FROM pages"""
     q["split_object_path"] = f"""SELECT page_id, regexp_extract(url, '{K.NETLOC_PATTERN}', 1) AS bucket, {obj_key} AS key,
@@ -377,7 +387,8 @@ def oracle_sql() -> dict[str, str]:
         {ext('upper(' + pages_path + ')', lower=False)} AS ext_upper FROM pages"""
     q["stream_moderate"] = q["purify"]
     q["purify_loop"] = q["purify"]
-    q["stream_progress"] = """SELECT CAST(coalesce(l.toxic, -1) AS INTEGER) AS label, count(*) AS n
+    q["stream_progress"] = """SELECT CAST(coalesce(l.toxic, -1) AS INTEGER) AS label, count(*) AS seen,
+        count(*) FILTER (WHERE coalesce(l.quality, 0) <> 0 AND coalesce(l.toxic, -1) <> -1) AS kept
         FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1"""
     q["batch_scorer"] = f"{BASE},{TEST_SCORED} SELECT doc_id, score, pred FROM scored2"
     del W

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from toxscan.operators.filters import class_bucket, confirmed_only, drop_unlabelled
+from toxscan.operators.joins import likely_in
 from toxscan.operators.split import (
     DEFAULT_SEED,
     DEFAULT_TEST_RATIO,
@@ -31,15 +32,15 @@ class LabelledDataset:
     train: DataFrame  # balanced train: doc_id, label, bucket, _id, copy, position (shuffled order)
     test: DataFrame  # doc_id, label, bucket, _id, copy = 0, position (shuffled order)
 
-    def summary(self) -> DataFrame:
-        return split_summary(self.split, self.train)
+    def summary(self, progress: DataFrame | None = None) -> DataFrame:
+        return split_summary(self.split, self.train, progress=progress)
 
 
-def labelled_dataset(spark: SparkSession, sf_dir: str, test_ratio: float = DEFAULT_TEST_RATIO,
-                     seed: int = DEFAULT_SEED, materialize: bool = False) -> LabelledDataset:
-    """``materialize`` writes the split, then builds train and test from the written split and
+def labelled_dataset(spark: SparkSession, sf_dir: str | None, test_ratio: float = DEFAULT_TEST_RATIO,
+                     seed: int = DEFAULT_SEED, materialize: bool = False, posts: DataFrame | None = None) -> LabelledDataset:
+    """From the driver tables under ``sf_dir``, or from a table of ``posts``. ``materialize`` writes the split, then builds train and test from the written split and
     writes them too: each rank is computed once and later readers start from files."""
-    posts = confirmed_only(scan_posts(spark, sf_dir)).select("doc_id", "label")
+    posts = confirmed_only(scan_posts(spark, sf_dir) if posts is None else posts).select("doc_id", "label")
     split = stratified_split(class_bucket(posts), "bucket", ["doc_id"], test_ratio)
     if materialize:
         split = write_table(split, "dataset-split")
@@ -58,6 +59,13 @@ def all_data_split(spark: SparkSession, sf_dir: str, test_ratio: float = DEFAULT
 
 
 def with_text(df: DataFrame, spark: SparkSession, sf_dir: str, out: str = "text") -> DataFrame:
-    """Join the document text by ``doc_id`` (a shuffle join on a unique key: no skew)."""
-    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias(out)), "doc_id")
-    return df.join(docs, "doc_id", "inner")
+    """Join the document text by ``doc_id`` (a unique key: no skew). Texts whose id ``df`` cannot have are
+    dropped next to the scan, by bitmaps of fixed size, so the shuffle carries little but the texts asked for."""
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias(out)))
+    return df.join(likely_in(docs, df, "doc_id"), "doc_id", "inner")
+
+
+def with_post_text(df: DataFrame, posts: DataFrame, out: str = "text") -> DataFrame:
+    """The same for a table of posts."""
+    docs = posts.select("doc_id", F.col("string").alias(out))
+    return df.join(likely_in(docs, df, "doc_id"), "doc_id", "inner")

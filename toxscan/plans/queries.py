@@ -37,7 +37,7 @@ def _confirmed(spark, sf):
 # --- S: sources and sinks --------------------------------------------------------------------
 
 def q_scan_posts(spark: SparkSession, sf: str) -> DataFrame:
-    return scan_posts(spark, sf)
+    return scan_posts(spark, sf, include_unlabelled=True)
 
 
 def q_progress_counts(spark, sf):
@@ -113,6 +113,16 @@ def q_lexicon_metrics(spark, sf):
     return A.binary_metrics(labelled, "label", "pred")
 
 
+def q_lexicon_file(spark, sf):
+    """S4 then P7: the word list as a file of lines, in capitals, with copies and trailing white space."""
+    path = scratch_path(spark, "lexicon") + ".txt"
+    words = spark.createDataFrame([(w.upper() + end,) for w in P.DEFAULT_LEXICON for end in ("", " \t")], "value string")
+    words.write.text(path)
+    posts = P.confirmed_only(scan_posts(spark, sf, spread_text=True))
+    found = P.lexicon_label(posts, "string", lexicon=S.read_line_set(spark, path))
+    return found.select("doc_id", "label", "lexicon_label")
+
+
 # --- R: split, sampling, set operations ------------------------------------------------------
 
 def q_random_split(spark, sf):
@@ -136,7 +146,7 @@ def q_shuffle_rows(spark, sf):
 
 
 def q_split_summary(spark, sf):
-    return artifacts.dataset(spark, sf).summary()
+    return artifacts.dataset(spark, sf).summary(q_progress_counts(spark, sf))
 
 
 def q_exact_rank(spark, sf):
@@ -250,6 +260,18 @@ def q_purify(spark, sf):
                     "final_score")
 
 
+def q_purify_file(spark, sf):
+    """The labelled dataset file, whose ``_id`` restarts in each class, purified row by row."""
+    from toxscan.plans.inference import moderate
+
+    path = scratch_path(spark, "ratings_labeled") + ".csv"
+    S.write_dataset(with_text(artifacts.dataset(spark, sf).split, spark, sf, out="document"), path)
+    rows = S.read_dataset(spark, path).select(F.col("_id").alias("doc_id"), F.col("document").alias("text"), "label")
+    p = moderate(rows, artifacts.scorer(spark, sf))
+    return p.select(F.col("doc_id").alias("_id"), "label", _r6("p0").alias("p0"), _r6("p1").alias("p1"), "pred", "text",
+                    "n_masked", "final_score")
+
+
 def q_purify_loop(spark, sf):
     """M4 alternative: the literal mask-and-rescore loop with the saved scorer as a pluggable model;
     equal to the closed form."""
@@ -313,12 +335,13 @@ def q_combine_layers(spark, sf):
 
 
 def q_linear_head(spark, sf):
+    """The pooled vector of each label under the head that picks the nearest class mean of the table."""
     pooled = V.attention_pool(_emb(spark, sf))
     vecs = pooled.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("dim", "value"))).alias("_p"))
     vecs = vecs.select("label", F.transform("_p", lambda x: x["value"]).alias("pooled"))
-    w, b = V.head_weights(64)
-    out = V.linear_head(vecs, "pooled", w, b)
-    return out.select("label", _r6("z0").alias("z0"), _r6("z1").alias("z1"), "pred")
+    out = V.linear_head(vecs, "pooled", V.centroid_head(_emb(spark, sf)))
+    return out.select("label", "pred", F.posexplode("logits").alias("place", "z")).select(
+        "label", "pred", F.col("place").cast("long").alias("place"), _r6("z").alias("z"))
 
 
 # --- K: keys ---------------------------------------------------------------------------------
@@ -355,7 +378,11 @@ def q_missing_keys(spark, sf):
 
 
 def q_latest_version(spark, sf):
-    return KL.latest_version(_cache_entries(spark, sf))
+    """Entries by site (the URL up to its host), so that a key has several variants; a page without a query string
+    is a plain entry."""
+    pages = read_table(spark, sf, "pages")
+    etag = F.when(F.col("url").contains("?"), F.md5("html"))
+    return KL.latest_version(pages.select(F.regexp_extract("url", r"^[a-z]+://[^/?#]*", 0).alias("url"), etag.alias("etag")))
 
 
 def q_route_uri(spark, sf):
@@ -415,6 +442,7 @@ QUERIES = {
     "null_as_text": q_null_as_text,
     "lexicon_label": q_lexicon_label,
     "lexicon_metrics": q_lexicon_metrics,
+    "lexicon_file": q_lexicon_file,
     "random_split": q_random_split,
     "stratified_split": q_stratified_split,
     "oversample": q_oversample,
@@ -438,6 +466,7 @@ QUERIES = {
     "score": q_score,
     "attribute": q_attribute,
     "purify": q_purify,
+    "purify_file": q_purify_file,
     "purify_loop": q_purify_loop,
     "cross_entropy": q_cross_entropy,
     "binary_metrics": q_binary_metrics,

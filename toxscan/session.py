@@ -9,26 +9,28 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def get_spark(master: str | None = None, shuffle_partitions: int = 8, app: str = "toxscan",
+def get_spark(master: str | None = None, shuffle_partitions: int | None = None, app: str = "toxscan",
               extra_conf: dict | None = None) -> SparkSession:
-    """A session configured the way the tests and the bench use it.
+    """A session with the settings the library relies on (AQE with skew-join splitting, UTC, no UI).
 
-    On a cluster the master and memory come from spark-submit; only settings the library relies on
-    are pinned here (AQE with skew-join splitting, UTC, no UI).
+    Master, memory and the number of shuffle partitions are those of spark-submit; a caller on one machine may
+    give the last here, and driver memory in ``TOXSCAN_DRIVER_MEMORY``.
     """
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
     builder = (
         builder.config("spark.ui.enabled", "false")
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", os.environ.get("TOXSCAN_DRIVER_MEMORY", "16g"))
     )
+    if shuffle_partitions is not None:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if memory := os.environ.get("TOXSCAN_DRIVER_MEMORY"):
+        builder = builder.config("spark.driver.memory", memory)
     for key, value in (extra_conf or {}).items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
@@ -40,8 +42,9 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8, app: str =
 def shared_dir(spark: SparkSession) -> str:
     """The cluster-wide folder named by ``spark.checkpoint.dir``.
 
-    It is read from the session; only when it is unset (local tests) a folder of our own is created
-    and registered, so that ``DataFrame.checkpoint`` and written tables land in one place.
+    It is read from the session; only when it is unset on one machine (local tests) a folder of our own is created
+    and registered, so that ``DataFrame.checkpoint`` and written tables land in one place. On a cluster an unset
+    folder is an error: no executor could read what another wrote.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -49,6 +52,8 @@ def shared_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc._jsc.sc().isLocal():
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="toxscan-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
@@ -71,6 +76,17 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def cleanup(spark: SparkSession) -> None:
+    """Delete what this application wrote under the shared folder for its own use. Call it when the results
+    that read it are written."""
+    for t in spark.catalog.listTables():
+        if t.name.startswith("toxscan_"):
+            spark.sql(f"DROP TABLE IF EXISTS {t.name}")
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/toxscan")
+    root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(root, True)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Repartition ``df`` (by ``keys`` when given) only when it has fewer partitions than the
     cluster has task slots, e.g. a text table stored as one large row group. A scan of a large

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from toxscan.functions.text import lines, rstrip_unicode
 
-DATASET_SCHEMA = "_id BIGINT, document STRING, label INT"
 DATASET_COLUMNS = ("_id", "document", "label")
 
 
@@ -18,7 +18,7 @@ def dataset_separator(path: str) -> str:
         return ","
     if p.endswith("tsv") or p.endswith("txt"):
         return "\t"
-    raise ValueError("Only Csv/Tsv(txt) are supported")
+    raise ValueError(f"{path}: a dataset file ends in csv, tsv or txt")
 
 
 def _csv_options(sep: str) -> dict:
@@ -28,11 +28,21 @@ def _csv_options(sep: str) -> dict:
     return {"header": "true", "sep": sep, "quote": '"', "escape": '"', "multiLine": "true"}
 
 
-def read_dataset(spark: SparkSession, path: str, schema: str = DATASET_SCHEMA) -> DataFrame:
-    """Read a dataset file with an explicit schema (no inference). Each part file is read whole
-    (multi-line records are not splittable), and a dataset written by Spark has many parts."""
-    reader = spark.read.schema(schema).options(**_csv_options(dataset_separator(path)))
-    return reader.option("nullValue", None).csv(path)
+def read_dataset(spark: SparkSession, path: str) -> DataFrame:
+    """``(_id, document, label)`` from a dataset file, by the names in its header, in whatever order; other columns
+    are ignored. ``document`` and ``label`` must be there; without ``_id`` it is null. A cell of the wrong type
+    is an error. Each part file is read whole (multi-line records are not splittable), and a dataset written by
+    Spark has many parts."""
+    options = _csv_options(dataset_separator(path))
+    header = spark.read.options(**options).csv(path).columns
+    if missing := [c for c in ("document", "label") if c not in header]:
+        raise ValueError(f"{path}: the header lacks {', '.join(missing)}")
+    kinds = {"_id": T.LongType(), "label": T.IntegerType()}
+    schema = T.StructType([T.StructField(c, kinds.get(c, T.StringType())) for c in header])
+    rows = spark.read.schema(schema).options(**options, mode="FAILFAST", enforceSchema="false").option("nullValue", None).csv(path)
+    if "_id" not in header:
+        rows = rows.withColumn("_id", F.lit(None).cast("long"))
+    return rows.select(*DATASET_COLUMNS)
 
 
 def write_dataset(df: DataFrame, path: str, columns=DATASET_COLUMNS) -> None:

@@ -19,6 +19,7 @@ from toxscan.operators.scorer import AdditiveScorer
 from toxscan.plans import artifacts
 from toxscan.plans.dataset import with_text
 from toxscan.session import read_table, scratch_path
+from toxscan.sources.posts import kept_confirmed
 
 MODERATED_SCHEMA = "doc_id long, label int, p0 double, p1 double, pred int, text string, n_masked long, final_score double"
 
@@ -36,35 +37,41 @@ def moderate_stream(source: DataFrame, scorer: AdditiveScorer, sink_path: str, c
     return writer.start()
 
 
-def _stage(df: DataFrame, name: str, files: int) -> str:
-    """Write ``df`` as ``files`` parquet files: the stream's input folder."""
+#: Files of one micro-batch: enough for every task slot of a large job to have some.
+FILES_PER_BATCH = 256
+
+
+def _stage(df: DataFrame, name: str, files: int | None) -> str:
+    """Write ``df`` as the stream's input folder, in its own partitions (or as ``files`` files)."""
     path = scratch_path(df.sparkSession, name)
-    df.repartition(files).write.parquet(path)
+    (df if files is None else df.repartition(files)).write.parquet(path)
     return path
 
 
-def stream_moderate_test(spark: SparkSession, sf_dir: str, files: int = 4) -> DataFrame:
-    """The test split streamed in ``files`` micro-batches (one file each); returns the sink."""
+def stream_moderate_test(spark: SparkSession, sf_dir: str, files: int | None = None,
+                         files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
+    """The test split streamed, ``files_per_batch`` files a micro-batch; returns the sink."""
     ds = artifacts.dataset(spark, sf_dir)
     staged = _stage(with_text(ds.test, spark, sf_dir).select("doc_id", "label", "text"), "stream-in", files)
-    source = spark.readStream.schema("doc_id long, label int, text string").option("maxFilesPerTrigger", 1).parquet(staged)
+    source = (spark.readStream.schema("doc_id long, label int, text string")
+              .option("maxFilesPerTrigger", files_per_batch).parquet(staged))
     sink, ckpt = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ckpt")
     q = moderate_stream(source, artifacts.scorer(spark, sf_dir), sink, ckpt)
     q.awaitTermination()
     return spark.read.schema(MODERATED_SCHEMA).parquet(sink).select(*[c.split()[0] for c in MODERATED_SCHEMA.split(", ")])
 
 
-def stream_progress(spark: SparkSession, sf_dir: str, files: int = 4) -> DataFrame:
-    """Running post counts per label (``-1`` = unlabelled) over the document stream; returns the
-    final complete-mode state ``(label, n)``."""
+def stream_progress(spark: SparkSession, sf_dir: str, files: int | None = None,
+                    files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
+    """Running counts per label (``-1`` = unlabelled) over the document stream: rows ``seen`` and rows ``kept`` by the
+    labelled path; returns the final complete-mode state ``(label, seen, kept)``."""
     staged = _stage(read_table(spark, sf_dir, "documents").select("doc_id"), "progress-in", files)
-    labels = read_table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    docs = spark.readStream.schema("doc_id long").option("maxFilesPerTrigger", 1).parquet(staged)
-    counts = (
-        docs.join(labels, "doc_id", "left")
-        .groupBy(F.coalesce(F.col("toxic"), F.lit(-1)).cast("int").alias("label"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    labels = read_table(spark, sf_dir, "labels").select("doc_id", "toxic", "quality")
+    docs = spark.readStream.schema("doc_id long").option("maxFilesPerTrigger", files_per_batch).parquet(staged)
+    posts = docs.join(labels, "doc_id", "left").select(
+        F.coalesce(F.col("toxic"), F.lit(-1)).cast("int").alias("label"),
+        F.coalesce(F.col("quality"), F.lit(0)).alias("labeling_confirm"))
+    counts = posts.groupBy("label").agg(F.count(F.lit(1)).alias("seen"), F.count_if(kept_confirmed()).alias("kept"))
     sink, ckpt = scratch_path(spark, "progress-out"), scratch_path(spark, "progress-ckpt")
 
     def write_state(batch: DataFrame, batch_id: int) -> None:
