@@ -306,7 +306,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` in whose text no item is found, all columns."""
-    gone = written(contaminated_texts(docs, benchmark, text_col, **options).select(
-        F.col("h1").alias("_h1"), F.col("h2").alias("_h2")).distinct(), "benchmark-found")
-    own = (F.xxhash64(text_col) == F.col("_h1")) & (F.xxhash64(F.lit("text"), text_col) == F.col("_h2"))
+    gone = written(contaminated_texts(docs, benchmark, text_col, **options).select("h1", "h2").distinct(), "benchmark-found")
+    own = (F.xxhash64(docs[text_col]) == gone["h1"]) & (F.xxhash64(F.lit("text"), docs[text_col]) == gone["h2"])
     return docs.join(gone, own, "left_anti")

@@ -223,7 +223,7 @@ def score(root: Element) -> list[Element]:
         share, above = 1.0, e.parent
         if e.tag not in PARAGRAPHS:
             e.score += points
-        while above is not None:
+        while above is not None and share > 1e-4:  # what is left for farther ancestors decides nothing
             above.score += points * share
             share /= 2 if share == 1.0 else 1.5
             above = above.parent

@@ -309,9 +309,9 @@ def without_rejected(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id"
     """The rows of ``docs`` that are kept, all columns. The verdict depends on text and language alone, so rejected
     rows are found by those."""
     gone = classify(docs, trusted, id_col, text_col, lang_col, **options).filter(~F.col("kept")).select(
-        F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.col("lang").alias("_lang")).distinct()
-    own = (F.xxhash64(text_col) == F.col("_h1")) & (F.xxhash64(F.lit("text"), text_col) == F.col("_h2"))
-    return docs.join(gone, own & docs[lang_col].eqNullSafe(gone["_lang"]), "left_anti")
+        "h1", "h2", F.col("lang").alias("language")).distinct()
+    own = (F.xxhash64(docs[text_col]) == gone["h1"]) & (F.xxhash64(F.lit("text"), docs[text_col]) == gone["h2"])
+    return docs.join(gone, own & docs[lang_col].eqNullSafe(gone["language"]), "left_anti")
 
 
 def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *,
