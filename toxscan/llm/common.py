@@ -29,15 +29,6 @@ def written(df: DataFrame, name: str, *, path: str | None = None, partition_by:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def removed(spark: SparkSession, *paths: str) -> None:
-    """Delete written tables of this run that no plan reads any more."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for p in paths:
-        target = jvm.org.apache.hadoop.fs.Path(p)
-        target.getFileSystem(conf).delete(target, True)
-
-
 def python_ready(spark: SparkSession) -> None:
     """Make this package importable in Python workers."""
     ship_package(spark)
@@ -47,6 +38,17 @@ def text_or_empty(c: str = "text") -> Column:
     return F.coalesce(F.col(c), F.lit(""))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores behind it until ``df`` has no such column."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def byte_batches(texts: Iterable[str], limit: int = 1 << 20) -> Iterator[list[str]]:
     """Consecutive texts in lists of about ``limit`` characters, so that a batch costs about the same
     whether it holds thousands of short texts or one long text."""

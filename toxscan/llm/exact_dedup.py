@@ -12,7 +12,8 @@ Texts are equal when they are identical without white space (space, U+0009 to U+
 3. *Hits.* Every row whose digest is held more than once is compared, all of its normalised bytes, with the
    text at the locator. Rows that differ (a digest that clashes) are grouped by their full text instead.
 
-The state is partially aggregated before its shuffle, so a text that a third of the rows share sends one
+Texts that are held once don't move: bitmaps of fixed size tell which digests may be held more often. The state is
+partially aggregated before its shuffle, so a text that a third of the rows share sends one
 row a task. In step 3 the kept text is copied over ``salts`` keys and the hits are dealt over them, so no
 task gets a whole group. Nothing of the corpus goes to the driver but two counts.
 
@@ -26,10 +27,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from toxscan.llm.common import SPACE_CLASS, written
+from toxscan.llm.common import SPACE_CLASS, quoted, unused, written
+from toxscan.operators.joins import likely_in
 from toxscan.session import scratch_path
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -39,6 +42,7 @@ STATE_CONF = {
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
     "spark.sql.streaming.stateStore.rocksdb.compactOnCommit": "false",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else each partition reserves megabytes
 }
 SALTS = 16
 NULL_LAST = (1 << 63) - 1
@@ -52,21 +56,25 @@ def sha256(c: Column) -> Column:
     return F.sha2(c, 256)
 
 
-def located(df: DataFrame) -> DataFrame:
-    """``df`` with a column ``_at``: the file of each row and its place in the file. A frame that isn't a
-    scan of Parquet files is written to the shared folder first: a locator needs a place that stays."""
+def anchored(df: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` of ``df`` as a scan of Parquet files: ``df`` if it is one, else it is written to the shared folder, for
+    a locator needs a place that stays."""
     try:
-        return df.withColumn("_at", F.struct(F.col("_metadata.file_path").alias("file"),
-                                             F.col("_metadata.row_index").alias("row")))
-    except Exception as e:  # the analyzer's way to say that the frame has no such column
-        if type(e).__name__ != "AnalysisException":
-            raise
-    return located(written(df, "exact-dedup-input"))
+        df.select(df.metadataColumn("_metadata")["row_index"])
+    except AnalysisException:
+        return written(df.select(*columns), "exact-dedup-input")
+    return df
+
+
+def located(df: DataFrame, name: str = "_at") -> DataFrame:
+    """``df``, a scan, with a column ``name``: the file of each row and its place in the file."""
+    place = df.metadataColumn("_metadata")
+    return df.withColumn(name, F.struct(place["file_path"].alias("file"), place["row_index"].alias("row")))
 
 
 def records(df: DataFrame, id_col: str, text_col: str, digest: Callable[[Column], Column]) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return located(df.select(id_col, text_col)).select(
+    return located(df).select(
         F.col(id_col).alias("id"), digest(normalised(text_col)).alias("digest"),
         F.length(text).cast("long").alias("n_chars"), F.col("_at").alias("at"))
 
@@ -111,6 +119,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     """One row per row of ``df``: ``id_col``, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``, and
     the locator ``file``, ``row``."""
     spark = df.sparkSession
+    df = anchored(df, id_col, text_col)
     path = scratch_path(spark, "exact-dedup-records")
     rows = written(records(df, id_col, text_col, digest), "", path=path)
     if not rows.head(1):
@@ -119,8 +128,9 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
         state = written(run_state(spark, path, rows.schema, scratch_path(spark, "exact-dedup-checkpoint"),
                                   scratch_path(spark, "exact-dedup-changes"), files_per_batch), "exact-dedup-state")
     hit = state.filter("group_size > 1")
-    texts = located(df.select(text_col)).select(
+    texts = located(df).select(
         F.col("_at").alias("at"), normalised(text_col).alias("body")).withColumn("digest", digest(F.col("body")))
+    texts = likely_in(texts, hit.select("digest"), "digest")
     every_salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
     texts = texts.withColumn("salt", F.pmod(F.xxhash64("at"), F.lit(salts)).cast("int"))
     hits = texts.join(hit.select("digest", F.col("keep.at").alias("keep_at"), every_salt), ["digest", "salt"])
@@ -137,7 +147,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     same = F.col("at") == F.col("keep.at")
     sha = F.col("digest") if digest is sha256 else F.col("sha")
     if digest is not sha256:
-        true_sha = located(df.select(text_col)).select(F.col("_at").alias("at"), sha256(normalised(text_col)).alias("sha"))
+        true_sha = located(df).select(F.col("_at").alias("at"), sha256(normalised(text_col)).alias("sha"))
         joined = joined.join(true_sha, "at")
     return joined.select(F.col("id").alias(id_col), F.col("keep.id").alias("keep_id"),
                          F.col("group_size").cast("long").alias("group_size"), same.alias("kept"),
@@ -145,14 +155,16 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
 
 
 def without_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that stay, all columns. ``df`` scans Parquet files."""
-    gone = exact_dedup(df, id_col, text_col).filter(~F.col("kept")).select(F.struct("file", "row").alias("_at"))
-    return located(df).join(gone, "_at", "left_anti").select(*df.columns)
+    """The rows of ``df`` that stay, all columns."""
+    df = anchored(df, *df.columns)
+    at = unused(df, "_at")
+    gone = exact_dedup(df, id_col, text_col).filter(~F.col("kept")).select(F.struct("file", "row").alias(at))
+    return located(df, at).join(gone, at, "left_anti").select(*[F.col(quoted(c)) for c in df.columns])
 
 
 def _by_full_text(df: DataFrame, rows: DataFrame, clash: DataFrame, text_col: str) -> DataFrame:
     """The rows of clashing digests, grouped by their whole normalised text."""
-    bodies = located(df.select(text_col)).select(F.col("_at").alias("at"), normalised(text_col).alias("body"))
+    bodies = located(df).select(F.col("_at").alias("at"), normalised(text_col).alias("body"))
     members = rows.join(clash, "digest").join(bodies, "at")
     groups = members.groupBy("body").agg(F.count(F.lit(1)).alias("group_size"), F.max(_stays()).alias("keep"))
     return members.join(groups, "body").select(*rows.columns, "group_size", "keep")
