@@ -34,6 +34,7 @@ def main() -> None:
 
     event_dir = os.environ.get("BENCH_EVENT_LOG_DIR")
     extra = {"spark.eventLog.enabled": "true", "spark.eventLog.dir": event_dir} if event_dir else None
+    os.environ.setdefault("TOXSCAN_DRIVER_MEMORY", "16g")  # one JVM here: driver and executors
     spark = get_spark(f"local[{cpus}]", shuffle_partitions=max(8, cpus * 2), extra_conf=extra)
     timings: dict[str, float] = {}
 

@@ -18,13 +18,25 @@ def _run(args, cwd):
 
 
 def test_build_train_moderate(tmp_path, spark):
-    summary = json.loads(_run(["build", SF001, str(tmp_path / "ds")], tmp_path).strip().splitlines()[-1])
+    summary = json.loads(_run(["build", "--tables", SF001, str(tmp_path / "ds")], tmp_path).strip().splitlines()[-1])
     assert summary["all_0"] == 67 and summary["all_1"] == 9
     assert summary["train_balanced_0"] == summary["train_balanced_1"] == 50
-    metrics = json.loads(_run(["train", SF001, str(tmp_path / "model")], tmp_path).strip().splitlines()[-1])
+    assert summary["kept"] == 76 and summary["seen"] == 200
+    metrics = json.loads(_run(["train", "--tables", SF001, str(tmp_path / "model")], tmp_path).strip().splitlines()[-1])
     assert metrics["tp"] + metrics["fp"] + metrics["fn"] + metrics["tn"] == 20
     _run(["moderate", str(tmp_path / "ds" / "ratings_labeled_test.csv"), str(tmp_path / "model"),
           str(tmp_path / "out"), "--head", "100"], tmp_path)
     out = spark.read.parquet(str(tmp_path / "out"))
     assert out.count() == 20
     assert out.filter(~out.report.startswith("label: ")).count() == 0
+    # the file whose _id restarts in each class: every row comes out
+    _run(["moderate", str(tmp_path / "ds" / "ratings_labeled.csv"), str(tmp_path / "model"), str(tmp_path / "all")], tmp_path)
+    assert spark.read.parquet(str(tmp_path / "all")).count() == 76
+
+
+def test_build_from_posts(tmp_path, spark):
+    rows = [(f"text {i} {'idiot' if i % 3 == 0 else 'nice'}", i % 3 == 0, 1 if i < 30 else 0) for i in range(40)]
+    posts = spark.createDataFrame([(t, int(y), c) for t, y, c in rows], "string string, label int, labeling_confirm int")
+    posts.write.json(str(tmp_path / "posts.json"))
+    summary = json.loads(_run(["build", str(tmp_path / "posts.json"), str(tmp_path / "ds")], tmp_path).strip().splitlines()[-1])
+    assert (summary["all_0"], summary["all_1"], summary["kept"], summary["seen"]) == (20, 10, 30, 40)

@@ -22,7 +22,7 @@ def test_stream_equals_batch(spark):
     from toxscan.operators.purify import purify
     from toxscan.streaming.moderate import stream_moderate_test
 
-    streamed = {tuple(r) for r in stream_moderate_test(spark, SF001, files=3).collect()}
+    streamed = {tuple(r) for r in stream_moderate_test(spark, SF001, files=3, files_per_batch=1).collect()}
     ds = artifacts.dataset(spark, SF001)
     batch = purify(with_text(ds.test, spark, SF001), artifacts.scorer(spark, SF001), keep=["label"])
     assert streamed == {tuple(r) for r in batch.collect()}
@@ -67,10 +67,36 @@ def test_salting_spreads_a_hot_key(spark):
 def test_stream_progress_equals_batch_counts(spark):
     from toxscan.streaming.moderate import stream_progress
 
-    streamed = {(r.label, r.n) for r in stream_progress(spark, SF001, files=3).collect()}
+    streamed = {(r.label, r.seen, r.kept) for r in stream_progress(spark, SF001, files=3, files_per_batch=1).collect()}
     docs = spark.read.parquet(f"{SF001}/documents.parquet")
     labels = spark.read.parquet(f"{SF001}/labels.parquet")
     batch = (docs.join(labels, "doc_id", "left")
-             .groupBy(F.coalesce(F.col("toxic"), F.lit(-1)).alias("label")).count().collect())
-    assert streamed == {(r.label, r["count"]) for r in batch}
-    assert sum(n for _, n in streamed) == docs.count()
+             .groupBy(F.coalesce(F.col("toxic"), F.lit(-1)).alias("label"))
+             .agg(F.count(F.lit(1)).alias("seen"), F.count_if((F.col("quality") != 0) & (F.col("toxic") != -1)).alias("kept")).collect())
+    assert streamed == {(r.label, r.seen, r.kept) for r in batch}
+    assert sum(n for _, n, _ in streamed) == docs.count() and sum(k for _, _, k in streamed) > 0
+
+
+def test_likely_in_keeps_texts_out_of_the_shuffle(spark):
+    from toxscan.operators.joins import likely_in
+
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("text").alias("text"))
+    keys = spark.range(0, 20_000, 50).select(F.col("id").alias("doc_id"))
+    passed = {r.doc_id for r in likely_in(docs, keys, "doc_id").collect()}
+    assert set(range(0, 20_000, 50)) <= passed and len(passed) < 420
+    assert likely_in(docs, keys.limit(0), "doc_id").count() == 0
+    # in the plan of the text join, the filter lies below the exchange of the texts
+    ds = artifacts.dataset(spark, SF001)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = with_text(ds.test, spark, SF001)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin [_k" in plan and plan.index("SortMergeJoin [doc_id") < plan.index("BroadcastHashJoin [_k")
+
+
+def test_broadcast_check_counts_bytes(spark):
+    from toxscan.operators.joins import fits_broadcast
+
+    table = spark.range(10).select("id", F.expr("repeat('x', 1000)").alias("w"), F.array(F.lit(1.5), F.lit(2.5)).alias("v"))
+    assert fits_broadcast(table, 12_000) and not fits_broadcast(table, 9_000)

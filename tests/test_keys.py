@@ -38,3 +38,12 @@ def test_lookup_and_latest(spark):
         require_found(keys, meta)
     lv = {r.url: r for r in latest_version(entries).collect()}
     assert lv["a"].n_variants == 2 and lv["a"].file_name == max(r.key for r in meta.filter("url = 'a'").collect())
+
+
+def test_plain_entry_comes_first(spark):
+    entries = spark.createDataFrame([("u", None), ("u", "e"), ("v", "a"), ("v", "b")], "url string, etag string")
+    got = {r.url: r for r in latest_version(entries).collect()}
+    assert got["u"].etag is None and got["u"].n_variants == 2 and "." not in got["u"].file_name
+    named = {e: K.url_key(F.lit("v"), F.lit(e)) for e in "ab"}
+    names = spark.range(1).select(*[c.alias(e) for e, c in named.items()]).first()
+    assert got["v"].file_name == max(names)

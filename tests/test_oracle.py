@@ -8,11 +8,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from toxscan.plans.queries import QUERIES
 
 SF001 = "/root/testdata/sf0.001"
 TABLES = ["documents", "labels", "pages", "embeddings", "conversations"]
 SKIP = {"stream_moderate", "stream_progress", "purify_loop"}  # covered in test_joins_stream / test_purify
-NO_ORACLE = {"fit_logistic"}  # iterative fit: rows-only
 
 
 def _norm(v):
@@ -36,7 +36,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(set(E.oracle_sql()) - SKIP))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - SKIP))
 def test_query_matches_oracle(spark, con, name):
     df = E.queries()[name](spark, SF001)
     res = con.execute(E.oracle_sql()[name])
@@ -46,7 +46,8 @@ def test_query_matches_oracle(spark, con, name):
 
 
 def test_every_query_has_an_oracle():
-    assert set(E.queries()) - NO_ORACLE == set(E.oracle_sql())
+    own = set(QUERIES)
+    assert own <= set(E.queries()) and own == own & set(E.oracle_sql())
 
 
 def test_entry_runs(spark):

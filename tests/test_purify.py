@@ -3,7 +3,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from toxscan.operators.purify import purify
+from toxscan.operators.purify import attribute, purify
 from toxscan.operators.scorer import AdditiveScorer, fit_scorer
 
 SF001 = "/root/testdata/sf0.001"
@@ -108,3 +108,41 @@ def test_purify_on_bucketed_documents_has_no_exchange(spark):
     a = {tuple(r) for r in out.collect()}
     b = {tuple(r) for r in purify(docs, sc).collect()}
     assert a == b and sum(r[5] for r in a) > 0  # equal results, some tokens masked
+
+
+@pytest.mark.parametrize("labels", [(1, 0), (1, 1)])
+def test_rows_that_share_an_id_stay_apart(spark, labels):
+    from decimal import Decimal
+
+    from toxscan.operators.scorer import AdditiveScorer, score
+    from toxscan.operators.tokens import with_tokens
+    from toxscan.session import scratch_path
+    from toxscan.streaming.moderate import MODERATED_SCHEMA, moderate_stream
+
+    weights = spark.createDataFrame([("idiot", Decimal("3")), ("nice", Decimal("-9"))], "token string, weight decimal(18,6)")
+    scorer = AdditiveScorer(weights, Decimal("0"))
+    df = spark.createDataFrame([(0, "you idiot", labels[0]), (0, "nice day", labels[1]), (None, "idiot", 1), (0, "you idiot", labels[0])],
+                               "doc_id long, text string, label int")
+    want = sorted([("you *****", 1, 1), ("nice day", 0, 0), ("*****", 1, 1), ("you *****", 1, 1)])
+    assert sorted((r.text, r.pred, r.n_masked) for r in purify(df, scorer, keep=["label"]).collect()) == want
+    assert sorted(r.score for r in score(with_tokens(df), scorer).collect()) == [-9.0, 3.0, 3.0, 3.0]
+    got = attribute(df, scorer)
+    assert got.count() == 7 and sorted(round(r.prob, 3) for r in got.filter("token = 'nice'").collect()) == [0.0]
+    staged, sink = scratch_path(spark, "ids-in"), scratch_path(spark, "ids-out")
+    df.select("doc_id", "label", "text").coalesce(1).write.parquet(staged)
+    source = spark.readStream.schema("doc_id long, label int, text string").parquet(staged)
+    moderate_stream(source, scorer, sink, scratch_path(spark, "ids-ckpt")).awaitTermination()
+    out = spark.read.schema(MODERATED_SCHEMA).parquet(sink)
+    assert sorted((r.text, r.pred, r.n_masked) for r in out.collect()) == want
+
+
+def test_purify_shuffles_no_tokens(spark):
+    from decimal import Decimal
+
+    from toxscan.operators.scorer import AdditiveScorer
+
+    weights = spark.createDataFrame([("a", Decimal("1"))], "token string, weight decimal(18,6)")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    plan = purify(docs, AdditiveScorer(weights, Decimal("0")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.rindex("Generate ") < plan.index("Exchange hashpartitioning")
+    assert "Window" not in plan

@@ -71,3 +71,12 @@ def test_shuffle_is_reproducible(spark):
     a = [tuple(r) for r in shuffle_rows(balanced_train(split)).orderBy("position").select("doc_id", "copy").collect()]
     b = [tuple(r) for r in shuffle_rows(balanced_train(split)).orderBy("position").select("doc_id", "copy").collect()]
     assert a == b and len(a) == 40
+
+
+def test_oversample_counts_beyond_32_bits(spark, monkeypatch):
+    from toxscan.operators import split
+
+    monkeypatch.setattr(split, "class_counts", lambda *a, **k: {0: 3_000_000_000, 1: 500_000_000})
+    train = spark.createDataFrame([(1, 1, 499_999_999), (2, 1, 0)], "doc_id long, bucket int, _id long")
+    got = split.oversample(train)
+    assert got.count() == 12 and got.agg({"copy": "max"}).first()[0] == 5

@@ -47,11 +47,16 @@ def test_tokenize(spark):
     assert got == [["you", "idiot", ",", "ok", "?", "!"], ["ㅋㅋ", "좋아요", "!", "!", "!"], [], ["a_b", "😀", "x"]]
 
 
-def test_word_class_follows_python_rule():
-    for a, b in T.word_ranges():
-        for c in (a, b):
-            assert chr(c).isalnum() or c == 0x5F
-    assert not any(a <= ord(" ") <= b for a, b in T.word_ranges())
+def test_word_class_is_fixed():
+    assert T.word_ranges() == ((48, 57), (65, 90), (95, 95), (97, 122), (0x3131, 0x318E), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3))
+
+
+def test_emoji_are_kept(spark):
+    """Literal cases, apart from the patterns that Spark and the oracle share."""
+    cases = {"⭐ ok 🇰🇷 ™ ▶ ⌚ ‼": "⭐ ok 🇰🇷 ™ ▶ ⌚ ‼", "©®ℹ↔⬛〰㊗🅰🈁⏩Ⓜ◻": "©®ℹ↔⬛〰㊗🅰🈁⏩Ⓜ◻", "1️⃣ 👨‍👩‍👧": "1️⃣ 👨‍👩‍👧",
+             "a ← b ™x": "a b ™x", "½ € £ ¢": "", "ñandú": "and"}
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert {r.t: r.c for r in df.select("t", T.clean_text("t").alias("c")).collect()} == cases
 
 
 ALPHABET = list("aab_ 9.!*#\t\n") + ["하", "ㅋ", "日", "テ", "é", "😀", " ", "❶", "㆒", "Ꙁ"]

@@ -36,3 +36,27 @@ def test_model_inputs_and_decode(spark):
     assert mi[2].input_ids == [2, 3, 0, 0, 0, 0, 0, 0] and mi[2].token_type_ids == [0] * 8
     dec = {r.doc_id: r.text for r in TK.decode(enc.withColumn("chunk", F.lit(0)), vocab).collect()}
     assert dec == {1: "you idiot *", 2: ""}  # pad, unknown, start and end dropped
+
+
+def test_vocabulary_and_weights_have_no_cap(spark):
+    from toxscan.plans import artifacts
+
+    sf = "/root/testdata/sf0.1"
+    assert artifacts.scorer(spark, sf).weights.count() == 101_840
+
+
+def test_decode_returns_every_token(spark):
+    docs = TK.with_tokens(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text"))
+    vocab = TK.build_vocab(TK.token_counts(TK.token_table(docs)))
+    back = TK.decode(TK.encode(docs, vocab), vocab)
+    got = {}
+    for r in back.orderBy("doc_id", "chunk").collect():
+        got.setdefault(r.doc_id, []).extend(r.text.split(" ") if r.text else [])
+    assert got == {r.doc_id: list(r.tokens) for r in docs.collect()}
+
+
+def test_ids_may_repeat(spark):
+    docs = TK.with_tokens(spark.createDataFrame([(1, "a b"), (1, "c"), (None, "a")], "doc_id long, text string"))
+    vocab = TK.build_vocab(TK.token_counts(TK.token_table(docs)))
+    back = TK.decode(TK.encode(docs, vocab), vocab)
+    assert sorted(r.text for r in back.collect()) == ["a", "a b", "c"]

@@ -58,6 +58,23 @@ def test_combine_layers_matches_numpy(spark):
 
 
 def test_linear_head_argmax(spark):
-    df = spark.createDataFrame([([1.0, 0.0],), ([0.0, 1.0],)], "v array<double>")
-    out = V.linear_head(df, "v", [[1.0, 0.0], [0.0, 1.0]], [0.0, 0.0]).collect()
-    assert [r.pred for r in out] == [0, 1]
+    df = spark.createDataFrame([([1.0, 0.0],), ([0.0, 1.0],), ([0.5, 0.5],)], "v array<double>")
+    weights = spark.createDataFrame([(7, [1.0, 0.0], 0.0), (9, [0.0, 1.0], 0.0)], "class int, w array<double>, b double")
+    out = V.linear_head(df, "v", weights).collect()
+    assert [r.pred for r in out] == [7, 9, 7] and out[0].logits == [1.0, 0.0]
+    with pytest.raises(ValueError):
+        V.linear_head(df, "v", weights, max_classes=1)
+
+
+def test_single_head_scale_and_own_keys(spark):
+    df = spark.createDataFrame([(0, 1, [1.0] * 8, [2.0] * 8), (0, 2, [1.0] * 8, [3.0] * 8)], "label int, vec_id int, q array<double>, k array<double>")
+    got = V.attention_scores(df, vec_col="q", key_col="k", dim=8, heads=1, scale=math.sqrt(8 / 4)).first()
+    assert got.score == pytest.approx(24 / math.sqrt(2)) and got.prob == 1.0
+    got = V.attention_scores(df, vec_col="q", dim=8, heads=1).first()
+    assert got.score == pytest.approx(8 / math.sqrt(8))
+
+
+def test_pool_reads_one_row_a_key(spark):
+    emb = spark.read.parquet(f"{SF001}/embeddings.parquet")
+    plan = V.attention_pool(emb)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate ") == 1  # only the result is exploded, no key is
