@@ -22,7 +22,8 @@ _UNSAFE = re.compile(f"[{WHITE_SPACE}][ \n]|\x00")
 _SEGMENT = re.compile(f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+")
 _CUT = re.compile(f"(?<=[^{WHITE_SPACE}])[{WHITE_SPACE}]")
 
-#: Distinct segments a task keeps; beyond that the table starts anew (results do not change).
+#: Distinct segments a worker keeps from task to task; beyond that the table starts anew (results do not change).
+#: It costs some 300 MB of memory; with 600,000 segments a third more CPU time went into encoding again.
 CACHE_SEGMENTS = 1_500_000
 
 
