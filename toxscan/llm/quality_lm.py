@@ -334,12 +334,12 @@ def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_c
         (F.percentile_approx("z", 1 - quantile, 10000) * margin).alias("low"),
         (F.percentile_approx("z", quantile, 10000) * margin).alias("high"))
     limits = written(limits, "quality-limits")
-    pooled = limits.filter("every").select(*[F.col(c).alias(f"all_{c}") for c in ("median", "low", "high")])
+    pooled = limits.filter("every").select("median", "low", "high").first() or (None, None, None)
     own_limits = limits.filter((~F.col("every")) & (F.col("rows") >= min_rows) & F.col("lang").isNotNull()).select(
         "lang", "median", "low", "high")
-    judged = scored.join(own_limits, "lang", "left").join(F.broadcast(pooled), F.lit(True), "left")
-    for c in ("median", "low", "high"):
-        judged = judged.withColumn(c, F.coalesce(c, f"all_{c}"))
+    judged = scored.join(own_limits, "lang", "left")
+    for c, every in zip(("median", "low", "high"), pooled):
+        judged = judged.withColumn(c, F.coalesce(c, F.lit(every).cast("double")))
     judged = judged.withColumn("z", (F.col("loss") - F.col("median")) * F.sqrt("n"))
     kept = F.coalesce((F.col("z") >= F.col("low")) & (F.col("z") <= F.col("high")), F.lit(True))
     return judged.select(F.col("id").alias(id_col), "lang", F.col("n").alias("n_chars"), F.col("loss").alias("log_perplexity"),
