@@ -11,7 +11,8 @@ Positional slicing (``df[:n]``) needs the exact position of every row in a total
    inside one read of the shuffle (AQE may coalesce two reads of the same exchange differently),
    so the offsets and the final join must both start from the same written rows;
 4. a small table of per-(partition, group) counts gives each partition's offset through a running
-   sum. It has at most ``partitions x groups`` rows, so it is broadcast back.
+   sum. It has at most ``partitions x groups`` rows; it is written too, so that Spark knows its size and
+   broadcasts it back only below its own threshold.
 
 The order keys must be unique within a group, so that a retried task rebuilds the same positions.
 Pass narrow frames (ids and keys): every column is written once.
@@ -72,7 +73,7 @@ def exact_rank(
     cond = [F.col("_rk_pid") == F.col("_rk_spid")] + [
         F.col(g).eqNullSafe(F.col(f"_rk_g{i}")) for i, g in enumerate(groups)
     ]
-    joined = ranged.join(F.broadcast(stats), cond, "inner")
+    joined = ranged.join(write_table(stats, "exact-rank-offsets"), cond, "inner")
     rank = (F.col("_rk_offset") + F.col("_rk_row") - F.col("_rk_first")).cast("long").alias(rank_col)
     extra = [F.col("_rk_total").cast("long").alias(count_col)] if count_col else []
     return joined.select(*[F.col(c) for c in df.columns], rank, *extra)
