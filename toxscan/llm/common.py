@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +39,16 @@ def text_or_empty(c: str = "text") -> Column:
     return F.coalesce(F.col(c), F.lit(""))
 
 
+def anchored(df: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` of ``df`` as a scan of Parquet files: ``df`` if it is one, else it is written to the shared folder. Places
+    in files stay, and two reads deal the rows out alike."""
+    try:
+        df.select(df.metadataColumn("_metadata")["row_index"])
+    except AnalysisException:
+        return written(df.select(*columns), "anchored")
+    return df
+
+
 def unused(df: DataFrame, name: str) -> str:
     """``name``, or with underscores behind it until ``df`` has no such column."""
     while name.lower() in {c.lower() for c in df.columns}:

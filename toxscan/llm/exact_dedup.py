@@ -3,7 +3,7 @@
 Texts are equal when they are identical without white space (space, U+0009 to U+000D). The steps:
 
 1. *Records.* One narrow row per input row: id, digest of the normalised text, length of the original,
-   content locator (file and row in it). They are written to the shared folder.
+   content locator (file and row in it; an input that is no scan is written first). They are written to the shared folder.
 2. *State.* A Structured Streaming job reads the records in micro-batches into a keyed state on disk
    (RocksDB, checkpointed in the shared folder, no watermark, so nothing expires). By digest it holds the
    number of rows and the row that stays so far: most code points, then smallest id, with its locator. Each
@@ -27,11 +27,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from toxscan.llm.common import SPACE_CLASS, quoted, unused, written
+from toxscan.llm.common import SPACE_CLASS, anchored, quoted, unused, written
 from toxscan.operators.joins import likely_in
 from toxscan.session import scratch_path
 
@@ -56,16 +55,6 @@ def sha256(c: Column) -> Column:
     return F.sha2(c, 256)
 
 
-def anchored(df: DataFrame, *columns: str) -> DataFrame:
-    """``columns`` of ``df`` as a scan of Parquet files: ``df`` if it is one, else it is written to the shared folder, for
-    a locator needs a place that stays."""
-    try:
-        df.select(df.metadataColumn("_metadata")["row_index"])
-    except AnalysisException:
-        return written(df.select(*columns), "exact-dedup-input")
-    return df
-
-
 def located(df: DataFrame, name: str = "_at") -> DataFrame:
     """``df``, a scan, with a column ``name``: the file of each row and its place in the file."""
     place = df.metadataColumn("_metadata")

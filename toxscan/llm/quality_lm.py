@@ -35,10 +35,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from toxscan.llm.common import KeyFilter, python_ready, written
+from toxscan.llm.common import KeyFilter, anchored, python_ready, written
 
 ORDER = 4
 CHUNK = 1 << 24
+PIECE = 1 << 20
 START, END = "\x02", "\x03"
 _CONTROL = re.compile("[\x00-\x1f\x7f]+")
 #: Odd 64-bit multipliers of the hash that finds equal n-grams within a task.
@@ -59,10 +60,10 @@ def windows(texts: list[str], order: int):
     joined = "".join(pad + t + END for t in texts)
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     at = np.flatnonzero(codes != ord(START))
-    h = np.zeros(len(at), dtype=np.uint64)
-    for k in range(order):
-        h += codes[at - k] * np.uint64(MULTIPLIERS[k])
-    return joined, at, h
+    h = codes[order - 1:] * np.uint64(MULTIPLIERS[0])
+    for k in range(1, order):
+        h += codes[order - 1 - k:len(codes) - k] * np.uint64(MULTIPLIERS[k])
+    return joined, at, h[at - (order - 1)]
 
 
 def gram_hashes(grams: list[str], order: int):
@@ -77,19 +78,25 @@ def gram_hashes(grams: list[str], order: int):
 
 
 def distinct(texts: list[str], order: int):
-    """The distinct n-grams of ``texts`` and how often each comes."""
+    """The distinct n-grams of ``texts`` and how often each comes. Works through about ``PIECE`` characters at a time, so
+    its arrays stay small however long the list."""
     import numpy as np
     import pandas as pd
 
-    texts = [t for t in texts if t]
-    if not texts:
-        return [], np.zeros(0, dtype=np.int64)
-    joined, at, h = windows(texts, order)
-    which, _ = pd.factorize(h)
-    n = np.bincount(which)
-    first = np.empty(len(n), dtype=np.int64)
-    first[which[::-1]] = at[::-1]
-    return [joined[i - order + 1:i + 1] for i in first], n
+    hashes, counts, grams = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)], []
+    for part in by_size(((t,) for t in texts if t), PIECE):
+        joined, at, h = windows([t for (t,) in part], order)
+        which, own = pd.factorize(h)
+        first = np.empty(len(own), dtype=np.int64)
+        first[which[::-1]] = at[::-1]
+        hashes.append(own)
+        counts.append(np.bincount(which))
+        grams += [joined[i - order + 1:i + 1] for i in first]
+    which, own = pd.factorize(np.concatenate(hashes))
+    n = np.bincount(which, weights=np.concatenate(counts), minlength=len(own)).astype(np.int64)
+    first = np.empty(len(own), dtype=np.int64)
+    first[which[::-1]] = np.arange(len(which))[::-1]
+    return [grams[i] for i in first], n
 
 
 def by_size(rows: Iterator, limit: int = CHUNK) -> Iterator[list]:
@@ -115,7 +122,7 @@ def ngram_counts(docs: DataFrame, text_col: str, order: int) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for part in by_size(((t,) for t in batch.column(0).to_pylist())):
+            for part in by_size(((t.as_py(),) for t in batch.column(0))):
                 grams, n = distinct([plain(t) for (t,) in part], order)
                 yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(n, pa.int64())], names=schema.names)
 
@@ -197,6 +204,7 @@ def scores(docs: DataFrame, model: KneserNey, id_col: str = "doc_id", text_col:
     """Per row of ``docs``: ``id``, ``lang``, ``text_key`` (two hashes of the text), ``n`` (characters predicted), ``loss``
     (log-perplexity, null without characters)."""
     order = model.order
+    docs = anchored(docs, id_col, text_col, lang_col)  # two passes name the chunks of documents alike
     key = F.struct(F.xxhash64(text_col).alias("h1"), F.xxhash64(F.lit("text"), text_col).alias("h2"))
     picked = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), key.h1.alias("h1"), key.h2.alias("h2"),
                          F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -208,7 +216,7 @@ def scores(docs: DataFrame, model: KneserNey, id_col: str = "doc_id", text_col:
 
         number = TaskContext.get().partitionId() << 24
         for batch in batches:
-            for part in by_size(zip(*(batch.column(k).to_pylist() for k in range(5)))):
+            for part in by_size(tuple(v.as_py() for v in row) for row in zip(*batch.columns)):
                 yield number, part
                 number += 1
 
@@ -247,7 +255,7 @@ def scores(docs: DataFrame, model: KneserNey, id_col: str = "doc_id", text_col:
         rows, n, loss = [], [], []
         for packed in left["rows"]:
             part = pickle.loads(zstandard.decompress(packed.as_py()))
-            for some in by_size(part, 1 << 20):
+            for some in by_size(part, PIECE):
                 rows += some
                 texts = [r[4] for r in some]
                 sizes = np.array([len(t) + 1 if t else 0 for t in texts])
