@@ -17,6 +17,10 @@ from toxscan.llm.quality_lm import trusted_ids, without_rejected
 from toxscan.llm.simhash import without_near_copies
 
 
+#: Fewer than packing alone keeps: its workers go on to serve other stages.
+PACKING_SEGMENTS = 300_000
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return without_rejected(docs, trusted_ids(table(spark, sf_dir, "labels")))
 
@@ -34,7 +38,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(docs)
+    return pack(docs, cache_segments=PACKING_SEGMENTS)
 
 
 STAGES = [

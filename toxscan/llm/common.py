@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -60,6 +60,19 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+#: What Python workers keep from task to task, by operator, and how to give it up.
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def keeps(operator: str, give_up: Callable[[], None] | None = None) -> None:
+    """Tell, at the start of a task, that the worker now serves ``operator``: what it keeps for others goes, so the
+    memory of a worker that serves one stage after another is that of the greatest stage, not of all."""
+    for other in [k for k in _kept if k != operator]:
+        _kept.pop(other)()
+    if give_up is not None:
+        _kept[operator] = give_up
+
+
 def byte_batches(texts: Iterable[str], limit: int = 1 << 20) -> Iterator[list[str]]:
     """Consecutive texts in lists of about ``limit`` characters, so that a batch costs about the same
     whether it holds thousands of short texts or one long text."""

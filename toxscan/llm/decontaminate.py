@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from toxscan.llm.common import KeyFilter, python_ready, written
+from toxscan.llm.common import KeyFilter, keeps, python_ready, written
 
 WINDOW = 8
 LITERALS = 4
@@ -63,8 +63,8 @@ class Canonical:
     """The canonical form of texts, many at a time. Each distinct word is analysed once."""
 
     def __init__(self):
+        keeps("decontamination")
         self.place: dict[str, int] = {}
-        self.rows: list[tuple] = []
         self.table = None
 
     def _analyse(self, word: str) -> tuple:
@@ -87,15 +87,13 @@ class Canonical:
         import numpy as np
 
         if len(self.place) + len(words) > WORDS:
-            self.place, self.rows, self.table = {}, [], None
-        new = words.difference(self.place)
+            self.place, self.table = {}, None
+        new = list(words.difference(self.place))
         if not new and self.table is not None:
             return
         for w in new:
             self.place[w] = len(self.place)
-            self.rows.append(self._analyse(w))
-        old = 0 if self.table is None else len(self.table[0])
-        fresh = list(zip(*self.rows[old:])) or [()] * 8
+        fresh = list(zip(*map(self._analyse, new))) or [()] * 8
         types = (np.uint64, np.int8, np.uint64, np.int8, np.int8, bool, bool, bool)
         arrays = [np.array(c, dtype=t) for c, t in zip(fresh, types)]
         self.table = arrays if self.table is None else [np.concatenate([a, b]) for a, b in zip(self.table, arrays)]

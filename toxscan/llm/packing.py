@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from toxscan.llm.common import byte_batches, python_ready
-from toxscan.llm.tokenizing import encoder
+from toxscan.llm.tokenizing import CACHE_SEGMENTS, encoder
 
 END_ID = 1
 POOL = 2048
@@ -199,7 +199,7 @@ class _Example:
 
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, loss_col: str | None = None,
          tokenizer: str = "byte_bpe_50k.json", limits: Limits = Limits(), end_id: int = END_ID,
-         cutting: bool = True, emit_ids: bool = False) -> DataFrame:
+         cutting: bool = True, emit_ids: bool = False, cache_segments: int = CACHE_SEGMENTS) -> DataFrame:
     """One row per piece: ``id_col``, ``start`` (ids of the example before it), ``length``,
     ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset`` (in its sequence), ``n_loss`` and, with
     ``emit_ids``, ``ids`` (little-endian unsigned 32-bit).
@@ -220,7 +220,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, loss_
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encode = encoder(tokenizer, ids=True)
+        encode = encoder(tokenizer, True, cache_segments)
         packer = VectorPacker(limits, cutting)
         end = int(end_id).to_bytes(4, "little")
         next_id = TaskContext.get().partitionId() << 32

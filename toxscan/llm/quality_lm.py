@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from toxscan.llm.common import KeyFilter, anchored, python_ready, written
+from toxscan.llm.common import KeyFilter, anchored, keeps, python_ready, written
 
 ORDER = 4
 CHUNK = 1 << 24
@@ -83,6 +83,7 @@ def distinct(texts: list[str], order: int):
     import numpy as np
     import pandas as pd
 
+    keeps("quality")
     hashes, counts, grams = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)], []
     for part in by_size(((t,) for t in texts if t), PIECE):
         joined, at, h = windows([t for (t,) in part], order)
@@ -235,6 +236,7 @@ def scores(docs: DataFrame, model: KneserNey, id_col: str = "doc_id", text_col:
         import pyarrow as pa
         import zstandard
 
+        keeps("quality")
         for number, part in chunks(batches):
             rows = zstandard.compress(pickle.dumps([(*r[:4], plain(r[4])) for r in part]), 3)
             yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([rows], pa.binary())], names=chunk_schema.names)

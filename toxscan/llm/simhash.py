@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from toxscan.llm.common import python_ready, written
+from toxscan.llm.common import keeps, python_ready, written
 from toxscan.llm.components import connected_components
 
 SEED = 42
@@ -110,6 +110,7 @@ def with_fingerprints(df: DataFrame, id_col: str, text_col: str, words: int) ->
     def prints(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        keeps("simhash")
         for batch in batches:
             found = fingerprints(batch.column(1).to_pylist(), words)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=schema.names)

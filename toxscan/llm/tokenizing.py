@@ -15,6 +15,8 @@ import re
 from collections.abc import Iterator
 from itertools import chain
 
+from toxscan.llm.common import keeps
+
 # The characters with the Unicode property White_Space.
 WHITE_SPACE = "\t-\r " + "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
@@ -23,8 +25,8 @@ _SEGMENT = re.compile(f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+")
 _CUT = re.compile(f"(?<=[^{WHITE_SPACE}])[{WHITE_SPACE}]")
 
 #: Distinct segments a worker keeps from task to task; beyond that the table starts anew (results do not change).
-#: It costs some 300 MB of memory; with 600,000 segments a third more CPU time went into encoding again.
-CACHE_SEGMENTS = 1_500_000
+#: It costs some 250 MB of memory; with 600,000 segments a third more CPU time went into encoding again.
+CACHE_SEGMENTS = 1_200_000
 
 
 def pieces(text: str, limit: int = 1 << 20) -> Iterator[str]:
@@ -127,14 +129,16 @@ class WholeEncoder:
 _encoders: dict[tuple, object] = {}
 
 
-def encoder(name: str, ids: bool = False):
-    """The encoder of a file, kept by the Python worker from one task to the next."""
-    key = (name, ids)
+def encoder(name: str, ids: bool = False, cache_segments: int = CACHE_SEGMENTS):
+    """The encoder of a file, kept by the Python worker from one task to the next, with at most ``cache_segments``
+    segments learned."""
+    keeps("tokens", _encoders.clear)
+    key = (name, ids, cache_segments)
     if key not in _encoders:
         if name.endswith(".model"):
             made = PieceEncoder(name, ids)
         else:
-            made = SegmentEncoder(name, ids) if _cuts_safely(name) else WholeEncoder(name, ids)
+            made = SegmentEncoder(name, ids, cache_segments) if _cuts_safely(name) else WholeEncoder(name, ids)
         _encoders[key] = made
     return _encoders[key]
 
