@@ -306,3 +306,13 @@ def test_quality_edge_cases(spark):
     none = Q.classify(df, Q.trusted_ids(labels.limit(0)))
     assert none.filter("not kept").count() == 0 and none.count() == df.count()
     assert Q.classify(df.limit(0), Q.trusted_ids(labels)).count() == 0
+
+
+def test_quality_rare_language_has_its_own_limits(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    trusted = Q.trusted_ids(labels).join(docs, "doc_id").filter("lang = 'en' or lang = 'de' and doc_id % 3 > 0").select("doc_id")
+    got = Q.classify(docs, trusted).join(labels, "doc_id").filter("quality = 1 and toxic = 0").join(trusted.withColumn("seen", F.lit(True)), "doc_id", "left")
+    rows = got.collect()
+    unseen = [r for r in rows if r.lang == "de" and not r.seen]
+    assert len(unseen) >= 5 and sum(r.kept for r in unseen) >= 0.9 * len(unseen) and all(r.judged for r in unseen)
+    assert {(r.kept, r.judged) for r in rows if r.lang in ("es", "fr")} == {(True, False)}

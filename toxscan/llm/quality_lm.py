@@ -11,16 +11,21 @@ exceed the text. The steps:
 3. *Scores.* Each task names the distinct n-grams of its chunks of documents (about ``CHUNK`` characters each). They
    meet the model in joins on n-gram, order by order, and come back to their chunk, where documents are scored:
    mean negative log-probability a character, the log-perplexity. Texts move once, compressed.
-4. *Thresholds.* Scores of the held-out trusted documents give, by language, the median and quantiles of the
-   deviation from it, scaled by the square root of the length (a mean over more characters varies less). A
-   document is rejected if it lies beyond ``margin`` times the distance of the upper or lower quantile: text
-   that the model finds improbable, and text that is too predictable, such as one word over and over.
-
-A language with fewer than ``min_rows`` held-out documents takes the thresholds of all languages together; so does a
-null language. Nothing is sampled or capped; the driver gets counts of counts and the size of the alphabet.
+4. *Thresholds.* Scores of trusted documents give, by language, the median and quantiles of the deviation from it,
+   scaled by the square root of the length (a mean over more characters varies less). A document is rejected if it
+   lies beyond ``margin`` times the distance of the upper or lower quantile: text that the model finds improbable, and
+   text that is too predictable. The upper one is of the held-out documents; the lower one of all trusted ones, as
+   a text that the counts hold (a copy, too) scores lower than others.
+
+Each language has its own median and limits at any number of documents. The median is that of the held-out documents, as if
+``MEDIAN_ROWS`` more had the median of all its trusted ones; a limit is its own quantile, as if ``SPREAD_ROWS`` more had
+that of all languages together, each around its own median. Where rows are too few for the quantile, it goes on beyond
+them as an exponential tail. A document of a language without any trusted text is kept and not ``judged``; one with a null
+language is rejected if the limits of every language reject it. Nothing is sampled or capped; the driver gets counts of
+counts, the size of the alphabet and the limits of all languages together.
 
 Edge cases: a null, empty or white text has no characters, is not scored (null) and is kept: no ground to reject it.
-Without any held-out trusted document all is kept. Repeated rows are scored each. Ids join null-safe to nothing: a
+Without any held-out trusted document all is kept and not judged. Repeated rows are scored each. Ids join null-safe to nothing: a
 null id is never trusted. Extra columns are ignored. A document longer than a chunk is a chunk of its own.
 """
 
@@ -38,6 +43,8 @@ from pyspark.sql import types as T
 from toxscan.llm.common import KeyFilter, anchored, keeps, python_ready, written
 
 ORDER = 4
+MEDIAN_ROWS = 2
+SPREAD_ROWS = 20
 CHUNK = 1 << 24
 PIECE = 1 << 20
 START, END = "\x02", "\x03"
@@ -324,33 +331,63 @@ def without_rejected(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id"
     return docs.join(gone, own & docs[lang_col].eqNullSafe(gone["language"]), "left_anti")
 
 
+def beyond(quantile: float, at: Column, tail: Column, rows: Column) -> Column:
+    """The quantile ``at`` of ``rows`` deviations; where they are too few for it, further out by an exponential tail whose
+    mean is ``tail``."""
+    return at + F.coalesce(tail, F.lit(0.0)) * F.greatest(F.lit(0.0), -F.log((1 - quantile) * (rows + 1)))
+
+
+def language_limits(sample: DataFrame, quantile: float, margin: float) -> DataFrame:
+    """``lang``, ``median``, ``low``, ``high`` from the scores of trusted documents (``lang``, ``n``, ``loss``, ``held``)."""
+    spark = sample.sparkSession
+    medians = sample.groupBy("lang").agg(F.percentile_approx("loss", 0.5, 10000).alias("every"), F.count_if("held").alias("rows"),
+                                         F.percentile_approx(F.when(F.col("held"), F.col("loss")), 0.5, 10000).alias("own"))
+    medians = written(medians.select("lang", ((F.coalesce("own", F.lit(0.0)) * F.col("rows") + F.col("every") * MEDIAN_ROWS)
+                                              / (F.col("rows") + MEDIAN_ROWS)).alias("median")), "quality-medians")
+    by_lang = sample.alias("s").join(medians.alias("m"), F.col("s.lang").eqNullSafe(F.col("m.lang"))).select(
+        "s.lang", "held", "median", ((F.col("loss") - F.col("median")) * F.sqrt("n")).alias("z"))
+    z, held = F.col("z"), F.col("held")
+    spread = [F.first("median").alias("median"), F.count(F.lit(1)).alias("rows"), F.count_if(held).alias("held"),
+              F.percentile_approx(z, 1 - quantile, 10000).alias("low"), F.avg(F.when(z < 0, z)).alias("low_tail"),
+              F.percentile_approx(F.when(held, z), quantile, 10000).alias("high"),
+              F.avg(F.when(held & (z > 0), z)).alias("high_tail")]
+    low = beyond(quantile, F.col("low"), F.col("low_tail"), F.col("rows"))
+    high = beyond(quantile, F.col("high"), F.col("high_tail"), F.col("held"))
+    pooled = by_lang.agg(*spread).select(low.alias("low"), high.alias("high")).first()
+    if pooled.high is None:  # no document held out
+        return spark.createDataFrame([], medians.schema.add("low", "double").add("high", "double"))
+
+    def shrunk(own: Column, rows: Column, every: float) -> Column:
+        return (F.coalesce(own, F.lit(0.0)) * rows + every * SPREAD_ROWS) / (rows + SPREAD_ROWS) * margin
+
+    return by_lang.groupBy("lang").agg(*spread).select(
+        "lang", "median", shrunk(low, F.col("rows"), pooled.low).alias("low"), shrunk(high, F.col("held"), pooled.high).alias("high"))
+
+
 def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *,
-             order: int = ORDER, quantile: float = 0.99, margin: float = 2.0, min_rows: int = 100) -> DataFrame:
-    """Per row of ``docs``: ``id_col``, ``lang``, ``n_chars``, ``log_perplexity``, ``z``, ``low``, ``high``, ``kept``, ``h1``,
-    ``h2``. ``trusted``: the ids of trusted documents, in a column named ``id_col``."""
+             order: int = ORDER, quantile: float = 0.99, margin: float = 2.0) -> DataFrame:
+    """Per row of ``docs``: ``id_col``, ``lang``, ``n_chars``, ``log_perplexity``, ``z``, ``low``, ``high``, ``kept``, ``judged``,
+    ``h1``, ``h2``. ``trusted``: the ids of trusted documents, in a column named ``id_col``. ``judged`` is false where
+    there was nothing to judge by: no characters, or no trusted text of the language."""
     python_ready(docs.sparkSession)
     ids = trusted.select(id_col).filter(F.col(id_col).isNotNull()).distinct()
     model = fit(trusted_texts(docs, ids.filter(~held_out(id_col)), id_col, text_col), "text", order)
     scored = written(scores(docs, model, id_col, text_col, lang_col), "quality-scores")
-    kept_out = ids.filter(held_out(id_col)).withColumnRenamed(id_col, "id")
-    sample = written(scored.filter(F.col("loss").isNotNull()).join(kept_out, "id", "left_semi"), "quality-held-out")
-
-    own, every = F.struct(F.lit(False).alias("every"), F.col("lang")), F.struct(F.lit(True).alias("every"), F.lit(None).cast("string").alias("lang"))
-    losses = sample.select(F.explode(F.array(own, every)).alias("by"), "n", "loss")
-    medians = losses.groupBy("by").agg(F.percentile_approx("loss", 0.5, 10000).alias("median"), F.count(F.lit(1)).alias("rows"))
-    spread = losses.join(F.broadcast(medians), "by").withColumn("z", (F.col("loss") - F.col("median")) * F.sqrt("n"))
-    limits = spread.groupBy(F.col("by.every").alias("every"), F.col("by.lang").alias("lang")).agg(
-        F.first("median").alias("median"), F.first("rows").alias("rows"),
-        (F.percentile_approx("z", 1 - quantile, 10000) * margin).alias("low"),
-        (F.percentile_approx("z", quantile, 10000) * margin).alias("high"))
-    limits = written(limits, "quality-limits")
-    pooled = limits.filter("every").select("median", "low", "high").first() or (None, None, None)
-    own_limits = limits.filter((~F.col("every")) & (F.col("rows") >= min_rows) & F.col("lang").isNotNull()).select(
-        "lang", "median", "low", "high")
-    judged = scored.join(own_limits, "lang", "left")
-    for c, every in zip(("median", "low", "high"), pooled):
-        judged = judged.withColumn(c, F.coalesce(c, F.lit(every).cast("double")))
-    judged = judged.withColumn("z", (F.col("loss") - F.col("median")) * F.sqrt("n"))
-    kept = F.coalesce((F.col("z") >= F.col("low")) & (F.col("z") <= F.col("high")), F.lit(True))
+    sample = written(scored.filter(F.col("loss").isNotNull()).join(ids.withColumnRenamed(id_col, "id"), "id", "left_semi").select(
+        "lang", "n", "loss", held_out("id").alias("held")), "quality-trusted")
+    limits = written(language_limits(sample, quantile, margin), "quality-limits")
+    own = F.struct("median", "low", "high")
+    unknown = limits.agg(F.collect_list(own).alias("limits")).select(F.lit(None).cast(limits.schema["lang"].dataType).alias("lang"), "limits")
+    options = written(limits.filter(F.col("lang").isNotNull()).select("lang", F.array(own).alias("limits")).unionByName(unknown),
+                      "quality-options").withColumnRenamed("lang", "of")
+
+    def against(o: Column) -> Column:
+        z = (F.col("loss") - o["median"]) * F.sqrt("n")
+        return F.struct(F.greatest(z - o["high"], o["low"] - z).alias("over"), z.alias("z"), o["low"].alias("low"), o["high"].alias("high"))
+
+    judged = scored.join(options, F.col("lang").eqNullSafe(F.col("of")), "left").withColumn(
+        "nearest", F.array_min(F.transform("limits", against)))
+    over = F.col("nearest.over")
     return judged.select(F.col("id").alias(id_col), "lang", F.col("n").alias("n_chars"), F.col("loss").alias("log_perplexity"),
-                         "z", "low", "high", kept.alias("kept"), "h1", "h2")
+                         "nearest.z", "nearest.low", "nearest.high", F.coalesce(over <= 0, F.lit(True)).alias("kept"),
+                         over.isNotNull().alias("judged"), "h1", "h2")
