@@ -316,3 +316,15 @@ def test_quality_rare_language_has_its_own_limits(spark):
     unseen = [r for r in rows if r.lang == "de" and not r.seen]
     assert len(unseen) >= 5 and sum(r.kept for r in unseen) >= 0.9 * len(unseen) and all(r.judged for r in unseen)
     assert {(r.kept, r.judged) for r in rows if r.lang in ("es", "fr")} == {(True, False)}
+
+
+def test_quality_limits_are_the_quantiles(spark):
+    rng = np.random.default_rng(1)
+    n, z = rng.integers(100, 5000, 20_000), rng.normal(0, 1, 20_000)
+    rows = [("en" if i % 2 else "de", int(n[i]), float((2 + i % 2) + z[i] / math.sqrt(n[i])), i % 10 < 2) for i in range(len(n))]
+    sample = spark.createDataFrame(rows, "lang string, n long, loss double, held boolean")
+    limits = {r.lang: r for r in Q.language_limits(sample, 0.99).collect()}
+    for lang, r in limits.items():
+        own = [(x[2] - r.median) * math.sqrt(x[1]) for x in rows if x[0] == lang]
+        assert 0.01 <= sum(v < r.low or v > r.high for v in own) / len(own) <= 0.03
+    assert set(limits) == {"de", "en"}

@@ -13,8 +13,9 @@ exceed the text. The steps:
    mean negative log-probability a character, the log-perplexity. Texts move once, compressed.
 4. *Thresholds.* Scores of trusted documents give, by language, the median and quantiles of the deviation from it,
    scaled by the square root of the length (a mean over more characters varies less). A document is rejected if it
-   lies beyond ``margin`` times the distance of the upper or lower quantile: text that the model finds improbable, and
-   text that is too predictable. The upper one is of the held-out documents; the lower one of all trusted ones, as
+   lies beyond the upper or lower quantile: text that the model finds improbable, and text that is too predictable. So
+   ``1 - quantile`` of the clean documents on each side is the bound on clean loss, 2 % in all. A word said over and over
+   is only rejected if its own letters are improbable or too predictable on the mean. The upper one is of the held-out documents; the lower one of all trusted ones, as
    a text that the counts hold (a copy, too) scores lower than others.
 
 Each language has its own median and limits at any number of documents. The median is that of the held-out documents, as if
@@ -337,7 +338,7 @@ def beyond(quantile: float, at: Column, tail: Column, rows: Column) -> Column:
     return at + F.coalesce(tail, F.lit(0.0)) * F.greatest(F.lit(0.0), -F.log((1 - quantile) * (rows + 1)))
 
 
-def language_limits(sample: DataFrame, quantile: float, margin: float) -> DataFrame:
+def language_limits(sample: DataFrame, quantile: float) -> DataFrame:
     """``lang``, ``median``, ``low``, ``high`` from the scores of trusted documents (``lang``, ``n``, ``loss``, ``held``)."""
     spark = sample.sparkSession
     medians = sample.groupBy("lang").agg(F.percentile_approx("loss", 0.5, 10000).alias("every"), F.count_if("held").alias("rows"),
@@ -358,14 +359,14 @@ def language_limits(sample: DataFrame, quantile: float, margin: float) -> DataFr
         return spark.createDataFrame([], medians.schema.add("low", "double").add("high", "double"))
 
     def shrunk(own: Column, rows: Column, every: float) -> Column:
-        return (F.coalesce(own, F.lit(0.0)) * rows + every * SPREAD_ROWS) / (rows + SPREAD_ROWS) * margin
+        return (F.coalesce(own, F.lit(0.0)) * rows + every * SPREAD_ROWS) / (rows + SPREAD_ROWS)
 
     return by_lang.groupBy("lang").agg(*spread).select(
         "lang", "median", shrunk(low, F.col("rows"), pooled.low).alias("low"), shrunk(high, F.col("held"), pooled.high).alias("high"))
 
 
 def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *,
-             order: int = ORDER, quantile: float = 0.99, margin: float = 2.0) -> DataFrame:
+             order: int = ORDER, quantile: float = 0.99) -> DataFrame:
     """Per row of ``docs``: ``id_col``, ``lang``, ``n_chars``, ``log_perplexity``, ``z``, ``low``, ``high``, ``kept``, ``judged``,
     ``h1``, ``h2``. ``trusted``: the ids of trusted documents, in a column named ``id_col``. ``judged`` is false where
     there was nothing to judge by: no characters, or no trusted text of the language."""
@@ -375,7 +376,7 @@ def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_c
     scored = written(scores(docs, model, id_col, text_col, lang_col), "quality-scores")
     sample = written(scored.filter(F.col("loss").isNotNull()).join(ids.withColumnRenamed(id_col, "id"), "id", "left_semi").select(
         "lang", "n", "loss", held_out("id").alias("held")), "quality-trusted")
-    limits = written(language_limits(sample, quantile, margin), "quality-limits")
+    limits = written(language_limits(sample, quantile), "quality-limits")
     own = F.struct("median", "low", "high")
     unknown = limits.agg(F.collect_list(own).alias("limits")).select(F.lit(None).cast(limits.schema["lang"].dataType).alias("lang"), "limits")
     options = written(limits.filter(F.col("lang").isNotNull()).select("lang", F.array(own).alias("limits")).unionByName(unknown),
