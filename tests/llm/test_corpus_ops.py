@@ -328,3 +328,12 @@ def test_quality_limits_are_the_quantiles(spark):
         own = [(x[2] - r.median) * math.sqrt(x[1]) for x in rows if x[0] == lang]
         assert 0.01 <= sum(v < r.low or v > r.high for v in own) / len(own) <= 0.03
     assert set(limits) == {"de", "en"}
+
+
+def test_decontaminate_finds_bare_and_unspaced_items(spark):
+    texts = {1: "What is 12 * 45 + 7?", 2: "3 5 8 13 21 34 55 89 144 233", 3: "今天天气很好，我们去公园散步，看见很多花。", 4: "Paul Anna 1912 Oslo 17 Rome 23"}
+    items = spark.createDataFrame(list(texts.items()) + [(9, "12 45")], "item_id long, text string")
+    docs = [(i, f"Some words stand before it. {t} And some behind it.") for i, t in texts.items()]
+    docs += [(11, "See what is 13 * 45 + 7? Yes."), (12, "3 5 8 13 22 34 56 89 145 233"), (13, "今天天气不好，他们在家看书，没有散步。"), (14, "12 45")]
+    got = {r.doc_id: r.item_ids for r in D.decontaminate(_docs(spark, docs), items).collect()}
+    assert got == {1: [1], 2: [2], 3: [3], 4: [4], 11: [], 12: [], 13: [], 14: []}

@@ -1,9 +1,9 @@
 """Benchmark decontamination by template windows.
 
-Canonical form: words between white space, punctuation around them dropped, lower case. Numbers (digits and number
+Canonical form: words between white space (characters, in scripts without spaces), punctuation around them dropped, lower case. Numbers (digits and number
 words), units behind a number, and names (a capital that does not begin a sentence; neighbours join) become typed
-placeholders; their values are the slots. A window is ``WINDOW`` consecutive tokens of that template, literal enough to
-mean something (``LITERALS``). The steps:
+placeholders; their values are the slots. A window is ``WINDOW`` consecutive tokens of that template; one with fewer than
+``LITERALS`` literal tokens is too bare to mean something, and is told by its values instead. The steps:
 
 1. The benchmark's windows, with place and slots, are one small table by item.
 2. Tasks read the documents. A filter of fixed size over the benchmark's window hashes tells which windows may match;
@@ -18,7 +18,7 @@ count. Runs of equal texts are one row, so a passage that a third of the documen
 text, and by a key per passage window, not by pairs of documents.
 
 Edge cases: null or empty texts match nothing; items shorter than a window are windows of their own length; items with
-fewer than ``LITERALS`` literal tokens cannot be told from chance and never match; a null item id is reported as null;
+fewer than ``LITERALS`` tokens cannot be told from chance and never match; a null item id is reported as null;
 equal texts get equal verdicts, whatever their ids; an empty benchmark leaves every document clean; an empty table gives
 an empty result; extra columns are ignored.
 """
@@ -57,6 +57,14 @@ _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 _NUMBER = re.compile(r"\d+(?:[.,:/]\d+)*")
 _QUANTITY = re.compile(r"(\d+(?:[.,:/]\d+)*)([^\W\d_]+)")
 _STOPS = (".", "!", "?", ":", ";")
+#: Scripts without spaces: Thai, Lao, Myanmar, Khmer, kana, Han.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+
+
+def words_of(text: str | None) -> list[str]:
+    if not text:
+        return []
+    return (text if text.isascii() else _UNSPACED.sub(r" \g<0> ", text)).split()
 
 
 class Canonical:
@@ -102,7 +110,7 @@ class Canonical:
         """``owner`` (place of the text), ``shape`` (template hash), ``value``, ``kind`` of each token, in order."""
         import numpy as np
 
-        split = [(t or "").split() for t in texts]
+        split = [words_of(t) for t in texts]
         words = [w for s in split for w in s]
         self._learn(set(words))
         get = self.place.__getitem__
@@ -135,21 +143,36 @@ class Canonical:
         return owner, shape, value, kind
 
 
-def window_hashes(owner, shape, kind, size: int, literals: int):
-    """Hash of the window that begins at each token, and whether there is one that counts."""
+def _mixed(tokens, size: int):
     import numpy as np
 
-    n = len(shape) - size + 1
-    if n <= 0:
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=bool)
+    n = len(tokens) - size + 1
     h = np.zeros(n, dtype=np.uint64)
     for k in range(size):
-        h = h * np.uint64(_MULTIPLIER) + shape[k:k + n]
+        h = h * np.uint64(_MULTIPLIER) + tokens[k:k + n]
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
-    plain = np.concatenate([[0], np.cumsum(kind == LITERAL)])
-    return h, (owner[:n] == owner[size - 1:]) & (plain[size:] - plain[:n] >= literals)
+    return h
+
+
+def window_hashes(owner, shape, kind, size: int, literals: int, value=None):
+    """Hash of the window that begins at each token, and whether there is one that counts. With ``value``, windows with
+    fewer than ``literals`` literal tokens count by their values, if they have as many tokens."""
+    import numpy as np
+
+    n = len(shape) - size + 1
+    if n <= 0:
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=bool)
+    h = _mixed(shape, size)
+    counts = np.concatenate([[0], np.cumsum(kind == LITERAL)])
+    plain = counts[size:] - counts[:n] >= literals
+    whole = owner[:n] == owner[size - 1:]
+    if value is None or size < literals:
+        return h, whole & plain
+    if not plain.all():
+        h = np.where(plain, h, ~_mixed(value + shape * np.uint64(_MULTIPLIER), size))
+    return h, whole
 
 
 _LONGS = T.ArrayType(T.LongType())
@@ -173,8 +196,8 @@ def benchmark_items(benchmark: DataFrame, id_col: str, text_col: str, window: in
             for item_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 owner, shape, value, kind = canonical.tokens([text])
                 size = min(window, len(shape))
-                if size and (kind == LITERAL).sum() >= literals:
-                    h, ok = window_hashes(owner, shape, kind, size, literals)
+                if size:
+                    h, ok = window_hashes(owner, shape, kind, size, literals, value)
                     if ok.any():
                         slots = np.where(kind == LITERAL, None, value.view(np.int64)).tolist()
                         rows.append((item_id, size, len(shape), np.where(ok, h.view(np.int64), None).tolist(), slots))
@@ -208,7 +231,7 @@ def document_runs(docs: DataFrame, text_col: str, sizes: list[int], filter_, lit
                 owner, shape, value, kind = canonical.tokens(part)
                 begin = np.searchsorted(owner, np.arange(len(part)))
                 for size in sizes:
-                    h, ok = window_hashes(owner, shape, kind, size, literals)
+                    h, ok = window_hashes(owner, shape, kind, size, literals, value)
                     ok &= may_hold(h)
                     at = np.flatnonzero(ok)
                     if not len(at):
