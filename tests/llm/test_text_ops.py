@@ -92,6 +92,15 @@ def test_html_edge_cases(page, text):
     assert H.main_text(page) == text
 
 
+def test_html_names_from_headings_do_not_drop_the_article():
+    prose = "Much has been written on this, at length, and by many, as the reader of these lines will know by now."
+    page = (f'<body><article><h2 id="navigation-and-menus">Menus</h2><p>{prose}</p><section id="related-work"><p>A {prose}</p></section>'
+            f'<section id="notice"><p>B {prose}</p></section><div class="share-this"><a href="x">Share</a></div>'
+            f'<div class="ad"><p>C {prose}</p></div></article></body>')
+    assert H.main_text(page) == f"Menus\n{prose}\nA {prose}\nB {prose}"
+    assert H.main_text(f'<body><div class="post comments-open"><p>{prose}</p></div><div class="comment-list"><p>D {prose}</p></div></body>') == prose
+
+
 def test_html_deep_and_long():
     assert H.main_text("<div>" * 20_000 + "<p>deep text</p>" + "</div>" * 20_000) == "deep text"
     assert len(H.main_text("<article>" + "<p>word, and more words to read here</p>" * 20_000 + "</article>").split("\n")) == 20_000

@@ -1,7 +1,9 @@
 """HTML extraction by tree scoring.
 
 The page becomes a tree of elements, built in one pass over its tags with HTML's rules for tags that end by
-themselves. Elements that never hold the article (scripts, menus, forms, notices ...) are left out. Each
+themselves. Elements that never hold the article (scripts, menus, forms, notices ...) are left out: by tag, or if a whole
+class or id names such a thing. Where only a part of the name does (``related-work``), or the id of a heading or of a part
+of an article, the element is a suspect: it scores less, and is left out only if it is dense in links or, by its class, short. Each
 paragraph scores points for its length and its commas and passes them to its ancestors, less with distance;
 a container's points are discounted by its link density. The best container is kept, and with it the siblings
 that score near it or are prose themselves. Their blocks are the text.
@@ -43,6 +45,10 @@ BOILERPLATE = re.compile(
 #: Of these, words that a part of the article may have too, beside a word that names the article.
 DOUBTFUL = frozenset("header banner masthead tag tags toc related notice overlay".split())
 ARTICLE = re.compile(r"(?:^|[\s_-])(?:article|entry|post|story)(?:$|[\s_-])", re.I)
+#: Words that say nothing of their own in a class or id.
+NEUTRAL = frozenset("""area bar block body bottom box container content form inner item items left link links list main outer panel
+post posts right row section top wrap wrapper""".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar".split())
 #: Where an end tag is left out: an open element of the key ends before a start tag of the value.
 _P_ENDERS = BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "legend", "option", "optgroup", "summary"}
@@ -66,6 +72,12 @@ _COMMAS = re.compile(r"[,،、，·﹐]")
 
 MIN_PARAGRAPH = 25
 SIBLING_SHARE = 0.2
+#: A suspect's share of its score, and what leaves it out: link density above, or characters below.
+SUSPECT_SHARE = 0.75
+SUSPECT_DENSITY = 0.5
+SUSPECT_SHORT = 80
+#: What the names of an element say: nothing, suspect by its id, suspect by its class, not of the article.
+CLEAR, BY_ID, BY_CLASS, OUT = range(4)
 
 
 def _one_line(text: str) -> str:
@@ -76,32 +88,42 @@ def _one_line(text: str) -> str:
 class Element:
     """``children``: elements and texts in page order."""
 
-    __slots__ = ("tag", "parent", "children", "out", "in_link", "score", "n_text", "n_link")
+    __slots__ = ("tag", "parent", "children", "out", "in_link", "suspect", "score", "n_text", "n_link")
 
-    def __init__(self, tag: str, parent: Element | None, out: bool = False):
-        self.tag, self.parent, self.out = tag, parent, out
+    def __init__(self, tag: str, parent: Element | None, out: bool = False, suspect: int = CLEAR):
+        self.tag, self.parent, self.out, self.suspect = tag, parent, out, suspect
         self.in_link = tag == "a" or (parent is not None and parent.in_link)
         self.children: list = []
         self.score = 0.0
         self.n_text = self.n_link = 0
 
 
-def _boilerplate(tag: str, rest: str) -> bool:
+def _boilerplate(tag: str, rest: str, parent: Element) -> int:
     if tag in LEFT_OUT:
-        return True
+        return OUT
     if tag in ("html", "body", "article", "main") or not rest or "=" not in rest and "hidden" not in rest.lower():
-        return False
-    named = ""
+        return CLEAR
+    names = []
     for m in _ATTRIBUTE.finditer(rest):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and _HIDDEN_STYLE.search(value)):
-            return True
+            return OUT
         if key == "role" and value.lower() in ROLES:
-            return True
+            return OUT
         if key in ("class", "id"):
-            named += " " + value
-    words = {w.lower() for w in re.split(r"[\s_-]+", named) if w and BOILERPLATE.match(w)}
-    return bool(words) and not (words <= DOUBTFUL and ARTICLE.search(named))
+            names += [(key, name) for name in value.split()]
+    said, words = CLEAR, set()
+    for key, name in names:
+        parts = [w.lower() for w in re.split(r"[_-]+", name) if w]
+        hits = {w for w in parts if BOILERPLATE.match(w)}
+        if not hits:
+            continue
+        words |= hits
+        if not all(w in hits or w in NEUTRAL for w in parts) or tag in HEADINGS or key == "id" and _within(parent, ("article", "main")):
+            said = max(said, BY_ID if key == "id" else BY_CLASS)
+        else:
+            said = OUT
+    return CLEAR if words <= DOUBTFUL and ARTICLE.search(" ".join(n for _, n in names)) else said
 
 
 def parse(page: str) -> Element:
@@ -130,8 +152,9 @@ def parse(page: str) -> Element:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             at = close.end() if close else len(page)
             continue
-        out = open_.out or _boilerplate(tag, rest) or (tag == "header" and not _within(open_, ("article", "main")))
-        element = Element(tag, open_, out)
+        said = _boilerplate(tag, rest, open_)
+        out = open_.out or said == OUT or (tag == "header" and not _within(open_, ("article", "main")))
+        element = Element(tag, open_, out, said)
         open_.children.append(element)
         if tag not in VOID and not (rest.endswith("/") and tag not in BLOCK):
             open_ = element
@@ -202,7 +225,7 @@ def _own_text(e: Element) -> str:
 
 def score(root: Element) -> list[Element]:
     """Score the tree; its elements that are not left out, parents first."""
-    found = _elements(root)
+    found, left_out = _elements(root), False
     for e in reversed(found):  # children before parents
         for c in e.children:
             if isinstance(c, str):
@@ -212,6 +235,11 @@ def score(root: Element) -> list[Element]:
             elif not c.out:
                 e.n_text += c.n_text
                 e.n_link += c.n_link
+        if e.suspect and (e.n_link > SUSPECT_DENSITY * e.n_text or e.suspect == BY_CLASS and e.tag not in HEADINGS and
+                          e.n_text < SUSPECT_SHORT):
+            e.out = left_out = True
+    if left_out:
+        found = _elements(root)
     for e in found:
         if e.tag not in PARAGRAPHS and not (e.tag in BLOCK and any(isinstance(c, str) and c.strip() for c in e.children)):
             continue
@@ -229,6 +257,7 @@ def score(root: Element) -> list[Element]:
             above = above.parent
     for e in found:
         e.score *= 1 - (e.n_link / e.n_text if e.n_text else 0)
+        e.score *= SUSPECT_SHARE if e.suspect else 1
     return found
 
 
