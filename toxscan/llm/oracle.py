@@ -43,8 +43,35 @@ SELECT conv_id, count(*) AS n_turns,
        sum(24 + length(role) + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')))::BIGINT AS formatted_chars
 FROM t GROUP BY conv_id"""
 
+LEXICAL_SEARCH = r"""
+WITH t AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), s AS (
+  SELECT count(*) AS all_docs, sum(len(terms))::BIGINT AS all_terms FROM t WHERE len(terms) > 0
+), q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark
+), p AS (
+  SELECT row, doc_id, term, n, count(*) AS tf
+  FROM (SELECT row, doc_id, len(terms) AS n, unnest(terms) AS term FROM t)
+  WHERE term IN (SELECT term FROM q) GROUP BY ALL
+), w AS (
+  SELECT term, floor(1000 * ln((2 * all_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, s GROUP BY term, all_docs
+), c AS (
+  SELECT item_id, row, doc_id,
+         sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n::BIGINT * all_docs) // all_terms))))::BIGINT AS score
+  FROM p JOIN w USING (term) JOIN q USING (term), s GROUP BY ALL
+), r AS (
+  SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM c WHERE score > 0
+)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 50"""
+
 ORACLE_SQL = {
     "op1_chat_format": CHAT_FORMAT,
     "op4_exact_dedup": EXACT_DEDUP,
     "op6_line_dedup": LINE_DEDUP,
+    "op13_lexical_search": LEXICAL_SEARCH,
 }

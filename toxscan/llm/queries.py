@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from toxscan.llm import language_id
 from toxscan.llm.chat_format import conversation_digests, format_conversations
-from toxscan.llm.common import table
+from toxscan.llm.common import SPACE_CLASS, table
 from toxscan.llm.decontaminate import decontaminate
 from toxscan.llm.exact_dedup import exact_dedup
 from toxscan.llm.html_extract import extract
+from toxscan.llm.lexical_search import search
 from toxscan.llm.line_dedup import dedup_lines
 from toxscan.llm.oracle import ORACLE_SQL as ORACLE_SQL
 from toxscan.llm.packing import pack
+from toxscan.llm.periodic_runs import periodic_runs
+from toxscan.llm.piece_codec import decode_pieces, encode_pieces
 from toxscan.llm.quality_lm import classify, trusted_ids
 from toxscan.llm.simhash import near_duplicates
 from toxscan.llm.token_count import count_tokens
@@ -71,6 +74,37 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op11_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = decode_pieces(encode_pieces(table(spark, sf_dir, "documents")))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def repeated_tails(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``: in about a tenth of the documents the words from some place on repeat a period of theirs."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.filter(F.split("text", SPACE_CLASS + "+"), lambda w: w != "")
+    cut = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, words).alias("words"))
+    sized = cut.withColumn("n", F.size("words")).withColumn("a", F.expr("if(n > 0, g % n, 0)"))         .withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    tail = F.expr("transform(words, (w, i) -> if(i < a, w, words[int(a + (i - a) % p)]))")
+    return sized.select("doc_id", F.when(F.col("n") > 0, F.array_join(tail, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(repeated_tails(table(spark, sf_dir, "documents")))
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("s"), r["period"].alias("q"))))
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.s").alias("start"), (-F.col("best.l")).alias("length"),
+        F.col("best.q").alias("period"), F.expr("(1000 * -best.l) div best.q").alias("exponent_milli"),
+        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), top=50)
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_simhash": op2_simhash,
@@ -82,4 +116,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_language_id": op9_language_id,
     "op10_token_counts": op10_token_counts,
+    "op11_piece_codec": op11_piece_codec,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_lexical_search": op13_lexical_search,
 }
