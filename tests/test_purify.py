@@ -146,3 +146,74 @@ def test_purify_shuffles_no_tokens(spark):
     plan = purify(docs, AdditiveScorer(weights, Decimal("0")))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and plan.rindex("Generate ") < plan.index("Exchange hashpartitioning")
     assert "Window" not in plan
+
+
+class CountingModel:
+    """The additive model, telling how often it is called and on what."""
+
+    scale = 1
+
+    def __init__(self, weights, bias):
+        self.weights, self.bias, self.calls = weights, bias, []
+
+    def __call__(self, tokens, offsets):
+        import numpy as np
+
+        self.calls.append(len(offsets) - 1)
+        w = np.array([self.weights.get(t, 0) for t in tokens], dtype=np.int64)
+        return np.array([self.bias + w[a:b].sum() for a, b in zip(offsets[:-1], offsets[1:])]), w
+
+
+def test_one_model_call_a_round():
+    import numpy as np
+
+    from toxscan.operators.purify import mask_batch
+
+    weights, bias = {"a": 5, "b": 3, "c": -4, "x#y": 2}, -2
+    docs = [["a", "b", "c"], [], ["c", "c"], ["b", "a", "a", "*", "x#y"], ["*", "**"], ["b"] * 6, ["x#y", "a"]]
+    model = CountingModel(weights, bias)
+    offsets = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
+    tokens = np.array([t for d in docs for t in d], dtype=object)
+    first, last, masked = mask_batch(tokens, offsets, model)
+    rounds, want = [], []
+    for d in docs:
+        toks, n = list(d), 0
+        while bias + sum(weights.get(t, 0) for t in toks) > 0 and any(t.strip("*") for t in toks):
+            best = max((i for i, t in enumerate(toks) if t.strip("*")), key=lambda i: (weights.get(toks[i], 0), -i))
+            toks[best] = "*" * len(toks[best].replace("#", ""))
+            n += 1
+        rounds.append(n)
+        want += toks
+    assert tokens.tolist() == want and masked.tolist() == rounds and max(rounds) > 3
+    assert model.calls == [len(docs), *[sum(r >= k for r in rounds) for k in range(1, max(rounds) + 1)]]
+    assert first.tolist() == [bias + sum(weights.get(t, 0) for t in d) for d in docs]
+    assert last.tolist() == [bias + sum(weights.get(t, 0) for t in want[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
+    none = mask_batch(np.zeros(0, object), np.zeros(1, np.int64), model)
+    assert [len(x) for x in none] == [0, 0, 0]
+
+
+def test_direct_stream_restarts_between_batches(spark, tmp_path):
+    import time
+
+    from toxscan.operators.purify import purify_with_model
+    from toxscan.operators.scorer import AdditiveWeightsLoader
+    from toxscan.streaming.moderate import MODERATED_SCHEMA, moderate_stream_direct
+
+    loader = AdditiveWeightsLoader({"idiot": 3, "nice": -1}, 0)
+    rows = spark.createDataFrame([(i, i % 2, f"you idiot {i}" if i % 3 else "nice day") for i in range(40)], "doc_id long, label int, text string")
+    rows.repartition(8).write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    sink, ckpt = str(tmp_path / "out"), str(tmp_path / "ckpt")
+    q = moderate_stream_direct(source, loader, sink, ckpt, available_now=False)
+    for _ in range(600):
+        if q.lastProgress is not None and q.lastProgress["batchId"] >= 1:
+            break
+        time.sleep(0.05)
+    q.stop()
+    part = spark.read.schema(MODERATED_SCHEMA).parquet(sink).count()
+    assert 0 < part
+    moderate_stream_direct(source, loader, sink, ckpt).awaitTermination()
+    columns = [c.split()[0] for c in MODERATED_SCHEMA.split(", ")]
+    got = sorted(map(tuple, spark.read.schema(MODERATED_SCHEMA).parquet(sink).select(*columns).collect()))
+    batch = purify_with_model(rows, loader, keep=["label"], keep_schema="label int")
+    assert got == sorted(map(tuple, batch.select(*columns).collect())) and len(got) == 40

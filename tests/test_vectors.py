@@ -62,8 +62,31 @@ def test_linear_head_argmax(spark):
     weights = spark.createDataFrame([(7, [1.0, 0.0], 0.0), (9, [0.0, 1.0], 0.0)], "class int, w array<double>, b double")
     out = V.linear_head(df, "v", weights).collect()
     assert [r.pred for r in out] == [7, 9, 7] and out[0].logits == [1.0, 0.0]
-    with pytest.raises(ValueError):
-        V.linear_head(df, "v", weights, max_classes=1)
+    spark.conf.set("spark.toxscan.broadcastMaxBytes", "10")
+    try:
+        with pytest.raises(ValueError):
+            V.linear_head(df, "v", weights)
+    finally:
+        spark.conf.unset("spark.toxscan.broadcastMaxBytes")
+
+
+def test_attribution_by_attention_matches_numpy(spark):
+    emb = spark.read.parquet(f"{SF001}/embeddings.parquet").selectExpr("vec_id % 7 as doc_id", "vec_id div 7 as pos", "embedding")
+    matrix = V.moment_projection(emb)
+    rows = emb.collect()
+    x = np.array([r.embedding for r in rows], dtype=np.float64)
+    moment, mean = x.T @ x / len(x), x.mean(axis=0)
+    assert np.allclose([r.w for r in matrix.orderBy("place").collect()], moment) and matrix.count() == 64
+    got = {(r.doc_id, r.pos): r for r in V.attribute_attention(emb, matrix, matrix).collect()}
+    y = (x @ moment + mean)[:, :16]
+    for doc in {r.doc_id for r in rows}:
+        at = sorted((r.pos, i) for i, r in enumerate(rows) if r.doc_id == doc)
+        s = np.array([y[at[0][1]] @ y[i] / 4 for _, i in at[1:]])
+        p = np.exp(s - s.max()) / np.exp(s - s.max()).sum()
+        found = [got[doc, pos] for pos, _ in at[1:]]
+        assert np.allclose([f.score for f in found], s) and np.allclose([f.prob for f in found], p)
+        assert [f.place for f in sorted(found, key=lambda f: (-f.prob, f.pos))] == list(range(len(found)))
+    assert len(got) == len(rows) - 7
 
 
 def test_single_head_scale_and_own_keys(spark):

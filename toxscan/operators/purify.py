@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from toxscan.functions.text import MASK_CHAR, clean_text, mask_token, piece_token, token_pieces
-from toxscan.operators.joins import checked_lookup
+from toxscan.operators.joins import element_lookup
 from toxscan.operators.scorer import AdditiveScorer, micro_weights, probabilities
 from toxscan.operators.tokens import with_row_key
 
@@ -41,9 +41,11 @@ def prepare(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
 def piece_weights(base: DataFrame, scorer: AdditiveScorer, id_col: str = "doc_id", keep: Sequence[str] = ()) -> DataFrame:
     """``(_row, id, *keep, pos, piece, token, w)``, ``w`` in millionths; an empty document keeps one row with
     null piece."""
-    ex = base.select("_row", id_col, *keep, F.posexplode_outer("pieces").alias("pos", "piece"))
-    ex = ex.withColumn("token", piece_token("piece"))
-    joined = checked_lookup(ex, micro_weights(scorer), "token", how="left", row_keys=["_row", "pos"])
+    def explode(rows: DataFrame) -> DataFrame:
+        ex = rows.select("_row", id_col, *keep, F.posexplode_outer("pieces").alias("pos", "piece"))
+        return ex.withColumn("token", piece_token("piece"))
+
+    joined = element_lookup(base, explode, micro_weights(scorer), "token", [id_col, *keep], "frequency")
     return joined.withColumn("w", F.coalesce("w", F.lit(0).cast("long")))
 
 
@@ -115,65 +117,86 @@ def purify(df: DataFrame, scorer: AdditiveScorer, id_col: str = "doc_id", text_c
 PURIFIED_SCHEMA = "p0 double, p1 double, pred int, text string, n_masked long, final_score double"
 
 
+def _spans(offsets, chosen):
+    """The places of the tokens of ``chosen`` documents, one after the other, and the offsets of the documents among them."""
+    import numpy as np
+
+    size = (offsets[1:] - offsets[:-1])[chosen]
+    ends = np.concatenate([[0], np.cumsum(size)])
+    return np.arange(ends[-1]) + np.repeat(offsets[:-1][chosen] - ends[:-1], size), ends
+
+
+def mask_batch(tokens, offsets, model):
+    """The mask-and-rescore loop over a batch of documents: ``tokens`` (an object array, masked in place) one document after the other,
+    ``offsets`` where each begins. Returns the first scores, the last scores and the number of masked tokens.
+
+    Each round scores all documents that are still toxic and have a token left to mask, in one call of ``model(tokens, offsets) ->
+    (score of each document, attribution of each token)``; then each gets its best candidate masked (ties: the first position).
+    The others have left."""
+    import numpy as np
+
+    score, attribution = (np.array(x) for x in model(tokens, offsets))
+    first, masked = score.copy(), np.zeros(len(score), np.int64)
+    is_mask = np.fromiter((not t.strip(MASK_CHAR) for t in tokens), dtype=bool, count=len(tokens))
+    live = np.flatnonzero(score > 0)
+    while len(live):
+        at, ends = _spans(offsets, live)
+        open_ = ~is_mask[at]
+        counts = np.concatenate([[0], np.cumsum(open_)])
+        counts = counts[ends[1:]] - counts[ends[:-1]]
+        live, at = live[counts > 0], at[open_]
+        if not len(live):
+            break
+        starts = np.cumsum(counts[counts > 0]) - counts[counts > 0]
+        worth = attribution[at]
+        best = np.repeat(np.maximum.reduceat(worth, starts), counts[counts > 0]) == worth
+        hits = np.flatnonzero(best)
+        chosen = at[hits[np.searchsorted(hits, starts)]]
+        for place in chosen.tolist():
+            tokens[place] = MASK_CHAR * len(tokens[place].replace("#", "").replace(" ", ""))
+        is_mask[chosen] = True
+        masked[live] += 1
+        at, ends = _spans(offsets, live)
+        score[live], attribution[at] = model(tokens[at], ends)
+        live = live[score[live] > 0]
+    return first, score, masked
+
+
 def purify_with_model(df: DataFrame, load_model, id_col: str = "doc_id", text_col: str = "text",
                       keep: Sequence[str] = (), keep_schema: str = "") -> DataFrame:
     """M4 for any model: score, and while toxic mask the unmasked token with the highest
     attribution (ties: first position) and score again; stop when not toxic or nothing is left.
 
-    ``load_model()`` runs once per task and returns ``model(tokens) -> (score, attributions)``
-    with an attribute ``scale`` (the score is ``score / scale``; integer scores divided by a
-    power of ten give the same doubles as a decimal cast). Cleaning and token pieces are
-    Spark expressions; each row is a whole document, so the loop is per row inside
-    ``mapInPandas`` and no document is split or gathered. Use ``purify`` for additive scorers: it
-    is the closed form of this loop.
+    ``load_model()`` runs once per task and returns a model of batches (``mask_batch``) with an attribute ``scale`` (the score is
+    ``score / scale``; integer scores divided by a power of ten give the same doubles as a decimal cast). Cleaning and token
+    pieces are Spark expressions; a row is a whole document, so nothing is shuffled, grouped or split, and the same plan runs on a
+    stream. Use ``purify`` for additive scorers: it is the closed form of this loop.
     """
-    import math
-
-    import numpy as np
-
     from toxscan.session import ship_package
 
     ship_package(df.sparkSession)
-    # Each row is a whole document and the loop is per row: no co-location is needed, so the input
-    # keeps its partitioning (no shuffle of the text).
-    base = prepare(df, id_col, text_col, keep, partitioned=True)
+    base = df.select(id_col, *keep, token_pieces(clean_text(text_col)).alias("pieces"))
     base = base.withColumn("tokens", F.transform("pieces", piece_token))
     id_type = dict(df.dtypes)[id_col]
     schema = ", ".join(x for x in (f"{id_col} {id_type}", keep_schema, PURIFIED_SCHEMA) if x)
 
-    def inv1p_exp(x: float) -> float:
-        """1 / (1 + e^x), 0.0 where e^x overflows (as the JVM's infinity gives)."""
-        try:
-            return 1.0 / (1.0 + math.exp(x))
-        except OverflowError:
-            return 0.0
-
     def run(batches):
+        import numpy as np
+
         model = load_model()
         scale = float(getattr(model, "scale", 1))
         for pdf in batches:
-            out = []
-            for pieces, tokens in zip(pdf["pieces"], pdf["tokens"]):
-                toks = list(tokens)
-                s, attr = model(toks)
-                s0 = s
-                n = 0
-                while s > 0:
-                    cands = [i for i, t in enumerate(toks) if t.strip(MASK_CHAR) != ""]
-                    if not cands:
-                        break
-                    best = min(cands, key=lambda i: (-attr[i], i))
-                    toks[best] = MASK_CHAR * len(toks[best].replace("#", "").replace(" ", ""))
-                    n += 1
-                    s, attr = model(toks)
-                x = float(s0) / scale
-                text = " ".join(toks) if n else "".join(pieces)
-                out.append((inv1p_exp(x), inv1p_exp(-x), int(s0 > 0), text, n,
-                            float(s) / scale))
-            res = pdf[[id_col, *keep]].reset_index(drop=True)
-            cols = ["p0", "p1", "pred", "text", "n_masked", "final_score"]
-            res[cols] = np.array(out, dtype=object).reshape(len(out), 6) if out else np.empty((0, 6), dtype=object)
-            yield res.astype({"p0": "float64", "p1": "float64", "pred": "int32", "n_masked": "int64",
-                              "final_score": "float64"})
+            offsets = np.concatenate([[0], np.cumsum([len(t) for t in pdf["tokens"]])]).astype(np.int64)
+            tokens = np.concatenate([np.zeros(0, object), *(np.asarray(t, dtype=object) for t in pdf["tokens"])])
+            first, last, masked = mask_batch(tokens, offsets, model)
+            text = [" ".join(tokens[a:b]) if n else "".join(p)
+                    for p, a, b, n in zip(pdf["pieces"], offsets[:-1].tolist(), offsets[1:].tolist(), masked.tolist())]
+            x = first.astype(float) / scale
+            out = pdf[[id_col, *keep]].reset_index(drop=True)
+            with np.errstate(over="ignore"):  # e^x overflows to infinity, as in the JVM
+                out["p0"], out["p1"] = 1.0 / (1.0 + np.exp(x)), 1.0 / (1.0 + np.exp(-x))
+            out["pred"], out["text"], out["n_masked"] = (first > 0).astype("int32"), np.array(text, dtype=object), masked
+            out["final_score"] = last.astype(float) / scale
+            yield out
 
     return base.select(id_col, *keep, "pieces", "tokens").mapInPandas(run, schema)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from toxscan.functions.text import MASK_CHAR
 from toxscan.operators.tokens import token_table_outer, with_tokens
-from toxscan.operators.joins import checked_lookup, likely_in
+from toxscan.operators.joins import element_lookup, likely_in
 from toxscan.session import scratch_path, ship_package, spread, write_table
 
 WEIGHT_TYPE = "decimal(18,6)"
@@ -103,8 +103,11 @@ def fit_scorer(train: DataFrame, docs: DataFrame, class_col: str = "bucket", voc
 
 
 def micro_weights(scorer: AdditiveScorer) -> DataFrame:
-    """``(token, w)``: weights in whole millionths, so that sums are exact integers."""
-    return scorer.weights.select("token", (F.col("weight") * F.lit(1_000_000)).cast("long").alias("w"))
+    """``(token, w, frequency)``: weights in whole millionths, so that sums are exact integers, and occurrences in training
+    (0 for weights without counts)."""
+    counted = {"c0", "c1"} <= set(scorer.weights.columns)
+    frequency = F.col("c0") + F.col("c1") if counted else F.lit(0).cast("long")
+    return scorer.weights.select("token", (F.col("weight") * F.lit(1_000_000)).cast("long").alias("w"), frequency.alias("frequency"))
 
 
 def token_weights(df: DataFrame, scorer: AdditiveScorer, id_col: str = "doc_id", tokens_col: str = "tokens",
@@ -112,8 +115,8 @@ def token_weights(df: DataFrame, scorer: AdditiveScorer, id_col: str = "doc_id",
     """``(_row, id, *keep, pos, token, w)``, ``w`` in millionths; an empty document keeps one row with null
     token and w = 0. ``_row`` tells rows of ``df`` apart whatever their ids."""
     rows = df.select(id_col, *keep, tokens_col).withColumn("_row", F.monotonically_increasing_id())
-    ex = token_table_outer(rows, ["_row", id_col, *keep], tokens_col)
-    joined = checked_lookup(ex, micro_weights(scorer), "token", how="left", row_keys=["_row", "pos"])
+    joined = element_lookup(rows, lambda r: token_table_outer(r, ["_row", id_col, *keep], tokens_col), micro_weights(scorer), "token",
+                            [id_col, *keep], "frequency")
     return joined.withColumn("w", F.coalesce("w", F.lit(0).cast("long")))
 
 
@@ -175,7 +178,7 @@ def batch_score(df: DataFrame, load_model: Callable[[], BatchModel], schema: str
 
 
 class AdditiveTokenModel:
-    """The additive scorer as a token-list model for ``purify_with_model``: score and attributions
+    """The additive scorer as a model of batches for ``purify_with_model``: scores and attributions
     in integer micro-units (exact), a token made only of mask characters weighs 0."""
 
     scale = 1_000_000
@@ -183,11 +186,12 @@ class AdditiveTokenModel:
     def __init__(self, micro: dict, bias: int):
         self.micro, self.bias = micro, bias
 
-    def __call__(self, tokens):
+    def __call__(self, tokens, offsets):
         import numpy as np
 
         w = np.fromiter((self.micro.get(t, 0) for t in tokens), dtype=np.int64, count=len(tokens))
-        return self.bias + int(w.sum()), w
+        sums = np.concatenate([[0], np.cumsum(w)])
+        return self.bias + sums[offsets[1:]] - sums[offsets[:-1]], w
 
 
 class AdditiveWeightsLoader:
@@ -230,35 +234,3 @@ class AdditiveModelLoader:
                                  "pred": (total > 0).astype("int32").values})
 
         return model
-
-
-# --- M1 alternative: a pyspark.ml pipeline ------------------------------------------------------
-
-def fit_logistic(train: DataFrame, docs: DataFrame, class_col: str = "bucket", vocab_size: int = 30_000,
-                 reg_param: float = 0.01, max_iter: int = 50, id_col: str = "doc_id", text_col: str = "text"):
-    """M1 (alternative): ``CountVectorizer`` over the tokens and ``LogisticRegression``.
-
-    The balanced table's copies become instance weights (``weightCol``) instead of repeated rows.
-    The vocabulary the vectorizer keeps on the driver is bounded by ``vocab_size``; the fit itself
-    is distributed (tree aggregation of gradients). Iterative, so there is no SQL oracle for it.
-    """
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import CountVectorizer
-
-    copies = train.groupBy(id_col, class_col).agg(F.count(F.lit(1)).cast("double").alias("_w"))
-    rows = with_tokens(copies.join(spread(docs.select(id_col, text_col), id_col), id_col, "inner"), text_col)
-    rows = rows.select("tokens", F.col(class_col).cast("double").alias("_label"), "_w")
-    cv = CountVectorizer(inputCol="tokens", outputCol="_features", vocabSize=vocab_size)
-    lr = LogisticRegression(featuresCol="_features", labelCol="_label", weightCol="_w", regParam=reg_param,
-                            maxIter=max_iter)
-    return Pipeline(stages=[cv, lr]).fit(rows)
-
-
-def score_logistic(model, df: DataFrame, id_col: str = "doc_id", keep: Sequence[str] = ()) -> DataFrame:
-    """``(id, *keep, pred, p1)`` from a fitted ``fit_logistic`` pipeline; ``df`` has ``tokens``."""
-    from pyspark.ml.functions import vector_to_array
-
-    out = model.transform(df.select(id_col, *keep, "tokens"))
-    return out.select(id_col, *keep, F.col("prediction").cast("int").alias("pred"),
-                      vector_to_array("probability")[1].alias("p1"))

@@ -2,7 +2,8 @@
 
 Positional slices of the reference (``df[:n]``) become comparisons with an exact rank (R7).
 Unseeded shuffles become an order by ``md5(seed:keys)``: reproducible, and a retried task gives the
-same rows.
+same rows. The forms in file order (``*_scan``) and by a keyed permutation (``*_permuted``) neither sort nor exchange rows:
+a row's place comes from where it lies, its shuffled position from its place.
 """
 
 from __future__ import annotations
@@ -12,7 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from toxscan.operators.ranking import exact_rank
+from toxscan.functions.permute import permuted
+from toxscan.operators.ranking import exact_rank, scan_rank
 
 DEFAULT_SEED = 42
 DEFAULT_TEST_RATIO = 0.25
@@ -46,6 +48,34 @@ def stratified_split(df: DataFrame, class_col: str = "bucket", order_by: Sequenc
     ).drop("_sn")
 
 
+def random_split_permuted(scan: DataFrame, test_ratio: float = DEFAULT_TEST_RATIO, seed: int = DEFAULT_SEED,
+                          out: str = "split", position_col: str = "position") -> DataFrame:
+    """R1 over a scan of files: the position in a random order is computed from the place in the files."""
+    placed = scan_rank(scan, rank_col="_place", count_col="_sn")
+    n = (placed.agg(F.max("_sn")).first()[0]) or 0
+    position = permuted(F.col("_place"), n, seed)
+    return placed.select(*scan.columns, position.alias(position_col), "_sn").withColumn(
+        out, F.when(F.col(position_col) < _n_train("_sn", test_ratio), F.lit("train")).otherwise(F.lit("test"))).drop("_sn")
+
+
+def stratified_split_scan(scan: DataFrame, class_col: str = "bucket", test_ratio: float = DEFAULT_TEST_RATIO, out: str = "split",
+                          rank_col: str = "_id") -> DataFrame:
+    """R2 over a scan of files, in the order in which its rows lie."""
+    ranked = scan_rank(scan, class_col, rank_col=rank_col, count_col="_sn")
+    return ranked.withColumn(
+        out, F.when(F.col(rank_col) < _n_train("_sn", test_ratio), F.lit("train")).otherwise(F.lit("test"))).drop("_sn")
+
+
+def shuffle_permuted(balanced: DataFrame, n_major: int, n_minor: int, seed: int = DEFAULT_SEED, class_col: str = "bucket",
+                     rank_col: str = "_id", copy_col: str = "copy", out: str = "position") -> DataFrame:
+    """R5 of a balanced train table: majority rows lie at ``0..n_major-1`` by their rank, minority rows behind them by copy and
+    rank, as the union has them; the shuffled position is a permutation of these places, computed by row. ``n_major`` and
+    ``n_minor`` count the train rows of each class before oversampling."""
+    place = F.when(F.col(class_col) == 0, F.col(rank_col)).otherwise(
+        F.lit(n_major).cast("long") + F.col(copy_col).cast("long") * F.lit(n_minor).cast("long") + F.col(rank_col))
+    return balanced.withColumn(out, permuted(place, 2 * n_major, seed))
+
+
 def class_counts(df: DataFrame, class_col: str = "bucket") -> dict[int, int]:
     """Row count per class: a few scalars, read on the driver."""
     return {r[0]: r[1] for r in df.groupBy(class_col).count().collect()}

@@ -2,7 +2,7 @@
 
 The vocabulary keeps every token unless a caller asks for a cap; ids follow (count desc, token) and
 come from ``exact_rank``, so no task numbers the whole vocabulary. A lookup broadcasts it only below a
-checked size in bytes and else joins with salts. Counting is a ``groupBy`` with map-side partial
+checked size in bytes; beyond, it broadcasts the most frequent tokens and shuffles each row's distinct others. Counting is a ``groupBy`` with map-side partial
 aggregation, so a very frequent token never piles up in one task.
 
 Per-document steps group by a key of the row, never by a caller's id: ids may repeat.
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from toxscan.functions.text import MASK_CHAR, clean_text, tokenize
-from toxscan.operators.joins import checked_lookup
+from toxscan.operators.joins import element_lookup
 from toxscan.operators.ranking import exact_rank
 
 # Reserved ids. Pad, unknown, start and end marks, and the mask character.
@@ -64,6 +64,12 @@ def build_vocab(counts: DataFrame, vocab_size: int | None = None, with_specials:
     return vocab
 
 
+def with_frequency(vocab: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` of the vocabulary and ``frequency``: its counts, for lookups that treat frequent tokens apart."""
+    count = F.col("count") if "count" in vocab.columns else F.lit(0).cast("long")
+    return vocab.select(*columns, count.alias("frequency"))
+
+
 def with_row_key(df: DataFrame, partitioned: bool = False) -> DataFrame:
     """``df`` with ``_row``, unique per row, hash-partitioned by it: what is exploded from a row and grouped
     by ``_row`` again needs no exchange. ``partitioned``: the input is hash-partitioned by an id that
@@ -83,8 +89,8 @@ def encode(docs: DataFrame, vocab: DataFrame, id_cols=("doc_id",), max_length: i
     """
     content = max_length - 2
     rows = with_row_key(docs.select(*id_cols, tokens_col))
-    tokens = token_table_outer(rows, ["_row", *id_cols], tokens_col)
-    ids = checked_lookup(tokens, vocab.select("token", "id"), "token", how="left", row_keys=["_row", "pos"])
+    ids = element_lookup(rows, lambda r: token_table_outer(r, ["_row", *id_cols], tokens_col), with_frequency(vocab, "token", "id"),
+                         "token", id_cols, "frequency")
     ids = ids.withColumn("id", F.coalesce(F.col("id"), F.lit(UNK_ID)))
     ids = ids.withColumn("chunk", F.coalesce(F.floor(F.col("pos") / content), F.lit(0)).cast("int"))
     grouped = ids.groupBy("_row", *id_cols, "chunk").agg(
@@ -116,9 +122,9 @@ def model_inputs(encoded: DataFrame, ids_col: str = "input_ids") -> DataFrame:
 def decode(encoded: DataFrame, vocab: DataFrame, id_cols=("doc_id", "chunk"), ids_col: str = "input_ids") -> DataFrame:
     """Ids back to text, pad / unknown / start / end dropped, tokens joined by one space."""
     rows = with_row_key(encoded.select(*id_cols, ids_col))
-    ex = rows.select("_row", *id_cols, F.posexplode_outer(ids_col).alias("i", "id"))
-    words = vocab.filter(F.col("id") >= MASK_ID).select("id", "token")
-    joined = checked_lookup(ex, words, "id", how="left", row_keys=["_row", "i"])
+    words = with_frequency(vocab.filter(F.col("id") >= MASK_ID), "id", "token")
+    joined = element_lookup(rows, lambda r: r.select("_row", *id_cols, F.posexplode_outer(ids_col).alias("i", "id")), words, "id",
+                            id_cols, "frequency")
     grouped = joined.groupBy("_row", *id_cols).agg(
         F.array_sort(F.collect_list(F.when(F.col("token").isNotNull(), F.struct("i", "token")))).alias("items")
     )

@@ -1,4 +1,4 @@
-"""M5-M8: attention pooling, head split, layer combination and a linear head on vector rows.
+"""M3 (on vectors), M5-M8: attention attribution, attention pooling, head split, layer combination and a linear head on vector rows.
 
 A group (all vectors with one ``label``) may hold a large share of the table, so no group is ever
 gathered into one task: every per-group quantity (query row, maximum score, softmax denominator,
@@ -16,10 +16,10 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from toxscan.operators.joins import checked_lookup
+from toxscan.operators.joins import checked_lookup, fits_broadcast
 from toxscan.session import write_table
 
 LAYER_NORM_EPS = 1e-12
@@ -133,17 +133,50 @@ def centroid_head(df: DataFrame, class_col: str = "label", vec_col: str = "embed
     return means.select("class", w.alias("w"), (dot(w, w) * F.lit(-0.5)).alias("b"))
 
 
-def linear_head(df: DataFrame, vec_col: str, weights: DataFrame, max_classes: int = 1000) -> DataFrame:
-    """M8: adds ``logits`` (``W x + b`` in order of class) and ``pred``, the class of the greatest (ties: the first).
+def _model(weights: DataFrame, order: str) -> Column:
+    """The rows of a bounded model in the order of ``order``, as one array: a scalar subquery, run once, whose value every task gets. A
+    model beyond the broadcast bound is an error, not a cut."""
+    weights = write_table(weights, "model")
+    if not fits_broadcast(weights):
+        raise ValueError("the model is larger than spark.toxscan.broadcastMaxBytes")
+    return weights.agg(F.array_sort(F.collect_list(F.struct(order, *[c for c in weights.columns if c != order])))).scalar()
 
-    ``weights``: ``(class, w, b)``, a model: its rows become literals of the plan, so more than ``max_classes`` rows
-    are an error, not a cut."""
-    rows = weights.select("class", "w", "b").orderBy("class").limit(max_classes + 1).collect()
-    if not rows or len(rows) > max_classes:
-        raise ValueError(f"linear_head: the model needs 1 to {max_classes} classes")
-    x = F.col(vec_col)
-    logits = [dot(x, F.array(*[F.lit(float(w)) for w in r["w"]])) + F.lit(float(r["b"])) for r in rows]
-    out = df.withColumn("logits", F.array(*logits))
+
+def with_projection(df: DataFrame, vec: Column, matrix: DataFrame, out: str) -> DataFrame:
+    """``df`` and ``out``: ``W x + b``; ``matrix`` has a row ``(place, w, b)`` for each value of the result."""
+    held = df.withColumn("_vec", vec).withColumn("_matrix", _model(matrix.select("place", "w", "b"), "place"))
+    return held.select(*df.columns, F.transform("_matrix", lambda r: dot(F.col("_vec"), r["w"]) + r["b"]).alias(out))
+
+
+def moment_projection(df: DataFrame, vec_col: str = "embedding", dim: int = 64, rows: int | None = None) -> DataFrame:
+    """A projection from the data: the first ``rows`` rows of the second-moment matrix of the vectors, ``b`` their means. Partial sums by
+    place, no vector is shuffled."""
+    places = F.slice(as_double_array(vec_col), 1, rows or dim)
+    ex = df.select(as_double_array(vec_col).alias("_v"), F.posexplode(places).alias("place", "_x"))
+    sums = ex.groupBy("place").agg(F.avg("_x").alias("b"), *[F.avg(F.col("_x") * F.element_at("_v", j + 1)).alias(f"_w{j}") for j in range(dim)])
+    return sums.select("place", F.array(*[f"_w{j}" for j in range(dim)]).alias("w"), "b")
+
+
+def attribute_attention(df: DataFrame, query_matrix: DataFrame, key_matrix: DataFrame, doc_col: str = "doc_id", pos_col: str = "pos",
+                        vec_col: str = "embedding", dim: int = 64, heads: int = 4) -> DataFrame:
+    """M3 on token vectors: ``(doc, pos, score, prob, place)``. Query and key are projections of the vectors (``(place, w, b)``, the
+    rows of head 0 are used: only that head decides what is masked). A document's first row is its query and is no
+    candidate; scores are ``q . k / sqrt(head size)``, ``prob`` their softmax over the document's other rows, ``place`` the 0-based
+    order in which the mask loop takes them (prob descending, then position)."""
+    hs = head_size(dim, heads)
+    x = as_double_array(vec_col)
+    head0 = F.col("place") < hs
+    projected = with_projection(df.select(doc_col, pos_col, vec_col), x, query_matrix.filter(head0), "_query")
+    projected = with_projection(projected, x, key_matrix.filter(head0), "_key")
+    found = attention_scores(projected, doc_col, pos_col, vec_col, dim=hs, heads=1, query_col="_query", key_col="_key", scale=math.sqrt(hs))
+    order = Window.partitionBy(doc_col).orderBy(F.desc("prob"), pos_col)  # the tokens of one document
+    return found.select(doc_col, pos_col, "score", "prob", (F.row_number().over(order) - 1).alias("place"))
+
+
+def linear_head(df: DataFrame, vec_col: str, weights: DataFrame) -> DataFrame:
+    """M8: adds ``logits`` (``W x + b`` in order of class) and ``pred``, the class of the greatest (ties: the first). ``weights``:
+    ``(class, w, b)``, a model within the broadcast bound."""
+    held = df.withColumn("_model", _model(weights.select("class", "w", "b"), "class"))
+    out = held.withColumn("logits", F.transform("_model", lambda r: dot(F.col(vec_col), r["w"]) + r["b"]))
     best = F.array_position("logits", F.array_max("logits"))
-    classes = F.array(*[F.lit(r["class"]) for r in rows])
-    return out.withColumn("pred", F.element_at(classes, best.cast("int")))
+    return out.withColumn("pred", F.element_at(F.col("_model")["class"], best.cast("int"))).drop("_model")

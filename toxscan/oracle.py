@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from toxscan.functions import keys as K
 from toxscan.functions import text as T
+from toxscan.functions.permute import MIX, ROUNDS, round_keys
+from toxscan.operators.logistic import PENALTY, RATE, STEPS
 
 SEED = "42"
 
@@ -117,6 +119,35 @@ scored AS (SELECT t.doc_id, t.label, t.position, CAST(bias.b + coalesce(s.s, 0)
 scored2 AS (SELECT doc_id, label, position, CAST(sdec AS DOUBLE) AS score, CAST(sdec > 0 AS INTEGER) AS pred,
                    1.0 / (1.0 + exp(CAST(sdec AS DOUBLE))) AS p0, 1.0 / (1.0 + exp(-CAST(sdec AS DOUBLE))) AS p1 FROM scored)"""
 
+
+
+def logistic_ctes() -> str:
+    """CTEs ``w0 .. w{STEPS}(token, weight, frequency)``: the steps of ``operators.logistic``, one after the other."""
+    out = """
+lcopies AS (SELECT doc_id, bucket, CAST(count(*) AS DOUBLE) AS copies FROM train GROUP BY doc_id, bucket),
+ltok AS (SELECT c.doc_id, unnest(t.tokens) AS token FROM lcopies c JOIN doc_tokens t ON c.doc_id = t.doc_id),
+lcnt AS (SELECT DISTINCT doc_id, token FROM ltok WHERE token <> '*'),
+lx AS MATERIALIZED (SELECT doc_id, token, 1.0 / sqrt(CAST(count(*) OVER (PARTITION BY doc_id) AS DOUBLE)) AS x FROM lcnt
+                    UNION ALL SELECT doc_id, '', 1.0 FROM lcopies),
+ln AS (SELECT sum(copies) AS n FROM lcopies),
+w0 AS MATERIALIZED (SELECT token, CAST(0 AS DOUBLE) AS weight, CASE WHEN token <> '' THEN count(*) END AS frequency FROM lx GROUP BY token)"""
+    for k in range(STEPS):
+        out += f""",
+e{k} AS MATERIALIZED (SELECT c.doc_id, c.copies * (1.0 / (1.0 + exp(-z.z)) - c.bucket) / ln.n AS e FROM lcopies c,  ln,
+        (SELECT lx.doc_id, sum(w.weight * lx.x) AS z FROM lx JOIN w{k} w ON lx.token = w.token GROUP BY lx.doc_id) z WHERE c.doc_id = z.doc_id),
+w{k + 1} AS MATERIALIZED (SELECT w.token, w.weight - {RATE} * (g.g + CASE WHEN w.token = '' THEN 0.0 ELSE {PENALTY} * w.weight END) AS weight, w.frequency
+        FROM w{k} w JOIN (SELECT lx.token, sum(e.e * lx.x) AS g FROM lx JOIN e{k} e ON lx.doc_id = e.doc_id GROUP BY lx.token) g ON w.token = g.token)"""
+    return out
+
+
+LOGISTIC_TEST = f"""
+lt AS (SELECT t.doc_id, t.label, unnest(d.tokens) AS token FROM test t JOIN doc_tokens d ON t.doc_id = d.doc_id),
+ltc AS (SELECT DISTINCT doc_id, token FROM lt WHERE token <> '*'),
+ltx AS (SELECT doc_id, token, 1.0 / sqrt(CAST(count(*) OVER (PARTITION BY doc_id) AS DOUBLE)) AS x FROM ltc UNION ALL SELECT doc_id, '', 1.0 FROM test),
+lz AS (SELECT x.doc_id, sum(w.weight * x.x) AS z FROM ltx x JOIN w{STEPS} w ON x.token = w.token GROUP BY x.doc_id),
+lscored AS (SELECT t.doc_id, t.label, z.z AS score, CAST(z.z > 0 AS INTEGER) AS pred, 1.0 / (1.0 + exp(-z.z)) AS p1
+            FROM test t JOIN lz z ON t.doc_id = z.doc_id)"""
+
 LOSS = "(greatest(0.0, score) + ln(exp(-greatest(0.0, score)) + exp(score - greatest(0.0, score))) - CASE WHEN label = 1 THEN score ELSE 0.0 END)"
 
 PURIFY_FROM = """
@@ -151,6 +182,33 @@ CONFUSION = """count(*) FILTER (WHERE {t} = 1 AND {p} = 1) AS tp, count(*) FILTE
   count(*) FILTER (WHERE {t} = 1 AND {p} <> 1) AS fn, count(*) FILTER (WHERE {t} <> 1 AND {p} <> 1) AS tn"""
 
 
+FILE_DATASET = f"""
+lab AS (SELECT doc_id, CAST(toxic AS INTEGER) AS label, quality AS labeling_confirm, row_number() OVER () AS file_row FROM labels),
+fds AS (SELECT doc_id, label, CASE WHEN label = 0 THEN 0 ELSE 1 END AS bucket, file_row FROM lab WHERE {CONFIRMED_WHERE}),
+franked AS (SELECT doc_id, bucket, row_number() OVER (PARTITION BY bucket ORDER BY file_row) - 1 AS _id,
+                   count(*) OVER (PARTITION BY bucket) AS n_c FROM fds),
+fsplit AS (SELECT doc_id, bucket, _id, CASE WHEN _id < floor(n_c * 0.75) THEN 'train' ELSE 'test' END AS split FROM franked)"""
+
+
+def permute_ctes(src: str) -> str:
+    """CTEs ending in ``permuted(id, p)`` for ``src(id, place, n)``: the network of ``functions.permute`` round by round, and a
+    recursive walk of the places that are not below n."""
+    low = (1 << 31) - 1
+    steps = ["p // b AS l0", "p % b AS r0"]
+    for r, key in enumerate(round_keys(int(SEED))):
+        left = r % 2 == 0
+        digit, other = ("r", "l") if left else ("l", "r")
+        steps += [f"xor({digit}{r} & {low}, {key}) * {MIX[0]} AS x{r}", f"(xor(x{r}, x{r} >> 29) & {low}) * {MIX[1]} AS y{r}",
+                  f"({other}{r} + (xor(y{r}, y{r} >> 31) & {low})) % {'a' if left else 'b'} AS {other}{r + 1}",
+                  f"{digit}{r} AS {digit}{r + 1}"]
+    once = f"SELECT id, n, a, b, l{ROUNDS} * b + r{ROUNDS} AS p FROM (SELECT *, {', '.join(steps)} FROM {{from_}})"
+    return f"""
+based AS (SELECT id, place AS p, n, CAST(ceil(n / CAST(floor(sqrt(n)) AS DOUBLE)) AS BIGINT) AS a, CAST(floor(sqrt(n)) AS BIGINT) AS b
+          FROM {src}),
+walk AS ({once.format(from_='based')} UNION ALL {once.format(from_='walk WHERE p >= n')}),
+permuted AS (SELECT id, p FROM walk WHERE p < n)"""
+
+
 VOCAB = """
 doc_tok AS (SELECT unnest(tokens) AS token FROM doc_tokens),
 doc_counts AS (SELECT token, count(*) AS count FROM doc_tok GROUP BY token),
@@ -237,6 +295,7 @@ def oracle_sql() -> dict[str, str]:
                      CASE WHEN label = 0 THEN 0 ELSE 1 END AS bucket FROM ({POSTS}) WHERE {CONFIRMED_WHERE})"""
     q["dataset_tsv_roundtrip"] = f"""WITH {DATASET.strip()}
         SELECT t.position AS _id, d.text AS document, t.label FROM test t JOIN documents d ON t.doc_id = d.doc_id"""
+    q["dataset_csv_split"] = q["dataset_csv_roundtrip"]
     q["line_set"] = f"""SELECT DISTINCT regexp_replace(line, '[{T.UNICODE_WHITESPACE_CLASS}]+\\z', '', 'g') AS item
         FROM (SELECT unnest(string_split_regex(regexp_replace(text, '(\\r\\n|\\r|\\n)\\z', ''), '\\r\\n|\\r|\\n')) AS line
               FROM documents WHERE text <> '')"""
@@ -278,6 +337,24 @@ def oracle_sql() -> dict[str, str]:
     q["lexicon_file"] = q["lexicon_label"]
     q["exact_rank"] = """SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) - 1 AS rank
         FROM documents"""
+    q["with_index_file_order"] = f"WITH {FILE_DATASET.strip()} SELECT doc_id, bucket, _id FROM fsplit"
+    q["stratified_split_file_order"] = f"WITH {FILE_DATASET.strip()} SELECT doc_id, bucket, _id, split FROM fsplit"
+    q["random_split_permuted"] = f"""WITH RECURSIVE lab AS (
+            SELECT doc_id, CAST(toxic AS INTEGER) AS label, row_number() OVER () AS file_row FROM labels WHERE toxic <> -1),
+        src AS (SELECT doc_id AS id, row_number() OVER (ORDER BY file_row) - 1 AS place, count(*) OVER () AS n FROM lab),
+        {permute_ctes('src').strip()}
+        SELECT lab.doc_id, label, p AS position,
+               CASE WHEN p < floor((SELECT count(*) FROM lab) * 0.75) THEN 'train' ELSE 'test' END AS split
+        FROM lab JOIN permuted ON lab.doc_id = permuted.id"""
+    q["shuffle_permuted"] = f"""WITH RECURSIVE {FILE_DATASET.strip()},
+        ftr AS (SELECT * FROM fsplit WHERE split = 'train'),
+        fcnt AS (SELECT count(*) FILTER (WHERE bucket = 0) AS n0, count(*) FILTER (WHERE bucket = 1) AS n1 FROM ftr),
+        fover AS (SELECT doc_id, bucket, _id, unnest(range(n0 // n1 + 1)) AS copy, n0, n1 FROM ftr, fcnt WHERE bucket = 1),
+        fbal AS (SELECT doc_id, bucket, 0 AS copy, _id AS place, 2 * n0 AS n FROM ftr, fcnt WHERE bucket = 0
+                 UNION ALL SELECT doc_id, bucket, CAST(copy AS INTEGER), n0 + copy * n1 + _id, 2 * n0 FROM fover WHERE copy * n1 + _id < n0),
+        src AS (SELECT place AS id, place, n FROM fbal),
+        {permute_ctes('src').strip()}
+        SELECT doc_id, bucket, copy, p AS position FROM fbal JOIN permuted ON fbal.place = permuted.id"""
     q["allowlist_chars"] = f"SELECT doc_id, regexp_replace(text, '{p['NK']}', ' ', 'g') AS text FROM documents"
     q["strip_urls"] = f"SELECT page_id, regexp_replace('see ' || url || ' end', '{p['URL']}', '', 'g') AS text FROM pages"
     q["trim_text"] = f"SELECT conv_id, turn, {trim_sql("' ' || chr(9) || text || chr(10) || ' '")} AS text FROM conversations"
@@ -319,6 +396,13 @@ def oracle_sql() -> dict[str, str]:
                      FROM split s JOIN doc_tokens dt ON s.doc_id = dt.doc_id),
         {PURIFY_FROM.format(src='file_tok').strip()}
         {PURIFY_SELECT.replace('SELECT doc_id, label', 'SELECT position AS _id, label')}"""
+    logistic = f"WITH {DOC_TOKENS},\n{DATASET},\n{logistic_ctes().strip()}"
+    q["fit_logistic"] = f"{logistic} SELECT token, round(weight, 6) AS weight, frequency FROM w{STEPS}"
+    q["score_logistic"] = f"""{logistic},{LOGISTIC_TEST}
+        SELECT doc_id, label, round(score, 6) AS score, pred, round(p1, 6) AS p1 FROM lscored"""
+    q["logistic_metrics"] = f"""{logistic},{LOGISTIC_TEST},
+        cm AS (SELECT {CONFUSION.format(t='label', p='pred')} FROM lscored)
+        SELECT {METRIC_COLS} FROM cm"""
     q["cross_entropy"] = f"{BASE},{TEST_SCORED} SELECT doc_id, label, round({LOSS}, 6) AS loss FROM scored2"
     q["binary_metrics"] = f"""{BASE},{TEST_SCORED},
         cm AS (SELECT {CONFUSION.format(t='label', p='pred')} FROM scored2)
@@ -348,6 +432,21 @@ def oracle_sql() -> dict[str, str]:
     q["attention_scores"] = f"""WITH {_attention_ctes().strip()}
         SELECT e.label, e.head, e.vec_id, e.query_id, round(e.score, 6) AS score, round(e.ex / z.zs, 6) AS prob
         FROM e JOIN z ON e.label = z.label AND e.head = z.head"""
+    moments = _dim_cols(64, "avg(x * v[{j1}])")
+    q["attribute_attention"] = f"""WITH emb AS (SELECT vec_id, label, vec_id // 16 AS doc_id, vec_id % 16 AS pos, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+        xs AS (SELECT *, unnest(range(16)) AS place, unnest(v[1:16]) AS x FROM emb),
+        mq AS (SELECT place, [{moments}] AS w, avg(x) AS b FROM xs GROUP BY place),
+        mk AS (SELECT place, [{moments}] AS w, avg(x) AS b FROM xs WHERE label % 2 = 0 GROUP BY place),
+        wq AS (SELECT list(w ORDER BY place) AS w, list(b ORDER BY place) AS b FROM mq),
+        wk AS (SELECT list(w ORDER BY place) AS w, list(b ORDER BY place) AS b FROM mk),
+        pr AS (SELECT doc_id, pos, list_transform(range(16), lambda i: list_inner_product(wq.w[i + 1], v) + wq.b[i + 1]) AS q,
+                      list_transform(range(16), lambda i: list_inner_product(wk.w[i + 1], v) + wk.b[i + 1]) AS k FROM emb, wq, wk),
+        f AS (SELECT doc_id, min(pos) AS first, arg_min(q, pos) AS q FROM pr GROUP BY doc_id),
+        s AS (SELECT pr.doc_id, pr.pos, list_inner_product(f.q, pr.k) / sqrt(16) AS score FROM pr JOIN f ON pr.doc_id = f.doc_id WHERE pr.pos <> f.first),
+        e AS (SELECT *, exp(score - max(score) OVER (PARTITION BY doc_id)) AS e FROM s),
+        p AS (SELECT doc_id, pos, score, e / sum(e) OVER (PARTITION BY doc_id) AS prob FROM e)
+        SELECT doc_id, pos, round(score, 6) AS score, round(prob, 6) AS prob,
+               CAST(row_number() OVER (PARTITION BY doc_id ORDER BY prob DESC, pos) - 1 AS INTEGER) AS place FROM p"""
     q["attention_pool"] = f"WITH {_pool_ctes().strip()} SELECT label, dim, round(value, 6) AS value FROM pooled_rows"
     q["split_heads"] = """WITH h AS (SELECT vec_id, CAST(head AS INTEGER) AS head,
               list_transform(range(16), lambda j: CAST(embedding[head * 16 + j + 1] AS DOUBLE)) AS hv
@@ -387,6 +486,7 @@ def oracle_sql() -> dict[str, str]:
         {ext('upper(' + pages_path + ')', lower=False)} AS ext_upper FROM pages"""
     q["stream_moderate"] = q["purify"]
     q["purify_loop"] = q["purify"]
+    q["stream_moderate_direct"] = q["purify"]
     q["stream_progress"] = """SELECT CAST(coalesce(l.toxic, -1) AS INTEGER) AS label, count(*) AS seen,
         count(*) FILTER (WHERE coalesce(l.quality, 0) <> 0 AND coalesce(l.toxic, -1) <> -1) AS kept
         FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1"""

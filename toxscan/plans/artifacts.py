@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from toxscan.operators.logistic import fit_logistic
 from toxscan.operators.scorer import AdditiveScorer, fit_scorer
 from toxscan.plans.dataset import LabelledDataset, labelled_dataset
 from toxscan.operators.tokens import build_vocab, token_counts, token_table, with_tokens
@@ -35,6 +36,14 @@ def scorer(spark: SparkSession, sf_dir: str) -> AdditiveScorer:
     return _cache[k]
 
 
+def logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weights of the fitted logistic model."""
+    k = _key(spark, sf_dir, "logistic")
+    if k not in _cache:
+        _cache[k] = fit_logistic(dataset(spark, sf_dir).train, read_table(spark, sf_dir, "documents"))
+    return _cache[k]
+
+
 def scorer_path(spark: SparkSession, sf_dir: str) -> str:
     scorer(spark, sf_dir)
     return _cache[_key(spark, sf_dir, "scorer_path")]

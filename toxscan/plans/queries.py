@@ -13,17 +13,19 @@ from toxscan.functions import keys as K
 from toxscan.functions import text as T
 from toxscan.operators import filters as P
 from toxscan.operators import keylookup as KL
+from toxscan.operators import logistic as LR
 from toxscan.operators import metrics as A
+from toxscan.operators import split as SP
 from toxscan.operators import tokens as TK
 from toxscan.operators import vectors as V
 from toxscan.operators.purify import attribute, purify
-from toxscan.operators.ranking import exact_rank
+from toxscan.operators.ranking import exact_rank, scan_rank
 from toxscan.operators.scorer import AdditiveModelLoader, batch_score, cross_entropy, score
 from toxscan.plans import artifacts
 from toxscan.plans.dataset import all_data_split, with_text
 from toxscan.session import read_table, scratch_path, spread, write_table
 from toxscan.sources import files as S
-from toxscan.sources.posts import progress_counts, scan_posts
+from toxscan.sources.posts import kept_all, kept_confirmed, progress_counts, scan_posts
 
 
 def _r6(c) -> F.Column:
@@ -53,6 +55,14 @@ def q_dataset_csv_roundtrip(spark, sf):
     return S.read_dataset(spark, path)
 
 
+def q_dataset_csv_split(spark, sf):
+    """S3 then S2: the labelled dataset as one file, read in blocks."""
+    ds = P.with_index(P.class_bucket(P.project_dataset(_confirmed(spark, sf))))
+    path = scratch_path(spark, "ratings_labeled_one") + ".csv"
+    S.write_dataset(ds.coalesce(1), path)
+    return S.read_dataset(spark, path, split=True)
+
+
 def q_dataset_tsv_roundtrip(spark, sf):
     """S3 then S2 for the tab-separated form, on the shuffled test split."""
     ds = artifacts.dataset(spark, sf)
@@ -154,6 +164,36 @@ def q_exact_rank(spark, sf):
     return exact_rank(docs, [F.col("n_chars").desc(), "doc_id"], ["lang"], rank_col="rank").select("doc_id", "lang", "rank")
 
 
+def _confirmed_labels(spark, sf):
+    """The confirmed rows of the ``labels`` table as a plain scan, with their class."""
+    labels = read_table(spark, sf, "labels").select("doc_id", F.col("toxic").cast("int").alias("label"), F.col("quality").alias("labeling_confirm"))
+    return P.class_bucket(labels.filter(kept_confirmed()).select("doc_id", "label"))
+
+
+def q_with_index_file_order(spark, sf):
+    """P5 in input order: the place of each confirmed row of the label file within its class."""
+    return scan_rank(_confirmed_labels(spark, sf), "bucket", rank_col="_id").select("doc_id", "bucket", "_id")
+
+
+def q_stratified_split_file_order(spark, sf):
+    """R2 in input order."""
+    return SP.stratified_split_scan(_confirmed_labels(spark, sf)).select("doc_id", "bucket", "_id", "split")
+
+
+def q_random_split_permuted(spark, sf):
+    """R1 by a keyed permutation of the places in the label file."""
+    labels = read_table(spark, sf, "labels").select("doc_id", F.col("toxic").cast("int").alias("label"))
+    return SP.random_split_permuted(labels.filter(kept_all()))
+
+
+def q_shuffle_permuted(spark, sf):
+    """R5 by a keyed permutation, of the balanced train rows in input order."""
+    split = write_table(SP.stratified_split_scan(_confirmed_labels(spark, sf)), "split-scan")
+    n = SP.class_counts(split.filter("split = 'train'"))
+    out = SP.shuffle_permuted(SP.balanced_train(split), n.get(0, 0), n.get(1, 0))
+    return out.select("doc_id", "bucket", "copy", "position")
+
+
 # --- T: text functions -----------------------------------------------------------------------
 
 def q_allowlist_chars(spark, sf):
@@ -283,6 +323,22 @@ def q_purify_loop(spark, sf):
                     "final_score")
 
 
+def q_fit_logistic(spark, sf):
+    """M1 alternative: all weights after the last step."""
+    w = artifacts.logistic(spark, sf)
+    return w.select("token", _r6("weight").alias("weight"), "frequency")
+
+
+def q_score_logistic(spark, sf):
+    s = LR.score_logistic(TK.with_tokens(_test_docs(spark, sf)), artifacts.logistic(spark, sf), keep=["label"])
+    return s.select("doc_id", "label", _r6("score").alias("score"), "pred", _r6("p1").alias("p1"))
+
+
+def q_logistic_metrics(spark, sf):
+    s = LR.score_logistic(TK.with_tokens(_test_docs(spark, sf)), artifacts.logistic(spark, sf), keep=["label"])
+    return A.binary_metrics(s)
+
+
 def q_cross_entropy(spark, sf):
     s = _scored_test(spark, sf)
     return s.select("doc_id", "label", _r6(cross_entropy()).alias("loss"))
@@ -321,6 +377,15 @@ def q_attention_pool(spark, sf):
     return V.attention_pool(_emb(spark, sf)).select("label", "dim", _r6("value").alias("value"))
 
 
+def q_attribute_attention(spark, sf):
+    """M3 on vectors: 16 vectors in a row are a document; the projections are moments of the table."""
+    rows = _emb(spark, sf).select(F.expr("vec_id div 16").alias("doc_id"), F.expr("vec_id % 16").alias("pos"), "embedding", "label")
+    query = V.moment_projection(rows, rows=16)
+    key = V.moment_projection(rows.filter("label % 2 = 0"), rows=16)
+    out = V.attribute_attention(rows.select("doc_id", "pos", "embedding"), query, key)
+    return out.select("doc_id", "pos", _r6("score").alias("score"), _r6("prob").alias("prob"), "place")
+
+
 def q_split_heads(spark, sf):
     h = V.split_heads(_emb(spark, sf))
     total = F.aggregate("head_vec", F.lit(0.0), lambda a, x: a + x)
@@ -415,6 +480,14 @@ def q_stream_moderate(spark, sf):
                       "final_score")
 
 
+def q_stream_moderate_direct(spark, sf):
+    from toxscan.streaming.moderate import stream_moderate_direct
+
+    out = stream_moderate_direct(spark, sf)
+    return out.select("doc_id", "label", _r6("p0").alias("p0"), _r6("p1").alias("p1"), "pred", "text", "n_masked",
+                      "final_score")
+
+
 def q_stream_progress(spark, sf):
     from toxscan.streaming.moderate import stream_progress
 
@@ -431,6 +504,7 @@ QUERIES = {
     "scan_posts": q_scan_posts,
     "progress_counts": q_progress_counts,
     "dataset_csv_roundtrip": q_dataset_csv_roundtrip,
+    "dataset_csv_split": q_dataset_csv_split,
     "dataset_tsv_roundtrip": q_dataset_tsv_roundtrip,
     "line_set": q_line_set,
     "report_head": q_report_head,
@@ -450,6 +524,10 @@ QUERIES = {
     "shuffle_rows": q_shuffle_rows,
     "split_summary": q_split_summary,
     "exact_rank": q_exact_rank,
+    "with_index_file_order": q_with_index_file_order,
+    "stratified_split_file_order": q_stratified_split_file_order,
+    "random_split_permuted": q_random_split_permuted,
+    "shuffle_permuted": q_shuffle_permuted,
     "allowlist_chars": q_allowlist_chars,
     "strip_urls": q_strip_urls,
     "trim_text": q_trim_text,
@@ -468,12 +546,16 @@ QUERIES = {
     "purify": q_purify,
     "purify_file": q_purify_file,
     "purify_loop": q_purify_loop,
+    "fit_logistic": q_fit_logistic,
+    "score_logistic": q_score_logistic,
+    "logistic_metrics": q_logistic_metrics,
     "cross_entropy": q_cross_entropy,
     "binary_metrics": q_binary_metrics,
     "batch_metrics": q_batch_metrics,
     "epoch_loss": q_epoch_loss,
     "attention_scores": q_attention_scores,
     "attention_pool": q_attention_pool,
+    "attribute_attention": q_attribute_attention,
     "split_heads": q_split_heads,
     "combine_layers": q_combine_layers,
     "linear_head": q_linear_head,
@@ -485,6 +567,7 @@ QUERIES = {
     "split_object_path": q_split_object_path,
     "file_extension": q_file_extension,
     "stream_moderate": q_stream_moderate,
+    "stream_moderate_direct": q_stream_moderate_direct,
     "stream_progress": q_stream_progress,
     "batch_scorer": q_batch_scorer,
 }

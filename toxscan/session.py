@@ -114,12 +114,21 @@ def bucket_by_doc(df: DataFrame, name: str, buckets: int | None = None, key: str
     return spark.table(table)
 
 
+def is_scan(df: DataFrame) -> bool:
+    """Whether ``df`` is a scan of files with filters and projections at most: each row lies at one place in a file, and two readings
+    deal the rows out alike."""
+    node = df._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.children().head()
+    return node.nodeName().startswith("LogicalRelation") or node.nodeName().startswith("Relation")
+
+
 _shipped: set = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make this package importable in Python workers (what ``--py-files`` does on submit): zip it
-    into the shared folder once per application and add it to the context."""
+    """Make this package importable in Python workers (what ``--py-files`` does on submit): zip it once per application in
+    a temporary folder of the driver and add it to the context, which sends it to the executors."""
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from toxscan.functions.text import lines, rstrip_unicode
+from toxscan.sources.splitcsv import read_split
 
 DATASET_COLUMNS = ("_id", "document", "label")
 
@@ -28,18 +29,29 @@ def _csv_options(sep: str) -> dict:
     return {"header": "true", "sep": sep, "quote": '"', "escape": '"', "multiLine": "true"}
 
 
-def read_dataset(spark: SparkSession, path: str) -> DataFrame:
+def _has_large_file(spark: SparkSession, path: str) -> bool:
+    """Whether a file is larger than what one task reads. Only lengths are listed, no content is read."""
+    bound = int(spark.sparkContext._jvm.org.apache.spark.sql.internal.SQLConf.get().filesMaxPartitionBytes())
+    return (spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0] or 0) > bound
+
+
+def read_dataset(spark: SparkSession, path: str, split: bool | None = None) -> DataFrame:
     """``(_id, document, label)`` from a dataset file, by the names in its header, in whatever order; other columns
     are ignored. ``document`` and ``label`` must be there; without ``_id`` it is null. A cell of the wrong type
-    is an error. Each part file is read whole (multi-line records are not splittable), and a dataset written by
-    Spark has many parts."""
+    is an error.
+
+    Spark reads a file with multi-line records in one task. A file larger than one task's share (or any, if ``split``) is
+    read in blocks instead (``splitcsv``), with the same rows for files whose quotes are balanced."""
     options = _csv_options(dataset_separator(path))
     header = spark.read.options(**options).csv(path).columns
     if missing := [c for c in ("document", "label") if c not in header]:
         raise ValueError(f"{path}: the header lacks {', '.join(missing)}")
     kinds = {"_id": T.LongType(), "label": T.IntegerType()}
     schema = T.StructType([T.StructField(c, kinds.get(c, T.StringType())) for c in header])
-    rows = spark.read.schema(schema).options(**options, mode="FAILFAST", enforceSchema="false").option("nullValue", None).csv(path)
+    if _has_large_file(spark, path) if split is None else split:
+        rows = read_split(spark, path, schema, options)
+    else:
+        rows = spark.read.schema(schema).options(**options, mode="FAILFAST", enforceSchema="false").option("nullValue", None).csv(path)
     if "_id" not in header:
         rows = rows.withColumn("_id", F.lit(None).cast("long"))
     return rows.select(*DATASET_COLUMNS)
