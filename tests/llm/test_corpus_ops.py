@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from xxhash import xxh64_intdigest
 from pyspark.sql import functions as F
 
 from toxscan.llm import decontaminate as D
@@ -202,37 +203,107 @@ def test_decontaminate_finds_changed_slots(spark):
     for r in D.decontaminate(df, items).collect():
         got[r.doc_id].append((r.contaminated, r.item_ids))
     found = {k for k, v in got.items() if v[0][0]}
-    assert found == {1, 2, 4, 10, 11, None} and len(got[2]) == 2 and got[2][0] == got[2][1] == (True, [70]) and got[11] == [(True, [73])]
+    assert found == {1, 2, 3, 4, 10, 11, None} and len(got[2]) == 2 and got[2][0] == got[2][1] == (True, [70]) and got[11] == [(True, [73])]
     clean = D.without_contaminated(df, items)
-    assert clean.columns == df.columns and {r.doc_id for r in clean.collect()} == {3, 5, 6, 7, 8, 9}
+    assert clean.columns == df.columns and {r.doc_id for r in clean.collect()} == {5, 6, 7, 8, 9}
     assert not any(r.contaminated for r in D.decontaminate(df, items.limit(0)).collect())
     assert D.decontaminate(df.limit(0), items).count() == 0
 
 
-def test_slots_must_be_consistent():
-    c = D.Canonical()
+class PlainNames:
+    """Names as the operator has them, in plain sets."""
+
+    def __init__(self, items):
+        low, only = set(), set()
+        for w in (w.strip(".,!?:;()'\"") for t in items if t for w in t.split()):
+            (only if w[:1].isupper() and w[1:].islower() else low).add(w.lower())
+        self.low, self.only = {xxh64_intdigest(w) for w in low}, {xxh64_intdigest(w) for w in only - low}
+
+    def among(self, words):
+        held = [int(h) in self.only or bool(c) and int(h) not in self.low for h, c in zip(words.hash, words.capital)]
+        return np.array(held, dtype=bool)
+
+
+def _windows(text, names, size=None):
+    owner, shape, value, kind = D.canonical_tokens([text], names)
+    size = size or min(8, len(shape))
+    h, ok = D.window_hashes(owner, shape, kind, size, 4, value) if size else ([], np.zeros(0, bool))
+    return size, len(shape), [int(x) if y else None for x, y in zip(h, ok)], [None if k == D.LITERAL else int(v) for k, v in zip(kind, value)]
+
+
+def _found(doc, items, names):
+    """Every window of a document against every window of every item, run by run."""
+    out = set()
+    for size in {size for size, _, _, _ in items.values() if size}:
+        known = {h for s, _, hs, _ in items.values() if s == size for h in hs if h is not None}
+        _, _, hashes, slots = _windows(doc, names, size)
+        at = [p for p, h in enumerate(hashes) if h in known]
+        runs = []
+        for p in at:
+            if runs and p - runs[-1][-1] <= size:
+                runs[-1].append(p)
+            else:
+                runs.append([p])
+        for run in runs:
+            a, b = run[0], run[-1]
+            own = [h if h in known else None for h in hashes[a:b + 1]]
+            for i, (s, tokens, item_hashes, item_slots) in items.items():
+                if s == size:
+                    places = {p - q for p, h in enumerate(own) if h is not None for q, g in enumerate(item_hashes) if g == h}
+                    if any(D.aligned(own, slots[a:b + size], item_hashes, item_slots, x, size, tokens) >= 0.5 for x in places):
+                        out.add(i)
+    return sorted(out)
+
 
+def test_slots_must_be_consistent():
     def share(a, b):
-        rows = []
-        for t in (a, b):
-            owner, shape, value, kind = c.tokens([t])
-            h, ok = D.window_hashes(owner, shape, kind, 8, 4)
-            rows.append((np.where(ok, h.view(np.int64), None).tolist(), np.where(kind == D.LITERAL, None, value.view(np.int64)).tolist(), len(shape)))
-        return D.aligned(rows[1][0], rows[1][1], rows[0][0], rows[0][1], 0, 8, rows[0][2])
+        names = PlainNames([a])
+        (_, tokens, ih, islots), (_, _, dh, dslots) = _windows(a, names), _windows(b, names)
+        return D.aligned(dh, dslots, ih, islots, 0, 8, tokens)
 
     item = "we saw 4 cats near the house and then 4 dogs near the barn and then 4 cows near the pond and so on"
     assert share(item, item.replace("4", "9")) == 1.0
-    assert share(item, item.replace("4 dogs", "5 dogs").replace("4 cows", "6 cows")) < 0.6
+    assert share(item, item.replace("4 dogs", "5 dogs").replace("4 cows", "6 cows")) < 0.8
+    assert share(item, item.replace("4 dogs", "9 dogs")) > share(item, item.replace("4 dogs", "5 dogs").replace("4 cows", "6 cows"))
+
+
+def test_an_item_is_found_beside_another_ones_windows(spark):
+    a = "one plain passage about old river boats that nobody remembers"
+    b = "boats that nobody remembers " + " ".join(f"alpha{i}" for i in range(36))
+    text = "start " + "passage about old river boats that nobody remembers alpha0 alpha1 alpha2 alpha3 alpha4 alpha5 alpha6 alpha7" + " end"
+    for items in ([(1, a)], [(1, a), (2, b)], [(2, b), (1, a)]):
+        got = D.decontaminate(_docs(spark, [(5, text)]), spark.createDataFrame(items, "item_id long, text string")).first()
+        assert got.contaminated and got.item_ids == [1] and got.coverage == pytest.approx(8 / 10)
+
+
+@pytest.mark.parametrize("change", [str, str.lower, str.upper, str.title, lambda t: t.replace(" ", "  \n")])
+def test_letter_case_hides_nothing(spark, change):
+    items = ["In May the engineer John Smith of Leeds measured the bridge at 17 metres. USA teams say that he may be right.",
+             "Tom has apples and he gives them to Sue. Tom buys more of them on the market."]
+    docs = [(i, f"Some words before. {change(t)} And words behind.") for i, t in enumerate(items)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert {r.doc_id: r.item_ids for r in D.decontaminate(_docs(spark, docs), bench).collect()} == {0: [0], 1: [1]}
+
+
+def test_names_that_the_benchmark_lacks(spark):
+    item = "Tom has 3 apples and he gives 2 of them to Sue. Tom buys five more of them."
+    docs = [(1, item.replace("Tom", "Anna").replace("Sue", "Bert").replace("3", "8").replace("five", "six")), (2, item.replace("apples", "pears").replace("gives", "takes").replace("them", "it"))]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert {r.doc_id: r.contaminated for r in D.decontaminate(_docs(spark, docs), bench).collect()} == {1: True, 2: False}
 
 
-def test_decontaminate_equals_search_for_passages(spark):
+def test_decontaminate_equals_brute_force(spark):
     docs, items = (spark.read.parquet(f"{SF001}/{t}.parquet") for t in ("documents", "benchmark"))
     texts = {r.item_id: r.text for r in items.collect()}
-    want = {r.doc_id: sorted(i for i, t in texts.items() if t in r.text) for r in docs.collect()}
+    names = PlainNames(texts.values())
+    known = {i: _windows(t, names) for i, t in texts.items()}
+    rows = docs.collect()
+    some = rows[:120] + [r for r in rows[120:] if any(t in (r.text or "") for t in texts.values())]
     got = {r.doc_id: r.item_ids for r in D.decontaminate(docs, items).collect()}
-    assert set(got) == set(want) and sum(map(bool, want.values())) > 0
-    assert all(set(want[d]) <= set(got[d]) for d in want)
-    assert sum(set(got[d]) != set(want[d]) for d in want) <= 0.01 * len(want)
+    assert set(got) == {r.doc_id for r in rows}
+    assert {r.doc_id: got[r.doc_id] for r in some} == {r.doc_id: _found(r.text, known, names) for r in some}
+    held = {r.doc_id: sorted(i for i, t in texts.items() if t in (r.text or "")) for r in rows}
+    assert sum(map(bool, held.values())) > 0 and all(set(held[d]) <= set(got[d]) for d in held)
 
 
 # --- quality -------------------------------------------------------------------------------------

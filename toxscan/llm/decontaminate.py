@@ -1,16 +1,17 @@
 """Benchmark decontamination by template windows.
 
 Canonical form: words between white space (characters, in scripts without spaces), punctuation around them dropped, lower case. Numbers (digits and number
-words), units behind a number, and names (a capital that does not begin a sentence; neighbours join) become typed
-placeholders; their values are the slots. A window is ``WINDOW`` consecutive tokens of that template; one with fewer than
-``LITERALS`` literal tokens is too bare to mean something, and is told by its values instead. The steps:
+words), units behind a number, and names (neighbours join) become typed placeholders; their values are the slots. A word is a name by what the
+benchmark says of it: one that the benchmark only has with a capital is a name in any letter case, one that it has otherwise never is; of the
+words that it does not have, those with a capital are. So a benchmark word has one form in every letter case and place of a sentence. A window is
+``WINDOW`` consecutive tokens of that template; one with fewer than ``LITERALS`` literal tokens is too bare to mean something, and is told by
+its values instead. The steps:
 
 1. The benchmark's windows, with place and slots, are one small table by item.
 2. Tasks read the documents. A filter of fixed size over the benchmark's window hashes tells which windows may match;
    neighbouring ones are one run, with the hashes and slots it covers. Nothing else leaves the task.
-3. Some windows of each run, near enough to meet every item inside, are hash-joined with the benchmark's. Each item
-   and alignment found is checked over the whole run: equal windows count, and only as long as slots are consistent,
-   that is, each value of the item stands for one value of the document and the other way round.
+3. Every window of a run is hash-joined with the benchmark's. Each item and alignment found is checked over the whole run: equal windows count
+   whose slots are consistent, that is, each value of the item stands for one value of the document, the one it stands for most often.
 4. An item is found in a document if consistent windows cover at least ``coverage`` of its tokens.
 
 Changed numbers, names and units so do not hide a question, and chance neighbours that fill a template with mixed values do not
@@ -37,13 +38,15 @@ from toxscan.llm.common import KeyFilter, keeps, python_ready, written
 WINDOW = 8
 LITERALS = 4
 COVERAGE = 0.5
-STEP = 4
-#: Distinct words a task keeps; beyond that its table starts anew (results do not change).
-WORDS = 600_000
 
-# Number words and units that are told apart from other words.
+# Number words (English, German, French, Spanish) and units that are told apart from other words.
 NUMBER_WORDS = frozenset("""two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen
-seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion""".split())
+seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion
+zwei drei vier fünf sechs sieben acht neun zehn elf zwölf dreizehn vierzehn fünfzehn sechzehn siebzehn achtzehn neunzehn
+zwanzig dreißig vierzig fünfzig sechzig siebzig achtzig neunzig hundert tausend
+deux trois quatre cinq sept huit neuf dix onze douze treize quatorze quinze seize vingt trente quarante cinquante soixante mille
+dos tres cuatro cinco seis siete ocho nueve diez doce trece catorce veinte treinta cuarenta cincuenta sesenta setenta ochenta
+noventa cien mil""".split())
 UNITS = frozenset("""mm cm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg t oz lb lbs pound pounds ton tons
 gram grams kilogram kilograms ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour
 hours day days week weeks month months year years meter meters metre metres kilometer kilometers kilometre kilometres mph kmh
@@ -52,95 +55,121 @@ euros""".split())
 
 LITERAL, NUMBER, UNIT, NAME = 0, 1, 2, 3
 _PLACEHOLDERS = (0, 0x9AE16A3B2F90404F, 0xC949D7C7509E6557, 0xFF51AFD7ED558CCD)
+#: Bits of the filters of words that are names.
+NAME_BITS = 23
 _MULTIPLIER = 0x9E3779B97F4A7C15
-_EDGES = re.compile(r"^[\W_]+|[\W_]+$")
-_NUMBER = re.compile(r"\d+(?:[.,:/]\d+)*")
-_QUANTITY = re.compile(r"(\d+(?:[.,:/]\d+)*)([^\W\d_]+)")
-_STOPS = (".", "!", "?", ":", ";")
+_EDGES = r"^[^\pL\pN]+|[^\pL\pN]+$"
+_NUMBER = r"^\p{Nd}+(?:[.,:/]\p{Nd}+)*$"
+_QUANTITY = r"^(?P<n>\p{Nd}+(?:[.,:/]\p{Nd}+)*)(?P<u>\pL+)$"
 #: Scripts without spaces: Thai, Lao, Myanmar, Khmer, kana, Han.
 _UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
-def words_of(text: str | None) -> list[str]:
-    if not text:
-        return []
-    return (text if text.isascii() else _UNSPACED.sub(r" \g<0> ", text)).split()
+def _hashes(words):
+    import numpy as np
+    from xxhash import xxh64_intdigest
 
+    return np.fromiter(map(xxh64_intdigest, words.to_pylist()), dtype=np.uint64, count=len(words))
 
-class Canonical:
-    """The canonical form of texts, many at a time. Each distinct word is analysed once."""
 
-    def __init__(self):
-        keeps("decontamination")
-        self.place: dict[str, int] = {}
-        self.table = None
-
-    def _analyse(self, word: str) -> tuple:
-        """(first hash, kind), (second hash, kind), tokens, may be a unit, capital, ends a sentence."""
-        from xxhash import xxh64_intdigest
-
-        core = _EDGES.sub("", word)
-        stops = word.rstrip("\"')]}»”’*").endswith(_STOPS)
-        if not core:
-            return 0, 0, 0, 0, 0, False, False, stops
-        low = core.lower()
-        h = xxh64_intdigest(low)
-        if _NUMBER.fullmatch(low) or low in NUMBER_WORDS:
-            return h, NUMBER, 0, 0, 1, False, False, stops
-        if (m := _QUANTITY.fullmatch(low)) and m[2] in UNITS:
-            return xxh64_intdigest(m[1]), NUMBER, xxh64_intdigest(m[2]), UNIT, 2, False, False, stops
-        return h, LITERAL, 0, 0, 1, low in UNITS, core[0].isupper() and core[1:].islower(), stops
-
-    def _learn(self, words: set[str]) -> None:
-        import numpy as np
+def _flags(column):
+    import pyarrow.compute as pc
+
+    return pc.fill_null(column, False).to_numpy(zero_copy_only=False)
+
 
-        if len(self.place) + len(words) > WORDS:
-            self.place, self.table = {}, None
-        new = list(words.difference(self.place))
-        if not new and self.table is not None:
-            return
-        for w in new:
-            self.place[w] = len(self.place)
-        fresh = list(zip(*map(self._analyse, new))) or [()] * 8
-        types = (np.uint64, np.int8, np.uint64, np.int8, np.int8, bool, bool, bool)
-        arrays = [np.array(c, dtype=t) for c, t in zip(fresh, types)]
-        self.table = arrays if self.table is None else [np.concatenate([a, b]) for a, b in zip(self.table, arrays)]
-
-    def tokens(self, texts: list[str | None]):
-        """``owner`` (place of the text), ``shape`` (template hash), ``value``, ``kind`` of each token, in order."""
+class Words:
+    """The words of texts, and what each distinct one is: analysed once for a list of texts, a column at a time."""
+
+    def __init__(self, texts: list[str | None]):
         import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        spaced = ["" if t is None else t if t.isascii() else _UNSPACED.sub(r" \g<0> ", t) for t in texts]
+        lists = pc.utf8_split_whitespace(pa.array(spaced, pa.large_string()))
+        coded = lists.flatten().dictionary_encode()
+        row, place = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False), coded.indices.to_numpy(zero_copy_only=False)
+        distinct = coded.dictionary
+        core = pc.replace_substring_regex(distinct, pattern=_EDGES, replacement="")
+        low = pc.utf8_lower(core)
+        real = _flags(pc.greater(pc.binary_length(core), 0))
+        keep = real[place] if len(place) else np.zeros(0, bool)
+        self.owner, self.place = row[keep], place[keep]
+        self.hash = _hashes(low)
+        n = len(distinct)
+        self.second, self.number, self.quantity = np.zeros(n, np.uint64), _flags(pc.is_in(low, pa.array(sorted(NUMBER_WORDS), low.type))), np.zeros(n, bool)
+        self.unit = _flags(pc.is_in(low, pa.array(sorted(UNITS), low.type)))
+        digits = np.flatnonzero(_flags(pc.match_substring_regex(low, r"\p{Nd}")))
+        if len(digits):
+            some = low.take(pa.array(digits))
+            self.number[digits] |= _flags(pc.match_substring_regex(some, _NUMBER))
+            parts = pc.extract_regex(some, pattern=_QUANTITY)
+            amount, unit = parts.field("n"), parts.field("u")
+            is_quantity = _flags(pc.and_(parts.is_valid(), pc.is_in(unit, pa.array(sorted(UNITS), unit.type))))
+            at, chosen = digits[is_quantity], pa.array(np.flatnonzero(is_quantity))
+            self.quantity[at] = True
+            self.hash[at], self.second[at] = _hashes(amount.take(chosen)), _hashes(unit.take(chosen))
+        raised = np.flatnonzero(_flags(pc.not_equal(core, low)))
+        self.capital = np.zeros(n, bool)  # a capital, then nothing but small letters
+        some = core.take(pa.array(raised))
+        self.capital[raised] = _flags(pc.and_(pc.utf8_is_upper(pc.utf8_slice_codeunits(some, 0, 1)), pc.utf8_is_lower(pc.utf8_slice_codeunits(some, 1))))
+
+
+class Names:
+    """Which words are names: those that the benchmark has only with a capital, and of others those with a capital. Two filters of
+    fixed size; a clash makes a word a name, or none, in the benchmark and in documents alike."""
+
+    def __init__(self, only_capital, otherwise):
+        self.only_capital, self.otherwise = only_capital, otherwise
+
+    @classmethod
+    def of(cls, benchmark: DataFrame, text_col: str) -> Names:
+        """From the words of a benchmark."""
+        def words(batches: Iterator) -> Iterator:
+            import numpy as np
+            import pyarrow as pa
+
+            for batch in batches:
+                w = Words(batch.column(0).to_pylist())
+                used = np.unique(w.place)
+                yield pa.RecordBatch.from_arrays([pa.array(w.hash[used].view(np.int64)), pa.array(w.capital[used])], names=["h", "capital"])
+
+        said = written(benchmark.select(text_col).mapInArrow(words, "h long, capital boolean").groupBy("h").agg(
+            F.bool_and("capital").alias("name")), "benchmark-words")
+        return cls(*(KeyFilter(said.filter(F.col("name") == flag), F.col("h"), NAME_BITS) for flag in (True, False)))
+
+    def among(self, words: Words):
+        """For each distinct word whether it is a name."""
+        return self.only_capital.may_hold(words.hash) | (words.capital & ~self.otherwise.may_hold(words.hash))
+
+
+def canonical_tokens(texts: list[str | None], names: Names):
+    """``owner`` (place of the text), ``shape`` (template hash), ``value``, ``kind`` of each token, in order."""
+    import numpy as np
 
-        split = [words_of(t) for t in texts]
-        words = [w for s in split for w in s]
-        self._learn(set(words))
-        get = self.place.__getitem__
-        types = np.fromiter(map(get, words), dtype=np.int64, count=len(words))
-        owner = np.repeat(np.arange(len(texts)), [len(s) for s in split])
-        h1, k1, h2, k2, n, unit, capital, stops = (c[types] for c in self.table)
-        first = np.ones(len(words), dtype=bool)
-        first[1:] = owner[1:] != owner[:-1]
-        begins = first.copy()  # a sentence begins here
-        begins[1:] |= stops[:-1]
-        begins[2:] |= (n[1:-1] == 0) & stops[:-2]
-        k1 = np.where(capital & ~begins, NAME, k1).astype(np.int8)
-
-        owner = np.repeat(owner, n)
-        value = np.stack([h1, h2], axis=1)[np.stack([n >= 1, n >= 2], axis=1)]
-        kind = np.stack([k1, k2], axis=1)[np.stack([n >= 1, n >= 2], axis=1)]
-        unit = np.repeat(unit, n)
-        same = np.zeros(len(owner), dtype=bool)
-        same[1:] = owner[1:] == owner[:-1]
-        behind = np.zeros(len(owner), dtype=bool)
-        behind[1:] = kind[:-1] == NUMBER
-        kind = np.where(unit & behind & same & (kind == LITERAL), UNIT, kind).astype(np.int8)
-        again = np.zeros(len(owner), dtype=bool)  # a name right behind a name joins it
-        again[1:] = (kind[1:] == NAME) & (kind[:-1] == NAME) & same[1:]
-        if again.any():
-            heads = np.flatnonzero(~again)
-            value = np.add.reduceat(value, heads)
-            owner, kind = owner[heads], kind[heads]
-        shape = np.where(kind == LITERAL, value, np.array(_PLACEHOLDERS, dtype=np.uint64)[kind])
-        return owner, shape, value, kind
+    w = Words(texts)
+    kind1 = np.where(w.number | w.quantity, NUMBER, np.where(names.among(w), NAME, LITERAL)).astype(np.int8)[w.place]
+    two = w.quantity[w.place]
+    n = 1 + two
+    owner = np.repeat(w.owner, n)
+    value, kind, unit = np.repeat(w.hash[w.place], n), np.repeat(kind1, n), np.repeat(w.unit[w.place], n)
+    if two.any():
+        second = np.cumsum(n)[two] - 1
+        value[second], kind[second] = w.second[w.place[two]], UNIT
+    same = np.zeros(len(owner), dtype=bool)
+    same[1:] = owner[1:] == owner[:-1]
+    behind = np.zeros(len(owner), dtype=bool)
+    behind[1:] = kind[:-1] == NUMBER
+    kind = np.where(unit & behind & same & (kind == LITERAL), UNIT, kind).astype(np.int8)
+    again = np.zeros(len(owner), dtype=bool)  # a name right behind a name joins it
+    again[1:] = (kind[1:] == NAME) & (kind[:-1] == NAME) & same[1:]
+    if again.any():
+        heads = np.flatnonzero(~again)
+        value = np.add.reduceat(value, heads)
+        owner, kind = owner[heads], kind[heads]
+    shape = np.where(kind == LITERAL, value, np.array(_PLACEHOLDERS, dtype=np.uint64)[kind])
+    return owner, shape, value, kind
 
 
 def _mixed(tokens, size: int):
@@ -178,9 +207,9 @@ def window_hashes(owner, shape, kind, size: int, literals: int, value=None):
 _LONGS = T.ArrayType(T.LongType())
 
 
-def benchmark_items(benchmark: DataFrame, id_col: str, text_col: str, window: int, literals: int) -> DataFrame:
+def benchmark_items(benchmark: DataFrame, id_col: str, text_col: str, names, window: int, literals: int) -> DataFrame:
     """By item: ``item`` (a number of its own), ``item_id``, ``size`` (of its windows), ``tokens``, ``hashes`` (by
-    place, null where no window counts), ``slots`` (the value of a placeholder by place, null for a literal)."""
+    place, null where no window counts), ``slots`` (the value of a placeholder by place, null for a literal). ``names``: broadcast."""
     picked = benchmark.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text"))
     schema = T.StructType([picked.schema["item_id"], T.StructField("size", T.IntegerType()), T.StructField("tokens", T.IntegerType()),
                            T.StructField("hashes", _LONGS), T.StructField("slots", _LONGS)])
@@ -190,11 +219,11 @@ def benchmark_items(benchmark: DataFrame, id_col: str, text_col: str, window: in
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        canonical, arrow = Canonical(), to_arrow_schema(schema)
+        arrow = to_arrow_schema(schema)
         for batch in batches:
             rows = []
             for item_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                owner, shape, value, kind = canonical.tokens([text])
+                owner, shape, value, kind = canonical_tokens([text], names.value)
                 size = min(window, len(shape))
                 if size:
                     h, ok = window_hashes(owner, shape, kind, size, literals, value)
@@ -207,7 +236,7 @@ def benchmark_items(benchmark: DataFrame, id_col: str, text_col: str, window: in
     return written(picked.mapInArrow(analysed, schema).withColumn("item", F.monotonically_increasing_id()), "benchmark-items")
 
 
-def document_runs(docs: DataFrame, text_col: str, sizes: list[int], filter_, literals: int) -> DataFrame:
+def document_runs(docs: DataFrame, text_col: str, sizes: list[int], filter_, names, literals: int) -> DataFrame:
     """Runs of windows that may be the benchmark's: ``h1``, ``h2`` (of the text), ``size``, ``start``, ``hashes`` by
     place from there, ``slots`` by token from there."""
     spark = docs.sparkSession
@@ -223,12 +252,13 @@ def document_runs(docs: DataFrame, text_col: str, sizes: list[int], filter_, lit
 
         from toxscan.llm.common import byte_batches
 
-        canonical, arrow, may_hold = Canonical(), to_arrow_schema(schema), shared.value.may_hold
+        keeps("decontamination")
+        arrow, may_hold = to_arrow_schema(schema), shared.value.may_hold
         for batch in batches:
             h1, h2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             base, rows = 0, []
             for part in byte_batches(("" if t is None else t for t in batch.column(2).to_pylist()), 1 << 22):
-                owner, shape, value, kind = canonical.tokens(part)
+                owner, shape, value, kind = canonical_tokens(part, names.value)
                 begin = np.searchsorted(owner, np.arange(len(part)))
                 for size in sizes:
                     h, ok = window_hashes(owner, shape, kind, size, literals, value)
@@ -253,21 +283,21 @@ def document_runs(docs: DataFrame, text_col: str, sizes: list[int], filter_, lit
 def aligned(hashes: list, slots: list, item_hashes: list, item_slots: list, at: int, size: int, tokens: int) -> float:
     """The share of an item's tokens that consistent equal windows cover, if its place 0 is at ``at`` of a run."""
     lo, hi = max(0, at), min(len(hashes), at + len(item_hashes))
-    ahead: dict = {}
-    back: dict = {}
+    equal = [p for p in range(lo, hi) if hashes[p] is not None and hashes[p] == item_hashes[p - at]]
+    said: dict = {}  # for each value of the item how often it stands for which value, by place
+    reached = 0
+    for p in equal:
+        for t in range(max(p, reached), p + size):
+            if item_slots[t - at] is not None:
+                votes = said.setdefault(item_slots[t - at], {})
+                votes[slots[t]] = votes.get(slots[t], 0) + 1
+        reached = p + size
+    stands = {i: max(votes, key=lambda v: votes[v]) for i, votes in said.items()}
     covered = reached = 0
-    for p in range(lo, hi):
-        q = p - at
-        if hashes[p] is None or hashes[p] != item_hashes[q]:
-            continue
-        pairs = [(item_slots[q + k], slots[p + k]) for k in range(size) if item_slots[q + k] is not None]
-        new_ahead, new_back = dict(pairs), {d: i for i, d in pairs}
-        if any(new_ahead[i] != d or new_back[d] != i or ahead.get(i, d) != d or back.get(d, i) != i for i, d in pairs):
-            continue
-        ahead.update(new_ahead)
-        back.update(new_back)
-        covered += q + size - max(reached, q)
-        reached = q + size
+    for p in equal:
+        if all(item_slots[t - at] is None or stands[item_slots[t - at]] == slots[t] for t in range(p, p + size)):
+            covered += p + size - max(reached, p)
+            reached = p + size
     return covered / tokens
 
 
@@ -277,23 +307,17 @@ def contaminated_texts(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     """``h1``, ``h2`` (of a text), ``item_id``, ``coverage``, ``start`` (token of the run): the items found in texts."""
     spark = docs.sparkSession
     python_ready(spark)
-    items = benchmark_items(benchmark, item_col, item_text_col, window, literals)
+    names = spark.sparkContext.broadcast(Names.of(benchmark, item_text_col))
+    items = benchmark_items(benchmark, item_col, item_text_col, names, window, literals)
     out_schema = T.StructType([T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), items.schema["item_id"],
                                T.StructField("coverage", T.DoubleType()), T.StructField("start", T.LongType())])
     sizes = [r[0] for r in items.select("size").distinct().orderBy("size").collect()]
     if not sizes:
         return spark.createDataFrame([], out_schema)
     windows = items.select("item", "size", F.posexplode("hashes").alias("place", "h")).filter(F.col("h").isNotNull())
-    fewest = items.agg(F.min(F.size("hashes"))).first()[0]
-    found = document_runs(docs, text_col, sizes, KeyFilter(windows.select("h").distinct(), F.col("h")), literals)
+    found = document_runs(docs, text_col, sizes, KeyFilter(windows.select("h").distinct(), F.col("h")), names, literals)
     runs = written(found.distinct().withColumn("run", F.monotonically_increasing_id()), "benchmark-runs")
-    step = max(1, min(STEP, fewest))
-    # per stretch of ``step`` windows, one that may match
-    spots = F.transform(F.sequence(F.lit(0), F.size("hashes") - 1, F.lit(step)), lambda i: F.struct(
-        i.alias("from"), F.slice("hashes", i + 1, F.lit(step)).alias("hs")))
-    asked = (runs.select("run", "size", F.explode(spots).alias("s")).select("run", "size", F.col("s.from").alias("from"), F.posexplode("s.hs").alias("k", "h"))
-             .filter(F.col("h").isNotNull()).groupBy("run", "size", "from").agg(F.min(F.struct("k", "h")).alias("m"))
-             .select("run", "size", (F.col("from") + F.col("m.k")).alias("at"), F.col("m.h").alias("h")))
+    asked = runs.select("run", "size", F.posexplode("hashes").alias("at", "h")).filter(F.col("h").isNotNull())
     candidates = (asked.join(windows, ["size", "h"]).select("run", "item", (F.col("at") - F.col("place")).alias("at")).distinct()
                   .join(items, "item").join(runs.select("run", "h1", "h2", "start", F.col("hashes").alias("run_hashes"),
                                                         F.col("slots").alias("run_slots")), "run"))
