@@ -3,7 +3,8 @@
 A text becomes symbols, one a character. The agenda holds every adjacent pair of symbols that together are a piece,
 best score first, leftmost first among equals. The first pair is merged and its new neighbours join the agenda, until
 none is left; pairs whose symbols have meanwhile been merged away are skipped. A symbol that is no piece becomes one id
-for each of its UTF-8 bytes, or the unknown id where the file has no byte pieces.
+for each of its UTF-8 bytes, or the unknown id where the file has no byte pieces. Short texts go through their agendas side by side: an
+agenda is a row of scores then, and a step merges the best pair of every row (``PairTable``).
 
 No merge reaches across two characters that stand side by side in no piece. Where the pieces allow it, a normalised text
 is therefore cut before each run of word marks and around line ends: each distinct cut goes through the agenda once and
@@ -38,6 +39,80 @@ BATCH_CHARS = 1 << 20
 CACHE_CUTS = 1_000_000
 
 
+class PairTable:
+    """The agenda for many short texts at once. Symbols are numbers; a sorted table tells what two of them make."""
+
+    #: Symbols of a text that goes through a row; longer ones have an agenda of their own.
+    WIDTH = 40
+
+    def __init__(self, ids: dict[str, int], score: dict[str, float]):
+        import numpy as np
+
+        symbols = {p: i for i, p in enumerate(ids)}
+        for p in ids:
+            for c in p:
+                symbols.setdefault(c, len(symbols))
+        self.ids = np.array([ids.get(p, -1) for p in symbols], dtype=np.int32)
+        self.of_char = np.full(0x110000, -1, dtype=np.int32)
+        for p, n in symbols.items():
+            if len(p) == 1:
+                self.of_char[ord(p)] = n
+        self.base = len(symbols)
+        made = [(symbols[p[:k]] * self.base + symbols[p[k:]], symbols[p], -score[p])
+                for p in ids for k in range(1, len(p)) if p[:k] in symbols and p[k:] in symbols]
+        made.sort()
+        self.keys = np.array([m[0] for m in made] + [1 << 62], dtype=np.int64)
+        self.joined = np.array([m[1] for m in made] + [-1], dtype=np.int32)
+        self.cost = np.array([m[2] for m in made] + [np.inf], dtype=np.float64)
+
+    def pairs(self, left, right):
+        """What each two symbols make, and its negative score; -1 and infinity if they make nothing."""
+        import numpy as np
+
+        key = left.astype(np.int64) * self.base + right
+        at = np.searchsorted(self.keys, key)
+        hit = (self.keys[at] == key) & (left >= 0) & (right >= 0)
+        return np.where(hit, self.joined[at], -1), np.where(hit, self.cost[at], np.inf)
+
+    def merge(self, texts: list[str]):
+        """The ids of all texts (not empty, of up to ``WIDTH`` symbols) one after the other, how many each has, and which have a symbol
+        without an id."""
+        import numpy as np
+
+        size = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+        width = int(size.max())
+        chars = self.of_char[np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32)]
+        symbol = np.full((len(texts), width + 1), -2, dtype=np.int32)  # -2: no symbol, -1: one that no piece has
+        symbol[np.arange(width + 1) < size[:, None]] = chars
+        made, cost = self.pairs(symbol[:, :-1], symbol[:, 1:])
+        after = np.tile(np.arange(1, width + 2), (len(texts), 1))
+        before = np.tile(np.arange(-1, width), (len(texts), 1))
+        rows = np.arange(len(texts))
+        while True:
+            i = cost[rows].argmin(axis=1)  # the leftmost of equal ones
+            go = cost[rows, i] < np.inf
+            rows, i = rows[go], i[go]
+            if not len(rows):
+                break
+            j = after[rows, i]
+            new, k, h = made[rows, i], after[rows, j], before[rows, i]
+            symbol[rows, i], symbol[rows, j] = new, -2
+            after[rows, i] = k
+            inner = k <= width
+            before[rows[inner], k[inner]] = i[inner]
+            right = np.where(inner, symbol[rows, np.minimum(k, width)], -2)
+            made[rows, i], cost[rows, i] = self.pairs(new, right)
+            dead = j < width
+            cost[rows[dead], j[dead]] = np.inf
+            has = h >= 0
+            made[rows[has], h[has]], cost[rows[has], h[has]] = self.pairs(symbol[rows[has], h[has]], new[has])
+        live = symbol != -2
+        ids = np.where(symbol >= 0, self.ids[np.maximum(symbol, 0)], -1)
+        counts = live.sum(axis=1)
+        bad = (live & (ids < 0)).any(axis=1)
+        return ids[live], counts, bad
+
+
 class PieceCodec:
     """Ids of texts and texts of ids for one ``.model`` file."""
 
@@ -80,6 +155,7 @@ class PieceCodec:
                         else model.trainer_spec.unk_surface.encode() if p.type == kind.UNKNOWN
                         else p.piece.replace(MARK, " ").encode() for p in model.pieces]
         self.marked = [p.piece.startswith(MARK) and p.type not in (kind.CONTROL, kind.UNKNOWN, kind.BYTE) for p in model.pieces]
+        self.pairs = PairTable(self.ids, self.score) if self.cuts and not self.idle else None
         self.cache_cuts = cache_cuts
         self.known: dict[str, bytes] = {"": b""}
         self.table = None
@@ -170,6 +246,22 @@ class PieceCodec:
             return _CUTS(whole)
         return whole.replace(MARK, "\0" + MARK).replace("\n", "\0\n\0").split("\0")
 
+    def learn(self, cuts: set[str]) -> None:
+        """Take cuts into the table: short ones side by side, by length; the others, and those with a symbol that is no piece, one by one."""
+        import numpy as np
+
+        alone = cuts
+        if self.pairs is not None:
+            ordered = sorted((c for c in cuts if len(c) <= PairTable.WIDTH), key=len)
+            alone = [c for c in cuts if len(c) > PairTable.WIDTH]
+            for start in range(0, len(ordered), 1 << 14):
+                some = ordered[start:start + (1 << 14)]
+                ids, counts, bad = self.pairs.merge(some)
+                raw, ends = ids.astype(np.int32).tobytes(), (4 * np.cumsum(counts)).tolist()
+                self.known.update(zip(some, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends))))
+                alone += [some[i] for i in np.flatnonzero(bad).tolist()]
+        self.known.update((c, self.cut_ids(c)) for c in alone)
+
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         """For each text its ids, without begin and end."""
         cut = [self.cut(t) for t in texts]
@@ -177,8 +269,7 @@ class PieceCodec:
         if len(self.known) + len(fresh) > self.cache_cuts:
             self.known = {"": b""}
             fresh = set(chain.from_iterable(cut)).difference(self.known)
-        one = self.cut_ids
-        self.known.update((c, one(c)) for c in fresh)
+        self.learn(fresh)
         get = self.known.__getitem__
         return [b"".join(map(get, c)) for c in cut]
 
@@ -274,12 +365,14 @@ class CheckFailed(ValueError):
 
 
 def encode_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, model: str = "piece_bpe_32k.model",
-                  end: bool = True, check: bool = True) -> DataFrame:
-    """Per row of ``df``: ``id_col`` and ``ids``, the ids of its whole text, with the end id behind them if ``end``."""
+                  end: bool = True, decoded: bool = False, check: bool = True) -> DataFrame:
+    """Per row of ``df``: ``id_col`` and ``ids``, the ids of its whole text, with the end id behind them if ``end``; if ``decoded`` also
+    ``decoded``, the text that these ids stand for, made in the same task."""
     python_ready(df.sparkSession)
     picked = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     schema = T.StructType([T.StructField("_id", picked.schema["_id"].dataType),
-                           T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
+                           T.StructField("ids", T.ArrayType(T.IntegerType(), False)),
+                           *([T.StructField("decoded", T.StringType())] if decoded else [])])
 
     def encode(batches: Iterator) -> Iterator:
         import numpy as np
@@ -299,10 +392,21 @@ def encode_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 offsets = np.zeros(len(found) + 1, np.int32)
                 np.cumsum([len(x) // 4 for x in found], out=offsets[1:])
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(found)), lists], names=["_id", "ids"])
+                columns = [batch.column(0).slice(done, len(found)), lists]
+                if decoded:
+                    columns.append(pa.array(decoded_lists(c, lists, check), pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
                 done += len(found)
 
-    return picked.mapInArrow(encode, schema).select(F.col("_id").alias(id_col), "ids")
+    return picked.mapInArrow(encode, schema).withColumnRenamed("_id", id_col)
+
+
+def decoded_lists(c: PieceCodec, lists, check: bool) -> list[str]:
+    """The texts of an Arrow list array of ids, compared with the library's if ``check``."""
+    said = c.decode_lists(lists)
+    if check and said != c.library.decode(lists.to_pylist(), num_threads=1):
+        raise CheckFailed("a decoded text differs from the library's")
+    return said
 
 
 def decode_pieces(df: DataFrame, ids_col: str = "ids", out: str = "decoded", *, model: str = "piece_bpe_32k.model",
@@ -322,9 +426,7 @@ def decode_pieces(df: DataFrame, ids_col: str = "ids", out: str = "decoded", *,
             rows = max(1, min(len(batch), (len(batch) << 18) // max(1, len(batch.column(at).flatten()))))
             for start in range(0, len(batch), rows):
                 part = batch.slice(start, rows)
-                said = c.decode_lists(part.column(at))
-                if check and said != c.library.decode(part.column(at).to_pylist(), num_threads=1):
-                    raise CheckFailed("a decoded text differs from the library's")
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(said, pa.string())], names=schema.names)
+                said = pa.array(decoded_lists(c, part.column(at), check), pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns, said], names=schema.names)
 
     return fed.mapInArrow(decode, schema)

@@ -16,7 +16,7 @@ from toxscan.llm.line_dedup import dedup_lines
 from toxscan.llm.oracle import ORACLE_SQL as ORACLE_SQL
 from toxscan.llm.packing import pack
 from toxscan.llm.periodic_runs import periodic_runs
-from toxscan.llm.piece_codec import decode_pieces, encode_pieces
+from toxscan.llm.piece_codec import encode_pieces
 from toxscan.llm.quality_lm import classify, trusted_ids
 from toxscan.llm.simhash import near_duplicates
 from toxscan.llm.token_count import count_tokens
@@ -75,7 +75,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = decode_pieces(encode_pieces(table(spark, sf_dir, "documents")))
+    coded = encode_pieces(table(spark, sf_dir, "documents"), decoded=True)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
                         F.sha2("decoded", 256).alias("decoded_sha256"))
