@@ -260,3 +260,62 @@ def test_packing_prefers_the_best_dot_product():
     list(packer.add(Piece(range(5), 0, 5, None)))  # tokens and loss
     first = next(packer.finish())
     assert first[0].length == 5
+
+
+# --- HTML extraction: tags with stray quotes, long nesting, siblings, whole pages ---------------------
+
+def test_a_quote_opens_a_value_behind_an_equals_sign_only():
+    assert H.main_text("<p><a href=/john's-page>One</a> is a text, of some length.</p><p>The second.</p><p>It's the third.</p>") == \
+        "One is a text, of some length.\nThe second.\nIt's the third."
+    assert H.main_text("<p><a href=/o'neil>O'Neil</a> wrote \"this\" and that, it's said.</p>") == "O'Neil wrote \"this\" and that, it's said."
+    assert H.main_text("<p title=\"a > b\" class = 'x>y' lang=d\"e data-q=1='2>All of it, every word.</p>") == "All of it, every word."
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.text(alphabet="abc =/'\"-", max_size=8), st.text(alphabet="xyz .,", min_size=1, max_size=12)), min_size=1, max_size=5))
+def test_text_between_tags_is_kept(parts):
+    # an attribute that ends in a bare value; its quotes stand inside the value
+    page = "".join(f"<p data=v{a.replace(' ', '').replace('=', '')}>{t}</p>" for a, t in parts)
+    assert H.main_text(f"<article>{page}</article>").split() == " ".join(t for _, t in parts).split()
+
+
+@pytest.mark.parametrize("page", ["<p>" + "<i>x " * 100_000, "<p>" + "<i>x</b> " * 100_000, "<b><table><tr><td>" + "<i>" * 50_000 + "</b>" * 50_000,
+                                  "<div>" * 50_000 + "<p class=note>x</p>" * 20_000, "<button>" * 20_000 + "<p>" * 20_000,
+                                  "<a " + "x=' " * 50_000, "<div " + "=" * 100_000 + ">t", "<a b=\"c" * 20_000])
+def test_long_nesting_takes_time_by_length(page):
+    import time
+
+    start = time.process_time()
+    H.main_text(page)
+    assert time.process_time() - start < 6
+
+
+def test_stray_end_tags_close_no_container():
+    assert H.main_text("<article><p>Before <b>bold<table><tr><td>cell</b> still cell</td></tr></table> behind it all.</p></article>") == \
+        "Before bold\ncell still cell\nbehind it all."
+
+
+def test_prose_in_a_plain_sibling_belongs_to_the_article():
+    long = "A long paragraph of the article, with commas, and more words, that goes on for quite some time, as such ones do. " * 6
+    page = (f"<body><div><div><p>{long}</p><p>{long}</p></div><h2>More</h2><div><p>A short last part of the article, in a box of its own, that ends it as "
+            "it should end.</p></div><div><a href=/a>One link of many here</a> <a href=/b>and another link, of that kind, to go on with</a></div>"
+            "<div class=comments><p>First! This is a comment of a reader, which is not of the article, as everyone knows well.</p></div></div></body>")
+    text = H.main_text(page)
+    assert "ends it as it should end." in text and "More" in text and "link" not in text and "First!" not in text
+
+
+def test_pages_equal_a_plain_reading(spark):
+    """The article of a page, read without a tree: these pages mark it, and its blocks are paragraphs, headings and list items."""
+    import html
+    import re
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    got = {r.page_id: (r.text, r.n_chars) for r in H.extract(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")).collect()}
+    assert len(got) == len(pages)
+    for r in pages:
+        body = "\n".join(re.findall(r"<article>(.*?)</article>", r.html, re.S))
+        body = re.sub(r"<!--.*?-->|<(script|style|nav|aside|footer|form)\b.*?</\1>|<div class=\"ad\">.*?</div>", "", body, flags=re.S)
+        marked = re.sub(r"</?(?:p|h[1-6]|li|ul|ol|div|blockquote|table|tr|td|section)\b[^>]*>", "\0", body.replace("<br>", " "))
+        blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in marked.split("\0")]
+        want = "\n".join(b for b in blocks if b)
+        assert got[r.page_id] == (want, len(want))

@@ -62,15 +62,27 @@ ENDS_BEFORE = {
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"},
           "thead": {"table"}, "tbody": {"table"}, "p": {"button", "td", "th", "li", "caption", "object"}}
 
+#: Elements whose end may be left out, and that do not stop the search for one.
+ENDS_BY_ITSELF = frozenset("p li dd dt td th tr thead tbody tfoot option".split())
+MARKS = BLOCK | frozenset(ENDS_BEFORE)
+SCOPE_MARKS = MARKS.union(*SCOPES.values())
+#: A stray end tag of an inline element does not close these.
+WALLS = frozenset("td th table article body".split())
+
+#: A quote opens a value behind "=" only; elsewhere it is a character like others.
+_VALUE = r"=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^\s>\"'][^\s>]*)?"
 _MARK = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>[^>\"']*(?:\"[^\"]*(?:\"|\Z)[^>\"']*|'[^']*(?:'|\Z)[^>\"']*)*)(?:>|\Z)"
+    rf"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>=]+|{_VALUE})*)(?:>|\Z)"
     r"|</[^a-zA-Z][^>]*(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?=[\s=/]|\Z)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _COMMAS = re.compile(r"[,،、，·﹐]")
 
 MIN_PARAGRAPH = 25
+#: Characters of prose that a sibling needs, and how its sentences end.
+PROSE = 80
+_STOP = re.compile(r"[.!?。！？]")
 SIBLING_SHARE = 0.2
 #: A suspect's share of its score, and what leaves it out: link density above, or characters below.
 SUSPECT_SHARE = 0.75
@@ -86,9 +98,11 @@ def _one_line(text: str) -> str:
 
 
 class Element:
-    """``children``: elements and texts in page order."""
+    """``children``: elements and texts in page order. ``mark``: the nearest element, from this one up, that may end by itself or stops
+    the search for one; ``scope``: the same, or one that limits such a search; ``wall``: the nearest container that stray end tags
+    do not close. ``within``: how many elements of each tag are open in a wall."""
 
-    __slots__ = ("tag", "parent", "children", "out", "in_link", "suspect", "score", "n_text", "n_link")
+    __slots__ = ("tag", "parent", "children", "out", "in_link", "suspect", "score", "n_text", "n_link", "mark", "scope", "wall", "within")
 
     def __init__(self, tag: str, parent: Element | None, out: bool = False, suspect: int = CLEAR):
         self.tag, self.parent, self.out, self.suspect = tag, parent, out, suspect
@@ -96,9 +110,13 @@ class Element:
         self.children: list = []
         self.score = 0.0
         self.n_text = self.n_link = 0
+        self.mark = self if parent is None or tag in MARKS else parent.mark
+        self.scope = self if parent is None or tag in SCOPE_MARKS else parent.scope
+        self.wall = self if parent is None or tag in WALLS else parent.wall
+        self.within: dict[str, int] | None = {} if self.wall is self else None
 
 
-def _boilerplate(tag: str, rest: str, parent: Element) -> int:
+def _boilerplate(tag: str, rest: str, in_article: bool) -> int:
     if tag in LEFT_OUT:
         return OUT
     if tag in ("html", "body", "article", "main") or not rest or "=" not in rest and "hidden" not in rest.lower():
@@ -119,45 +137,95 @@ def _boilerplate(tag: str, rest: str, parent: Element) -> int:
         if not hits:
             continue
         words |= hits
-        if not all(w in hits or w in NEUTRAL for w in parts) or tag in HEADINGS or key == "id" and _within(parent, ("article", "main")):
+        if not all(w in hits or w in NEUTRAL for w in parts) or tag in HEADINGS or key == "id" and in_article:
             said = max(said, BY_ID if key == "id" else BY_CLASS)
         else:
             said = OUT
     return CLEAR if words <= DOUBTFUL and ARTICLE.search(" ".join(n for _, n in names)) else said
 
 
+class Path:
+    """The open elements of a page, from the root to ``last``. Every step costs what it opens or closes, however deep the page."""
+
+    def __init__(self):
+        self.root = self.last = Element("", None)
+        self.open: dict[str, int] = {}
+
+    def enter(self, e: Element) -> None:
+        self.last = e
+        self.open[e.tag] = self.open.get(e.tag, 0) + 1
+        if e.wall is not e:
+            e.wall.within[e.tag] = e.wall.within.get(e.tag, 0) + 1
+
+    def leave_to(self, above: Element) -> None:
+        e = self.last
+        while e is not above:
+            self.open[e.tag] -= 1
+            if e.wall is not e:
+                e.wall.within[e.tag] -= 1
+            e = e.parent
+        self.last = above
+
+    def in_article(self) -> bool:
+        return bool(self.open.get("article") or self.open.get("main"))
+
+    def end(self, tag: str) -> None:
+        """An end tag. A stray one closes nothing, and one of an inline element no container."""
+        if not (self.open.get(tag) if tag in BLOCK else self.last.wall.within.get(tag)):
+            return
+        e = self.last
+        while e.tag != tag:
+            e = e.parent
+        self.leave_to(e.parent)
+
+    def make_room(self, tag: str) -> None:
+        """Close what a start tag ends by itself."""
+        limits = SCOPES.get(tag, ())
+        scoped = bool(limits)
+        e = self.last.scope if scoped else self.last.mark
+        while e is not None:
+            if tag in ENDS_BEFORE.get(e.tag, ()):
+                self.leave_to(e.parent)
+                e = self.last
+            elif e.tag in limits or (e.tag in BLOCK and e.tag not in ENDS_BY_ITSELF):
+                return
+            else:
+                e = e.parent
+            e = None if e is None else e.scope if scoped else e.mark
+
+
 def parse(page: str) -> Element:
     """The tree of a page, without what never belongs to the article."""
-    root = Element("", None)
-    at, open_ = 0, root
+    path = Path()
+    at = 0
     find = _MARK.search
     while True:
         m = find(page, at)
         if m is None:
-            _say(open_, page[at:])
-            return root
+            _say(path.last, page[at:])
+            return path.root
         if m.start() > at:
-            _say(open_, page[at:m.start()])
+            _say(path.last, page[at:m.start()])
         at = m.end()
         tag = m["tag"]
         if tag is None:
             continue
         tag = tag.lower()
         if m["end"]:
-            open_ = _end(open_, tag)
+            path.end(tag)
             continue
         rest = m["rest"]
-        open_ = _make_room(open_, tag)
+        path.make_room(tag)
         if tag in RAW and not rest.endswith("/"):
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             at = close.end() if close else len(page)
             continue
-        said = _boilerplate(tag, rest, open_)
-        out = open_.out or said == OUT or (tag == "header" and not _within(open_, ("article", "main")))
-        element = Element(tag, open_, out, said)
-        open_.children.append(element)
+        said = _boilerplate(tag, rest, path.in_article())
+        out = path.last.out or said == OUT or (tag == "header" and not path.in_article())
+        element = Element(tag, path.last, out, said)
+        path.last.children.append(element)
         if tag not in VOID and not (rest.endswith("/") and tag not in BLOCK):
-            open_ = element
+            path.enter(element)
 
 
 def _say(to: Element, text: str) -> None:
@@ -165,37 +233,6 @@ def _say(to: Element, text: str) -> None:
         to.children.append(text)
 
 
-def _within(e: Element | None, tags: tuple[str, ...]) -> bool:
-    while e is not None:
-        if e.tag in tags:
-            return True
-        e = e.parent
-    return False
-
-
-def _end(open_: Element, tag: str) -> Element:
-    e = open_
-    while e is not None and e.tag != tag:
-        if e.tag in ("td", "th", "table", "article", "body") and tag not in BLOCK:
-            return open_  # a stray end tag of an inline element does not close a container
-        e = e.parent
-    return open_ if e is None or e.parent is None else e.parent
-
-
-def _make_room(open_: Element, tag: str) -> Element:
-    """Close what a start tag ends by itself."""
-    e = open_
-    while e is not None:
-        if tag in ENDS_BEFORE.get(e.tag, ()):
-            return _make_room(e.parent, tag)
-        if e.tag in BLOCK and e.tag not in ("p", "li", "dd", "dt", "td", "th", "tr", "thead", "tbody", "tfoot", "option"):
-            return open_
-        if e.tag in SCOPES.get(tag, ()):
-            return open_
-        e = e.parent
-    return open_
-
-
 def _elements(root: Element) -> list[Element]:
     """All elements that are not left out, parents first."""
     found, todo = [], [root]
@@ -285,6 +322,16 @@ def _goes_along(e: Element, best: Element) -> bool:
         return True
     if e.tag in PARAGRAPHS:
         return e.n_text > 0 and density < (0.25 if e.n_text > 80 else 0.05)
+    # Prose beside the best container, in an element that nothing speaks against, is of the article too.
+    return e.tag in BLOCK and not e.suspect and density < 0.25 and _sentences(e)
+
+
+def _sentences(e: Element) -> bool:
+    """Whether ``e`` has a paragraph of prose: some length, and the end of a sentence."""
+    for b in blocks(e):
+        text = _one_line(b)
+        if len(text) >= PROSE and _STOP.search(text):
+            return True
     return False
 
 
