@@ -16,7 +16,7 @@ from hypothesis import strategies as st
 from toxscan.llm.lexical_search import search
 from toxscan.llm.oracle import ORACLE_SQL
 from toxscan.llm.periodic_runs import find_runs, least_lcp, periodic_runs
-from toxscan.llm.piece_codec import PieceCodec, codec, decode_pieces, encode_pieces
+from toxscan.llm.piece_codec import CheckFailed, PieceCodec, codec, decode_pieces, encode_pieces
 from toxscan.llm.queries import QUERIES
 from toxscan.llm.words import byte_slices, cut_words, numbered
 
@@ -64,10 +64,28 @@ def test_agendas_side_by_side_equal_single_ones(texts):
         assert b or ids[e - n:e].astype(np.int32).tobytes() == c.cut_ids(t)
 
 
+def test_a_wrong_id_is_noticed(spark):
+    c = PieceCodec(MODEL)
+    c.compare_cuts([])
+    texts = ["one two\n three  four\n\n five ", " ", "", "▁", "é日😀"]
+    assert c.encode(texts, check=True) == codec(MODEL).encode(texts)
+    for wrong in ("▁two", "\n", "▁", "four" if "four" in c.known else "▁▁four"):
+        assert wrong in c.known
+        held = c.known[wrong]
+        c.known[wrong] = held[:-4] + b"\x07\0\0\0"
+        with pytest.raises(CheckFailed):
+            c.compare_cuts([wrong])
+        c.known[wrong] = held
+    c.compare_cuts(c.known)
+    with pytest.raises(CheckFailed):
+        c.compare(["one"], [c.encode(["two"])[0]])
+
+
 def test_pieces_edge_cases(spark):
     rows = [(1, None, 5), (2, "", 5), (2, " two  words ", 5), (2, " two  words ", 5), (None, "<s></s>▁", 5), (4, "longword" * 40_000 + " end" * 60_000, 5)]
     df = spark.createDataFrame(rows, "doc_id long, text string, decoded int")
     lib = codec(MODEL).library
+    assert encode_pieces(df, check="whole").count() == len(rows)
     got = sorted((r.doc_id or 0, r.ids) for r in encode_pieces(df).collect())
     assert got == sorted((i or 0, lib.encode(t or "") + [2]) for i, t, _ in rows)
     back = decode_pieces(encode_pieces(df).withColumnRenamed("doc_id", "decoded"))

@@ -10,7 +10,8 @@ No merge reaches across two characters that stand side by side in no piece. Wher
 is therefore cut before each run of word marks and around line ends: each distinct cut goes through the agenda once and
 is looked up from then on. Files that use word marks in another way, or have pieces of users, are not cut.
 
-The library's own results check these in each list of texts (``check``): a difference stops the job.
+The library's own results check these in each Arrow batch: the ids of every cut when it is learned, one whole text (the longest) of each list of
+texts, and every decoded text. ``check="whole"`` compares the ids of every whole text instead. A difference stops the job.
 
 Edge cases: a null or empty text has no ids but the end id, and decodes to an empty text; repeated rows give repeated
 results; a null id stays null; an empty table gives an empty result. ``decode_pieces`` keeps all columns of its input and gives its
@@ -23,7 +24,7 @@ from __future__ import annotations
 import array
 import heapq
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from itertools import chain
 
 from pyspark.sql import DataFrame
@@ -39,6 +40,10 @@ BATCH_CHARS = 1 << 20
 CACHE_CUTS = 1_000_000
 
 
+class CheckFailed(ValueError):
+    """The agenda and the library differ."""
+
+
 class PairTable:
     """The agenda for many short texts at once. Symbols are numbers; a sorted table tells what two of them make."""
 
@@ -262,14 +267,34 @@ class PieceCodec:
                 alone += [some[i] for i in np.flatnonzero(bad).tolist()]
         self.known.update((c, self.cut_ids(c)) for c in alone)
 
-    def encode(self, texts: Sequence[str]) -> list[bytes]:
-        """For each text its ids, without begin and end."""
+    def compare(self, texts: list[str], found: list[bytes]) -> None:
+        """Compare ids of whole texts with the library's."""
+        for t, got, want in zip(texts, found, self.library.encode(texts, num_threads=1)):
+            if got != array.array("i", want).tobytes():
+                raise CheckFailed(f"ids differ from the library's for a text of {len(t)} characters: {t[:80]!r}")
+
+    def compare_cuts(self, cuts: Iterable[str]) -> None:
+        """Compare what is known of cuts with the library's ids. It puts the mark before a text itself; a cut without it, or of it alone, stands
+        behind a line end."""
+        lead = self.library.encode("\n")
+        begun = [c for c in cuts if len(c) > 1 and c[0] == MARK]
+        bare = [c for c in cuts if c and (len(c) == 1 or c[0] != MARK)]
+        texts = [c[1:].replace(MARK, " ") for c in begun] + ["\n" + c.replace(MARK, " ") for c in bare]
+        skip = [0] * len(begun) + [len(lead)] * len(bare)
+        for c, n, ids in zip(begun + bare, skip, self.library.encode(texts, num_threads=1)):
+            if array.array("i", ids[n:]).tobytes() != self.known[c] or ids[:n] != lead[:n]:
+                raise CheckFailed(f"ids differ from the library's for {c[:80]!r}")
+
+    def encode(self, texts: Sequence[str], check: bool = False) -> list[bytes]:
+        """For each text its ids, without begin and end; with ``check`` new cuts are compared with the library."""
         cut = [self.cut(t) for t in texts]
         fresh = set(chain.from_iterable(cut)).difference(self.known)
         if len(self.known) + len(fresh) > self.cache_cuts:
             self.known = {"": b""}
             fresh = set(chain.from_iterable(cut)).difference(self.known)
         self.learn(fresh)
+        if check and self.cuts and self.prefix:
+            self.compare_cuts(fresh)
         get = self.known.__getitem__
         return [b"".join(map(get, c)) for c in cut]
 
@@ -360,12 +385,8 @@ def codec(name: str) -> PieceCodec:
     return _codecs[name]
 
 
-class CheckFailed(ValueError):
-    """The agenda and the library differ."""
-
-
 def encode_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, model: str = "piece_bpe_32k.model",
-                  end: bool = True, decoded: bool = False, check: bool = True) -> DataFrame:
+                  end: bool = True, decoded: bool = False, check: bool | str = True) -> DataFrame:
     """Per row of ``df``: ``id_col`` and ``ids``, the ids of its whole text, with the end id behind them if ``end``; if ``decoded`` also
     ``decoded``, the text that these ids stand for, made in the same task."""
     python_ready(df.sparkSession)
@@ -383,11 +404,13 @@ def encode_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for batch in batches:
             done = 0
             for texts in byte_batches(batch.column(1).to_pylist(), BATCH_CHARS):
-                found = c.encode(texts)
-                if check:
-                    for t, got, want in zip(texts, found, c.library.encode(texts, num_threads=1)):
-                        if got != array.array("i", want).tobytes():
-                            raise CheckFailed(f"ids differ from the library's for a text of {len(t)} characters: {t[:80]!r}")
+                by_cut = check is True and c.cuts and bool(c.prefix)
+                found = c.encode(texts, by_cut)
+                if by_cut:
+                    longest = max(range(len(texts)), key=lambda k: len(texts[k]))
+                    c.compare([texts[longest]], [found[longest]])
+                elif check:
+                    c.compare(texts, found)
                 found = [x + tail for x in found]
                 offsets = np.zeros(len(found) + 1, np.int32)
                 np.cumsum([len(x) // 4 for x in found], out=offsets[1:])
