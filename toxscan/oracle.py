@@ -288,6 +288,7 @@ def oracle_sql() -> dict[str, str]:
 
     q: dict[str, str] = {}
     q["scan_posts"] = POSTS_ALL
+    q["exported_posts"] = f"SELECT doc_id, string, label, labeling_confirm FROM ({POSTS_ALL}) WHERE label <> -1 AND labeling_confirm <> 0"
     q["progress_counts"] = f"""SELECT count(*) FILTER (WHERE label <> -1) AS kept_all,
         count(*) FILTER (WHERE {CONFIRMED_WHERE}) AS kept_confirmed, count(*) AS seen FROM ({POSTS_ALL})"""
     q["dataset_csv_roundtrip"] = f"""SELECT row_number() OVER (PARTITION BY bucket ORDER BY doc_id) - 1 AS _id, document, label
@@ -334,6 +335,7 @@ def oracle_sql() -> dict[str, str]:
         UNION ALL SELECT 'kept', NULL, count(*) FROM documents d JOIN labels l ON d.doc_id = l.doc_id
                   WHERE coalesce(l.quality <> 0, true) AND l.toxic <> -1
         UNION ALL SELECT 'seen', NULL, count(*) FROM documents"""
+    q["split_summary_observed"] = q["split_summary"]
     q["lexicon_file"] = q["lexicon_label"]
     q["exact_rank"] = """SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) - 1 AS rank
         FROM documents"""
@@ -478,6 +480,14 @@ def oracle_sql() -> dict[str, str]:
         r AS (SELECT *, count(*) OVER (PARTITION BY url_key) AS n_variants,
                      row_number() OVER (PARTITION BY url_key ORDER BY etag IS NULL DESC, fn DESC) AS k FROM e)
         SELECT url_key, url, fn AS file_name, etag, n_variants FROM r WHERE k = 1"""
+    q["cache_lookup"] = f"""SELECT r.key, m.url, m.etag, m.length FROM ({requested}) r JOIN (
+        SELECT DISTINCT {url_key('url', 'etag')} AS key, url, etag, octet_length(encode(html)) AS length
+        FROM (SELECT {base_url} AS url, md5(html) AS etag, html FROM pages)) m ON r.key = m.key"""
+    q["latest_cached"] = f"""WITH site AS (SELECT DISTINCT regexp_extract(url, '^[a-z]+://[^/?#]*', 0) AS url,
+              CASE WHEN contains(url, '?') THEN md5(html) END AS etag FROM pages),
+        r AS (SELECT url, sha256(url) AS url_key, {url_key('url', 'etag')} AS file_name, count(*) OVER (PARTITION BY url) AS n_variants,
+                     row_number() OVER (PARTITION BY url ORDER BY etag IS NULL DESC, {url_key('url', 'etag')} DESC) AS k FROM site)
+        SELECT url, url_key, file_name, n_variants FROM r WHERE k = 1"""
     q["route_uri"] = f"""SELECT page_id, {scheme('url')} AS scheme, {route('url')} AS route, {route(obj_key)} AS path_route,
         {route("'ftp://' || " + obj_key)} AS ftp_route FROM pages"""
     q["split_object_path"] = f"""SELECT page_id, regexp_extract(url, '{K.NETLOC_PATTERN}', 1) AS bucket, {obj_key} AS key,

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from toxscan.operators.filters import class_bucket, confirmed_only, drop_unlabelled
@@ -23,7 +23,7 @@ from toxscan.operators.split import (
     stratified_split,
 )
 from toxscan.session import read_table, spread, write_table
-from toxscan.sources.posts import scan_posts
+from toxscan.sources.posts import progress_columns, scan_posts
 
 
 @dataclass
@@ -51,6 +51,21 @@ def labelled_dataset(spark: SparkSession, sf_dir: str | None, test_ratio: float
     return LabelledDataset(split, train, test)
 
 
+def observed_dataset(posts: DataFrame, test_ratio: float = DEFAULT_TEST_RATIO, seed: int = DEFAULT_SEED) -> tuple[LabelledDataset, DataFrame]:
+    """The build over a table of all posts, unlabelled ones too, and the progress counts of that very build (S6): rows are counted by an
+    ``Observation`` as they pass to the filter, so kept and seen cost no second reading."""
+    progress = Observation("progress")
+    counted = posts.select("doc_id", "label", "labeling_confirm").observe(progress, *progress_columns())
+    kept = confirmed_only(counted).select("doc_id", "label")
+    split = stratified_split(class_bucket(kept), "bucket", ["doc_id"], test_ratio)
+    split = write_table(split, "dataset-split")
+    train = write_table(shuffle_rows(balanced_train(split), seed), "dataset-train")
+    test = write_table(shuffle_rows(split.filter(F.col("split") == "test").withColumn("copy", F.lit(0)), seed), "dataset-test")
+    found = progress.get
+    row = [(found["kept_all"], found["kept_confirmed"], found["seen"])]
+    return LabelledDataset(split, train, test), posts.sparkSession.createDataFrame(row, "kept_all long, kept_confirmed long, seen long")
+
+
 def all_data_split(spark: SparkSession, sf_dir: str, test_ratio: float = DEFAULT_TEST_RATIO,
                    seed: int = DEFAULT_SEED) -> DataFrame:
     """The all-data path: every labelled post, shuffled and split 75/25."""

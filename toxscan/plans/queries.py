@@ -42,6 +42,17 @@ def q_scan_posts(spark: SparkSession, sf: str) -> DataFrame:
     return scan_posts(spark, sf, include_unlabelled=True)
 
 
+def q_exported_posts(spark, sf):
+    """S1 as a data source: the posts as a folder of JSON lines with fields that nobody asks for; the filters go to the source."""
+    from toxscan.sources.exported import read_exported
+
+    path = scratch_path(spark, "exported-posts")
+    posts = scan_posts(spark, sf, include_unlabelled=True)
+    posts.select(F.col("doc_id").alias("_id"), F.lit("x").alias("author"), "string", "label", "labeling_confirm").write.json(path)
+    found = read_exported(spark, path, range_bytes=1 << 20)
+    return found.filter((F.col("label") != -1) & (F.col("labeling_confirm") != 0))
+
+
 def q_progress_counts(spark, sf):
     return progress_counts(scan_posts(spark, sf, include_unlabelled=True))
 
@@ -159,6 +170,14 @@ def q_split_summary(spark, sf):
     return artifacts.dataset(spark, sf).summary(q_progress_counts(spark, sf))
 
 
+def q_split_summary_observed(spark, sf):
+    """R6 with the progress counts that the build itself observed."""
+    from toxscan.plans.dataset import observed_dataset
+
+    dataset, progress = observed_dataset(scan_posts(spark, sf, include_unlabelled=True))
+    return dataset.summary(progress)
+
+
 def q_exact_rank(spark, sf):
     docs = read_table(spark, sf, "documents").select("doc_id", "lang", "n_chars")
     return exact_rank(docs, [F.col("n_chars").desc(), "doc_id"], ["lang"], rank_col="rank").select("doc_id", "lang", "rank")
@@ -450,6 +469,29 @@ def q_latest_version(spark, sf):
     return KL.latest_version(pages.select(F.regexp_extract("url", r"^[a-z]+://[^/?#]*", 0).alias("url"), etag.alias("etag")))
 
 
+def _cache_folder(spark, entries, name):
+    folder = scratch_path(spark, name)
+    KL.write_cache(entries, folder)
+    return folder
+
+
+def q_cache_lookup(spark, sf):
+    """K2 over a folder: the pages as cached files with sidecars."""
+    pages = read_table(spark, sf, "pages")
+    entries = _cache_entries(spark, sf).join(pages.select("page_id", F.col("html").alias("content")), "page_id")
+    cached = entries.select(K.url_key("url", "etag").alias("key"), "url", "etag", "content").dropDuplicates(["key"])
+    return KL.cache_lookup(_requested_keys(spark, sf), _cache_folder(spark, cached, "url-cache"))
+
+
+def q_latest_cached(spark, sf):
+    """K3 over a folder whose keys have several variants: entries by site, plain where the page's URL has no query string."""
+    pages = read_table(spark, sf, "pages")
+    etag = F.when(F.col("url").contains("?"), F.md5("html"))
+    entries = pages.select(F.regexp_extract("url", r"^[a-z]+://[^/?#]*", 0).alias("url"), etag.alias("etag"))
+    cached = entries.select(K.url_key("url", "etag").alias("key"), "url", "etag", F.col("url").alias("content")).dropDuplicates(["key"])
+    return KL.latest_cached(entries, _cache_folder(spark, cached, "site-cache"))
+
+
 def q_route_uri(spark, sf):
     pages = read_table(spark, sf, "pages")
     path = K.object_key("url")
@@ -502,6 +544,7 @@ def q_batch_scorer(spark, sf):
 
 QUERIES = {
     "scan_posts": q_scan_posts,
+    "exported_posts": q_exported_posts,
     "progress_counts": q_progress_counts,
     "dataset_csv_roundtrip": q_dataset_csv_roundtrip,
     "dataset_csv_split": q_dataset_csv_split,
@@ -523,6 +566,7 @@ QUERIES = {
     "balanced_train": q_balanced_train,
     "shuffle_rows": q_shuffle_rows,
     "split_summary": q_split_summary,
+    "split_summary_observed": q_split_summary_observed,
     "exact_rank": q_exact_rank,
     "with_index_file_order": q_with_index_file_order,
     "stratified_split_file_order": q_stratified_split_file_order,
@@ -563,6 +607,8 @@ QUERIES = {
     "key_lookup": q_key_lookup,
     "missing_keys": q_missing_keys,
     "latest_version": q_latest_version,
+    "cache_lookup": q_cache_lookup,
+    "latest_cached": q_latest_cached,
     "route_uri": q_route_uri,
     "split_object_path": q_split_object_path,
     "file_extension": q_file_extension,

@@ -79,10 +79,13 @@ def known_label(posts: DataFrame, label: str = "label") -> DataFrame:
     return posts.withColumn(label, F.when(F.col(label).isNull(), told).otherwise(F.col(label)))
 
 
+def progress_columns() -> list:
+    """Aggregates: rows kept by each path, and rows seen."""
+    return [F.count_if(F.coalesce(kept_all(), F.lit(False))).alias("kept_all"),
+            F.count_if(F.coalesce(kept_confirmed(), F.lit(False))).alias("kept_confirmed"),
+            F.count(F.lit(1)).alias("seen")]
+
+
 def progress_counts(posts: DataFrame) -> DataFrame:
     """Rows kept by each path and rows seen, in one aggregation pass."""
-    return posts.agg(
-        F.count_if(F.coalesce(kept_all(), F.lit(False))).alias("kept_all"),
-        F.count_if(F.coalesce(kept_confirmed(), F.lit(False))).alias("kept_confirmed"),
-        F.count(F.lit(1)).alias("seen"),
-    )
+    return posts.agg(*progress_columns())
