@@ -14,11 +14,11 @@ Texts are equal when they are identical without white space (space, U+0009 to U+
 
 Texts that are held once don't move: bitmaps of fixed size tell which digests may be held more often. The state is
 partially aggregated before its shuffle, so a text that a third of the rows share sends one
-row a task. In step 3 the kept text is copied over ``salts`` keys and the hits are dealt over them, so no
-task gets a whole group. Nothing of the corpus goes to the driver but two counts.
+row a task. In step 3 the kept text of a group of ``LARGE`` rows or more is copied over ``salts`` keys and the hits are dealt over them, so no
+task gets a whole large group. Nothing of the corpus goes to the driver but two counts.
 
 Edge cases: a null text counts as empty, and empty texts equal each other and texts of white space alone.
-A null id sorts after all others (ids are integers). Of rows that tie in length and id, the one with the
+A null id sorts after all others. Ids are integers of any width; others are an error. Of rows that tie in length and id, the one with the
 greatest locator stays, so repeated rows give one row that stays and copies with the same ``keep_id``. An empty table
 gives an empty result. Result columns come first; columns of the input are not carried.
 """
@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from toxscan.llm.common import SPACE_CLASS, anchored, quoted, unused, written
-from toxscan.operators.joins import likely_in
+from toxscan.operators.joins import likely_in, mark_likely
 from toxscan.session import scratch_path
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -44,7 +44,8 @@ STATE_CONF = {
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else each partition reserves megabytes
 }
 SALTS = 16
-NULL_LAST = (1 << 63) - 1
+#: Rows of a digest from which on its hits are dealt over salts; smaller groups meet under one.
+LARGE = 1000
 
 
 def normalised(c: str = "text") -> Column:
@@ -70,8 +71,8 @@ def records(df: DataFrame, id_col: str, text_col: str, digest: Callable[[Column]
 
 def _stays() -> Column:
     """Greatest for the row that stays: more code points, then smaller id, then greater locator."""
-    return F.struct(F.col("n_chars"), (-F.coalesce(F.col("id"), F.lit(NULL_LAST))).alias("neg_id"),
-                    F.col("id"), F.col("at"))
+    return F.struct(
+        F.col("n_chars"), F.col("id").isNotNull().alias("has_id"), F.bitwise_not("id").alias("least_id"), F.col("id"), F.col("at"))
 
 
 def run_state(spark: SparkSession, path: str, schema, checkpoint: str, out: str, files_per_batch: int) -> DataFrame:
@@ -120,11 +121,15 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     texts = located(df).select(
         F.col("_at").alias("at"), normalised(text_col).alias("body")).withColumn("digest", digest(F.col("body")))
     texts = likely_in(texts, hit.select("digest"), "digest")
-    every_salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
-    texts = texts.withColumn("salt", F.pmod(F.xxhash64("at"), F.lit(salts)).cast("int"))
-    hits = texts.join(hit.select("digest", F.col("keep.at").alias("keep_at"), every_salt), ["digest", "salt"])
-    kept_text = (hits.filter(F.col("at") == F.col("keep_at"))
-                 .select("digest", F.col("body").alias("kept_body"), every_salt))
+    # Bitmaps tell which digests are dealt over salts: those of large groups and, by clashes, a few others; both sides ask the same.
+    large = hit.filter(F.col("group_size") >= LARGE).select("digest")
+    texts = mark_likely(texts, large, "digest", "dealt").withColumn(
+        "salt", F.when(F.col("dealt"), F.pmod(F.xxhash64("at"), F.lit(salts))).otherwise(0).cast("int")).drop("dealt")
+    every_salt = F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")
+    keyed = mark_likely(hit, large, "digest", "dealt").select(
+        "digest", F.col("keep.at").alias("keep_at"), F.when(F.col("dealt"), salts).otherwise(1).alias("salts"))
+    hits = texts.join(keyed.select("digest", "keep_at", "salts", every_salt), ["digest", "salt"])
+    kept_text = hits.filter(F.col("at") == F.col("keep_at")).select("digest", F.col("body").alias("kept_body"), every_salt)
     clash = written(hits.filter(F.col("at") != F.col("keep_at")).join(kept_text, ["digest", "salt"])
                     .filter(F.encode("body", "utf-8") != F.encode("kept_body", "utf-8"))
                     .select("digest").distinct(), "exact-dedup-clashes")
