@@ -11,6 +11,10 @@ Tasks pack on their own, so there is no shuffle and nothing is gathered: what a
 handful of short sequences. A task that runs again after a lost executor reads the same rows and numbers
 its sequences alike.
 
+What bears loss is told by example: a boolean, or spans of its text (as ``format_conversations`` gives them), of which a token is part
+if it begins in one; the end id goes with the token before it. Without such a column all tokens bear loss, and that dimension says the same as
+tokens: so it is for ``documents``.
+
 Edge cases: a null or empty text is an example of the end id alone; an example longer than a sequence
 is cut into full sequences; ties go to the piece that has waited longest; repeated rows are packed each;
 an empty table gives an empty result; other columns are ignored.
@@ -26,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from toxscan.llm.common import byte_batches, python_ready
+from toxscan.llm.common import byte_batches, keeps, python_ready, tidy
 from toxscan.llm.tokenizing import CACHE_SEGMENTS, encoder
 
 END_ID = 1
@@ -187,6 +191,26 @@ def pack_ids(examples: Iterable[tuple[object, object]], limits: Limits = Limits(
     yield from packer.finish()
 
 
+def running_loss(ids: bytes, text: str, spans: list[list[int]], lengths):
+    """The number of loss-bearing tokens before each of ``ids`` (the end id last) and behind them; ``lengths`` gives the bytes of an id."""
+    import numpy as np
+
+    raw = np.frombuffer(text.encode(), dtype=np.uint8)
+    starts = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))  # of each code point, in bytes
+    sizes = lengths[np.frombuffer(ids, dtype="<u4")[:-1]]
+    if sizes.sum() != len(raw):
+        raise ValueError("spans need a tokenizer whose ids stand for the bytes of the text")
+    edge = np.zeros(len(raw) + 1, dtype=np.int32)
+    for a, b in spans:
+        a, b = min(max(a, 0), len(starts) - 1), min(max(b, 0), len(starts) - 1)
+        if a < b:
+            edge[starts[a]] += 1
+            edge[starts[b]] -= 1
+    bears = (np.cumsum(edge) > 0)[np.cumsum(sizes) - sizes]
+    bears = np.append(bears, bears[-1:] if len(bears) else False)
+    return np.concatenate([[0], np.cumsum(bears)]).astype(np.int32)
+
+
 class _Example:
     __slots__ = ("row_id", "ids")
 
@@ -199,14 +223,21 @@ class _Example:
 
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, loss_col: str | None = None,
          tokenizer: str = "byte_bpe_50k.json", limits: Limits = Limits(), end_id: int = END_ID,
-         cutting: bool = True, emit_ids: bool = False, cache_segments: int = CACHE_SEGMENTS) -> DataFrame:
+         cutting: bool = True, emit_ids: bool = False, cache_segments: int = CACHE_SEGMENTS, keep_segments: bool = True) -> DataFrame:
     """One row per piece: ``id_col``, ``start`` (ids of the example before it), ``length``,
     ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset`` (in its sequence), ``n_loss`` and, with
     ``emit_ids``, ``ids`` (little-endian unsigned 32-bit).
 
-    ``loss_col``: a boolean column; an example where it is false is context and bears no loss."""
+    ``loss_col``: a boolean column (an example where it is false or null is context and bears no loss), or spans of code points of the
+    text, ``array<struct<start, end>>`` (null: none; for byte-level files). ``keep_segments``: workers keep learned
+    segments from task to task; without it they give them up at the end of each, for other stages to have the memory."""
     python_ready(df.sparkSession)
-    loss = F.coalesce(F.col(loss_col), F.lit(False)) if loss_col else F.lit(True)
+    spans = bool(loss_col) and isinstance(df.schema[loss_col].dataType, T.ArrayType)
+    if spans:
+        loss = F.transform(F.coalesce(F.col(loss_col), F.array().cast(df.schema[loss_col].dataType)),
+                           lambda s: F.array(s["start"].cast("long"), s["end"].cast("long")))
+    else:
+        loss = F.coalesce(F.col(loss_col), F.lit(False)) if loss_col else F.lit(True)
     picked = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"),
                        loss.alias("_loss"))
     long = T.LongType()
@@ -252,7 +283,10 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, loss_
             for part in byte_batches(texts):
                 for ids in encode.batch(part):
                     ids += end
-                    loss_before = None if bears[k] else np.zeros(len(ids) // 4 + 1, dtype=np.int32)
+                    if spans:
+                        loss_before = running_loss(ids, texts[k] or "", bears[k], encode.byte_lengths())
+                    else:
+                        loss_before = None if bears[k] else np.zeros(len(ids) // 4 + 1, dtype=np.int32)
                     example = _Example(row_ids[k], ids)
                     place(packer.add(Piece(example, 0, len(example), loss_before)))
                     k += 1
@@ -261,6 +295,8 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, loss_
         place(packer.finish())
         if rows:
             yield out()
+        if not keep_segments:
+            keeps("nothing")
 
-    placed = picked.mapInArrow(sequences, schema)
+    placed = picked.mapInArrow(sequences if keep_segments else tidy(sequences), schema)
     return placed.withColumnRenamed("_id", id_col)

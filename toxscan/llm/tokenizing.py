@@ -70,6 +70,18 @@ class SegmentEncoder:
         self.tokenizer.no_padding()
         self.ids, self.cache_segments = ids, cache_segments
         self.known: dict[str, int] | dict[str, bytes] = {}
+        self.lengths = None
+
+    def byte_lengths(self):
+        """By id, how many bytes of a text it stands for: a byte is one character of a byte-level piece."""
+        import numpy as np
+
+        if self.lengths is None:
+            added = {i: len(t.content.encode()) for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+            size = {i: added.get(i, len(p)) for p, i in self.tokenizer.get_vocab().items()}
+            self.lengths = np.zeros(max(size) + 1, dtype=np.int64)
+            self.lengths[list(size)] = list(size.values())
+        return self.lengths
 
     def learn(self, segs: set[str]) -> None:
         if len(self.known) + len(segs) > self.cache_segments:
