@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from toxscan.llm.common import byte_batches, python_ready
 from toxscan.llm.tokenizing import encoder
 
-BATCH_CHARS = 1 << 20
+BATCH_BYTES = 1 << 20
 
 
 def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
@@ -37,9 +37,10 @@ def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         encode = encoder(tokenizer)
         for batch in batches:
             text = batch.column(1)
-            n = [k for part in byte_batches(text.to_pylist(), BATCH_CHARS) for k in encode.batch(part)]
+            size = pc.binary_length(text).cast(pa.int64())
+            n = [k for part in byte_batches(text.to_pylist(), BATCH_BYTES, size.to_pylist()) for k in encode.batch(part)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pc.binary_length(text).cast(pa.int64()), pa.array(n, pa.int64())],
+                [batch.column(0), size, pa.array(n, pa.int64())],
                 names=["_id", "n_bytes", "n_tokens"])
 
     return picked.mapInArrow(lengths, schema).select(
