@@ -184,8 +184,70 @@ def test_runs_know_what_is_fresh(spark):
         run = runs.add(spark.createDataFrame([(d, h, h) for d, h in part], "doc long, h1 long, h2 long"))
         assert {r.h1 for r in run.filter("fresh").collect()} == fresh
     assert [len(x) for x in runs.levels] == [0, 0, 1]  # merged twice over
-    assert {(r.h1, r.n_docs, r.max_doc) for r in runs.totals().collect()} == {(1, 3, 4), (2, 2, 3), (3, 1, 3), (4, 1, 4), (5, 1, 5)}
+    merged = spark.table(runs.levels[2][0])
+    assert {(r.h1, r.n_docs, r.max_doc) for r in merged.collect()} == {(1, 3, 4), (2, 2, 3), (3, 1, 3), (4, 1, 4), (5, 1, 5)}
+    run = runs.add(spark.createDataFrame([(d, h, h) for d, h in [(9, 1), (2, 5), (7, 6)]], "doc long, h1 long, h2 long"))
+    assert {(r.h1, r.n_docs, r.max_doc, r.fresh) for r in run.collect()} == {(1, 4, 9, False), (5, 2, 5, False), (6, 1, 7, True)}
     runs.drop()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
+
+
+def test_the_verdict_comes_from_the_merge_joins(spark, monkeypatch):
+    df = _docs(spark, [(i, "a line that is held by all of the documents, again\nown") for i in range(12)])
+    assert sum(r.n_dropped for r in LD.dedup_lines(df).collect()) == 11
+    add = LD.LineRuns.add
+
+    def forgetful(self, records):
+        self.levels = []  # no run is met: every key is fresh
+        return add(self, records)
+
+    monkeypatch.setattr(LD.LineRuns, "add", forgetful)
+    assert sum(r.n_dropped for r in LD.dedup_lines(df).collect()) == 0
+    failed = LD.LineRuns.drop
+    dropped = []
+    monkeypatch.setattr(LD.LineRuns, "drop", lambda self: (dropped.append(1), failed(self)))
+    monkeypatch.setattr(LD.LineRuns, "add", lambda self, records: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        LD.dedup_lines(df)
+    assert dropped == [1]
+
+
+def test_many_lost_lines_of_a_document(spark):
+    import time
+
+    text = "\n".join(f"boilerplate line with the number {i}, of some length" for i in range(20_000))
+    df = _docs(spark, [(i, text) for i in range(5)])
+    start = time.time()
+    assert sorted(r.n_dropped for r in LD.dedup_lines(df).collect()) == [0, *[20_000] * 4]
+    assert time.time() - start < 60
+
+
+def test_rows_of_an_exploded_input_have_places_of_their_own(spark, tmp_path):
+    spark.createDataFrame([(1, "same text"), (2, "other")], "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    scan = spark.read.parquet(str(tmp_path / "d"))
+    twice = scan.select("doc_id", "text", F.explode(F.array(F.lit(1), F.lit(2))).alias("k")).selectExpr("doc_id * 10 + k as doc_id", "text")
+    for df in (twice, scan.join(scan.select("doc_id"), "doc_id").unionByName(twice), twice.sample(1.0)):
+        rows = [(r.doc_id, r.text) for r in df.collect()]
+        kept = [r.doc_id for r in X.exact_dedup(df).filter("kept").collect()]
+        assert sorted(kept) == sorted({min(i for i, t in rows if t == text) for text in ("same text", "other")})
+        assert X.without_copies(df).count() == 2
+
+
+@pytest.mark.parametrize("kind", ["long", "int", "smallint"])
+def test_least_id_stays(spark, kind):
+    low = {"long": -2 ** 63, "int": -2 ** 31, "smallint": -2 ** 15}[kind]
+    df = spark.createDataFrame([(low, "a b"), (5, "a b"), (None, "a b"), (None, "c"), (7, "c ")], f"doc_id {kind}, text string")
+    got = {(r.doc_id, r.keep_id, r.kept) for r in X.exact_dedup(df).collect()}
+    assert got == {(low, low, True), (5, low, False), (None, low, False), (None, 7, False), (7, 7, True)}
+
+
+def test_large_groups_are_dealt_over_salts(spark, monkeypatch):
+    monkeypatch.setattr(X, "LARGE", 10)
+    rows = [(i, "copy of a text") for i in range(50)] + [(100 + i, f"pair {i // 2}") for i in range(40)] + [(999, "one")]
+    weak = lambda c: F.substring(F.sha2(c, 256), 1, 1)
+    for digest in (X.sha256, weak):
+        assert sorted((r.doc_id, r.keep_id, r.group_size) for r in X.exact_dedup(_docs(spark, rows), digest=digest).collect()) == sorted(
+            (i, k, n) for i, k, n, _ in _exact(rows))
 
 
 # --- decontamination -----------------------------------------------------------------------------

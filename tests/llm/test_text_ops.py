@@ -319,3 +319,44 @@ def test_pages_equal_a_plain_reading(spark):
         blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in marked.split("\0")]
         want = "\n".join(b for b in blocks if b)
         assert got[r.page_id] == (want, len(want))
+
+
+# --- packing with loss spans -------------------------------------------------------------------------
+
+def test_loss_spans_of_conversations(spark):
+    rows = [(c, t, ["user", "assistant"][t % 2], ["Why é so?", "Because 日本 😀 it is.", "And then?", "That was all; " * (c + 1)][t % 4])
+            for c in range(12) for t in range(4)] + [(99, 0, "user", "no answer")]
+    talk = C.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    limits = Limits(tokens=64, segments=8, loss=20)
+    pieces = pack(talk, "conv_id", "formatted", loss_col="loss_spans", limits=limits).collect()
+    by = {r.conv_id: r for r in talk.collect()}
+    vocab = SegmentEncoder("byte_bpe_50k.json", True).tokenizer
+    want = {}
+    for i, r in by.items():
+        at, flags = 0, []
+        marks = [(len(r.formatted[:s.start].encode()), len(r.formatted[:s.end].encode())) for s in r.loss_spans]
+        for token in vocab.encode(r.formatted, add_special_tokens=False).ids:
+            flags.append(any(a <= at < b for a, b in marks))
+            at += len(vocab.id_to_token(token))
+        want[i] = [*flags, flags[-1]]
+    assert want[99] == [False] * len(want[99]) and any(want[0])
+    bins = {}
+    for p in pieces:
+        assert p.n_loss == sum(want[p.conv_id][p.start:p.start + p.length]) and p.doc_tokens == len(want[p.conv_id])
+        bins.setdefault(p.sequence_id, []).append(p)
+    for b in bins.values():
+        assert sum(p.length for p in b) <= 64 and sum(p.n_loss for p in b) <= 20 and len(b) <= 8
+    covered = sorted((p.conv_id, p.start + k) for p in pieces for k in range(p.length))
+    assert covered == sorted((i, k) for i, w in want.items() for k in range(len(w)))
+    # the limit of loss-bearing tokens is felt: without it the sequences are fuller
+    free = pack(talk, "conv_id", "formatted", loss_col="loss_spans", limits=Limits(tokens=64, segments=8, loss=64)).collect()
+    assert len({p.sequence_id for p in free}) < len(bins)
+
+
+def test_loss_spans_edge_cases(spark):
+    rows = [(1, "abc def", None), (2, "abc def", [(0, 99)]), (3, None, [(0, 1)]), (4, "abc def", [(3, 3), (5, 2)]), (5, "abc def", [(0, 1), (0, 7)])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans array<struct<start:int,end:int>>")
+    got = {}
+    for p in pack(df, loss_col="spans").collect():
+        got[p.doc_id] = got.get(p.doc_id, 0) + p.n_loss
+    assert got == {1: 0, 2: 3, 3: 0, 4: 0, 5: 3}

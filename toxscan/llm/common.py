@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from toxscan.session import scratch_path, ship_package
+from toxscan.session import is_scan, scratch_path, ship_package
 
 #: White space of the contracts: space and U+0009 to U+000D.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -40,13 +41,15 @@ def text_or_empty(c: str = "text") -> Column:
 
 
 def anchored(df: DataFrame, *columns: str) -> DataFrame:
-    """``columns`` of ``df`` as a scan of Parquet files: ``df`` if it is one, else it is written to the shared folder. Places
-    in files stay, and two reads deal the rows out alike."""
-    try:
-        df.select(df.metadataColumn("_metadata")["row_index"])
-    except AnalysisException:
-        return written(df.select(*columns), "anchored")
-    return df
+    """``columns`` of ``df`` as a scan of Parquet files: ``df`` if it is one, with filters and projections at most, else it is written
+    to the shared folder. So each row has a place in a file of its own, and two reads deal the rows out alike."""
+    if is_scan(df):
+        try:
+            df.select(df.metadataColumn("_metadata")["row_index"])
+            return df
+        except AnalysisException:
+            pass
+    return written(df.select(*columns), "anchored")
 
 
 def unused(df: DataFrame, name: str) -> str:
@@ -73,14 +76,41 @@ def keeps(operator: str, give_up: Callable[[], None] | None = None) -> None:
         _kept[operator] = give_up
 
 
-def byte_batches(texts: Iterable[str], limit: int = 1 << 20) -> Iterator[list[str]]:
-    """Consecutive texts in lists of about ``limit`` characters, so that a batch costs about the same
-    whether it holds thousands of short texts or one long text."""
+def tidy(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``task`` over Arrow batches; behind it the worker gives freed memory back to the machine. Spark keeps idle workers, and
+    what their allocators hold counts against the executor while others run."""
+    @functools.wraps(task)
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from task(batches)
+        finally:
+            give_back()
+
+    return run
+
+
+def give_back() -> None:
+    """Return freed memory of this worker to the machine, where its allocators can."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def byte_batches(texts: Iterable[str], limit: int = 1 << 20, sizes: Iterable[int] | None = None) -> Iterator[list[str]]:
+    """Consecutive texts in lists of about ``limit`` bytes, where ``sizes`` tells those of each, else characters, so that a
+    list costs about the same whether it holds thousands of short texts or one long text."""
     batch: list[str] = []
     held = 0
-    for t in texts:
+    for t, n in zip(texts, sizes) if sizes is not None else ((t, len(t)) for t in texts):
         batch.append(t)
-        held += len(t)
+        held += n
         if held >= limit:
             yield batch
             batch, held = [], 0

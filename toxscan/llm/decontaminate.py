@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from toxscan.llm.common import KeyFilter, keeps, python_ready, written
+from toxscan.llm.common import KeyFilter, keeps, python_ready, tidy, written
 
 WINDOW = 8
 LITERALS = 4
@@ -277,7 +277,7 @@ def document_runs(docs: DataFrame, text_col: str, sizes: list[int], filter_, nam
             columns = list(zip(*rows)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
-    return picked.mapInArrow(runs, schema)
+    return picked.mapInArrow(tidy(runs), schema)
 
 
 def aligned(hashes: list, slots: list, item_hashes: list, item_slots: list, at: int, size: int, tokens: int) -> float:

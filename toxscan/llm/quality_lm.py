@@ -41,12 +41,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from toxscan.llm.common import KeyFilter, anchored, keeps, python_ready, written
+from toxscan.llm.common import anchored, keeps, python_ready, tidy, written
+from toxscan.operators.joins import likely_in
 
 ORDER = 4
 MEDIAN_ROWS = 2
 SPREAD_ROWS = 20
-CHUNK = 1 << 24
+CHUNK = 1 << 23
 PIECE = 1 << 20
 START, END = "\x02", "\x03"
 _CONTROL = re.compile("[\x00-\x1f\x7f]+")
@@ -135,7 +136,7 @@ def ngram_counts(docs: DataFrame, text_col: str, order: int) -> DataFrame:
                 grams, n = distinct([plain(t) for (t,) in part], order)
                 yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(n, pa.int64())], names=schema.names)
 
-    return docs.select(text_col).mapInArrow(count, schema).groupBy("gram").agg(F.sum("c").alias("c"))
+    return docs.select(text_col).mapInArrow(tidy(count), schema).groupBy("gram").agg(F.sum("c").alias("c"))
 
 
 def discounts(n: list[int]) -> tuple[float, float, float]:
@@ -286,9 +287,9 @@ def scores(docs: DataFrame, model: KneserNey, id_col: str = "doc_id", text_col:
         return pa.Table.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(loss, pa.float64(), mask=np.isnan(loss))],
                                     schema=schema)
 
-    asked = written(picked.mapInArrow(ask, asked_schema), "quality-asked")
+    asked = written(picked.mapInArrow(tidy(ask), asked_schema), "quality-asked")
     answers = asked.join(written(log_probabilities(asked.select("gram").distinct(), model), "quality-answers"), "gram")
-    return (picked.mapInArrow(carry, chunk_schema).groupBy("chunk")
+    return (picked.mapInArrow(tidy(carry), chunk_schema).groupBy("chunk")
             .cogroup(answers.select("chunk", "gram", "logp").groupBy("chunk")).applyInArrow(score, out_schema))
 
 
@@ -300,21 +301,11 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def trusted_texts(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows of ``docs`` whose id is among ``ids``. Tasks drop most others by a filter of fixed size; so the
+    """The rows of ``docs`` whose id is among ``ids``. Bitmaps of fixed size drop most others where they lie; so the
     exact join moves little text that it does not keep."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(KeyFilter(ids, F.xxhash64(id_col)))
-    picked = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col).alias("h"), F.col(text_col).alias("text"))
-    schema = T.StructType([picked.schema["id"], picked.schema["text"]])
-
-    def likely(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            keep = pa.array(shared.value.may_hold(batch.column(1).to_numpy()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], names=schema.names).filter(keep)
-
-    return picked.mapInArrow(likely, schema).join(ids.withColumnRenamed(id_col, "id"), "id", "left_semi")
+    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    ids = ids.withColumnRenamed(id_col, "id")
+    return likely_in(picked, ids, "id").join(ids, "id", "left_semi")
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from toxscan.llm.common import keeps, python_ready, written
+from toxscan.llm.common import keeps, python_ready, tidy, written
 from toxscan.llm.components import connected_components
 
 SEED = 42
@@ -115,7 +115,7 @@ def with_fingerprints(df: DataFrame, id_col: str, text_col: str, words: int) ->
             found = fingerprints(batch.column(1).to_pylist(), words)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=schema.names)
 
-    return picked.mapInArrow(prints, schema).withColumnRenamed("_id", id_col)
+    return picked.mapInArrow(tidy(prints), schema).withColumnRenamed("_id", id_col)
 
 
 # --- the ring ------------------------------------------------------------------------------------
@@ -286,9 +286,9 @@ def fingerprint_links(nodes: DataFrame, distance: int, bucket: int = BUCKET) ->
                     [pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(part, keys.shape[1]))], names=schema.names)
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = nodes.select("fp").mapInArrow(keyed, schema)
+    rows = nodes.select("fp").mapInArrow(tidy(keyed), schema)
     dealt = rows.repartition(n, "key").sortWithinPartitions("key").select(F.col("key").alias("group"), "key", "fp")
-    found = written(dealt.mapInArrow(_bucket_links(distance, bucket), _EDGES), "simhash-links")
+    found = written(dealt.mapInArrow(tidy(_bucket_links(distance, bucket)), _EDGES), "simhash-links")
     links = found.filter(F.col("b").isNotNull()).select("a", "b")
     large = found.filter(F.col("b").isNull()).select("key", F.col("a").alias("fp"))
     if not large.head(1):
@@ -299,7 +299,7 @@ def fingerprint_links(nodes: DataFrame, distance: int, bucket: int = BUCKET) ->
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
              .select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("group"), "key", "fp"))
     dealt = pairs.repartition(n, "group").sortWithinPartitions("group", "key")
-    more = dealt.mapInArrow(_bucket_links(distance, None), _EDGES).select("a", "b")
+    more = dealt.mapInArrow(tidy(_bucket_links(distance, None)), _EDGES).select("a", "b")
     return links.unionByName(written(more, "simhash-large-links"))
 
 
