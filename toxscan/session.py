@@ -87,6 +87,12 @@ def cleanup(spark: SparkSession) -> None:
     root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(root, True)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a written table that is no longer read."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Repartition ``df`` (by ``keys`` when given) only when it has fewer partitions than the
     cluster has task slots, e.g. a text table stored as one large row group. A scan of a large
