@@ -2,7 +2,12 @@
 
 A stage gets the documents its predecessor kept and returns those it keeps itself, with the columns of
 ``documents``; the last returns the pieces of packed sequences. ``run`` writes each stage's result to the shared
-folder and reads it again, so a lost executor repeats a part of one stage.
+folder and reads it again, so a lost executor repeats a part of one stage; a result is deleted when the next one is written.
+
+Edge cases: a null or empty text is kept by the quality stage (there is nothing to judge), is one text to the exact stage (the
+row with the least id stays, a null id last), has the fingerprint zero, matches no benchmark item, and is packed as its end id. Rows
+that come again are copies: one stays. Ties are decided as each operator says. Extra columns, whatever their names, are carried up to the last
+stage. An empty table gives an empty result in every stage.
 """
 
 from __future__ import annotations
@@ -15,9 +20,10 @@ from toxscan.llm.exact_dedup import without_copies
 from toxscan.llm.packing import pack
 from toxscan.llm.quality_lm import trusted_ids, without_rejected
 from toxscan.llm.simhash import without_near_copies
+from toxscan.session import discard, scratch_path
 
 
-#: Fewer than packing alone keeps: its workers go on to serve other stages.
+#: Fewer than packing alone keeps, and given up with each task: workers go on to serve other stages.
 PACKING_SEGMENTS = 300_000
 
 
@@ -38,7 +44,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(docs, cache_segments=PACKING_SEGMENTS)
+    return pack(docs, cache_segments=PACKING_SEGMENTS, keep_segments=False)
 
 
 STAGES = [
@@ -54,7 +60,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = scratch_path(spark, f"pipeline-{name}")
+        docs = written(stage(spark, docs, sf_dir), "", path=path)
+        if before is not None:
+            discard(spark, before)
+        before = path
     return docs
