@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from toxscan.llm.common import anchored, keeps, python_ready, tidy, written
-from toxscan.operators.joins import likely_in
+from toxscan.operators.joins import fits_broadcast, likely_in
 
 ORDER = 4
 MEDIAN_ROWS = 2
@@ -301,10 +301,12 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def trusted_texts(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows of ``docs`` whose id is among ``ids``. Bitmaps of fixed size drop most others where they lie; so the
-    exact join moves little text that it does not keep."""
+    """The rows of ``docs`` whose id is among ``ids``, a written table. Ids within the broadcast bound are sent to the texts, which do not
+    move then; beyond, bitmaps of fixed size drop most other texts where they lie, before the join moves the rest."""
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     ids = ids.withColumnRenamed(id_col, "id")
+    if fits_broadcast(ids):
+        return picked.join(F.broadcast(ids), "id", "left_semi")
     return likely_in(picked, ids, "id").join(ids, "id", "left_semi")
 
 
@@ -362,7 +364,7 @@ def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_c
     ``h1``, ``h2``. ``trusted``: the ids of trusted documents, in a column named ``id_col``. ``judged`` is false where
     there was nothing to judge by: no characters, or no trusted text of the language."""
     python_ready(docs.sparkSession)
-    ids = trusted.select(id_col).filter(F.col(id_col).isNotNull()).distinct()
+    ids = written(trusted.select(id_col).filter(F.col(id_col).isNotNull()).distinct(), "quality-ids")
     model = fit(trusted_texts(docs, ids.filter(~held_out(id_col)), id_col, text_col), "text", order)
     scored = written(scores(docs, model, id_col, text_col, lang_col), "quality-scores")
     sample = written(scored.filter(F.col("loss").isNotNull()).join(ids.withColumnRenamed(id_col, "id"), "id", "left_semi").select(
