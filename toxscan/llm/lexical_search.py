@@ -28,13 +28,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from toxscan.llm.common import KeyFilter, keeps, python_ready, written
+from toxscan.llm.common import KeyFilter, keeps, python_ready, tidy, written
 from toxscan.llm.words import byte_slices, cut_words, numbered
 
 #: Characters that are in no term: ASCII but digits and letters.
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-BLOCK_DOCS = 1 << 14
+BLOCK_DOCS = 1 << 13
 BLOCK_POSTINGS = 1 << 22
 GROUP_ITEMS = 128
 OWNERS = 4
@@ -134,7 +134,7 @@ def block_index(docs: DataFrame, asked: KeyFilter, id_col: str, text_col: str, b
         if docs_held:
             yield flush()
 
-    return picked.mapInArrow(index, schema)
+    return picked.mapInArrow(tidy(index), schema)
 
 
 def search(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id",
