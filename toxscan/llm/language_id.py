@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from toxscan.llm.common import python_ready
+from toxscan.llm.common import python_ready, written
 
 BUCKET_BITS = 16
 ORDERS = 3
@@ -210,26 +210,34 @@ def ngram_counts(df: DataFrame, text_col: str, lang_col: str, bucket_bits: int)
 
 
 def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", bucket_bits: int = BUCKET_BITS) -> LanguageModel:
-    """A model of the languages of ``df``. The driver gets one number for each language and bucket."""
+    """A model of the languages of ``df``. The counts meet the codewords in Spark; the driver gets the names and sizes of the languages and, by bucket,
+    two sums for each bit."""
     import numpy as np
 
-    python_ready(df.sparkSession)
-    table = ngram_counts(df, text_col, lang_col, bucket_bits).toPandas()
-    languages = sorted(table["lang"].unique())
-    counts = np.zeros((len(languages), 1 << bucket_bits))
-    place = {x: i for i, x in enumerate(languages)}
-    counts[table["lang"].map(place).to_numpy(dtype=np.int64), table["bucket"].to_numpy(dtype=np.int64)] = table["n"]
+    spark = df.sparkSession
+    python_ready(spark)
+    size = 1 << bucket_bits
+    table = written(ngram_counts(df, text_col, lang_col, bucket_bits), "language-counts")
+    total = {r.lang: r.n for r in table.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    languages = sorted(total)
     code = code_matrix(len(languages))
     if not languages:
-        return LanguageModel([], code, np.zeros((1 << bucket_bits, 1), dtype=np.float32), np.ones(1), bucket_bits)
-    share = (counts + 0.5) / (counts + 0.5).sum(axis=1, keepdims=True)  # each language counts alike
+        return LanguageModel([], code, np.zeros((size, 1), dtype=np.float32), np.ones(1), bucket_bits)
+    all_of = np.array([total[x] + 0.5 * size for x in languages])  # each language counts alike
+    words = spark.createDataFrame([(x, float(t), c.tolist()) for x, t, c in zip(languages, all_of, code)],
+                                  "lang string, total double, code array<double>")
+    share = F.col("n") / F.col("total")
+    sums = [F.sum(F.when(sign * F.col("code")[k] > 0, share).otherwise(0.0)) for k in range(code.shape[1]) for sign in (1, -1)]
+    found = table.join(words, "lang").groupBy("bucket").agg(F.array(*sums).alias("sums")).collect()
+    held = np.zeros((size, 2 * code.shape[1]))
+    held[[r.bucket for r in found]] = [r.sums for r in found]
     weights, losses = [], []
-    for bit in code.T:
+    for k, bit in enumerate(code.T):
         if (bit > 0).all() or (bit < 0).all():
-            weights.append(np.zeros(share.shape[1]))
+            weights.append(np.zeros(size))
             losses.append(1.0)
             continue
-        yes, no = share[bit > 0].mean(axis=0), share[bit < 0].mean(axis=0)
+        yes, no = ((held[:, 2 * k + side] + (0.5 / all_of[own]).sum()) / own.sum() for side, own in ((0, bit > 0), (1, bit < 0)))
         odds = np.log(yes) - np.log(no)
         weights.append(odds)
         losses.append(float(((yes - no) * odds).sum()))
