@@ -101,7 +101,9 @@ class Generation:
 
 # --- parsing -------------------------------------------------------------------------------------
 
-_MARK = re.compile(r"(\{\{-?.*?-?\}\}|\{%-?.*?-?%\}|\{#.*?#\})", re.S)
+#: What a mark holds: strings are passed over whole, so that one may hold the end of a mark.
+_HELD = r"""(?:'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|.)*?"""
+_MARK = re.compile(r"(\{\{-?" + _HELD + r"-?\}\}|\{%-?" + _HELD + r"-?%\}|\{#.*?#\})", re.S)
 _TOKEN = re.compile(r"""\s*(?:(?P<str>'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")|(?P<int>\d+)|(?P<name>[A-Za-z_]\w*)"""
                     r"""|(?P<op>==|!=|<=|>=|[<>+~|().\[\]=]))""", re.S)
 _ESCAPES = {"n": "\n", "t": "\t", "r": "\r"}
