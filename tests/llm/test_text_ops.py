@@ -31,6 +31,11 @@ def test_template_folds_constants():
         {"ms": [{"t": "a"}, {"t": None}, {"t": 3}]}).text == "a,,3"
 
 
+def test_strings_may_hold_the_end_of_a_mark():
+    assert compile_template("a{{ '}}' ~ \"%}\" }}b{% if x == '%}' %}c{% endif %}{# it's no string #}d{{ 'it\\'s }}' }}", {})({"x": "%}"}).text == "a}}%}bcdit's }}"
+    assert compile_template("{{ 'a' }} it's {{ 'b' }}", {})({}).text == "a it's b"
+
+
 @pytest.mark.parametrize("bad", ["{% for x in y %}", "{{ a( }}", "{{ x | nothing }}", "{% import os %}", "{{ a b }}", "{{ 'a }}"])
 def test_template_errors(bad):
     with pytest.raises(TemplateError):
@@ -262,6 +267,27 @@ def test_packing_prefers_the_best_dot_product():
     assert first[0].length == 5
 
 
+def test_language_model_equals_the_same_sums_on_one_machine(spark):
+    rows = [(i, lang, text * (1 + i % 3)) for i in range(30) for lang, text in (("aa", "abra cadabra "), ("bb", "bobo bibo "), ("cc", "cici coca "), ("", "1x2 "))]
+    rows += [(99, "aa", None), (99, "aa", ""), (98, None, "abra"), (97, "bb", "bobo " * 50_000)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    model = L.fit(df, bucket_bits=10)
+    assert model.languages == ["", "aa", "bb", "cc"]
+    counts = np.zeros((4, 1024))
+    for _, lang, text in rows:
+        if lang is not None:
+            for _, part in L.parts([text]):
+                counts[model.languages.index(lang)] += np.bincount(L.buckets(part, 10)[0].ravel(), minlength=1024)
+    share = (counts + 0.5) / (counts + 0.5).sum(axis=1, keepdims=True)
+    for k, bit in enumerate(model.code.T):
+        odds = np.log(share[bit > 0].mean(axis=0)) - np.log(share[bit < 0].mean(axis=0))
+        assert np.allclose(model.weights[:, k], odds, atol=1e-5)
+    got = [(r.doc_id, r.lang_pred) for r in L.predict(df, model).collect()]
+    assert len(got) == len(rows) and (97, "bb") in got and got.count((99, "und")) == 2 and (98, "aa") in got
+    assert L.fit(df.limit(0)).languages == [] and {r.lang_pred for r in L.predict(df, L.fit(df.limit(0))).collect()} == {"und"}
+    assert L.predict(df.limit(0), model).count() == 0
+
+
 # --- HTML extraction: tags with stray quotes, long nesting, siblings, whole pages ---------------------
 
 def test_a_quote_opens_a_value_behind_an_equals_sign_only():
