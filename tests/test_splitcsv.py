@@ -5,7 +5,7 @@ import io
 
 import pytest
 
-from toxscan.sources.files import read_dataset
+from toxscan.sources.files import _has_large_file, read_dataset
 from toxscan.sources.splitcsv import read_records
 
 SHARE = "spark.sql.files.maxPartitionBytes"
@@ -70,6 +70,14 @@ def test_several_files_and_blocks_beyond_the_bound(spark, tmp_path, small_share)
         spark.conf.unset("spark.toxscan.broadcastMaxBytes")
 
 
+def test_large_files_are_found(spark, tmp_path, small_share):
+    p = tmp_path / "a.csv"
+    p.write_text("_id,document,label\n" + "1,a,0\n" * 200)
+    assert _has_large_file(spark, str(p))
+    spark.conf.set(SHARE, "128MB")
+    assert not _has_large_file(spark, str(p))
+
+
 def test_bad_files(spark, tmp_path, small_share):
     p = tmp_path / "open.csv"
     p.write_text('_id,document,label\n1,"never closed\n' + "x\n" * 900)

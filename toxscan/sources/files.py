@@ -31,7 +31,8 @@ def _csv_options(sep: str) -> dict:
 
 def _has_large_file(spark: SparkSession, path: str) -> bool:
     """Whether a file is larger than what one task reads. Only lengths are listed, no content is read."""
-    bound = int(spark.sparkContext._jvm.org.apache.spark.sql.internal.SQLConf.get().filesMaxPartitionBytes())
+    told = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    bound = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(told)
     return (spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0] or 0) > bound
 
 
