@@ -32,7 +32,7 @@ def _conf_int(df: DataFrame, key: str, default: int) -> int:
     return int(df.sparkSession.conf.get(key, str(default)))
 
 
-def _bound(table: DataFrame, max_bytes: int | None) -> int:
+def broadcast_bound(table: DataFrame, max_bytes: int | None = None) -> int:
     return _conf_int(table, "spark.toxscan.broadcastMaxBytes", DEFAULT_BROADCAST_MAX_BYTES) if max_bytes is None else max_bytes
 
 
@@ -47,10 +47,14 @@ def _width(table: DataFrame):
     return width.cast("long")
 
 
+def table_bytes(table: DataFrame) -> int:
+    """All rows of a lookup table, at their widths. One aggregation over the table; one number reaches the driver."""
+    return table.agg(F.sum(_width(table))).first()[0] or 0
+
+
 def fits_broadcast(table: DataFrame, max_bytes: int | None = None) -> bool:
-    """Whether all rows of a lookup table, at their widths, lie below the bound. One aggregation over the
-    table; nothing but two numbers reaches the driver."""
-    return (table.agg(F.sum(_width(table))).first()[0] or 0) <= _bound(table, max_bytes)
+    """Whether all rows of a lookup table, at their widths, lie below the bound."""
+    return table_bytes(table) <= broadcast_bound(table, max_bytes)
 
 
 def filter_bits(n_keys: int) -> int:
@@ -117,7 +121,7 @@ def frequency_split(table: DataFrame, frequency: str, max_bytes: int | None = No
     power = F.when(F.col(frequency).isNull(), 64).when(F.col(frequency) < 1, 0).otherwise(F.floor(F.log2(frequency))).cast("int")
     leveled = table.withColumn("_power", power)
     sizes = sorted(leveled.groupBy("_power").agg(F.sum(_width(table)), F.count(F.lit(1))).collect(), reverse=True)
-    left, least, n_cold = _bound(table, max_bytes), 65, sum(r[2] for r in sizes)
+    left, least, n_cold = broadcast_bound(table, max_bytes), 65, sum(r[2] for r in sizes)
     for level, size, n in sizes:
         if size > left:
             break

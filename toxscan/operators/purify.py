@@ -21,7 +21,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from toxscan.functions.text import MASK_CHAR, clean_text, mask_token, piece_token, token_pieces
-from toxscan.operators.joins import element_lookup
+from toxscan.operators.blocks import array_lookup
+from toxscan.operators.joins import element_lookup, fits_broadcast
 from toxscan.operators.scorer import AdditiveScorer, micro_weights, probabilities
 from toxscan.operators.tokens import with_row_key
 
@@ -45,10 +46,36 @@ def piece_weights(base: DataFrame, scorer: AdditiveScorer, id_col: str = "doc_id
         ex = rows.select("_row", id_col, *keep, F.posexplode_outer("pieces").alias("pos", "piece"))
         return ex.withColumn("token", piece_token("piece"))
 
-    joined = element_lookup(base, explode, micro_weights(scorer), "token", [id_col, *keep], "frequency")
+    weights = micro_weights(scorer)
+    if not fits_broadcast(weights.select("token", "w")):
+        out = _items_by_block(base, weights).select("_row", id_col, *keep, F.explode_outer("items").alias("_x"))
+        out = out.select("_row", id_col, *keep, "_x.pos", "_x.piece", "_x.token", "_x.w")
+        return out.withColumn("w", F.coalesce("w", F.lit(0).cast("long")))
+    joined = element_lookup(base, explode, weights, "token", [id_col, *keep], "frequency")
     return joined.withColumn("w", F.coalesce("w", F.lit(0).cast("long")))
 
 
+def _items_by_block(base: DataFrame, weights: DataFrame) -> DataFrame:
+    """``base`` and ``items``, the tokens of each row (``pos, token, w, piece``), looked up by blocks of rows."""
+    rows = base.withColumn("_tokens", F.transform("pieces", piece_token))
+    both = array_lookup(rows, "_tokens", weights, "token", "w", "_w", keep_keys=True)
+    zipped = F.arrays_zip(F.col("_tokens").alias("token"), F.col("_w").alias("w"), F.col("pieces").alias("piece"))
+    items = F.transform(zipped, lambda x, i: F.struct(
+        i.alias("pos"), x["token"].alias("token"), F.coalesce(x["w"], F.lit(0).cast("long")).alias("w"), x["piece"].alias("piece")))
+    return both.withColumn("items", items)
+
+
+def weighted_items(base: DataFrame, scorer: AdditiveScorer, id_col: str = "doc_id", keep: Sequence[str] = ()) -> DataFrame:
+    """``(id, *keep, items)``: the tokens of each row in order (``pos, token, w, piece``)."""
+    weights = micro_weights(scorer)
+    if not fits_broadcast(weights.select("token", "w")):
+        return _items_by_block(base, weights).select(id_col, *keep, "items")
+    tw = piece_weights(base, scorer, id_col, keep)
+    item = F.when(F.col("pos").isNotNull(), F.struct("pos", "token", "w", "piece"))
+    docs = tw.groupBy("_row", id_col, *keep).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    return docs.select(id_col, *keep, "items")
+
+
 def attribute(df: DataFrame, scorer: AdditiveScorer, id_col: str = "doc_id", text_col: str = "text",
               partitioned: bool = False) -> DataFrame:
     """M3: softmax of the token scores over the positions of each document.
@@ -94,9 +121,7 @@ def purify(df: DataFrame, scorer: AdditiveScorer, id_col: str = "doc_id", text_c
     for documents that score toxic. ``partitioned`` as in ``prepare``: with a bucketed input the whole plan
     runs without an exchange.
     """
-    tw = piece_weights(prepare(df, id_col, text_col, keep, partitioned), scorer, id_col, keep)
-    item = F.when(F.col("pos").isNotNull(), F.struct("pos", "token", "w", "piece"))
-    docs = tw.groupBy("_row", id_col, *keep).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    docs = weighted_items(prepare(df, id_col, text_col, keep, partitioned), scorer, id_col, keep)
     order, score, done = masking(F.col("items"), scorer.micro_bias)
     docs = docs.select(id_col, *keep, "items", score.alias("_s0"), done.alias("_done"))
     flags = F.array_sort(F.transform(order, lambda x, i: F.struct(

@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from toxscan.functions.text import MASK_CHAR
 from toxscan.operators.tokens import token_table_outer, with_tokens
-from toxscan.operators.joins import element_lookup, likely_in
+from toxscan.operators.blocks import array_lookup
+from toxscan.operators.joins import element_lookup, fits_broadcast, likely_in
 from toxscan.session import scratch_path, ship_package, spread, write_table
 
 WEIGHT_TYPE = "decimal(18,6)"
@@ -115,7 +116,13 @@ def token_weights(df: DataFrame, scorer: AdditiveScorer, id_col: str = "doc_id",
     """``(_row, id, *keep, pos, token, w)``, ``w`` in millionths; an empty document keeps one row with null
     token and w = 0. ``_row`` tells rows of ``df`` apart whatever their ids."""
     rows = df.select(id_col, *keep, tokens_col).withColumn("_row", F.monotonically_increasing_id())
-    joined = element_lookup(rows, lambda r: token_table_outer(r, ["_row", id_col, *keep], tokens_col), micro_weights(scorer), "token",
+    weights = micro_weights(scorer)
+    if not fits_broadcast(weights.select("token", "w")):
+        both = array_lookup(rows, tokens_col, weights, "token", "w", "_w", keep_keys=True)
+        items = F.arrays_zip(F.col(tokens_col).alias("token"), F.col("_w").alias("w"))
+        out = both.select("_row", id_col, *keep, F.posexplode_outer(items).alias("pos", "_x"))
+        return out.select("_row", id_col, *keep, "pos", "_x.token", F.coalesce("_x.w", F.lit(0).cast("long")).alias("w"))
+    joined = element_lookup(rows, lambda r: token_table_outer(r, ["_row", id_col, *keep], tokens_col), weights, "token",
                             [id_col, *keep], "frequency")
     return joined.withColumn("w", F.coalesce("w", F.lit(0).cast("long")))
 

@@ -1,8 +1,8 @@
 """Token table, vocabulary, encode, model inputs, decode.
 
 The vocabulary keeps every token unless a caller asks for a cap; ids follow (count desc, token) and
-come from ``exact_rank``, so no task numbers the whole vocabulary. A lookup broadcasts it only below a
-checked size in bytes; beyond, it broadcasts the most frequent tokens and shuffles each row's distinct others. Counting is a ``groupBy`` with map-side partial
+come from ``exact_rank``, so no task numbers the whole vocabulary. A small one is looked up by ``element_lookup``, a larger one
+by blocks of documents (``blocks.array_lookup``): their arrays are filled where they lie, and no token is a row of its own. Counting is a ``groupBy`` with map-side partial
 aggregation, so a very frequent token never piles up in one task.
 
 Per-document steps group by a key of the row, never by a caller's id: ids may repeat.
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from toxscan.functions.text import MASK_CHAR, clean_text, tokenize
+from toxscan.operators.blocks import array_lookup, by_blocks
 from toxscan.operators.joins import element_lookup
 from toxscan.operators.ranking import exact_rank
 
@@ -85,9 +86,16 @@ def encode(docs: DataFrame, vocab: DataFrame, id_cols=("doc_id",), max_length: i
     The whole text is encoded: a document longer than ``max_length - 2`` tokens gives several rows
     (``chunk`` 0, 1, ...), each a complete model input. ``pad`` fills to ``max_length`` with the pad
     id (training form). ``docs`` has one row per document with its tokens; those arrays are shuffled
-    once, by row, and not the tokens.
+    once, by row, and not the tokens, or are written by block.
     """
     content = max_length - 2
+    if by_blocks(vocab.select("token", "id")):
+        ids = array_lookup(docs.select(*id_cols, tokens_col), tokens_col, vocab.select("token", F.col("id").cast("long").alias("id")),
+                           "token", "id", "_ids").withColumn("_ids", F.coalesce("_ids", F.array().cast("array<long>")))
+        last = F.greatest(F.floor((F.size("_ids") - 1) / content), F.lit(0)).cast("int")
+        chunks = ids.select("*", F.explode(F.sequence(F.lit(0), last)).alias("chunk"))
+        body = F.transform(F.slice("_ids", F.col("chunk") * content + 1, F.lit(content)), lambda i: F.coalesce(i, F.lit(UNK_ID).cast("long")))
+        return _marked(chunks.select(*id_cols, "chunk", body.alias("_body")), id_cols, max_length, pad)
     rows = with_row_key(docs.select(*id_cols, tokens_col))
     ids = element_lookup(rows, lambda r: token_table_outer(r, ["_row", *id_cols], tokens_col), with_frequency(vocab, "token", "id"),
                          "token", id_cols, "frequency")
@@ -97,8 +105,13 @@ def encode(docs: DataFrame, vocab: DataFrame, id_cols=("doc_id",), max_length: i
         F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "id")))).alias("items")
     )
     body = F.transform("items", lambda x: x["id"])
+    return _marked(grouped.select(*id_cols, "chunk", body.alias("_body")), id_cols, max_length, pad)
+
+
+def _marked(chunks: DataFrame, id_cols, max_length: int, pad: bool) -> DataFrame:
+    """``input_ids`` of the ids ``_body`` of each chunk: marked, and padded with ``pad``."""
     mark = [F.array(F.lit(i).cast("long")) for i in (CLS_ID, SEP_ID)]
-    out = grouped.select(*id_cols, "chunk", F.concat(mark[0], body, mark[1]).alias("input_ids"))
+    out = chunks.select(*id_cols, "chunk", F.concat(mark[0], "_body", mark[1]).alias("input_ids"))
     if pad:
         out = out.withColumn(
             "input_ids",
@@ -121,6 +134,11 @@ def model_inputs(encoded: DataFrame, ids_col: str = "input_ids") -> DataFrame:
 
 def decode(encoded: DataFrame, vocab: DataFrame, id_cols=("doc_id", "chunk"), ids_col: str = "input_ids") -> DataFrame:
     """Ids back to text, pad / unknown / start / end dropped, tokens joined by one space."""
+    if by_blocks(vocab.select("id", "token")):
+        ids = encoded.select(*id_cols, F.col(ids_col).cast("array<long>").alias("_ids"))
+        named = vocab.filter(F.col("id") >= MASK_ID).select(F.col("id").cast("long").alias("id"), "token")
+        texts = array_lookup(ids, "_ids", named, "id", "token", "_tokens")
+        return texts.select(*id_cols, F.coalesce(F.array_join("_tokens", " "), F.lit("")).alias("text"))
     rows = with_row_key(encoded.select(*id_cols, ids_col))
     words = with_frequency(vocab.filter(F.col("id") >= MASK_ID), "id", "token")
     joined = element_lookup(rows, lambda r: r.select("_row", *id_cols, F.posexplode_outer(ids_col).alias("i", "id")), words, "id",
