@@ -67,10 +67,10 @@ def q_dataset_csv_roundtrip(spark, sf):
 
 
 def q_dataset_csv_split(spark, sf):
-    """S3 then S2: the labelled dataset as one file, read in blocks."""
+    """S3 then S2: the labelled dataset as one file, or a few beyond twice what one task reads, read in blocks."""
     ds = P.with_index(P.class_bucket(P.project_dataset(_confirmed(spark, sf))))
     path = scratch_path(spark, "ratings_labeled_one") + ".csv"
-    S.write_dataset(ds.coalesce(1), path)
+    S.write_dataset(S.in_few_files(ds), path)
     return S.read_dataset(spark, path, split=True)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from toxscan.functions.text import lines, rstrip_unicode
+from toxscan.session import write_table
 from toxscan.sources.splitcsv import read_split
 
 DATASET_COLUMNS = ("_id", "document", "label")
@@ -29,11 +30,23 @@ def _csv_options(sep: str) -> dict:
     return {"header": "true", "sep": sep, "quote": '"', "escape": '"', "multiLine": "true"}
 
 
+def _task_bytes(spark: SparkSession) -> int:
+    """What one task reads of a file."""
+    told = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    return spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(told)
+
+
 def _has_large_file(spark: SparkSession, path: str) -> bool:
     """Whether a file is larger than what one task reads. Only lengths are listed, no content is read."""
-    told = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    bound = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(told)
-    return (spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0] or 0) > bound
+    return (spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0] or 0) > _task_bytes(spark)
+
+
+def in_few_files(df: DataFrame, text_col: str = "document") -> DataFrame:
+    """``df``, written once, in as few partitions as give files of about twice a task's share at most: one, unless it is larger."""
+    staged = write_table(df, "dataset-staged")
+    total = staged.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    n = -(-total // (2 * _task_bytes(df.sparkSession)))
+    return staged.repartition(n, F.xxhash64(*df.columns)) if n > 1 else staged.coalesce(1)
 
 
 def read_dataset(spark: SparkSession, path: str, split: bool | None = None) -> DataFrame:
