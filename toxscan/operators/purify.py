@@ -139,6 +139,9 @@ def purify(df: DataFrame, scorer: AdditiveScorer, id_col: str = "doc_id", text_c
 
 # --- M4 alternative: the literal loop with a pluggable model ------------------------------------
 
+#: Tokens of documents whose strings a worker holds at once, one document at least.
+SLICE_TOKENS = 1 << 18
+
 PURIFIED_SCHEMA = "p0 double, p1 double, pred int, text string, n_masked long, final_score double"
 
 
@@ -207,21 +210,34 @@ def purify_with_model(df: DataFrame, load_model, id_col: str = "doc_id", text_co
 
     def run(batches):
         import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
         model = load_model()
         scale = float(getattr(model, "scale", 1))
-        for pdf in batches:
-            offsets = np.concatenate([[0], np.cumsum([len(t) for t in pdf["tokens"]])]).astype(np.int64)
-            tokens = np.concatenate([np.zeros(0, object), *(np.asarray(t, dtype=object) for t in pdf["tokens"])])
-            first, last, masked = mask_batch(tokens, offsets, model)
-            text = [" ".join(tokens[a:b]) if n else "".join(p)
-                    for p, a, b, n in zip(pdf["pieces"], offsets[:-1].tolist(), offsets[1:].tolist(), masked.tolist())]
-            x = first.astype(float) / scale
-            out = pdf[[id_col, *keep]].reset_index(drop=True)
-            with np.errstate(over="ignore"):  # e^x overflows to infinity, as in the JVM
-                out["p0"], out["p1"] = 1.0 / (1.0 + np.exp(x)), 1.0 / (1.0 + np.exp(-x))
-            out["pred"], out["text"], out["n_masked"] = (first > 0).astype("int32"), np.array(text, dtype=object), masked
-            out["final_score"] = last.astype(float) / scale
-            yield out
-
-    return base.select(id_col, *keep, "pieces", "tokens").mapInPandas(run, schema)
+        for whole in batches:
+            for batch in _slices(whole, pc.list_value_length(whole.column("tokens")).to_numpy(zero_copy_only=False)):
+                lists = batch.column("tokens")
+                offsets = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
+                tokens = np.array(lists.flatten().to_pylist(), dtype=object)
+                first, last, masked = mask_batch(tokens, offsets, model)
+                text = [" ".join(tokens[a:b]) if n else "".join(p.as_py())
+                        for p, a, b, n in zip(batch.column("pieces"), offsets[:-1].tolist(), offsets[1:].tolist(), masked.tolist())]
+                x = first.astype(float) / scale
+                with np.errstate(over="ignore"):  # e^x overflows to infinity, as in the JVM
+                    p0, p1 = 1.0 / (1.0 + np.exp(x)), 1.0 / (1.0 + np.exp(-x))
+                out = [*(batch.column(c) for c in (id_col, *keep)), pa.array(p0), pa.array(p1), pa.array((first > 0).astype("int32")),
+                       pa.array(text, pa.string()), pa.array(masked, pa.int64()), pa.array(last.astype(float) / scale)]
+                yield pa.RecordBatch.from_arrays(out, names=[id_col, *keep, *(c.split()[0] for c in PURIFIED_SCHEMA.split(", "))])
+
+    return base.select(id_col, *keep, "pieces", "tokens").mapInArrow(run, schema)
+
+
+def _slices(batch, sizes):
+    """Rows of an Arrow batch in turn, about ``SLICE_TOKENS`` in each slice by the rows' ``sizes``."""
+    import numpy as np
+
+    slice_of = (np.cumsum(sizes) - sizes) // SLICE_TOKENS
+    starts = np.flatnonzero(np.diff(slice_of, prepend=-1))
+    for a, b in zip(starts, [*starts[1:], batch.num_rows]):
+        yield batch.slice(int(a), int(b - a))

@@ -213,8 +213,75 @@ class AdditiveWeightsLoader:
         return AdditiveTokenModel(self.micro, self.bias)
 
 
+class StoredWeights:
+    """Integer weights by token in flat arrays, some 40 bytes a token: tokens and weights in the order of the tokens' 64-bit hashes. A token
+    is found by its hash and compared; of tokens that share a hash, those behind the first are kept by name."""
+
+    def __init__(self, batches):
+        """``batches``: Arrow arrays of tokens, with their weights in whole millionths as numpy arrays."""
+        import numpy as np
+        import pyarrow as pa
+
+        names, hashes, weights = [], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for token, weight in batches:
+            names.append(token.cast(pa.large_string()))
+            hashes.append(self._hashes(token.to_numpy(zero_copy_only=False)))
+            weights.append(weight)
+        hashes, weights = np.concatenate(hashes), np.concatenate(weights)
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.weights = hashes[order], weights[order]
+        self.tokens = pa.concat_arrays([pa.array([], pa.large_string()), *names]).take(pa.array(order))
+        later = np.flatnonzero(self.hashes[1:] == self.hashes[:-1]) + 1
+        self.shared = {self.tokens[i].as_py(): int(self.weights[i]) for i in later.tolist()}
+
+    @staticmethod
+    def _hashes(tokens):
+        return pd.util.hash_array(tokens, categorize=False)
+
+    def of(self, tokens):
+        """The weight of each of ``tokens`` (an object array of strings), 0 for those that have none."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        out = np.zeros(len(tokens), np.int64)
+        if not len(tokens) or not len(self.hashes):
+            return out
+        hashes = self._hashes(tokens)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        hits = np.flatnonzero(self.hashes[at] == hashes)
+        at = at[hits]
+        same = pc.equal(self.tokens.take(pa.array(at)), pa.array(tokens[hits], pa.large_string())).to_numpy(zero_copy_only=False).astype(bool)
+        out[hits[same]] = self.weights[at[same]]
+        for i in hits[~same].tolist():
+            out[i] = self.shared.get(tokens[i], 0)
+        return out
+
+
+class AdditiveStoredModel(AdditiveTokenModel):
+    """The same from ``StoredWeights``. The weights of tokens met of late are kept by name, as a batch is scored again and again."""
+
+    KEPT_TOKENS = 100_000
+
+    def __init__(self, stored: StoredWeights, bias: int):
+        super().__init__({}, bias)
+        self.stored = stored
+
+    def __call__(self, tokens, offsets):
+        import numpy as np
+
+        missing = set(tokens).difference(self.micro)
+        if missing and len(self.micro) + len(missing) > self.KEPT_TOKENS:
+            self.micro.clear()
+            missing = set(tokens)
+        if missing:
+            names = np.array(list(missing), dtype=object)
+            self.micro.update(zip(names.tolist(), self.stored.of(names).tolist()))
+        return super().__call__(tokens, offsets)
+
+
 class AdditiveModelLoader:
-    """Loads saved scorer weights from the shared folder inside the task (pyarrow filesystem)."""
+    """Loads saved scorer weights from the shared folder inside the task (pyarrow filesystem), as ``StoredWeights``."""
 
     def __init__(self, path: str, id_col: str = "doc_id", tokens_col: str = "tokens", token_model: bool = False):
         self.path, self.id_col, self.tokens_col, self.token_model = path, id_col, tokens_col, token_model
@@ -222,18 +289,25 @@ class AdditiveModelLoader:
     def __call__(self) -> BatchModel:
         import pyarrow.dataset as ds
 
-        weights = ds.dataset(f"{self.path}/weights", format="parquet").to_table(columns=["token", "weight"])
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        million = pa.scalar(Decimal(1_000_000), pa.decimal128(7, 0))
+        weights = ds.dataset(f"{self.path}/weights", format="parquet").to_batches(
+            columns=["token", "weight"], batch_size=1 << 16, batch_readahead=1, fragment_readahead=1)
+        stored = StoredWeights((b.column(0), pc.multiply(b.column(1).cast(pa.decimal128(18, 6)), million).cast(pa.int64()).to_numpy())
+                               for b in weights)
         bias_tab = ds.dataset(f"{self.path}/bias", format="parquet").to_table()
-        micro = {t: int(Decimal(w).scaleb(6)) for t, w in zip(weights.column("token").to_pylist(),
-                                                              weights.column("weight").to_pylist())}
         bias = int(Decimal(bias_tab.column("bias")[0].as_py()).scaleb(6))
         if self.token_model:
-            return AdditiveTokenModel(micro, bias)
+            return AdditiveStoredModel(stored, bias)
         id_col, tokens_col = self.id_col, self.tokens_col
 
         def model(pdf: pd.DataFrame) -> pd.DataFrame:
             toks = pdf[tokens_col].explode()
-            per_tok = toks.map(micro).fillna(0).astype("int64")
+            per_tok = pd.Series(0, index=toks.index, dtype="int64")
+            held = toks.notna().to_numpy()
+            per_tok[held] = stored.of(toks.to_numpy(dtype=object)[held])
             sums = per_tok.groupby(level=0).sum().reindex(pdf.index, fill_value=0)
             total = sums + bias
             s = total / 1e6
