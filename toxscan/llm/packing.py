@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from toxscan.llm.common import byte_batches, keeps, python_ready, tidy
-from toxscan.llm.tokenizing import CACHE_SEGMENTS, encoder
+from toxscan.llm.tokenizing import CACHE_SEGMENTS, LOOKUP_CHARS, encoder
 
 END_ID = 1
 POOL = 2048
@@ -76,7 +76,7 @@ class VectorPacker:
             raise ValueError("limits must be positive")
         self.np, self.limits, self.cutting, self.pool = np, limits, cutting, pool
         self.pieces: list[Piece | None] = [None] * (2 * pool + 8)
-        self.size = np.zeros((2 * pool + 8, 2))  # tokens, loss-bearing tokens; 0 tokens: no piece
+        self.size = np.zeros((2, 2 * pool + 8))  # tokens, loss-bearing tokens; 0 tokens: no piece
         self.free = list(range(2 * pool + 7, -1, -1))
         self.waiting = 0
         self.order = np.zeros(2 * pool + 8, dtype=np.int64)
@@ -120,7 +120,7 @@ class VectorPacker:
     def _store(self, p: Piece) -> None:
         k = self.free.pop()
         self.pieces[k] = p
-        self.size[k] = (p.length, p.n_loss())
+        self.size[:, k] = (p.length, p.n_loss())
         self.order[k] = self.arrived
         self.arrived += 1
         self.waiting += 1
@@ -128,7 +128,7 @@ class VectorPacker:
     def _take(self, k: int) -> Piece:
         p = self.pieces[k]
         self.pieces[k] = None
-        self.size[k] = 0
+        self.size[:, k] = 0
         self.free.append(k)
         self.waiting -= 1
         return p
@@ -139,7 +139,7 @@ class VectorPacker:
         left = [lim.tokens, lim.segments, lim.loss]
         bin_: list[Piece] = []
         while self.waiting and left[0] > 0 and left[1] > 0:
-            tokens, loss = self.size[:, 0], self.size[:, 1]
+            tokens, loss = self.size
             score = tokens * (left[0] / lim.tokens**2) + loss * (left[2] / lim.loss**2)
             score += left[1] / lim.segments**2
             fits = (tokens > 0) & (tokens <= left[0]) & (loss <= left[2])
@@ -280,7 +280,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, loss_
             id_type = batch.column(0).type
             row_ids, texts, bears = (batch.column(k).to_pylist() for k in range(3))
             k = 0
-            for part in byte_batches(texts):
+            for part in byte_batches(texts, LOOKUP_CHARS):
                 for ids in encode.batch(part):
                     ids += end
                     if spans:

@@ -17,9 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from toxscan.llm.common import byte_batches, python_ready
-from toxscan.llm.tokenizing import encoder
-
-BATCH_BYTES = 1 << 20
+from toxscan.llm.tokenizing import LOOKUP_CHARS, encoder
 
 
 def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
@@ -38,7 +36,7 @@ def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for batch in batches:
             text = batch.column(1)
             size = pc.binary_length(text).cast(pa.int64())
-            n = [k for part in byte_batches(text.to_pylist(), BATCH_BYTES, size.to_pylist()) for k in encode.batch(part)]
+            n = [k for part in byte_batches(text.to_pylist(), LOOKUP_CHARS, size.to_pylist()) for k in encode.batch(part)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), size, pa.array(n, pa.int64())],
                 names=["_id", "n_bytes", "n_tokens"])
