@@ -34,10 +34,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from toxscan.llm.common import KeyFilter, keeps, python_ready, tidy, written
+from toxscan.llm.words import byte_slices
 
 WINDOW = 8
 LITERALS = 4
 COVERAGE = 0.5
+#: Bytes of the texts of documents that are analysed at once.
+TEXT_BYTES = 2 << 20
 
 # Number words (English, German, French, Spanish) and units that are told apart from other words.
 NUMBER_WORDS = frozenset("""two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen
@@ -248,18 +251,17 @@ def document_runs(docs: DataFrame, text_col: str, sizes: list[int], filter_, nam
     def runs(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        from toxscan.llm.common import byte_batches
-
         keeps("decontamination")
         arrow, may_hold = to_arrow_schema(schema), shared.value.may_hold
         for batch in batches:
             h1, h2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            base, rows = 0, []
-            for part in byte_batches(("" if t is None else t for t in batch.column(2).to_pylist()), 1 << 22):
-                owner, shape, value, kind = canonical_tokens(part, names.value)
-                begin = np.searchsorted(owner, np.arange(len(part)))
+            text, rows = pc.fill_null(batch.column(2), ""), []
+            for base, n in byte_slices(text, TEXT_BYTES):
+                owner, shape, value, kind = canonical_tokens(text.slice(base, n).to_pylist(), names.value)
+                begin = np.searchsorted(owner, np.arange(n))
                 for size in sizes:
                     h, ok = window_hashes(owner, shape, kind, size, literals, value)
                     ok &= may_hold(h)
@@ -273,7 +275,6 @@ def document_runs(docs: DataFrame, text_col: str, sizes: list[int], filter_, nam
                         own = np.where(ok[a:b + 1], h[a:b + 1].view(np.int64), None).tolist()
                         slots = np.where(kind[a:b + size] == LITERAL, None, value[a:b + size].view(np.int64)).tolist()
                         rows.append((h1[base + o], h2[base + o], size, int(a - begin[o]), own, slots))
-                base += len(part)
             columns = list(zip(*rows)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
 

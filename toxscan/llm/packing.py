@@ -30,8 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from toxscan.llm.common import byte_batches, keeps, python_ready, tidy
+from toxscan.llm.common import keeps, python_ready, tidy
 from toxscan.llm.tokenizing import CACHE_SEGMENTS, LOOKUP_CHARS, encoder
+from toxscan.llm.words import byte_slices
 
 END_ID = 1
 POOL = 2048
@@ -278,10 +279,9 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, loss_
 
         for batch in batches:
             id_type = batch.column(0).type
-            row_ids, texts, bears = (batch.column(k).to_pylist() for k in range(3))
-            k = 0
-            for part in byte_batches(texts, LOOKUP_CHARS):
-                for ids in encode.batch(part):
+            for start, n in byte_slices(batch.column(1), LOOKUP_CHARS):
+                row_ids, texts, bears = (batch.column(k).slice(start, n).to_pylist() for k in range(3))
+                for k, ids in enumerate(encode.batch(texts)):
                     ids += end
                     if spans:
                         loss_before = running_loss(ids, texts[k] or "", bears[k], encode.byte_lengths())
@@ -289,7 +289,6 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, loss_
                         loss_before = None if bears[k] else np.zeros(len(ids) // 4 + 1, dtype=np.int32)
                     example = _Example(row_ids[k], ids)
                     place(packer.add(Piece(example, 0, len(example), loss_before)))
-                    k += 1
                 if len(rows) > 20_000:
                     yield out()
         place(packer.finish())

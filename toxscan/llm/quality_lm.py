@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from toxscan.llm.common import anchored, keeps, python_ready, tidy, written
+from toxscan.llm.common import anchored, give_back, keeps, python_ready, tidy, written
 from toxscan.operators.joins import fits_broadcast, likely_in
 
 ORDER = 4
@@ -253,6 +253,12 @@ def scores(docs: DataFrame, model: KneserNey, id_col: str = "doc_id", text_col:
     out_schema = T.StructType([*picked.schema.fields[:4], T.StructField("n", T.LongType()), T.StructField("loss", T.DoubleType())])
 
     def score(left, right):
+        try:
+            return answered(left, right)
+        finally:
+            give_back()
+
+    def answered(left, right):
         import pickle
 
         import numpy as np

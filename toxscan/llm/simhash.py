@@ -33,6 +33,7 @@ from pyspark.sql import types as T
 
 from toxscan.llm.common import keeps, python_ready, tidy, written
 from toxscan.llm.components import connected_components
+from toxscan.llm.words import byte_slices
 
 SEED = 42
 BITS = 64
@@ -112,8 +113,9 @@ def with_fingerprints(df: DataFrame, id_col: str, text_col: str, words: int) ->
 
         keeps("simhash")
         for batch in batches:
-            found = fingerprints(batch.column(1).to_pylist(), words)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=schema.names)
+            for start, n in byte_slices(batch.column(1)):
+                found = fingerprints(batch.column(1).slice(start, n).to_pylist(), words)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, n), pa.array(found, pa.int64())], names=schema.names)
 
     return picked.mapInArrow(tidy(prints), schema).withColumnRenamed("_id", id_col)
 
